@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import line_frequency, simhash
+from . import line_frequency, pii, simhash
 
 #: Query name -> module with ``query(spark, sf_dir)`` and, where SQL can say it, ``ORACLE``.
 MODULES = {
+    "op1_weak_pii": pii,
     "op3_simhash_blocks": simhash,
     "op4_line_frequency": line_frequency,
 }
