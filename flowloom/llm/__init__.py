@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import line_frequency, pii, simhash
+from . import line_frequency, pii, simhash, toxicity
 
 #: Query name -> module with ``query(spark, sf_dir)`` and, where SQL can say it, ``ORACLE``.
 MODULES = {
     "op1_weak_pii": pii,
     "op3_simhash_blocks": simhash,
     "op4_line_frequency": line_frequency,
+    "op5_nb_char_ngrams": toxicity,
 }
 
 
