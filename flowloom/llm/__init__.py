@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, line_frequency, pii, simhash, toxicity
+from . import bpe, line_frequency, packing, pii, simhash, toxicity
 
 #: Query name -> module with ``query(spark, sf_dir)`` and, where SQL can say it, ``ORACLE``.
 MODULES = {
@@ -10,6 +10,7 @@ MODULES = {
     "op3_simhash_blocks": simhash,
     "op4_line_frequency": line_frequency,
     "op5_nb_char_ngrams": toxicity,
+    "op6_differencing_packing": packing,
     "op9_forced_bpe": bpe,
 }
 
