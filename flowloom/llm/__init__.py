@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, line_frequency, packing, pii, simhash, toxicity
+from . import bpe, line_frequency, packing, pii, simhash, toxicity, warc
 
 #: Query name -> module with ``query(spark, sf_dir)`` and, where SQL can say it, ``ORACLE``.
 MODULES = {
@@ -11,6 +11,7 @@ MODULES = {
     "op4_line_frequency": line_frequency,
     "op5_nb_char_ngrams": toxicity,
     "op6_differencing_packing": packing,
+    "op7_warc_source": warc,
     "op9_forced_bpe": bpe,
 }
 
