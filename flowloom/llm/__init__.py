@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe, line_frequency, packing, pii, simhash, toxicity, warc
+from . import bpe, html_text, line_frequency, packing, pii, simhash, toxicity, warc
 
 #: Query name -> module with ``query(spark, sf_dir)`` and, where SQL can say it, ``ORACLE``.
 MODULES = {
     "op1_weak_pii": pii,
+    "op2_text_density": html_text,
     "op3_simhash_blocks": simhash,
     "op4_line_frequency": line_frequency,
     "op5_nb_char_ngrams": toxicity,
