@@ -34,7 +34,7 @@ from pyspark.sql.datasource import (
 )
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import durable, read_table
+from .common import read_table, shared_folder
 
 #: Column -> WARC header it holds.
 HEADERS = {
@@ -382,8 +382,7 @@ def page_id_of(urn: Column) -> Column:
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Write the archives into the shared folder, then read them back: responses by payload, revisits by headers."""
     pages = read_table(spark, sf_dir, "pages")
-    durable(spark.range(0))  # the shared folder is set from here on
-    path = f"{spark.sparkContext.getCheckpointDir()}/warc-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/warc-{uuid.uuid4().hex}"
     write_warc(page_records(pages), path)
     responses = read_warc(spark, path, ["record_type", "record_id", "payload"]).where("record_type = 'response'").select(
         page_id_of(F.col("record_id")).alias("page_id"),
