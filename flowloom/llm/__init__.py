@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, html_text, lattice_lm, line_frequency, packing, pii, simhash, toxicity, warc
+from . import bpe, html_text, lattice_lm, line_frequency, nn_descent, packing, pii, simhash, toxicity, warc
 
 #: Query name -> module with ``query(spark, sf_dir)`` and, where SQL can say it, ``ORACLE``.
 MODULES = {
@@ -15,6 +15,7 @@ MODULES = {
     "op7_warc_source": warc,
     "op8_lattice_lm": lattice_lm,
     "op9_forced_bpe": bpe,
+    "op10_nn_descent": nn_descent,
 }
 
 
