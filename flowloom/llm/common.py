@@ -33,6 +33,19 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def carry(docs: DataFrame, *used: str) -> DataFrame:
+    """The columns an operator works on, and the whole input row as the struct ``_row``.
+
+    Extra columns of any name can so neither clash with an operator's own nor get lost.
+    """
+    return docs.select(*used, F.struct(*docs.columns).alias("_row"))
+
+
+def restore(df: DataFrame, columns: list[str], **new) -> DataFrame:
+    """The columns of the input row again, those in ``new`` replaced."""
+    return df.select(*[new.get(c, F.col("_row").getField(c)).alias(c) for c in columns])
+
+
 def min_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components of an undirected edge list as rows ``(node, component)``.
 

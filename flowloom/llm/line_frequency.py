@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE_CLASS, durable, read_table
+from .common import SPACE_CLASS, carry, durable, read_table, restore
 
 #: Window length of the within-document repetition rule.
 WINDOW = 8
@@ -202,10 +202,8 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: rejected documents go, frequent lines leave the texts that stay."""
-    cleaned = quality(docs, keep_text=True).where("kept")
-    if "n_chars" in docs.columns:
-        cleaned = cleaned.withColumn("n_chars", F.length("text").cast("long"))
-    return cleaned.select(docs.columns)
+    cleaned = quality(carry(docs, "doc_id", "text", "source"), keep_text=True).where("kept")
+    return restore(cleaned, docs.columns, text=F.col("text"), n_chars=F.length("text").cast("long"))
 
 
 ORACLE = r"""

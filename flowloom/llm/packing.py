@@ -84,13 +84,21 @@ def pack_sizes(sizes: np.ndarray, capacity: int) -> np.ndarray:
         ways += max(1, ways // 200)
 
 
-def cut_points(n: int, capacity: int, grain: int) -> np.ndarray:
-    """Starts of the pieces of ``n`` ids: full windows, then equal pieces of at most ``grain``."""
-    full = n // capacity
-    rest = n - full * capacity
-    parts = -(-rest // grain)
-    tail = full * capacity + (np.arange(parts) * rest) // max(parts, 1)
-    return np.concatenate((np.arange(full) * capacity, tail)).astype(np.int64)
+def cut_points(n: int, capacity: int, grain: int, finest: int = 16) -> np.ndarray:
+    """Starts of the pieces of ``n`` ids: full windows, pieces of ``grain``, then halves of what is left.
+
+    The halving gives every block pieces of all sizes, so that the last merges of
+    the differencing can level its windows to a few ids.
+    """
+    full, rest = divmod(n, capacity)
+    coarse, rest = divmod(rest, grain)
+    sizes = [capacity] * full + [grain] * coarse
+    while rest > finest:
+        sizes.append(rest - rest // 2)
+        rest //= 2
+    if rest:
+        sizes.append(rest)
+    return np.cumsum([0, *sizes[:-1]], dtype=np.int64)
 
 
 PIECE = "doc_id {id}, start long, length long, ids_crc32 long, doc_tokens long"

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import durable, read_table
+from .common import carry, durable, read_table, restore
 
 KINDS = ("email", "ip", "card", "phone")
 EMAIL, IP, CARD, PHONE = range(4)
@@ -280,8 +280,11 @@ def label_spans(docs: DataFrame, threshold: float = 0.9) -> DataFrame:
 
 
 def redact(docs: DataFrame, threshold: float = 0.9) -> DataFrame:
-    """``docs`` with every labelled span of ``text`` replaced by its kind, as ``[EMAIL]``."""
-    labelled = label_spans(docs, threshold)
+    """``docs`` with every labelled span of ``text`` replaced by its kind, as ``[EMAIL]``.
+
+    All rows and columns stay; null text stays null; ``n_chars`` follows the new text.
+    """
+    labelled = label_spans(carry(docs, "text"), threshold)
 
     @F.pandas_udf("string")
     def mask(texts: pd.Series, spans: pd.Series) -> pd.Series:
@@ -297,7 +300,8 @@ def redact(docs: DataFrame, threshold: float = 0.9) -> DataFrame:
 
         return pd.Series([one(t, s) for t, s in zip(texts, spans)], dtype=object)
 
-    return labelled.withColumn("text", mask("text", "spans")).select(docs.columns)
+    masked = labelled.withColumn("text", mask("text", "spans"))
+    return restore(masked, docs.columns, text=F.col("text"), n_chars=F.length("text").cast("long"))
 
 
 def _joined(spans: Column) -> Column:
@@ -324,5 +328,4 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: all documents stay, their personal data is masked."""
-    out = redact(docs)
-    return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out
+    return redact(docs)

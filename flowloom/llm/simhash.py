@@ -17,9 +17,11 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import durable, min_components, read_table
+from .common import carry, durable, min_components, read_table, restore
 
 SEED = 42
+#: Tells rows of one doc_id but different texts apart.
+TEXT_HASH = "xxhash64(coalesce(text, '')) AS th"
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 #: Shingles whose hash bits are counted in one step.
 _STEP = 1 << 16
@@ -50,13 +52,13 @@ def fingerprint(text: str | None, width: int = 4) -> int:
 
 
 def fingerprints(docs: DataFrame, width: int = 4) -> DataFrame:
-    """``(doc_id, fp bigint)`` for every row; the bit pattern is kept in a signed long."""
+    """``(doc_id, th, fp bigint)`` for every row; the bit pattern is kept in a signed long."""
 
     @F.pandas_udf("long")
     def digest(texts: pd.Series) -> pd.Series:
         return pd.Series(np.array([fingerprint(t, width) for t in texts], dtype=np.uint64).view(np.int64))
 
-    return docs.select("doc_id", digest("text").alias("fp"))
+    return docs.select("doc_id", F.expr(TEXT_HASH), digest("text").alias("fp"))
 
 
 def block_count(n: int, max_bits: int) -> int:
@@ -166,24 +168,28 @@ def links(nodes: DataFrame, n: int, max_bits: int = 4, tile: int = 2048) -> Data
     )
 
 
+def components(docs: DataFrame, width: int, max_bits: int, tile: int) -> DataFrame:
+    """``(doc_id, th, fp, component_id)`` per row; ``th`` hashes the text itself."""
+    marked = durable(fingerprints(docs.select("doc_id", "text"), width))
+    nodes = durable(marked.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("id")))
+    parts = min_components(links(nodes, nodes.count(), max_bits, tile))
+    roots = nodes.join(parts, nodes.id == parts.node, "left").select("fp", F.coalesce("component", "id").alias("component_id"))
+    return marked.join(roots, "fp", "left").select(
+        "doc_id", "th", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id")
+    )
+
+
 def near_duplicates(docs: DataFrame, width: int = 4, max_bits: int = 4, tile: int = 2048) -> DataFrame:
     """``(doc_id, fingerprint, component_id)`` for every row of ``docs``.
 
     Equal fingerprints (exact copies, and all texts without words) are one node
     whose id is the smallest doc_id. Null and empty texts have fingerprint zero.
     Rows with a null doc_id keep a fingerprint, link nothing and get a null
-    component; repeated rows are returned as often as they occur.
+    component; repeated rows are returned as often as they occur; an empty table
+    gives an empty result.
     """
-    marked = durable(fingerprints(docs.select("doc_id", "text"), width))
-    nodes = durable(marked.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("id")))
-    parts = min_components(links(nodes, nodes.count(), max_bits, tile))
-    roots = nodes.join(parts, nodes.id == parts.node, "left").select(
-        "fp", F.coalesce("component", "id").alias("component_id")
-    )
-    return marked.join(roots, "fp", "left").select(
-        "doc_id",
-        F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
-        F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"),
+    return components(docs, width, max_bits, tile).select(
+        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
 
 
@@ -194,11 +200,15 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: of each component the document with the smallest id stays.
 
-    Rows with a null doc_id link nothing and stay; of repeated rows one stays.
+    Rows with a null doc_id link nothing and stay; of rows with equal id and text one stays.
     """
-    found = near_duplicates(docs)
-    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti")
-    return kept.select(docs.columns)
-
-
+    found = components(docs, 4, 4, 2048).where("doc_id is not null")
+    each = durable(found.groupBy("doc_id", "th").agg(F.min("component_id").alias("root"), F.count(F.lit(1)).alias("n")))
+    gone = each.where("doc_id <> root").select("doc_id", "th")
+    twice = each.where("doc_id = root and n > 1").select("doc_id", "th")
+    keyed = carry(docs, "doc_id", "text").select("doc_id", F.expr(TEXT_HASH), "_row")
+    left = keyed.join(gone, ["doc_id", "th"], "left_anti")
+    if not twice.isEmpty():
+        once = left.join(twice, ["doc_id", "th"], "left_semi").dropDuplicates(["doc_id", "th"])
+        left = left.join(twice, ["doc_id", "th"], "left_anti").unionByName(once)
+    return restore(left, docs.columns)

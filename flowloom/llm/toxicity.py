@@ -16,7 +16,7 @@ from pyspark.ml.linalg import SparseVector, VectorUDT
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import durable, read_table
+from .common import carry, durable, read_table, restore
 
 ORDERS = (3, 4, 5)
 BITS = 20
@@ -125,7 +125,11 @@ def train(
 
 
 def score(docs: DataFrame, weights: np.ndarray, bias: float, text: str = "text") -> DataFrame:
-    """Input columns plus ``score``, the probability of a toxic text. Null text counts as empty."""
+    """Input columns plus ``score``, the probability of a toxic text.
+
+    Null text counts as empty; an input column named ``score`` is replaced; repeated
+    rows get equal scores; an empty table gives an empty result.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(weights)  # 2**BITS floats, whatever the corpus
 
     @F.pandas_udf("double")
@@ -151,4 +155,4 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents scored 0.7 or more go."""
     weights, bias = train(docs, read_table(spark, sf_dir, "labels"))
-    return score(docs.drop("score"), weights, bias).where("score < 0.7").select(docs.columns)
+    return restore(score(carry(docs, "text"), weights, bias).where("score < 0.7"), docs.columns)

@@ -212,7 +212,7 @@ class WarcReader(DataSourceReader):
                 now, size = [], 0
             now.append(path)
             size += n
-        return [*out, *([Files(now)] if now else [])]
+        return [*out, Files(now)] if now or not out else out
 
     def read(self, partition: Files):
         columns = self.schema.names
