@@ -2,14 +2,745 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def flagship(spark, sf_dir):
-    raise NotImplementedError
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import scalar as S
+from ..operators import fusion, graph, metrics, mixture, profiles, rules, timeline, windows
+from ..sources.flows import FLOWS_SQL, ORDER, flows
+from ..streaming import flow_stream
+
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_ORACLES: dict[str, str] = {}
+WINDOW = 50
+FLAG_SQL = "concat_ws('+', " + ", ".join(f"CASE WHEN (tcp_flags & {1 << i}) <> 0 THEN '{n}' END" for i, n in enumerate(S.FLAG_NAMES)) + ")"
+
+
+def query(oracle: str | None = None):
+    def keep(f):
+        _QUERIES[f.__name__] = f
+        if oracle:
+            _ORACLES[f.__name__] = oracle
+        return f
+
+    return keep
 
 
 def queries() -> dict:
-    return {}
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_ORACLES)
+
+
+def near(c, digits: int = 6):
+    """Rounded half away from zero in binary arithmetic, as SQL engines do; never minus zero."""
+    c, scale = F.col(c) if isinstance(c, str) else c, float(10**digits)
+    return F.signum(c) * F.floor(F.abs(c) * scale + 0.5) / scale + 0.0
+
+
+def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
+    return df.select(*[near(c, digits).alias(c) if t in ("double", "float") else F.col(c) for c, t in df.dtypes])
+
+
+def with_sql(*parts: str) -> str:
+    return "WITH " + ",\n".join(p.strip() for p in (FLOWS_SQL, *parts)) + "\n"
+
+
+def rd(*columns: str, digits: int = 6) -> str:
+    return ", ".join(f"round({c}, {digits}) + CAST(0 AS DOUBLE) AS {c.split('.')[-1]}" for c in columns)
+
+
+# ---- scalar functions -------------------------------------------------------------------------------------------------
+
+
+@query(with_sql() + f"""SELECT src, dst, flow_key, line_no, attack, {rd('ratio')}, {rd('in_log', 'in_back', 'net')} FROM (
+  SELECT *, coalesce(in_bytes / nullif(out_pkts, 0), 0) AS ratio, ln(1 + greatest(in_bytes, 0)) AS in_log, exp(ln(1 + greatest(in_pkts, 0))) - 1 AS in_back,
+         sign(out_bytes - in_bytes) * ln(1 + abs(out_bytes - in_bytes)) AS net FROM flows)""")
+def flow_clean(spark, d):
+    df = flows(spark, d).withColumn("ratio", F.try_divide("in_bytes", "out_pkts"))
+    df = S.clean(df, ["src", "dst", "attack"], ["in_bytes", "in_pkts", "out_bytes", "ratio"])
+    out = df.select("src", "dst", "flow_key", "line_no", "attack", "ratio", S.log_scaled(F.col("in_bytes")).alias("in_log"),
+                    S.log_restored(S.log_scaled(F.col("in_pkts"))).alias("in_back"), S.signed_log(F.col("out_bytes") - F.col("in_bytes")).alias("net"))
+    return rounded(out)
+
+
+_BUCKET = "CASE WHEN least(greatest({c}, 0), 65535) <= 1023 THEN 'WELL_KNOWN' WHEN least(greatest({c}, 0), 65535) <= 49151 THEN 'REGISTERED' ELSE 'EPHEMERAL' END"
+_PROTO = "CASE protocol WHEN 6 THEN 'TCP' WHEN 17 THEN 'UDP' WHEN 1 THEN 'ICMP' ELSE 'OTHER' END"
+
+
+@query(with_sql() + f"""SELECT {_BUCKET.format(c='src_port')} AS src_bucket, {_BUCKET.format(c='dst_port')} AS dst_bucket, {_PROTO} AS proto, count(*) AS n,
+  count(*) FILTER (icmp_type <> 0) AS n_icmp, count(*) FILTER (l7_proto = 7) AS n_l7_7, count(*) FILTER (l7_proto = 5) AS n_l7_5,
+  count(*) FILTER (l7_proto NOT IN (7, 5)) AS n_l7_other, count(*) FILTER (protocol = 6) AS n_proto_6 FROM flows GROUP BY 1, 2, 3""")
+def port_proto_onehot(spark, d):
+    df = flows(spark, d).select(
+        S.port_bucket(F.col("src_port")).alias("src_bucket"), S.port_bucket(F.col("dst_port")).alias("dst_bucket"), S.protocol_name(F.col("protocol")).alias("proto"),
+        (F.col("icmp_type") != 0).cast("int").alias("icmp"), *S.l7_one_hot(F.col("l7_proto"), [7.0, 5.0]), *S.one_hot(F.col("protocol"), [6], "proto_"),
+    )
+    return df.groupBy("src_bucket", "dst_bucket", "proto").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("icmp").alias("n_icmp"), F.sum("L7_7").alias("n_l7_7"), F.sum("L7_5").alias("n_l7_5"), F.sum("L7_OTHER").alias("n_l7_other"), F.sum("proto_6").alias("n_proto_6")
+    )
+
+
+def _bands(c: str, bands: list) -> str:
+    return "CASE " + " ".join(f"WHEN {c} < {b} THEN '{n}'" for b, n in bands[:-1]) + f" ELSE '{bands[-1][1]}' END"
+
+
+_RATIO = "CASE WHEN {i} > 0.01 THEN least(greatest({o} / {i}, 0), CAST(999 AS DOUBLE)) WHEN {o} > 0.01 THEN CAST(999 AS DOUBLE) ELSE CAST(1 AS DOUBLE) END"
+
+
+@query(with_sql("""r AS (SELECT *, (in_pkts + out_pkts) / greatest(duration_ms / CAST(1000 AS DOUBLE), CAST(0.0001 AS DOUBLE)) AS pps,
+  CASE WHEN in_pkts + out_pkts > 0 THEN (in_bytes + out_bytes) / (in_pkts + out_pkts) ELSE 0 END AS bpp, """ + _RATIO.format(o="out_bytes", i="in_bytes") + """ AS dir_ratio FROM flows)""")
+    + f"""SELECT src, dst, flow_key, line_no, {rd('pps', 'bpp', 'dir_ratio')}, {_bands('out_bytes', S.VOLUME)} AS volume_class, {_bands('duration_ms', S.DURATION)} AS duration_class,
+  {_bands('pps', S.RATE)} AS rate_class, CASE WHEN out_bytes <= 0 AND out_pkts <= 0 THEN 'RECEIVE_ONLY' WHEN dir_ratio > 3 THEN 'OUTBOUND_HEAVY' WHEN dir_ratio < CAST(0.33 AS DOUBLE) THEN 'INBOUND_HEAVY' ELSE 'BALANCED' END AS direction FROM r""")
+def flow_ratios(spark, d):
+    c = F.col
+    df = flows(spark, d, duration=True)
+    df = df.withColumns({
+        "pps": S.packets_per_second(c("in_pkts") + c("out_pkts"), c("duration_ms")), "bpp": S.bytes_per_packet(c("in_bytes") + c("out_bytes"), c("in_pkts") + c("out_pkts")),
+        "dir_ratio": S.direction_ratio(c("out_bytes"), c("in_bytes")),
+    })
+    return rounded(df.select("src", "dst", "flow_key", "line_no", "pps", "bpp", "dir_ratio", S.banded(c("out_bytes"), S.VOLUME).alias("volume_class"), S.banded(c("duration_ms"), S.DURATION).alias("duration_class"),
+                             S.banded(c("pps"), S.RATE).alias("rate_class"), S.direction_class(c("dir_ratio"), c("out_bytes"), c("out_pkts")).alias("direction")))
+
+
+@query(with_sql() + f"SELECT CASE WHEN {FLAG_SQL} = '' THEN 'NONE' ELSE {FLAG_SQL} END AS flags, ((tcp_flags & 2) <> 0 AND (tcp_flags & 16) = 0) AS syn_only, count(*) AS n FROM flows GROUP BY 1, 2")
+def tcp_flag_decode(spark, d):
+    return flows(spark, d).groupBy(S.tcp_flag_names(F.col("tcp_flags")).alias("flags"), S.syn_only(F.col("tcp_flags")).alias("syn_only")).agg(F.count(F.lit(1)).alias("n"))
+
+
+_Z = ["in_bytes", "in_pkts", "out_bytes", "out_pkts", "duration_ms"]
+_ZSQL = ("st AS (SELECT " + ", ".join(f"avg({c}) AS m_{c}, CASE WHEN stddev_pop({c}) > 0 THEN stddev_pop({c}) ELSE 1 END AS s_{c}" for c in _Z) + " FROM flows WHERE flow_key % 5 <> 0)",
+         "z AS (SELECT flows.*, " + ", ".join(f"({c} - m_{c}) / s_{c} AS {c}_z" for c in _Z) + " FROM flows, st)")
+
+
+def _scaled(spark, d):
+    return S.standardised(flows(spark, d, duration=True), _Z, F.col("flow_key") % 5 != 0)
+
+
+@query(with_sql(*_ZSQL) + "SELECT src, dst, flow_key, line_no, " + rd(*[f"{c}_z" for c in _Z]) + " FROM z")
+def scaled_features(spark, d):
+    return rounded(_scaled(spark, d).select("src", "dst", "flow_key", "line_no", *[f"{c}_z" for c in _Z]))
+
+
+_FANS = ("pairs AS (SELECT DISTINCT src, dst FROM flows)", "fo AS (SELECT src, count(*) AS fan_out FROM pairs GROUP BY src)", "fi AS (SELECT dst, count(*) AS fan_in FROM pairs GROUP BY dst)")
+_HMAP = {"duration": "duration_ms_z", "out_bytes": "out_bytes_z", "in_pkts": "in_pkts_z", "out_pkts": "out_pkts_z", "dst_well_known": "wk", "tcp": "tcp", "fan_out": "fan_out_z", "fan_in": "fan_in_z", "n_peers": "n_peers_z", "syn_only": "syn", "icmp_active": "icmp"}
+_SIG = "CASE WHEN {x} >= 0 THEN 1 / (1 + exp(-({x}))) ELSE exp({x}) / (1 + exp({x})) END"
+
+
+@query(with_sql(*_ZSQL, *_FANS, """f AS (SELECT z.*, fan_out, fan_in, fan_out + fan_in AS n_peers, CAST(dst_port <= 1023 AS DOUBLE) AS wk, CAST(protocol = 6 AS DOUBLE) AS tcp,
+  CAST((tcp_flags & 2) <> 0 AND (tcp_flags & 16) = 0 AS DOUBLE) AS syn, CAST(icmp_type <> 0 AS DOUBLE) AS icmp FROM z JOIN fo USING (src) JOIN fi USING (dst))""",
+  "g AS (SELECT f.*, " + ", ".join(f"({c} - avg({c}) OVER ()) / CASE WHEN stddev_pop({c}) OVER () > 0 THEN stddev_pop({c}) OVER () ELSE 1 END AS {c}_z" for c in ("fan_out", "fan_in", "n_peers")) + " FROM f)",
+  "h AS (SELECT attack, " + ", ".join(_SIG.format(x="(" + " + ".join(f"{_HMAP[k]} * CAST({w} AS DOUBLE)" for k, w in ws.items() if k in _HMAP) + ")") + f" AS s_{n}" for n, ws in S.HEURISTICS.items()) + " FROM g)")
+  + "SELECT attack, " + ", ".join(f'round(avg(s_{n}), 6) + CAST(0 AS DOUBLE) AS "{n}"' for n in S.HEURISTICS) + " FROM h GROUP BY attack")
+def heuristic_scores(spark, d):
+    df = graph.flow_fan(_scaled(spark, d)).withColumns({
+        "wk": (F.col("dst_port") <= 1023).cast("double"), "tcp": (F.col("protocol") == 6).cast("double"),
+        "syn": S.syn_only(F.col("tcp_flags")).cast("double"), "icmp": (F.col("icmp_type") != 0).cast("double"),
+    })
+    df = S.standardised(df, ["fan_out", "fan_in", "n_peers"])
+    scored = df.select("attack", *S.heuristic_scores({k: F.col(v) for k, v in _HMAP.items()}))
+    return rounded(scored.groupBy("attack").agg(*[F.avg(n).alias(n) for n in S.HEURISTICS]))
+
+
+_VMAP = {"out_bytes": "out_bytes_z", "in_pkts": "in_pkts_z", "out_pkts": "out_pkts_z", "duration": "duration_ms_z", "tcp_flags": "tcp_flags", "min_ttl": "min_ttl", "fan_out": "fan_out", "fan_in": "fan_in", "n_pairs": "fan_out", "longest_pkt": "longest_pkt"}
+
+
+@query(with_sql(*_ZSQL, *_FANS, "f AS (SELECT z.*, fan_out, fan_in FROM z JOIN fo USING (src) JOIN fi USING (dst))",
+  "v AS (SELECT attack, [" + ", ".join((f"ln(1 + {_VMAP[n]})" if n in ("fan_out", "fan_in", "n_pairs") else f"CAST({_VMAP[n]} AS DOUBLE)") if n in _VMAP else "CAST(0 AS DOUBLE)" for n in S.BEHAVIOURAL) + "] AS x FROM f)",
+  f"u AS (SELECT attack, unnest(generate_series(0, {len(S.BEHAVIOURAL) - 1})) AS i, unnest(x) AS x FROM v)")
+  + "SELECT attack, CAST(i AS INTEGER) AS i, round(avg(x), 6) + CAST(0 AS DOUBLE) AS mean FROM u GROUP BY 1, 2")
+def behavioural_features(spark, d):
+    df = graph.flow_fan(_scaled(spark, d))
+    vector = S.behavioural_vector({k: F.col(v) for k, v in _VMAP.items()})
+    return rounded(df.select("attack", F.posexplode(vector).alias("i", "x")).groupBy("attack", "i").agg(F.avg("x").alias("mean")))
+
+
+# ---- split, balance ---------------------------------------------------------------------------------------------------
+
+_SPLIT = ("rk AS (SELECT *, row_number() OVER (PARTITION BY attack ORDER BY ts_ms, flow_key, line_no, dst, src) AS rn, count(*) OVER (PARTITION BY attack) AS n FROM flows)",
+  """sp AS (SELECT *, CASE WHEN round_even(n * CAST(0.15 AS DOUBLE), 0) = 0 OR n - round_even(n * CAST(0.15 AS DOUBLE), 0) - round_even(n * CAST(0.05 AS DOUBLE), 0) <= 0 THEN 'train'
+    WHEN rn > n - round_even(n * CAST(0.15 AS DOUBLE), 0) THEN 'test' WHEN rn > n - round_even(n * CAST(0.15 AS DOUBLE), 0) - round_even(n * CAST(0.05 AS DOUBLE), 0) THEN 'gap' ELSE 'train' END AS split FROM rk)""")
+
+
+def _split(spark, d, duration=False):
+    return timeline.chronological_split(flows(spark, d, duration), "attack", ORDER)
+
+
+@query(with_sql(*_SPLIT) + "SELECT src, dst, flow_key, line_no, ts_ms, split FROM sp")
+def chrono_split(spark, d):
+    return _split(spark, d).select("src", "dst", "flow_key", "line_no", "ts_ms", "split")
+
+
+@query(with_sql(*_SPLIT) + "SELECT attack, split, count(*) AS n, min(ts_ms) AS first_ms, max(ts_ms) AS last_ms FROM sp GROUP BY 1, 2")
+def split_date_report(spark, d):
+    return _split(spark, d).groupBy("attack", "split").agg(F.count(F.lit(1)).alias("n"), F.min("ts_ms").alias("first_ms"), F.max("ts_ms").alias("last_ms"))
+
+
+@query(with_sql(*_SPLIT) + "SELECT attack, count(*) FILTER (split = 'train') AS train, count(*) FILTER (split = 'gap') AS gap, count(*) FILTER (split = 'test') AS test FROM sp GROUP BY 1")
+def split_counts(spark, d):
+    wide = _split(spark, d).groupBy("attack").pivot("split", ["train", "gap", "test"]).count()
+    return wide.select("attack", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("train", "gap", "test")])
+
+
+@query(with_sql(*_SPLIT) + """SELECT attack, count(*) AS n, sum(flow_key) AS keys FROM sp t WHERE split = 'test' AND NOT EXISTS (SELECT 1 FROM sp r WHERE r.split = 'train'
+  AND r.in_pkts = t.in_pkts AND r.out_pkts = t.out_pkts AND r.protocol = t.protocol AND r.tcp_flags = t.tcp_flags) GROUP BY 1""")
+def cross_split_dedup(spark, d):
+    df = _split(spark, d)
+    left = timeline.without_cross_duplicates(df.where("split = 'test'"), df.where("split = 'train'"), ["in_pkts", "out_pkts", "protocol", "tcp_flags"])
+    return left.groupBy("attack").agg(F.count(F.lit(1)).alias("n"), F.sum("flow_key").cast("double").alias("keys"))
+
+
+_TARGET = ("cn AS (SELECT attack, count(*) AS n FROM flows GROUP BY 1)", "tg AS (SELECT attack, n, least(n, n // 3) AS t0 FROM cn)", "ts AS (SELECT sum(t0) AS t FROM tg)",
+  "tt AS (SELECT attack, n, CASE WHEN t > 3000 THEN greatest(CAST(floor(t0 * 3000 / t) AS BIGINT), least(t0, 100)) ELSE t0 END AS target FROM tg, ts)")
+
+
+@query(with_sql("rk AS (SELECT *, row_number() OVER (PARTITION BY attack ORDER BY ts_ms, flow_key, line_no, dst, src) - 1 AS idx FROM flows)",
+  "cn AS (SELECT attack, count(*) AS n, least(count(*), greatest(1, least(400, count(*)))) AS k FROM flows GROUP BY 1)",
+  "pick AS (SELECT attack, CASE WHEN k = 1 THEN 0 ELSE CAST(floor(i * (n - 1) / (k - 1)) AS BIGINT) END AS idx, count(*) AS c FROM (SELECT *, unnest(generate_series(0, k - 1)) AS i FROM cn) GROUP BY 1, 2)")
+  + "SELECT attack, count(*) AS n, sum(flow_key) AS keys, min(idx) AS first_at, max(idx) AS last_at FROM rk JOIN pick USING (attack, idx) GROUP BY 1")
+def strided_balance(spark, d):
+    df = flows(spark, d)
+    counts = df.groupBy("attack").agg(F.count(F.lit(1)).alias("n"))
+    targets = timeline.target_sizes(counts, "attack", total=10_000_000, cap=400, floor=1, oversample=False)
+    ranked = timeline.class_rank(df, "attack", ORDER).select("attack", "flow_key", "line_no", "dst", "src", (F.col("_rank") - 1).alias("at"))
+    taken = timeline.strided(df, "attack", ORDER, targets).join(ranked, ["attack", "flow_key", "line_no", "dst", "src"])
+    return taken.groupBy("attack").agg(F.count(F.lit(1)).alias("n"), F.sum("flow_key").cast("double").alias("keys"), F.min("at").alias("first_at"), F.max("at").alias("last_at"))
+
+
+@query(with_sql(*_SPLIT) + """SELECT attack, count(*) AS flows, round(avg(CAST(dst IN (SELECT dst FROM sp WHERE split = 'train') AS INTEGER)), 6) AS share FROM sp WHERE split = 'test' GROUP BY ROLLUP (attack)""")
+def ip_overlap(spark, d):
+    df = _split(spark, d)
+    return rounded(timeline.ip_overlap(df.where("split = 'test'"), df.where("split = 'train'"), "dst", "attack"))
+
+
+@query(with_sql() + "SELECT CAST(ntile(10) OVER (ORDER BY ts_ms, flow_key, line_no, dst, src) - 1 AS INTEGER) AS chunk, count(*) AS n, min(ts_ms) AS first_ms, sum(flow_key) AS keys FROM flows GROUP BY ALL".replace(
+  "SELECT CAST(ntile", "SELECT chunk, count(*) AS n, min(ts_ms) AS first_ms, sum(flow_key) AS keys FROM (SELECT *, CAST(ntile", 1).replace(" - 1 AS INTEGER) AS chunk, count(*) AS n, min(ts_ms) AS first_ms, sum(flow_key) AS keys FROM flows GROUP BY ALL", " - 1 AS INTEGER) AS chunk FROM flows) GROUP BY chunk"))
+def chunk_bounds(spark, d):
+    return timeline.chunk(flows(spark, d), 10, ORDER).groupBy("chunk").agg(F.count(F.lit(1)).alias("n"), F.min("ts_ms").alias("first_ms"), F.sum("flow_key").cast("double").alias("keys"))
+
+
+# ---- graph ------------------------------------------------------------------------------------------------------------
+
+_NODES = """o AS (SELECT src AS ip, sum(in_bytes) AS out_sum, sum(in_pkts) AS out_pkts, count(*) AS out_flows, count(DISTINCT dst) AS fan_out, count(DISTINCT dst_port) AS port_div FROM flows GROUP BY 1),
+i AS (SELECT dst AS ip, sum(in_bytes) AS in_sum, sum(in_pkts) AS in_pkts_sum, count(*) AS in_flows, count(DISTINCT src) AS fan_in, count(DISTINCT protocol) AS proto_div FROM flows GROUP BY 1),
+nf AS (SELECT coalesce(o.ip, i.ip) AS ip, """ + ", ".join(f"ln(1 + coalesce({c}, 0)) AS {c}" for c in graph.NODE_FEATURES) + " FROM o FULL JOIN i ON o.ip = i.ip)"
+_NZ = "nz AS (SELECT ip, " + ", ".join(f"({c} - avg({c}) OVER ()) / (stddev_pop({c}) OVER () + CAST(1e-6 AS DOUBLE)) AS {c}" for c in graph.NODE_FEATURES) + " FROM nf)"
+
+
+@query(with_sql(_NODES, _NZ) + "SELECT ip, " + rd(*graph.NODE_FEATURES, digits=5) + " FROM nz")
+def node_features(spark, d):
+    return rounded(graph.scale_nodes(graph.node_features(flows(spark, d))), 5)
+
+
+@query(with_sql(*_FANS) + "SELECT src, count(*) AS flows, sum(fan_out) AS sum_out, sum(fan_in) AS sum_in, sum(fan_out + fan_in) AS sum_peers FROM flows JOIN fo USING (src) JOIN fi USING (dst) GROUP BY 1")
+def flow_fanout(spark, d):
+    return graph.flow_fan(flows(spark, d)).groupBy("src").agg(F.count(F.lit(1)).alias("flows"), *[F.sum(c).cast("double").alias(a) for c, a in (("fan_out", "sum_out"), ("fan_in", "sum_in"), ("n_peers", "sum_peers"))])
+
+
+_W = [[((i + 1) * (j + 2) % 7 - 3) / 10 for j in range(10)] for i in range(4)]
+_V = [[((i + 2) * (j + 1) % 5 - 2) / 10 for j in range(10)] for i in range(4)]
+
+
+@query(with_sql(_NODES, "ag AS (SELECT dst AS ip, " + ", ".join(f"avg(nf.{c}) AS a_{c}" for c in graph.NODE_FEATURES) + " FROM flows JOIN nf ON src = nf.ip GROUP BY 1)",
+  "bt AS (SELECT nf.*, " + ", ".join(f"coalesce(a_{c}, 0) AS a_{c}" for c in graph.NODE_FEATURES) + " FROM nf LEFT JOIN ag USING (ip))")
+  + "SELECT ip, " + ", ".join("round(greatest(" + " + ".join(f"{c} * CAST({a} AS DOUBLE) + a_{c} * CAST({b} AS DOUBLE)" for c, a, b in zip(graph.NODE_FEATURES, w, v)) + f", 0), 5) + CAST(0 AS DOUBLE) AS h{k}" for k, (w, v) in enumerate(zip(_W, _V))) + " FROM bt")
+def sage_mean_layer(spark, d):
+    edges = flows(spark, d)
+    feats = graph.node_features(edges)
+    h = graph.sage_layer(feats, graph.aggregate_neighbours(edges, feats, graph.NODE_FEATURES), _W, _V, graph.NODE_FEATURES)
+    return rounded(h.select("ip", *[F.col("h")[k].alias(f"h{k}") for k in range(4)]), 5)
+
+
+_CGP = """p AS (SELECT attack, src, dst, count(*) AS m FROM flows GROUP BY 1, 2, 3),
+a AS (SELECT attack, count(*) AS n_src, avg(f) AS avg_fan_out, sum(f) AS n_pairs, avg(m) AS flows_per_src FROM (SELECT attack, src, count(*) AS f, sum(m) AS m FROM p GROUP BY 1, 2) GROUP BY 1),
+b AS (SELECT attack, count(*) AS n_dst, avg(f) AS avg_fan_in FROM (SELECT attack, dst, count(*) AS f FROM p GROUP BY 1, 2) GROUP BY 1)"""
+
+
+@query(with_sql(_CGP) + """SELECT attack, n_src, n_dst, CAST(n_pairs AS BIGINT) AS n_pairs, round(avg_fan_out, 6) AS avg_fan_out, round(avg_fan_in, 6) AS avg_fan_in, round(flows_per_src, 6) AS flows_per_src,
+  CASE WHEN n_src = 1 AND n_dst > 10 THEN 'ONE_TO_MANY (scanning/spray)' WHEN n_src > 10 AND n_dst = 1 THEN 'MANY_TO_ONE (DDoS/service)' WHEN n_src = 1 AND n_dst = 1 THEN 'ONE_TO_ONE (targeted/tunnel)'
+  WHEN n_src > 5 AND n_dst > 5 THEN 'MANY_TO_MANY' WHEN n_pairs < least(n_src, n_dst) * 0.3 THEN 'SPARSE (selected targets)' ELSE 'FEW_TO_FEW' END AS pattern FROM a JOIN b USING (attack)""")
+def cluster_graph_profile(spark, d):
+    return rounded(graph.cluster_graph_profile(flows(spark, d), "attack").select("attack", "n_src", "n_dst", "n_pairs", "avg_fan_out", "avg_fan_in", "flows_per_src", "pattern"))
+
+
+_POS = "po AS (SELECT *, row_number() OVER (ORDER BY ts_ms, flow_key, line_no, dst, src) - 1 AS pos FROM flows)"
+
+
+def _timeline(spark, d, duration=False):
+    return timeline.positions(flows(spark, d, duration), ORDER)
+
+
+@query(with_sql(_POS, "fs AS (SELECT *, CAST(row_number() OVER (PARTITION BY src, dst ORDER BY pos) = 1 AS BIGINT) AS f FROM po)") + """SELECT pos, src, coalesce(count(*) OVER w, 0) AS past_flows,
+  round(coalesce(sum(in_bytes) OVER w, 0), 2) AS past_bytes, coalesce(CAST(sum(f) OVER w AS BIGINT), 0) AS past_fan_out FROM fs WINDOW w AS (PARTITION BY src ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)""")
+def causal_ip_counters(spark, d):
+    return rounded(graph.causal_counters(_timeline(spark, d)).select("pos", "src", "past_flows", "past_bytes", "past_fan_out"), 2)
+
+
+_CHUNKED = "ch AS (SELECT *, CAST(ntile(10) OVER (ORDER BY ts_ms, flow_key, line_no, dst, src) - 1 AS INTEGER) AS chunk FROM flows)"
+
+
+@query(with_sql(_CHUNKED) + """SELECT s.src, s.chunk, (SELECT count(*) FROM ch c WHERE c.src = s.src AND c.chunk < s.chunk) AS flows,
+  (SELECT round(coalesce(sum(in_bytes), 0), 2) FROM ch c WHERE c.src = s.src AND c.chunk < s.chunk) AS bytes,
+  (SELECT count(DISTINCT dst) FROM ch c WHERE c.src = s.src AND c.chunk < s.chunk) AS fan_out FROM (SELECT DISTINCT src, chunk FROM ch) s""")
+def context_by_chunk(spark, d):
+    return rounded(graph.context_by_chunk(timeline.chunk(flows(spark, d), 10, ORDER)), 2)
+
+
+@query(with_sql() + """SELECT ip, round(avg(in_bytes), 4) AS in_bytes, round(avg(in_pkts), 4) AS in_pkts FROM (SELECT src AS ip, in_bytes, in_pkts FROM flows UNION ALL SELECT dst, in_bytes, in_pkts FROM flows) GROUP BY 1""")
+def incident_means(spark, d):
+    return rounded(graph.incident_means(flows(spark, d), ["in_bytes", "in_pkts"]), 4)
+
+
+@query(with_sql(_POS) + """SELECT pos, count(*) OVER w AS n_known, min(pos) OVER w AS first_pos, round(sum(in_pkts) OVER w, 4) AS sum_pkts FROM po WINDOW w AS (PARTITION BY src ORDER BY pos ROWS BETWEEN 9 PRECEDING AND CURRENT ROW)""")
+def causal_sequences(spark, d):
+    seq = windows.causal_sequences(_timeline(spark, d).select("pos", "src", "in_pkts"), ["in_pkts"])
+    total = lambda c, zero: F.aggregate(c, zero, lambda a, x: a + x)
+    return rounded(seq.select("pos", total("mask", F.lit(0)).cast("long").alias("n_known"), F.col("covered")[0].alias("first_pos"), total(F.transform("seq", lambda x: x[0]), F.lit(0.0)).alias("sum_pkts")), 4)
+
+
+# ---- profiles ---------------------------------------------------------------------------------------------------------
+
+_PCOLS = ["in_bytes", "out_bytes", "in_pkts", "out_pkts", "min_ttl", "tcp_flags"]
+_CL = "cl AS (SELECT *, CAST(dst % 20 AS INTEGER) AS cluster FROM flows)"
+
+
+def clustered(spark, d, duration=True):
+    return flows(spark, d, duration).withColumn("cluster", (F.col("dst") % 20).cast("int"))
+
+
+@query(with_sql(_CL) + "SELECT cluster, count(*) AS size, " + ", ".join(f"round(avg({c}), 4) AS avg_{c}, round(median({c}), 4) AS med_{c}" for c in _PCOLS) + " FROM cl GROUP BY 1")
+def cluster_profile(spark, d):
+    return rounded(profiles.profile(clustered(spark, d, False), "cluster", _PCOLS), 4)
+
+
+@query(with_sql() + "SELECT attack, count(*) AS size, " + ", ".join(f"round(avg({c}), 4) AS avg_{c}, round(median({c}), 4) AS med_{c}, round(stddev_samp({c}), 4) AS std_{c}" for c in _PCOLS) + " FROM flows GROUP BY 1")
+def attack_profile(spark, d):
+    return rounded(profiles.profile(flows(spark, d), "attack", _PCOLS, sample_std=True), 4)
+
+
+@query(with_sql(_CL) + """SELECT cluster, round(avg(CAST(min_ttl = 0 AS DOUBLE)), 6) AS share_ttl0, round(avg(CAST(min_ttl = 64 AS DOUBLE)), 6) AS share_ttl64, round(avg(CAST(min_ttl NOT IN (0, 64) AS DOUBLE)), 6) AS share_ttl_other,
+  round(avg(CAST(tcp_flags = 2 AS DOUBLE)), 6) AS share_syn, round(avg(CAST(protocol = 17 AS DOUBLE)), 6) AS share_udp, count(DISTINCT dst_port) AS n_ports, round(median(dst_port), 4) AS med_port FROM cl GROUP BY 1""")
+def share_metrics(spark, d):
+    return rounded(profiles.shares(clustered(spark, d, False), "cluster"))
+
+
+_LONG = "lo AS (" + " UNION ALL ".join(f"SELECT attack, '{c}' AS feature, CAST({c} AS DOUBLE) AS x FROM flows" for c in _PCOLS) + ")"
+_MOM = (_LONG, "mo AS (SELECT attack, feature, count(*) AS n, avg(x) AS mean, var_pop(x) AS var FROM lo GROUP BY 1, 2)", "al AS (SELECT feature, avg(x) AS m, stddev_pop(x) AS s FROM lo GROUP BY 1)")
+
+
+@query(with_sql(*_MOM) + "SELECT feature, round(sum(n * (mean - m) * (mean - m)) / sum(n * var), 6) AS fisher FROM mo JOIN al USING (feature) WHERE n >= 2 GROUP BY 1")
+def fisher_ratio(spark, d):
+    return rounded(profiles.fisher_ratio(flows(spark, d), "attack", _PCOLS))
+
+
+@query(with_sql(*_MOM) + """SELECT attack, feature, round(effect, 5) + CAST(0 AS DOUBLE) AS effect, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY attack ORDER BY abs(effect) DESC, feature) AS rank
+  FROM (SELECT attack, feature, (mean - m) / (s + CAST(1e-8 AS DOUBLE)) AS effect FROM mo JOIN al USING (feature))) WHERE rank <= 3""")
+def effect_size_topk(spark, d):
+    return rounded(profiles.effect_sizes(flows(spark, d), "attack", _PCOLS, 3), 5)
+
+
+_WIN = f"wi AS (SELECT *, CAST((row_number() OVER (PARTITION BY src ORDER BY ts_ms, flow_key, line_no, dst, src) - 1) // {WINDOW} AS BIGINT) AS window_id FROM cl)"
+
+
+def windowed(spark, d, full=False, duration=False, size=WINDOW):
+    return windows.count_windows(clustered(spark, d, duration), size, ORDER, full_only=full)
+
+
+@query(with_sql(_CL, _WIN) + """SELECT src, window_id, count(*) AS n_flows, round(sum(in_bytes), 2) AS sum_in_bytes, round(avg(out_pkts), 4) AS avg_out_pkts, round(stddev_pop(in_bytes), 4) AS std_in_bytes, round(avg(CAST(protocol = 6 AS DOUBLE)), 6) AS share_tcp,
+  round(avg(CAST((tcp_flags & 2) <> 0 AND (tcp_flags & 16) = 0 AS DOUBLE)), 6) AS share_syn_only, round(count(DISTINCT dst) / count(*), 6) AS dst_ratio, round(count(DISTINCT dst_port) / count(*), 6) AS port_ratio, round(max(in_bytes), 4) AS max_in_bytes FROM wi GROUP BY 1, 2""")
+def window_features(spark, d):
+    out = windows.window_features(windowed(spark, d), ["src", "window_id"])
+    names = ["n_flows", "sum_in_bytes", "avg_out_pkts", "std_in_bytes", "share_tcp", "share_syn_only", "dst_ratio", "port_ratio", "max_in_bytes"]
+    digits = {"sum_in_bytes": 2, "avg_out_pkts": 4, "std_in_bytes": 4, "max_in_bytes": 4}
+    return out.select("src", "window_id", "n_flows", *[near(c, digits.get(c, 6)).alias(c) for c in names[1:]])
+
+
+# ---- rules ------------------------------------------------------------------------------------------------------------
+
+_MEANS = ["in_bytes", "out_bytes", "in_pkts", "out_pkts", "min_ttl", "tcp_flags", "dst_port", "iat_max", "iat_avg", "iat_std", "tcp_win_in", "longest_pkt"]
+_PROF = ("cs AS (SELECT cluster, count(*) AS size, " + ", ".join(f"avg({c}) AS {c}" for c in _MEANS) + """, avg(duration_ms) AS duration, avg(CAST(min_ttl = 0 AS DOUBLE)) AS share_ttl0, avg(CAST(min_ttl NOT IN (0, 64) AS DOUBLE)) AS share_ttl_other,
+  avg(CAST(tcp_flags = 2 AS DOUBLE)) AS share_syn, avg(CAST(tcp_win_in = 1024 AS DOUBLE)) AS share_win1024, count(DISTINCT src) AS n_src, count(DISTINCT dst) AS n_dst, count(DISTINCT (src, dst)) AS n_pairs FROM cl GROUP BY 1)""",
+  """pf AS (SELECT *, n_pairs / n_src AS fan_out, size / sum(size) OVER () AS proportion, (in_pkts + out_pkts) / greatest(duration / CAST(1000 AS DOUBLE), CAST(0.0001 AS DOUBLE)) AS pps, """ + _RATIO.format(o="out_bytes", i="in_bytes") + " AS dir_ratio FROM cs)")
+
+
+def cluster_features(spark, d):
+    """One row per cluster: means, shares, graph counts and ratios of means."""
+    df = clustered(spark, d)
+    share = lambda c, a: F.avg(c.cast("double")).alias(a)
+    means = df.groupBy("cluster").agg(
+        F.count(F.lit(1)).alias("size"), *[F.avg(c).alias(c) for c in _MEANS], F.avg("duration_ms").alias("duration"), share(F.col("min_ttl") == 0, "share_ttl0"),
+        share(~F.col("min_ttl").isin(0.0, 64.0), "share_ttl_other"), share(F.col("tcp_flags") == 2, "share_syn"), share(F.col("tcp_win_in") == 1024, "share_win1024"),
+    )
+    fans = graph.cluster_graph_profile(df, "cluster").select("cluster", "n_src", "n_dst", "n_pairs", F.col("avg_fan_out").alias("fan_out"))
+    total = means.agg(F.sum("size").alias("_t"))
+    out = means.join(fans, "cluster").crossJoin(F.broadcast(total))  # one row
+    return out.withColumns({
+        "proportion": F.col("size") / F.col("_t"), "pps": S.packets_per_second(F.col("in_pkts") + F.col("out_pkts"), F.col("duration")), "dir_ratio": S.direction_ratio(F.col("out_bytes"), F.col("in_bytes")),
+    }).drop("_t")
+
+
+def _rules_sql(table: list[tuple], have: set[str], source: str) -> str:
+    out = []
+    for name in dict.fromkeys(r[0] for r in table):
+        mine = [r for r in table if r[0] == name and r[1] in have]
+        test = lambda r: f"{r[1]} BETWEEN {r[3]} AND {r[4]}" if r[2] == "in" else f"{r[1]} {r[2]} {r[3]}"
+        hit = " + ".join(f"CASE WHEN {test(r)} THEN CAST({r[5]} AS DOUBLE) ELSE 0 END" for r in mine)
+        out.append(f"SELECT cluster, '{name.split('#')[0]}' AS behaviour, ({hit}) / CAST({sum(r[5] for r in mine)} AS DOUBLE) AS score FROM {source}")
+    return "(SELECT cluster, behaviour, max(score) AS score FROM (" + " UNION ALL ".join(out) + ") GROUP BY 1, 2)"
+
+
+_HAVE = {*_MEANS, "duration", "fan_out", "pps", "dir_ratio"}
+_RS = "rs AS " + _rules_sql(rules.BOT_IOT_RULES, _HAVE, "pf")
+_SH = "sh AS (SELECT cluster, behaviour, CASE WHEN sum(score * score) OVER (PARTITION BY cluster) > 0 THEN score * score / sum(score * score) OVER (PARTITION BY cluster) WHEN behaviour = 'normal_activity' THEN 1 ELSE 0 END AS p FROM rs)"
+_TW = "tw(behaviour, tactic, weight) AS (VALUES " + ", ".join(f"('{b}', '{t}', CAST({w} AS DOUBLE))" for b, ws in rules.TACTIC_WEIGHTS["bot_iot"].items() for t, w in ws.items()) + ")"
+_TA = "ta AS (SELECT cluster, tactic, s / sum(s) OVER (PARTITION BY cluster) AS p FROM (SELECT cluster, tactic, sum(p * weight) AS s FROM sh JOIN tw USING (behaviour) GROUP BY 1, 2))"
+_RULED = (_CL, *_PROF, _RS, _SH, _TW, _TA)
+
+
+def rule_tactics(spark, d):
+    scores = rules.rule_scores(cluster_features(spark, d), "cluster", rules.RULES["bot_iot"])
+    behaviours = rules.sharpen(scores, "cluster")
+    return behaviours, rules.to_tactics(behaviours, "cluster", rules.tactic_table(spark))
+
+
+@query(with_sql(*_RULED) + "SELECT cluster, behaviour, round(score, 6) AS score FROM rs")
+def rule_scores_v3(spark, d):
+    return rounded(rules.rule_scores(cluster_features(spark, d), "cluster", rules.RULES["bot_iot"]))
+
+
+_UH = {"tcp_flags", "longest_pkt", "dst_port", "min_ttl", "pps_flow", "dir_ratio_flow", "bpp_flow", "iat_in_avg"}
+_UP = "up AS (SELECT cluster, avg(tcp_flags) AS tcp_flags, avg(longest_pkt) AS longest_pkt, avg(dst_port) AS dst_port, avg(min_ttl) AS min_ttl, avg(iat_avg) AS iat_in_avg, avg((in_pkts + out_pkts) / greatest(duration_ms / CAST(1000 AS DOUBLE), CAST(0.0001 AS DOUBLE))) AS pps_flow, avg(" + _RATIO.format(o="out_bytes", i="in_bytes") + ") AS dir_ratio_flow, avg(CASE WHEN in_pkts + out_pkts > 0 THEN (in_bytes + out_bytes) / (in_pkts + out_pkts) ELSE 0 END) AS bpp_flow FROM cl GROUP BY 1)"
+
+
+@query(with_sql(_CL, _UP, "ur AS " + _rules_sql(rules.RULES["unsw"], _UH, "up")) + "SELECT cluster, behaviour, round(score, 6) AS score FROM ur")
+def rule_scores_profiled(spark, d):
+    c = F.col
+    prof = clustered(spark, d).groupBy("cluster").agg(
+        *[F.avg(x).alias(x) for x in ("tcp_flags", "longest_pkt", "dst_port", "min_ttl")], F.avg("iat_avg").alias("iat_in_avg"),
+        F.avg(S.packets_per_second(c("in_pkts") + c("out_pkts"), c("duration_ms"))).alias("pps_flow"), F.avg(S.direction_ratio(c("out_bytes"), c("in_bytes"))).alias("dir_ratio_flow"),
+        F.avg(S.bytes_per_packet(c("in_bytes") + c("out_bytes"), c("in_pkts") + c("out_pkts"))).alias("bpp_flow"),
+    )
+    return rounded(rules.rule_scores(prof, "cluster", rules.RULES["unsw"]))
+
+
+def _expert_sql() -> str:
+    parts = []
+    for b, (guard, steps, damp) in rules.EXPERT_BOT_IOT.items():
+        total = " + ".join("CASE " + " ".join(f"WHEN {p.replace('D', '') if 'D ' in p or p.endswith('D') else p} THEN CAST({v} AS DOUBLE)" for p, v in step) + " ELSE 0 END" for step in steps).replace(" AN ", " AND ")
+        total = f"({total})" + (f" * CASE WHEN {damp[0]} THEN CAST({damp[1]} AS DOUBLE) ELSE 1 END" if damp else "")
+        parts.append(f"CASE WHEN {guard} THEN least({total}, CAST(1 AS DOUBLE)) ELSE 0 END AS x_{b}")
+    dominated = f"min_ttl < 20 AND x_normal_activity > greatest({', '.join(f'x_{b}' for b in rules.BENIGN_RIVALS)}) AND x_normal_activity > 0.5"
+    rows = " UNION ALL ".join(f"SELECT cluster, '{b}' AS behaviour, round(x_{b} * CASE WHEN {dominated} THEN CAST({rules.BENIGN_DAMPING.get(b, 1.0)} AS DOUBLE) ELSE 1 END, 6) AS score FROM ex" for b in rules.EXPERT_BOT_IOT)
+    return with_sql(_CL, *_PROF, "ex AS (SELECT *, " + ", ".join(parts) + " FROM pf)") + rows
+
+
+@query(_expert_sql())
+def expert_scores(spark, d):
+    return rounded(rules.expert_scores(cluster_features(spark, d), "cluster"))
+
+
+@query(with_sql(*_RULED) + "SELECT cluster, tactic, round(p, 6) AS p FROM ta")
+def tactic_distribution(spark, d):
+    return rounded(rule_tactics(spark, d)[1])
+
+
+_BEN = "bs AS (SELECT cluster, max(score) FILTER (behaviour = 'normal_activity') AS benign_score, max(score) FILTER (behaviour <> 'normal_activity') AS attack_score FROM rs GROUP BY 1)"
+
+
+@query(with_sql(*_RULED, _BEN) + """SELECT cluster, CASE WHEN benign_score >= 0.5 AND benign_score > attack_score AND size > 100 THEN 'rule' WHEN share_ttl_other >= 0.5 THEN 'ttl'
+  WHEN share_ttl0 >= 0.5 AND share_win1024 < 0.5 AND share_syn < 0.5 AND fan_out < 30 THEN 'window' END AS reason FROM pf JOIN bs USING (cluster)""")
+def benign_clusters(spark, d):
+    prof = cluster_features(spark, d)
+    normal = F.col("behaviour") == "normal_activity"
+    best = rules.rule_scores(prof, "cluster", rules.RULES["bot_iot"]).groupBy("cluster").agg(F.max(F.when(normal, F.col("score"))).alias("benign_score"), F.max(F.when(~normal, F.col("score"))).alias("attack_score"))
+    return rules.benign_groups(prof.join(best, "cluster")).select("cluster", "reason")
+
+
+@query(with_sql(_CL, *_PROF, """t1 AS (SELECT *, CASE WHEN tcp_flags < 4 THEN CASE WHEN dir_ratio > 100 THEN 'syn_flooding' WHEN n_dst <= 5 AND n_src <= 3 THEN 'connection_attempts' ELSE 'syn_flooding' END
+   WHEN out_bytes > 200000 THEN 'data_transfer' WHEN out_bytes > 10000 THEN CASE WHEN min_ttl < 30 THEN 'normal_browsing' WHEN fan_out > 30 THEN 'data_transfer' ELSE 'normal_browsing' END
+   WHEN min_ttl < 25 THEN 'normal_browsing' WHEN min_ttl > 50 THEN CASE WHEN dir_ratio > 100 THEN 'volumetric_flooding' ELSE 'service_probing' END WHEN pps > 5000 AND n_dst > 5 THEN 'port_scanning' ELSE 'service_probing' END AS l FROM pf)""",
+   "t2 AS (SELECT *, CASE WHEN proportion > 0.05 AND tcp_flags > 8 AND l <> 'normal_browsing' THEN 'normal_browsing' ELSE l END AS m FROM t1)")
+   + "SELECT cluster, CASE WHEN m = 'data_transfer' AND min_ttl < 25 THEN 'normal_browsing' ELSE m END AS label FROM t2")
+def default_labels(spark, d):
+    return rules.default_labels(cluster_features(spark, d)).select("cluster", "label")
+
+
+_TRUE = "CASE attack WHEN 'Benign' THEN 'None' WHEN 'Theft' THEN 'Exfiltration' WHEN 'Reconnaissance' THEN 'Reconnaissance' ELSE 'Impact' END"
+
+
+@query(with_sql() + f"SELECT {_TRUE} AS tactic, attack, count(*) AS n FROM flows GROUP BY 1, 2")
+def attack_to_tactic(spark, d):
+    return rules.attack_tactics(flows(spark, d), rules.attack_table(spark)).groupBy("tactic", "attack").agg(F.count(F.lit(1)).alias("n"))
+
+
+# ---- windows, fusion --------------------------------------------------------------------------------------------------
+
+_WTA = "wt AS (SELECT src, window_id, tactic, s / sum(s) OVER (PARTITION BY src, window_id) AS p FROM (SELECT src, window_id, tactic, sum(p) AS s FROM wi JOIN ta USING (cluster) GROUP BY 1, 2, 3))"
+
+
+def window_tactic_rows(spark, d):
+    """Mean tactic distribution per window: flows are first counted per (window, cluster), then meet the small table."""
+    counts = windowed(spark, d).groupBy("src", "window_id", "cluster").agg(F.count(F.lit(1)).alias("n"))
+    table = rule_tactics(spark, d)[1].select("cluster", "tactic", "p")
+    joined = counts.join(table, "cluster").withColumn("score", F.col("p") * F.col("n"))
+    return windows.mean_distribution(joined, ["src", "window_id"], "tactic")
+
+
+@query(with_sql(_CL, _WIN) + "SELECT src, window_id, count(*) AS n_flows, min(ts_ms) AS first_ms, max(ts_ms) AS last_ms FROM wi GROUP BY 1, 2")
+def count_windows(spark, d):
+    return windowed(spark, d).groupBy("src", "window_id").agg(F.count(F.lit(1)).alias("n_flows"), F.min("ts_ms").alias("first_ms"), F.max("ts_ms").alias("last_ms"))
+
+
+@query(with_sql(_CL, _WIN) + f"SELECT src, window_id, count(*) AS n_flows, sum(flow_key) AS keys FROM wi GROUP BY 1, 2 HAVING count(*) = {WINDOW}")
+def stream_full_windows(spark, d):
+    return windowed(spark, d, full=True).groupBy("src", "window_id").agg(F.count(F.lit(1)).alias("n_flows"), F.sum("flow_key").cast("double").alias("keys"))
+
+
+@query(with_sql(*_RULED, _WIN, _WTA) + "SELECT src, window_id, tactic, round(p, 6) AS p FROM wt")
+def window_tactics(spark, d):
+    return rounded(window_tactic_rows(spark, d))
+
+
+@query(with_sql(_CL, _WIN) + """SELECT src, window_id, majority, n_flows, round(purity, 6) AS purity FROM (SELECT src, window_id, attack AS majority, CAST(sum(n) OVER (PARTITION BY src, window_id) AS BIGINT) AS n_flows, n / sum(n) OVER (PARTITION BY src, window_id) AS purity,
+  row_number() OVER (PARTITION BY src, window_id ORDER BY n DESC, attack) AS r FROM (SELECT src, window_id, attack, count(*) AS n FROM wi GROUP BY 1, 2, 3)) WHERE r = 1""")
+def window_majority(spark, d):
+    return rounded(windows.majority(windowed(spark, d), ["src", "window_id"], "attack", order="attack"))
+
+
+_OT = f"ot AS (SELECT cluster, tactic, n / sum(n) OVER (PARTITION BY cluster) AS p FROM (SELECT cluster, {_TRUE} AS tactic, count(*) AS n FROM cl WHERE cluster <> 3 GROUP BY 1, 2))"
+_FU = """fu AS (SELECT cluster, tactic, f / sum(f) OVER (PARTITION BY cluster) AS p FROM (SELECT coalesce(ta.cluster, ot.cluster) AS cluster, coalesce(ta.tactic, ot.tactic) AS tactic,
+  CASE WHEN coalesce(ta.cluster, ot.cluster) IN (SELECT cluster FROM ot) THEN CAST(0.7 AS DOUBLE) * coalesce(ta.p, 0) + CAST(0.3 AS DOUBLE) * coalesce(ot.p, 0) ELSE coalesce(ta.p, 0) END AS f FROM ta FULL JOIN ot ON ta.cluster = ot.cluster AND ta.tactic = ot.tactic))"""
+
+
+def other_tactics(spark, d):
+    """A second opinion per cluster: tactic shares of its attack labels; cluster 3 has none."""
+    labelled = rules.attack_tactics(clustered(spark, d, False).where("cluster <> 3"), rules.attack_table(spark))
+    return fusion.normalised(labelled.groupBy("cluster", "tactic").agg(F.count(F.lit(1)).cast("double").alias("p")), ["cluster"])
+
+
+@query(with_sql(*_RULED, _OT, _FU) + "SELECT cluster, tactic, round(p, 6) AS p FROM fu")
+def fused_distribution(spark, d):
+    return rounded(fusion.fuse(rule_tactics(spark, d)[1], other_tactics(spark, d), "cluster", "tactic"))
+
+
+@query(with_sql(*_RULED, _OT, "gr AS (SELECT unnest([0.0, 0.5, 1.0]::DOUBLE[]) AS w)", """sw AS (SELECT w, coalesce(ta.cluster, ot.cluster) AS cluster, coalesce(ta.tactic, ot.tactic) AS tactic, w * coalesce(ta.p, 0) + (1 - w) * coalesce(ot.p, 0) AS p FROM ta FULL JOIN ot ON ta.cluster = ot.cluster AND ta.tactic = ot.tactic, gr)""")
+  + "SELECT cluster, w, tactic, round(p, 6) AS p FROM (SELECT *, row_number() OVER (PARTITION BY cluster, w ORDER BY round(p, 9) DESC, tactic) AS r FROM sw) WHERE r = 1")
+def fusion_weight_sweep(spark, d):
+    return rounded(fusion.weight_sweep(rule_tactics(spark, d)[1], other_tactics(spark, d), "cluster", "tactic", [0.0, 0.5, 1.0]))
+
+
+_KBL = "SELECT cluster, tactic, count(*) AS n FROM cl GROUP BY 1, 2"
+
+
+@query(with_sql(*_RULED, "gs AS (SELECT unnest([10, 25, 50, 100]) AS size)", "rn AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY ts_ms, flow_key, line_no, dst, src) - 1 AS k FROM cl)")
+  + "SELECT CAST(size AS INTEGER) AS size, count(*) AS windows, min(n) AS smallest FROM (SELECT size, src, k // size AS w, count(*) AS n FROM rn, gs GROUP BY ALL) GROUP BY 1")
+def window_size_sweep(spark, d):
+    ranked = timeline.class_rank(flows(spark, d).select("src", *[c for c in ORDER if c != "src"]), "src", ORDER)
+    sized = ranked.withColumn("size", F.explode(F.array(*[F.lit(s) for s in (10, 25, 50, 100)]))).groupBy("size", "src", F.expr("(_rank - 1) div size").alias("w")).agg(F.count(F.lit(1)).alias("n"))
+    return sized.groupBy("size").agg(F.count(F.lit(1)).alias("windows"), F.min("n").alias("smallest"))
+
+
+@query(with_sql(*_RULED) + """SELECT cluster, size AS cluster_size, round(proportion, 6) AS cluster_proportion, tac AS primary_tactic FROM pf JOIN (SELECT cluster, tactic AS tac, row_number() OVER (PARTITION BY cluster ORDER BY p DESC, tactic DESC) AS r FROM ta) USING (cluster) WHERE r = 1""")
+def knowledge_base(spark, d):
+    behaviours, tactics = rule_tactics(spark, d)
+    kb = fusion.build_kb(behaviours, tactics, cluster_features(spark, d).select("cluster", "size"))
+    return rounded(kb.select("cluster", "cluster_size", "cluster_proportion", "primary_tactic"))
+
+
+# ---- metrics ----------------------------------------------------------------------------------------------------------
+
+_PRI = "pr AS (SELECT cluster, tactic AS pred FROM (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY round(p, 9) DESC, tactic) AS r FROM ta) WHERE r = 1)"
+_FP = f"fp AS (SELECT {_TRUE} AS true_label, pred AS pred_label, count(*) AS n FROM cl JOIN pr USING (cluster) GROUP BY 1, 2)"
+
+
+def tactic_confusion(spark, d):
+    """Flows are counted per (cluster, tactic) before they meet the cluster's prediction."""
+    best = windows.primary(rule_tactics(spark, d)[1].withColumn("p", F.round("p", 9)), ["cluster"], "tactic").select("cluster", F.col("tactic").alias("pred_label"))
+    labelled = rules.attack_tactics(clustered(spark, d, False), rules.attack_table(spark)).groupBy("cluster", F.col("tactic").alias("true_label")).agg(F.count(F.lit(1)).alias("n"))
+    return labelled.join(best, "cluster").groupBy("true_label", "pred_label").agg(F.sum("n").alias("n"))
+
+
+@query(with_sql(*_RULED, _PRI, _FP) + "SELECT * FROM fp")
+def confusion(spark, d):
+    return tactic_confusion(spark, d)
+
+
+_PRF = """ls AS (SELECT true_label AS label FROM fp UNION SELECT pred_label FROM fp),
+pq AS (SELECT label, CAST(coalesce((SELECT sum(n) FROM fp WHERE true_label = label), 0) AS BIGINT) AS support, CAST(coalesce((SELECT sum(n) FROM fp WHERE pred_label = label), 0) AS BIGINT) AS predicted, CAST(coalesce((SELECT sum(n) FROM fp WHERE true_label = label AND pred_label = label), 0) AS BIGINT) AS tp FROM ls),
+pm AS (SELECT *, CASE WHEN predicted > 0 THEN tp / predicted ELSE 0 END AS precision, CASE WHEN support > 0 THEN tp / support ELSE 0 END AS recall FROM pq),
+pf1 AS (SELECT *, CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall) ELSE 0 END AS f1 FROM pm)"""
+
+
+@query(with_sql(*_RULED, _PRI, _FP, _PRF) + "SELECT label, support, predicted, tp, " + rd("precision", "recall", "f1") + " FROM pf1")
+def prf_report(spark, d):
+    return rounded(metrics.prf(tactic_confusion(spark, d)))
+
+
+@query(with_sql(*_RULED, _PRI, _FP, _PRF) + "SELECT round(sum(tp) / sum(support), 6) AS accuracy, round(avg(f1), 6) AS macro_f1, round(sum(f1 * support) / sum(support), 6) AS weighted_f1 FROM pf1")
+def metric_summary(spark, d):
+    return rounded(metrics.summary(tactic_confusion(spark, d)))
+
+
+@query("""WITH c AS (SELECT event_type AS t, CAST(user_id % 7 AS VARCHAR) AS p, count(*) AS n FROM events GROUP BY 1, 2), a AS (SELECT t, sum(n) AS a FROM c GROUP BY 1), b AS (SELECT p, sum(n) AS b FROM c GROUP BY 1), x AS (SELECT c.*, a, b, sum(n) OVER () AS tot FROM c JOIN a USING (t) JOIN b USING (p)),
+m AS (SELECT sum(n / tot * ln(n * tot / (a * b))) AS mi, sum(n * (n - 1) / 2) AS s, max(tot * (tot - 1) / 2) AS st FROM x), h AS (SELECT -sum(a / t2 * ln(a / t2)) AS ht, sum(a * (a - 1) / 2) AS sa FROM a, (SELECT sum(a) AS t2 FROM a)), k AS (SELECT -sum(b / t2 * ln(b / t2)) AS hp, sum(b * (b - 1) / 2) AS sb FROM b, (SELECT sum(b) AS t2 FROM b))
+SELECT round(mi / ((ht + hp) / 2), 6) AS nmi, round((s - sa * sb / st) / ((sa + sb) / 2 - sa * sb / st), 6) + CAST(0 AS DOUBLE) AS ari FROM m, h, k""")
+def nmi_ari(spark, d):
+    ev = spark.read.parquet(f"{d}/events.parquet").withColumn("p", (F.col("user_id") % 7).cast("string"))
+    return rounded(metrics.nmi_ari(metrics.confusion(ev, "event_type", "p")))
+
+
+@query("""WITH e AS (SELECT value AS s, event_type IN ('purchase', 'error') AS y FROM events), g AS (SELECT s, count(*) FILTER (y) AS p, count(*) FILTER (NOT y) AS q FROM e GROUP BY 1),
+r AS (SELECT *, sum(p) OVER (ORDER BY s DESC) AS tp, sum(q) OVER (ORDER BY s DESC) AS fp FROM g) SELECT round(sum(q * (tp - p / 2)) / (sum(p) * sum(q)), 6) AS auc, round(sum(p * tp / (tp + fp)) / sum(p), 6) AS average_precision FROM r""")
+def roc_auc(spark, d):
+    ev = spark.read.parquet(f"{d}/events.parquet").select(F.col("value").alias("s"), F.col("event_type").isin("purchase", "error").alias("y"))
+    return rounded(metrics.roc_auc(ev, "s", "y"))
+
+
+_TL = "tl(label) AS (VALUES " + ", ".join(f"('{t}')" for t in rules.TACTICS) + ")"
+_WTRUE = f"wr AS (SELECT src, window_id, {_TRUE} AS tactic, count(*) AS n FROM wi GROUP BY 1, 2, 3)"
+_WM = """ke AS (SELECT DISTINCT src, window_id FROM wi), pa AS (SELECT ke.src, ke.window_id, label, coalesce(n, 0) / sum(coalesce(n, 0)) OVER (PARTITION BY ke.src, ke.window_id) AS t, coalesce(wt.p, 0) AS p FROM ke CROSS JOIN tl
+  LEFT JOIN wr ON wr.src = ke.src AND wr.window_id = ke.window_id AND wr.tactic = label LEFT JOIN wt ON wt.src = ke.src AND wt.window_id = ke.window_id AND wt.tactic = label),
+dm AS (SELECT src, window_id, sum(least(t, p)) / sum(greatest(t, p)) AS soft_jaccard, CASE WHEN sum(t * t) * sum(p * p) > 0 THEN sum(t * p) / sqrt(sum(t * t) * sum(p * p)) ELSE 0 END AS cosine,
+  sum(CASE WHEN t > 0 THEN t * ln((t + CAST(1e-8 AS DOUBLE)) / (p + CAST(1e-8 AS DOUBLE))) ELSE 0 END) AS kl, CAST(arg_max(label, (round(t, 9), -lr)) = arg_max(label, (round(p, 9), -lr)) AS INTEGER) AS top1, sum(CASE WHEN p > 0 THEN t ELSE 0 END) AS coverage
+  FROM (SELECT *, row_number() OVER (PARTITION BY src, window_id ORDER BY label) AS lr FROM pa) GROUP BY 1, 2)"""
+
+
+def window_pairs(spark, d):
+    """Long ``(src, window_id, label, t, p)`` over the fixed list of tactics."""
+    base = windowed(spark, d)
+    labelled = rules.attack_tactics(base, rules.attack_table(spark)).groupBy("src", "window_id", F.col("tactic").alias("label")).agg(F.count(F.lit(1)).alias("n"))
+    truth = fusion.normalised(labelled.withColumn("t", F.col("n").cast("double")), ["src", "window_id"], "t").select("src", "window_id", "label", "t", F.lit(0.0).alias("p"))
+    pred = window_tactic_rows(spark, d).select("src", "window_id", F.col("tactic").alias("label"), F.lit(0.0).alias("t"), "p")
+    keys = truth.select("src", "window_id").distinct().select("*", F.explode(F.array(*[F.lit(t) for t in rules.TACTICS])).alias("label"), F.lit(0.0).alias("t"), F.lit(0.0).alias("p"))
+    return truth.unionByName(pred).unionByName(keys).groupBy("src", "window_id", "label").agg(F.round(F.sum("t"), 9).alias("t"), F.round(F.sum("p"), 9).alias("p"))
+
+
+@query(with_sql(*_RULED, _WIN, _WTA, _TL, _WTRUE, _WM) + "SELECT src, window_id, " + rd("soft_jaccard", "cosine", "kl", "coverage", digits=4) + ", top1 FROM dm")
+def soft_window_metrics(spark, d):
+    return rounded(metrics.distribution_metrics(window_pairs(spark, d), ["src", "window_id"]), 4)
+
+
+@query(with_sql(*_RULED, _WIN, _WTA, _TL, _WTRUE, """st AS (SELECT label, wr.n IS NOT NULL AS t, coalesce(wt.p, 0) >= 0.1 AS p FROM (SELECT DISTINCT src, window_id FROM wi) ke CROSS JOIN tl LEFT JOIN wr ON wr.src = ke.src AND wr.window_id = ke.window_id AND wr.tactic = label
+  LEFT JOIN wt ON wt.src = ke.src AND wt.window_id = ke.window_id AND wt.tactic = label)""", "ag AS (SELECT label, count(*) FILTER (t AND p) AS tp, count(*) FILTER (NOT t AND p) AS fp, count(*) FILTER (t AND NOT p) AS fn FROM st GROUP BY 1)")
+  + "SELECT label, tp, fp, fn, round(CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0 END, 6) AS precision, round(CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0 END, 6) AS recall, round(CASE WHEN 2 * tp + fp + fn > 0 THEN 2 * tp / (2 * tp + fp + fn) ELSE 0 END, 6) AS f1 FROM ag WHERE tp + fp + fn > 0")
+def multilabel_prf(spark, d):
+    sets = window_pairs(spark, d).groupBy("src", "window_id").agg(F.collect_set(F.when(F.col("t") > 0, F.col("label"))).alias("true"), F.collect_set(F.when(F.col("p") >= 0.1, F.col("label"))).alias("pred"))
+    return rounded(metrics.multilabel(sets, "true", "pred"))
+
+
+# ---- mixtures, streams ------------------------------------------------------------------------------------------------
+
+_E = "em AS (SELECT vec_id, label, i, CAST(embedding[i] AS DOUBLE) AS x FROM (SELECT *, unnest(generate_series(1, 64)) AS i FROM embeddings))"
+_P = ("mp AS (SELECT label AS k, i, avg(x) AS m, greatest(var_pop(x), CAST(1e-6 AS DOUBLE)) AS v FROM em GROUP BY 1, 2)", "mw AS (SELECT label AS k, count(*) / sum(count(*)) OVER () AS w FROM embeddings GROUP BY 1)")
+_J = ("lj AS (SELECT vec_id, k, any_value(ln(w)) - 0.5 * sum(ln(2 * pi() * v)) - 0.5 * sum((x - m) * (x - m) / v) AS l FROM em JOIN mp USING (i) JOIN mw USING (k) GROUP BY 1, 2)",
+  "ll AS (SELECT vec_id, max(l) + ln(sum(exp(l - mx))) AS log_likelihood, arg_max(k, l) AS cluster FROM (SELECT *, max(l) OVER (PARTITION BY vec_id) AS mx FROM lj) GROUP BY 1)")
+
+
+def embeddings(spark, d):
+    return spark.read.parquet(f"{d}/embeddings.parquet")
+
+
+def scored_embeddings(spark, d):
+    e = embeddings(spark, d)
+    return mixture.posteriors(e, "embedding", mixture.label_mixture(e, "embedding", "label"))
+
+
+@query("WITH " + ", ".join((_E, *_P, *_J)) + " SELECT vec_id, CAST(cluster AS INTEGER) AS cluster, round(log_likelihood, 4) AS log_likelihood FROM ll")
+def mixture_posterior(spark, d):
+    return rounded(scored_embeddings(spark, d).select("vec_id", "cluster", "log_likelihood"), 4)
+
+
+@query("WITH " + ", ".join((_E, *_P, *_J)) + " SELECT vec_id, log_likelihood < (SELECT avg(log_likelihood) - 2 * stddev_pop(log_likelihood) FROM ll) AS novel FROM ll")
+def novelty_flags(spark, d):
+    return mixture.novelty(scored_embeddings(spark, d).select("vec_id", "log_likelihood"), sigmas=2.0).select("vec_id", "novel")
+
+
+@query("WITH " + ", ".join((_E, *_P, *_J, "po AS (SELECT vec_id, k, exp(l - log_likelihood) AS g FROM lj JOIN ll USING (vec_id))", "n AS (SELECT k, sum(g) AS n FROM po GROUP BY 1)",
+  "s AS (SELECT k, i, sum(g * x) AS s1 FROM po JOIN em USING (vec_id) GROUP BY 1, 2)", "nm AS (SELECT k, i, CAST(0.7 AS DOUBLE) * m + CAST(0.3 AS DOUBLE) * s1 / n AS m FROM mp JOIN s USING (k, i) JOIN n USING (k))"))
+  + " SELECT CAST(k AS INTEGER) AS k, round(CAST(0.7 AS DOUBLE) * w + CAST(0.3 AS DOUBLE) * n / (SELECT sum(n) FROM n), 6) AS weight, round((SELECT sum(m * i) FROM nm WHERE nm.k = mw.k), 4) AS mean_sum FROM mw JOIN n USING (k)")
+def online_em_step(spark, d):
+    e = embeddings(spark, d)
+    params = mixture.label_mixture(e, "embedding", "label")
+    step = mixture.online_step(mixture.posteriors(e, "embedding", params), "embedding", params)
+    weighted = F.aggregate(F.transform("mean", lambda m, i: m * (i + 1)), F.lit(0.0), lambda a, x: a + x)
+    return step.select("k", near("weight", 6).alias("weight"), near(weighted, 4).alias("mean_sum"))
+
+
+@query("WITH " + ", ".join((_E, *_P, "ds AS (SELECT vec_id, k, sum((x - m) * (x - m)) AS s FROM em JOIN mp USING (i) GROUP BY 1, 2)")) + " SELECT vec_id, CAST(arg_min(k, s) AS INTEGER) AS cluster, round(-min(s), 5) AS score FROM ds GROUP BY 1")
+def kmeans_distance(spark, d):
+    e = embeddings(spark, d)
+    return rounded(mixture.nearest(e, "embedding", mixture.label_mixture(e, "embedding", "label")).select("vec_id", "cluster", "score"), 5)
+
+
+@query("WITH " + ", ".join((_E, *_P, *_J, "po AS (SELECT vec_id, k, exp(l - log_likelihood) AS g FROM lj JOIN ll USING (vec_id))", "kb AS (SELECT DISTINCT label AS k, CASE WHEN label % 2 = 0 THEN 'Impact' ELSE 'None' END AS tactic FROM embeddings)"))
+  + " SELECT vec_id, tactic, round(sum(g), 5) AS p FROM po JOIN kb USING (k) WHERE g >= 1e-6 GROUP BY 1, 2 HAVING round(sum(g), 5) > 0")
+def posterior_kb_fusion(spark, d):
+    e = embeddings(spark, d)
+    kb = e.select(F.col("label").alias("k"), F.when(F.col("label") % 2 == 0, "Impact").otherwise("None").alias("tactic"), F.lit(1.0).alias("p")).distinct()
+    return rounded(fusion.posterior_fusion(scored_embeddings(spark, d), kb, ["vec_id"], "tactic"), 5).where("p > 0")
+
+
+@query("WITH " + _E + ", ce AS (SELECT label, i, avg(x) AS m FROM em GROUP BY 1, 2), ds AS (SELECT vec_id, label, sqrt(sum((x - m) * (x - m))) AS distance FROM em JOIN ce USING (label, i) GROUP BY 1, 2) SELECT label, vec_id, round(distance, 5) AS distance, CAST(r AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY distance, vec_id) AS r FROM ds) WHERE r <= 5")
+def representatives(spark, d):
+    return rounded(profiles.representatives(embeddings(spark, d), "label", "embedding", "vec_id"), 5)
+
+
+@query()
+def silhouette_sample(spark, d):
+    return rounded(metrics.silhouette(embeddings(spark, d), "vec_id", "embedding", "label"))
+
+
+@query("WITH " + ", ".join((_E, *_P, *_J)) + ", pu AS (SELECT cluster, label, count(*) AS n FROM ll JOIN embeddings USING (vec_id) GROUP BY 1, 2) SELECT CAST(cluster AS INTEGER) AS cluster, CAST(sum(n) AS BIGINT) AS n_flows, round(max(n) / sum(n), 6) AS purity FROM pu GROUP BY 1")
+def cluster_purity(spark, d):
+    return rounded(windows.majority(scored_embeddings(spark, d), ["cluster"], "label", order="vec_id").select("cluster", "n_flows", "purity"))
+
+
+_LV = "b AS (SELECT CAST(event_id // 500 AS BIGINT) AS batch, avg(value) AS level FROM events GROUP BY 1)"
+
+
+@query("WITH " + _LV + """ SELECT batch, round(level, 5) AS level, coalesce(count(*) OVER w >= 2 AND level < avg(level) OVER w - 2 * greatest(stddev_pop(level) OVER w, abs(avg(level) OVER w) * 0.05), false) AS alarm FROM b
+  WINDOW w AS (ORDER BY batch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)""")
+def ll_drift_alarm(spark, d):
+    levels = spark.read.parquet(f"{d}/events.parquet").groupBy(F.floor(F.col("event_id") / 500).alias("batch")).agg(F.avg("value").alias("level"))
+    return rounded(flow_stream.likelihood_alarms(levels), 5)
+
+
+@query("WITH " + _E + """, h AS (SELECT label, i, avg(x) FILTER (vec_id % 2 = 0) AS a, avg(x) FILTER (vec_id % 2 = 1) AS b FROM em GROUP BY 1, 2), s AS (SELECT label, stddev_pop(x) AS std, count(DISTINCT vec_id) FILTER (vec_id % 2 = 1) AS n FROM em GROUP BY 1)
+  SELECT CAST(label AS INTEGER) AS cluster, 'rescore' AS action, round(sqrt(sum((a - b) * (a - b))) / any_value(std), 5) AS shift FROM h JOIN s USING (label) GROUP BY 1 HAVING sqrt(sum((a - b) * (a - b))) / any_value(std) > 0.5""")
+def dynamic_kb_rescore(spark, d):
+    e = embeddings(spark, d).select(F.col("label").alias("cluster"), "vec_id", "embedding")
+    std = e.select("cluster", F.explode("embedding").alias("x")).groupBy("cluster").agg(F.stddev_pop("x").alias("std"))
+    half = lambda k: mixture.label_mixture(e.where(F.col("vec_id") % 2 == k), "embedding", "cluster").select(F.col("k").alias("cluster"), "mean")
+    sizes = e.where("vec_id % 2 = 1").groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
+    return rounded(fusion.kb_updates(half(0).join(std, "cluster"), half(1).join(sizes, "cluster")), 5)
+
+
+@query()
+def dpgmm_fit(spark, d):
+    return mixture.fit_dirichlet_mixture(spark, embeddings(spark, d), "embedding", components=12, rounds=8).select("k", "weight", F.col("mean")[0].alias("mean0"), F.col("var")[0].alias("var0"))
+
+
+@query(r"""WITH c AS (SELECT doc_id, CAST(unnest(regexp_extract_all(coalesce(text, ''), '[0-9]+(?:\.[0-9]+)?')) AS DOUBLE) AS x FROM documents)
+  SELECT doc_id, count(*) AS claims, round(sum(ln(1 + x)), 4) AS weight, count(*) FILTER (abs(x - 100) <= CAST(100 AS DOUBLE) * CAST(0.051 AS DOUBLE) OR abs(x - 10000) <= CAST(10000 AS DOUBLE) * CAST(0.051 AS DOUBLE)) AS supported FROM c GROUP BY 1""")
+def number_claims(spark, d):
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    numbers = docs.select("doc_id", F.explode(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"[0-9]+(?:\.[0-9]+)?"), 0)).cast("double").alias("x"))
+    backed = S.supported(F.col("x"), F.array(F.lit(100.0))).cast("long")
+    return rounded(numbers.groupBy("doc_id").agg(F.count(F.lit(1)).alias("claims"), F.sum(F.log1p("x")).alias("weight"), F.sum(backed).alias("supported")), 4)
+
+
+def flagship(spark: SparkSession, d: str) -> DataFrame:
+    """Primary tactic per source window with its score, the true majority and coverage."""
+    pairs = window_pairs(spark, d)
+    best = windows.primary(pairs, ["src", "window_id"]).select("src", "window_id", F.col("label").alias("pred_tactic"), "p")
+    true = windows.primary(pairs, ["src", "window_id"], p="t").select("src", "window_id", F.col("label").alias("true_tactic"))
+    return rounded(best.join(true, ["src", "window_id"]).withColumn("top1", (F.col("pred_tactic") == F.col("true_tactic")).cast("int")), 6)
+
+
+_QUERIES["window_primary_tactic"] = flagship
+_ORACLES["window_primary_tactic"] = with_sql(*_RULED, _WIN, _WTA, _TL, _WTRUE, _WM) + """SELECT src, window_id, arg_max(label, (round(p, 9), -lr)) AS pred_tactic, round(max(p), 6) AS p, arg_max(label, (round(t, 9), -lr)) AS true_tactic,
+  CAST(arg_max(label, (round(p, 9), -lr)) = arg_max(label, (round(t, 9), -lr)) AS INTEGER) AS top1 FROM (SELECT *, row_number() OVER (PARTITION BY src, window_id ORDER BY label) AS lr FROM pa) GROUP BY 1, 2"""
