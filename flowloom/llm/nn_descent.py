@@ -185,13 +185,14 @@ def refine(lists: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
 
 
 def descend(nodes: DataFrame, lists: DataFrame, threshold: float, k: int, rounds: int, widest: int) -> DataFrame:
-    """Rounds until few entries change, then wider lists for saturated vectors."""
+    """Rounds until few edges over the threshold are new, then wider lists for saturated vectors."""
     lists = durable(lists)
     for _ in range(rounds):
         better = durable(refine(lists, nodes, k))
-        changed = better.join(lists.select("a", "b"), ["a", "b"], "left_anti").count()
+        linked = better.where(F.col("sim") >= threshold)
+        fresh = linked.join(lists.select("a", "b"), ["a", "b"], "left_anti").count()
         lists = better
-        if changed <= 0.01 * better.count():
+        if fresh <= 0.01 * linked.count():
             break
     while (k := 2 * k) <= widest:
         full = lists.groupBy("a").agg(F.min("sim").alias("kth"), F.count(F.lit(1)).alias("n"))
