@@ -21,6 +21,9 @@ from .bpe import IdWriter, default_path, loaded
 from .common import read_table
 
 END_ID = 1
+#: The rest of one document in ``FINE_SHARE`` is halved down to ``FINEST`` ids, so that the last merges of the
+#: differencing have small pieces by which to level the windows.
+FINE_SHARE, FINEST = 4, 16
 
 
 def differencing(sizes: np.ndarray, ways: int) -> tuple[np.ndarray, np.ndarray]:
@@ -84,12 +87,8 @@ def pack_sizes(sizes: np.ndarray, capacity: int) -> np.ndarray:
         ways += max(1, ways // 200)
 
 
-def cut_points(n: int, capacity: int, grain: int, finest: int = 16) -> np.ndarray:
-    """Starts of the pieces of ``n`` ids: full windows, pieces of ``grain``, then halves of what is left.
-
-    The halving gives every block pieces of all sizes, so that the last merges of
-    the differencing can level its windows to a few ids.
-    """
+def cut_points(n: int, capacity: int, grain: int, finest: int) -> np.ndarray:
+    """Starts of the pieces of ``n`` ids: full windows, pieces of ``grain``, then halves of what is left down to ``finest``."""
     full, rest = divmod(n, capacity)
     coarse, rest = divmod(rest, grain)
     sizes = [capacity] * full + [grain] * coarse
@@ -115,7 +114,7 @@ def pieces(docs: DataFrame, capacity: int, grain: int, path: str) -> DataFrame:
             for doc_id, text in zip(batch["doc_id"], batch["text"]):
                 data = write(text) + end
                 n = len(data) // 4
-                starts = cut_points(n, capacity, grain).tolist()
+                starts = cut_points(n, capacity, grain, FINEST if zlib.crc32(data) % FINE_SHARE == 0 else grain).tolist()
                 for a, b in zip(starts, [*starts[1:], n]):
                     ids.append(doc_id)
                     rows.append((a, b - a, zlib.crc32(data[4 * a : 4 * b]), n))
