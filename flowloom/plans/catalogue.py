@@ -728,7 +728,7 @@ def dpgmm_fit(spark, d):
   SELECT doc_id, count(*) AS claims, round(sum(ln(1 + x)), 4) AS weight, count(*) FILTER (abs(x - 100) <= CAST(100 AS DOUBLE) * CAST(0.051 AS DOUBLE) OR abs(x - 10000) <= CAST(10000 AS DOUBLE) * CAST(0.051 AS DOUBLE)) AS supported FROM c GROUP BY 1""")
 def number_claims(spark, d):
     docs = spark.read.parquet(f"{d}/documents.parquet")
-    numbers = docs.select("doc_id", F.explode(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"[0-9]+(?:\.[0-9]+)?"), 0)).cast("double").alias("x"))
+    numbers = docs.select("doc_id", F.explode(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"[0-9]+(?:\.[0-9]+)?"), 0)).alias("x")).select("doc_id", F.col("x").cast("double").alias("x"))
     backed = S.supported(F.col("x"), F.array(F.lit(100.0))).cast("long")
     return rounded(numbers.groupBy("doc_id").agg(F.count(F.lit(1)).alias("claims"), F.sum(F.log1p("x")).alias("weight"), F.sum(backed).alias("supported")), 4)
 
