@@ -90,7 +90,39 @@ ATTACKS = {
     "Benign": ("None", "None", "None", "None"),
 }
 
-#: Additive scorer: behaviour -> (guard, steps); in a step the first predicate that holds adds its value, ``*`` multiplies.
+#: The same for the UNSW-NB15 and CIC-IDS2018 attack names.
+ATTACKS_UNSW = {
+    "Reconnaissance": ("Reconnaissance", "TA0043", "T1046", "Network Service Scanning"),
+    "Fuzzers": ("Initial Access", "TA0001", "T1190", "Exploit Public-Facing Application"),
+    "Exploits": ("Execution", "TA0002", "T1203", "Exploitation for Client Execution"),
+    "Generic": ("Impact", "TA0040", "T1499", "Endpoint Denial of Service"),
+    "DoS": ("Impact", "TA0040", "T1499", "Endpoint Denial of Service"),
+    "Analysis": ("Discovery", "TA0007", "T1046", "Network Service Scanning"),
+    "Backdoor": ("Persistence", "TA0003", "T1105", "Ingress Tool Transfer"),
+    "Backdoors": ("Persistence", "TA0003", "T1105", "Ingress Tool Transfer"),
+    "Shellcode": ("Execution", "TA0002", "T1059", "Command and Scripting Interpreter"),
+    "Worms": ("Lateral Movement", "TA0008", "T1570", "Lateral Tool Transfer"),
+    "Benign": ("None", "None", "None", "None"),
+}
+ATTACKS_CICIDS = {
+    "Benign": ("None", "", "", "Normal Traffic"),
+    "DDoS attacks-LOIC-HTTP": ("Impact", "TA0040", "T1498", "Network Denial of Service"),
+    "DDOS attack-LOIC-UDP": ("Impact", "TA0040", "T1498", "Network Denial of Service"),
+    "DDOS attack-HOIC": ("Impact", "TA0040", "T1498", "Network Denial of Service"),
+    "DoS attacks-Hulk": ("Impact", "TA0040", "T1499", "Endpoint Denial of Service"),
+    "DoS attacks-SlowHTTPTest": ("Impact", "TA0040", "T1499", "Endpoint Denial of Service"),
+    "DoS attacks-Slowloris": ("Impact", "TA0040", "T1499", "Endpoint Denial of Service"),
+    "DoS attacks-GoldenEye": ("Impact", "TA0040", "T1499", "Endpoint Denial of Service"),
+    "Bot": ("Command and Control", "TA0011", "T1071", "Application Layer Protocol"),
+    "Infilteration": ("Lateral Movement", "TA0008", "T1570", "Lateral Tool Transfer"),
+    "FTP-BruteForce": ("Credential Access", "TA0006", "T1110", "Brute Force"),
+    "SSH-Bruteforce": ("Credential Access", "TA0006", "T1110", "Brute Force"),
+    "Brute Force -Web": ("Credential Access", "TA0006", "T1110", "Brute Force - Web"),
+    "Brute Force -XSS": ("Initial Access", "TA0001", "T1189", "Drive-by Compromise"),
+    "SQL Injection": ("Initial Access", "TA0001", "T1190", "Exploit Public-Facing Application"),
+}
+
+#: Additive scorer: behaviour -> (guard, steps, dampings); in a step the first predicate that holds adds its value, dampings multiply.
 EXPERT_BOT_IOT = {
     "syn_flooding": ("true", [[("tcp_flags < 4", 0.5)], [("tcp_flags < 2", 0.2)], [("out_bytes < 10", 0.15)], [("min_ttl > 50", 0.1)], [("dir_ratio > 100", 0.05)]], None),
     "volumetric_flood": ("true", [[("tcp_flags >= 4 AND min_ttl > 50", 0.3)], [("dir_ratio > 100", 0.2)], [("pps > 5000 AND out_bytes < 1000", 0.2)], [("fan_out < 5", 0.1)]], None),
@@ -103,7 +135,7 @@ EXPERT_BOT_IOT = {
             [("in_bytes > 200000", 0.5), ("in_bytes > 50000", 0.35), ("in_bytes > 10000 AND min_ttl > 30", 0.2)],
             [("fan_out > 10", 0.15)], [("dir_ratio > 3 AND min_ttl > 30", 0.15)], [("tcp_flags > 10", 0.1)],
         ],
-        ("min_ttl < 20", 0.3),
+        [("min_ttl < 20", 0.3)],
     ),
     "normal_activity": (
         "true",
@@ -118,7 +150,69 @@ EXPERT_BOT_IOT = {
     "periodic_comm": (
         "tcp_flags >= 4",
         [[("dir_ratio > 0.5D AND dir_ratio < 2", 0.3)], [("fan_out <= 2 AND n_dst <= 3", 0.25)], [("pps < 100", 0.2)], [("tcp_flags > 10", 0.1)], [("out_bytes < 1000", 0.1)]],
-        ("min_ttl < 20", 0.3),
+        [("min_ttl < 20", 0.3)],
+    ),
+}
+#: The same for UNSW-NB15; all but three behaviours need a flow group that few sources reach with a high TTL.
+_FEW_SOURCES = "fan_in < 6 AND min_ttl > 100"
+_IP_SUITE = "protocol <= 50"
+EXPERT_UNSW = {
+    "normal_activity": ("true", [[("fan_in >= 8", 0.35)], [("min_ttl < 50", 0.25)], [("dir_ratio < 15", 0.15)], [("tcp_flags > 15", 0.1)], [("proportion > 0.05D", 0.1)]], [(_FEW_SOURCES, 0.1)]),
+    "port_scanning": (_FEW_SOURCES, [[("out_bytes < 300", 0.3)], [("bpp < 100", 0.2)], [("min_ttl > 200", 0.15)], [("tcp_flags > 5 AND tcp_flags < 15", 0.15)], [("dir_ratio > 100", 0.1)]], None),
+    "service_probing": (_FEW_SOURCES, [[("protocol > 50", 0.35)], [("tcp_flags < 6", 0.2)], [("dir_ratio > 500", 0.15)], [("out_bytes < 500", 0.15)]], None),
+    "exploitation": (_FEW_SOURCES, [[("tcp_flags > 15", 0.25)], [("longest_pkt > 500", 0.2)], [("bpp > 200", 0.2)], [("in_bytes > 10000", 0.15)], [(_IP_SUITE, 0.1)]], None),
+    "volumetric_flood": (
+        _FEW_SOURCES,
+        [
+            [(f"dir_ratio > 100 AND {_IP_SUITE}", 0.2)], [("tcp_flags < 15 AND out_bytes > 5000", 0.2)],
+            [("out_bytes > 3000 AND out_bytes < 60000", 0.15)], [(f"tcp_flags < 15 AND {_IP_SUITE}", 0.15)],
+        ],
+        None,
+    ),
+    "syn_flooding": (f"tcp_flags < 4 AND {_FEW_SOURCES}", [[("true", 0.4)], [("dir_ratio > 500", 0.2)], [("out_bytes < 1000", 0.15)]], None),
+    "fuzzing": (
+        _FEW_SOURCES,
+        [
+            [("shortest_pkt > 90", 0.25)], [("out_bytes > 100 AND out_bytes < 2000", 0.2)], [("dir_ratio > 100 AND dir_ratio < 500", 0.2)],
+            [("tcp_flags > 10 AND tcp_flags < 18", 0.15)], [(_IP_SUITE, 0.1)],
+        ],
+        None,
+    ),
+    "backdoor_comm": (_FEW_SOURCES, [[("protocol > 50", 0.3)], [("tcp_flags < 4", 0.25)], [("dir_ratio > 500", 0.2)], [("shortest_pkt > 100", 0.1)]], None),
+    "worm_spreading": (_FEW_SOURCES, [[("out_bytes > 40000", 0.3)], [("bpp > 250", 0.2)], [("duration > 500000", 0.2)], [(f"tcp_flags > 10 AND {_IP_SUITE}", 0.15)]], None),
+    "data_transfer": (_FEW_SOURCES, [[("out_bytes > 100000", 0.4)], [("dir_ratio > 10 AND bpp > 200", 0.2)]], None),
+    "connection_attempts": ("true", [[("tcp_flags < 4 AND fan_in < 6 AND out_bytes < 100", 0.5)]], None),
+    "periodic_comm": (f"{_FEW_SOURCES} AND {_IP_SUITE}", [[("dir_ratio > 0.5D AND dir_ratio < 5", 0.3)], [("fan_out <= 2", 0.2)], [("pps < 1000", 0.15)]], None),
+}
+#: The same for the third CIC-IDS2018 set, over medians and the share of UDP flows; dampings multiply.
+_WEB, _LOGIN, _BOT_PORT = "dst_port BETWEEN 75 AND 85", "dst_port BETWEEN 20 AND 23", "dst_port BETWEEN 8000 AND 8100"
+_UDP_FLOOD = "share_udp > 0.5D AND in_bytes > 100000"
+EXPERT_CICIDS_V3 = {
+    "periodic_comm": ("true", [[(_BOT_PORT, 0.5)], [("tcp_flags > 200", 0.2)], [("iat_avg < 10 AND duration < 100", 0.15)], [("min_ttl >= 120", 0.15)]], [(_WEB, 0.2)]),
+    "connection_attempts": ("true", [[(_LOGIN, 0.5)], [("fan_out <= 2", 0.2)], [("tcp_flags < 35", 0.15)], [("duration < 2000", 0.15)]], [(f"NOT ({_LOGIN})", 0.2)]),
+    "syn_flooding": (
+        "true",
+        [[(_WEB, 0.4)], [("tcp_flags < 35", 0.2)], [("bpp > 0 AND bpp < 140", 0.2)], [("fan_out <= 2", 0.1)]],
+        [(f"share_udp > 0.5D OR NOT ({_WEB})", 0.2), ("fan_out > 3", 0.3)],
+    ),
+    "volumetric_flood": (
+        "true",
+        [[(_WEB, 0.4)], [("tcp_flags > 200 AND fan_out <= 3", 0.3)], [("tcp_flags < 35 AND bpp >= 140", 0.3)], [(_UDP_FLOOD, 0.6)]],
+        [(f"NOT ({_UDP_FLOOD}) AND NOT ({_WEB})", 0.2), ("fan_out > 3", 0.3)],
+    ),
+    "fuzzing": ("true", [[("shortest_pkt > 200", 0.5)], [("bpp > 300", 0.3)], [("duration > 30000", 0.1)], [("tcp_win_in < 1000", 0.1)]], None),
+    "worm_spreading": (
+        "true",
+        [[("fan_out > 20", 0.3)], [("share_udp < 0.5D AND tcp_win_in BETWEEN 1000 AND 1100", 0.3)], [("duration < 10", 0.2)], [("min_ttl < 10", 0.2)]],
+        [("share_udp > 0.5D", 0.3), ("fan_out <= 20", 0.3)],
+    ),
+    "normal_activity": (
+        "true",
+        [
+            [("share_udp > 0.5D AND dst_port BETWEEN 50 AND 56", 0.5)], [(f"min_ttl >= 100 AND NOT ({_WEB}) AND NOT ({_BOT_PORT})", 0.3)],
+            [(f"NOT ({_WEB}) AND NOT ({_LOGIN}) AND NOT ({_BOT_PORT})", 0.2)], [(f"{_WEB} AND fan_out > 3", 0.3)],
+        ],
+        [(f"shortest_pkt > 200 OR ({_UDP_FLOOD})", 0.2)],
     ),
 }
 #: Where benign evidence dominates these scores, attack scores are damped.
@@ -151,8 +245,15 @@ def tactic_table(spark: SparkSession, dataset: str = "bot_iot") -> DataFrame:
     return spark.createDataFrame(rows, "behaviour string, tactic string, weight double, ord int")
 
 
-def attack_table(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(a, *v) for a, v in ATTACKS.items()], "attack string, tactic string, tactic_id string, technique_id string, technique_name string")
+ATTACK_TABLES = {
+    "bot_iot": ATTACKS,
+    "unsw": ATTACKS_UNSW,
+    "cicids": ATTACKS_CICIDS | {a.replace(" ", "_"): v for a, v in ATTACKS_CICIDS.items()},  # either spelling
+}
+
+
+def attack_table(spark: SparkSession, dataset: str = "bot_iot") -> DataFrame:
+    return spark.createDataFrame([(a, *v) for a, v in ATTACK_TABLES[dataset].items()], "attack string, tactic string, tactic_id string, technique_id string, technique_name string")
 
 
 def rule_scores(profiles: DataFrame, key: str, rules: list[tuple]) -> DataFrame:
@@ -177,8 +278,11 @@ def rule_scores(profiles: DataFrame, key: str, rules: list[tuple]) -> DataFrame:
     return long.groupBy(key, "behaviour").agg(F.max("score").alias("score")) if len({n.split("#")[0] for n in names}) < len(names) else long
 
 
-def expert_scores(profiles: DataFrame, key: str, table: dict = EXPERT_BOT_IOT) -> DataFrame:
-    """Long ``(key, behaviour, score)`` of an additive scorer: sums, damping, a cap of 1, benign suppression."""
+def expert_scores(profiles: DataFrame, key: str, table: dict = EXPERT_BOT_IOT, rivals: list[str] = BENIGN_RIVALS) -> DataFrame:
+    """Long ``(key, behaviour, score)`` of an additive scorer: sums, damping, a cap of 1, benign suppression.
+
+    ``rivals`` are the scores that benign evidence must exceed to damp attacks; without any nothing is damped.
+    """
 
     def raw(guard, steps, damp) -> Column:
         total = F.lit(0.0)
@@ -187,13 +291,15 @@ def expert_scores(profiles: DataFrame, key: str, table: dict = EXPERT_BOT_IOT) -
             for predicate, value in step:
                 branch = F.when(F.expr(predicate), value) if branch is None else branch.when(F.expr(predicate), value)
             total = total + branch.otherwise(0.0)
-        if damp:
-            total = total * F.when(F.expr(damp[0]), damp[1]).otherwise(1.0)
+        for predicate, factor in damp or []:
+            total = total * F.when(F.expr(predicate), factor).otherwise(1.0)
         return F.when(F.expr(guard), F.least(total, F.lit(1.0))).otherwise(0.0)
 
     wide = profiles.select(key, "min_ttl", *[raw(*spec).alias(f"_{b}") for b, spec in table.items()])
     benign = F.col("_normal_activity")
-    dominated = (F.col("min_ttl") < 20) & (benign > F.greatest(*[F.col(f"_{b}") for b in BENIGN_RIVALS])) & (benign > 0.5)
+    dominated = (F.col("min_ttl") < 20) & (benign > 0.5) if rivals else F.lit(False)
+    for b in rivals:
+        dominated &= benign > F.col(f"_{b}")
     final = [
         F.struct(F.lit(b).alias("behaviour"), (F.col(f"_{b}") * F.when(dominated, F.lit(BENIGN_DAMPING.get(b, 1.0))).otherwise(1.0)).alias("score"))
         for b in table

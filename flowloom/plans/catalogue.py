@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -427,22 +428,54 @@ def rule_scores_profiled(spark, d):
     return rounded(rules.rule_scores(prof, "cluster", rules.RULES["unsw"]))
 
 
-def _expert_sql() -> str:
+def _expert_sql(table: dict, rivals: list[str], *more: str, source: str = "pf") -> str:
+    plain = lambda p: re.sub(r"(?<=[0-9])D\b", "", p)  # noqa: E731  (double literals of Spark)
     parts = []
-    for b, (guard, steps, damp) in rules.EXPERT_BOT_IOT.items():
-        total = " + ".join("CASE " + " ".join(f"WHEN {p.replace('D', '') if 'D ' in p or p.endswith('D') else p} THEN CAST({v} AS DOUBLE)" for p, v in step) + " ELSE 0 END" for step in steps).replace(" AN ", " AND ")
-        total = f"({total})" + (f" * CASE WHEN {damp[0]} THEN CAST({damp[1]} AS DOUBLE) ELSE 1 END" if damp else "")
-        parts.append(f"CASE WHEN {guard} THEN least({total}, CAST(1 AS DOUBLE)) ELSE 0 END AS x_{b}")
-    dominated = f"min_ttl < 20 AND x_normal_activity > greatest({', '.join(f'x_{b}' for b in rules.BENIGN_RIVALS)}) AND x_normal_activity > 0.5"
-    rows = " UNION ALL ".join(f"SELECT cluster, '{b}' AS behaviour, round(x_{b} * CASE WHEN {dominated} THEN CAST({rules.BENIGN_DAMPING.get(b, 1.0)} AS DOUBLE) ELSE 1 END, 6) AS score FROM ex" for b in rules.EXPERT_BOT_IOT)
-    return with_sql(_CL, *_PROF, "ex AS (SELECT *, " + ", ".join(parts) + " FROM pf)") + rows
+    for b, (guard, steps, damp) in table.items():
+        total = " + ".join("CASE " + " ".join(f"WHEN {plain(p)} THEN CAST({v} AS DOUBLE)" for p, v in step) + " ELSE 0 END" for step in steps)
+        total = f"({total})" + "".join(f" * CASE WHEN {plain(p)} THEN CAST({f} AS DOUBLE) ELSE 1 END" for p, f in damp or [])
+        parts.append(f"CASE WHEN {plain(guard)} THEN least({total}, CAST(1 AS DOUBLE)) ELSE 0 END AS x_{b}")
+    dominated = " AND ".join(["min_ttl < 20", "x_normal_activity > 0.5", *[f"x_normal_activity > x_{b}" for b in rivals]]) if rivals else "false"
+    rows = " UNION ALL ".join(f"SELECT cluster, '{b}' AS behaviour, round(x_{b} * CASE WHEN {dominated} THEN CAST({rules.BENIGN_DAMPING.get(b, 1.0)} AS DOUBLE) ELSE 1 END, 6) AS score FROM ex" for b in table)
+    return with_sql(_CL, *_PROF, *more, "ex AS (SELECT *, " + ", ".join(parts) + f" FROM {source})") + rows
 
 
-@query(_expert_sql())
+@query(_expert_sql(rules.EXPERT_BOT_IOT, rules.BENIGN_RIVALS))
 def expert_scores(spark, d):
     return rounded(rules.expert_scores(cluster_features(spark, d), "cluster"))
 
 
+#: The test flows have neither high TTLs nor shortest packets: TTLs are shifted, a tenth of the longest packet stands in.
+_EU = """eu AS (SELECT pf.* EXCLUDE (min_ttl), CASE WHEN cluster % 4 = 0 THEN min_ttl ELSE min_ttl + 180 END AS min_ttl, longest_pkt / 10 AS shortest_pkt, n_pairs / n_dst / 10 AS fan_in, protocol,
+  CASE WHEN in_pkts + out_pkts > 0 THEN (in_bytes + out_bytes) / (in_pkts + out_pkts) ELSE 0 END AS bpp FROM pf JOIN (SELECT cluster, avg(protocol) AS protocol FROM cl GROUP BY 1) USING (cluster))"""
+
+
+@query(_expert_sql(rules.EXPERT_UNSW, [], _EU, source="eu"))
+def expert_scores_unsw(spark, d):
+    c = F.col
+    protocols = clustered(spark, d).groupBy("cluster").agg(F.avg("protocol").alias("protocol"))
+    prof = cluster_features(spark, d).join(protocols, "cluster").withColumns({
+        "min_ttl": F.when(c("cluster") % 4 == 0, c("min_ttl")).otherwise(c("min_ttl") + 180), "shortest_pkt": c("longest_pkt") / 10,
+        "fan_in": c("n_pairs") / c("n_dst") / 10, "bpp": S.bytes_per_packet(c("in_bytes") + c("out_bytes"), c("in_pkts") + c("out_pkts")),
+    })
+    return rounded(rules.expert_scores(prof, "cluster", rules.EXPERT_UNSW, rivals=[]))
+
+
+_EC = """ec AS (SELECT pf.* EXCLUDE (dst_port), port % 120 AS dst_port, share_udp, longest_pkt / 10 AS shortest_pkt,
+  CASE WHEN in_pkts + out_pkts > 0 THEN (in_bytes + out_bytes) / (in_pkts + out_pkts) ELSE 0 END AS bpp
+  FROM pf JOIN (SELECT cluster, median(dst_port) AS port, avg(CAST(protocol = 17 AS DOUBLE)) AS share_udp FROM cl GROUP BY 1) USING (cluster))"""
+
+
+@query(_expert_sql(rules.EXPERT_CICIDS_V3, [], _EC, source="ec"))
+def expert_scores_cicids(spark, d):
+    c = F.col
+    more = clustered(spark, d).groupBy("cluster").agg(F.median("dst_port").alias("port"), F.avg((c("protocol") == 17).cast("double")).alias("share_udp"))
+    prof = cluster_features(spark, d).join(more, "cluster").withColumns({
+        "dst_port": c("port") % 120, "shortest_pkt": c("longest_pkt") / 10, "bpp": S.bytes_per_packet(c("in_bytes") + c("out_bytes"), c("in_pkts") + c("out_pkts")),
+    })
+    return rounded(rules.expert_scores(prof, "cluster", rules.EXPERT_CICIDS_V3, rivals=[]))
+
+
 @query(with_sql(*_RULED) + "SELECT cluster, tactic, round(p, 6) AS p FROM ta")
 def tactic_distribution(spark, d):
     return rounded(rule_tactics(spark, d)[1])
@@ -477,6 +510,15 @@ def attack_to_tactic(spark, d):
     return rules.attack_tactics(flows(spark, d), rules.attack_table(spark)).groupBy("tactic", "attack").agg(F.count(F.lit(1)).alias("n"))
 
 
+_AT = "named(attack, tactic, tactic_id, technique_id, technique_name) AS (VALUES " + ", ".join(str((a, *v)) for a, v in rules.ATTACK_TABLES["unsw"].items()) + ")"
+
+
+@query(with_sql(_AT) + """SELECT attack, coalesce(tactic, 'Unknown') AS tactic, coalesce(tactic_id, 'Unknown') AS tactic_id, coalesce(technique_id, 'Unknown') AS technique_id, coalesce(technique_name, 'Unknown') AS technique_name,
+  count(*) AS n FROM flows LEFT JOIN named USING (attack) GROUP BY ALL""")
+def attack_to_tactic_unsw(spark, d):
+    return rules.attack_tactics(flows(spark, d).select("attack"), rules.attack_table(spark, "unsw")).groupBy("attack", "tactic", "tactic_id", "technique_id", "technique_name").agg(F.count(F.lit(1)).alias("n"))
+
+
 # ---- windows, fusion --------------------------------------------------------------------------------------------------
 
 _WTA = "wt AS (SELECT src, window_id, tactic, s / sum(s) OVER (PARTITION BY src, window_id) AS p FROM (SELECT src, window_id, tactic, sum(p) AS s FROM wi JOIN ta USING (cluster) GROUP BY 1, 2, 3))"

@@ -228,3 +228,40 @@ def test_entry_survives_without_the_training_data_operators():
 
     code = "import sys; sys.modules['flowloom.llm'] = None; sys.modules['corpus_pipeline'] = None; import __spark_entry__ as e; assert 'pipeline' not in e.queries() and not any(q.startswith('op') for q in e.queries()) and e.oracle_sql()"
     subprocess.run([sys.executable, "-c", code], check=True)
+
+
+def test_unsw_additive_scores(spark):
+    names = "g tcp_flags out_bytes in_bytes min_ttl fan_in fan_out pps dir_ratio duration proportion protocol longest_pkt shortest_pkt bpp".split()
+    rows = [
+        ("scan", 9.8, 164.0, 90.0, 253.0, 4.0, 3.0, 2000.0, 120.0, 10.0, 0.01, 6.0, 80.0, 60.0, 83.0),
+        ("benign", 20.0, 900.0, 900.0, 32.0, 10.0, 9.0, 50.0, 8.0, 10.0, 0.5, 6.0, 900.0, 60.0, 150.0),
+    ]
+    got = {(r.g, r.behaviour): r.score for r in rules.expert_scores(spark.createDataFrame(rows, names), "g", rules.EXPERT_UNSW, rivals=[]).collect()}
+    assert len(got) == 2 * 12
+    assert got["scan", "port_scanning"] == pytest.approx(0.9)
+    assert got["scan", "normal_activity"] == 0.0
+    assert got["benign", "normal_activity"] == pytest.approx(0.95)
+    assert {s for (g, b), s in got.items() if g == "benign" and b != "normal_activity"} == {0.0}
+
+
+def test_attack_tables_take_either_spelling(spark):
+    df = spark.createDataFrame([("SQL Injection",), ("SQL_Injection",), ("nothing",), (None,)], "attack string")
+    got = [(r.attack, r.tactic) for r in rules.attack_tactics(df, rules.attack_table(spark, "cicids")).collect()]
+    assert sorted(got, key=str) == sorted([("SQL Injection", "Initial Access"), ("SQL_Injection", "Initial Access"), ("nothing", "Unknown"), (None, "Unknown")], key=str)
+
+
+def test_cicids_additive_scores(spark):
+    names = "g dst_port share_udp tcp_flags duration min_ttl shortest_pkt bpp tcp_win_in iat_avg in_bytes fan_out".split()
+    rows = [
+        ("bot", 8080.0, 0.0, 219.0, 11.0, 128.0, 40.0, 90.0, 8000.0, 2.0, 500.0, 10.0),
+        ("login", 22.0, 0.0, 27.0, 365.0, 0.0, 50.0, 150.0, 30000.0, 20.0, 3000.0, 1.0),
+        ("udp", 80.0, 1.0, 0.0, 120000.0, 0.0, 60.0, 60.0, 0.0, 1.0, 7e6, 2.0),
+    ]
+    got = {(r.g, r.behaviour): r.score for r in rules.expert_scores(spark.createDataFrame(rows, names), "g", rules.EXPERT_CICIDS_V3, rivals=[]).collect()}
+    assert got["bot", "periodic_comm"] == pytest.approx(1.0)
+    assert got["bot", "connection_attempts"] == pytest.approx(0.15 * 0.2)  # short flows only
+    assert got["login", "connection_attempts"] == pytest.approx(1.0)
+    assert got["login", "syn_flooding"] == pytest.approx(0.3 * 0.2)
+    assert got["udp", "volumetric_flood"] == pytest.approx(1.0)
+    assert got["udp", "syn_flooding"] == pytest.approx(0.9 * 0.2)
+    assert got["udp", "normal_activity"] == pytest.approx(0.0)
