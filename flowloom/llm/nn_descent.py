@@ -1,9 +1,10 @@
 """Embedding near-duplicates by NN-descent.
 
 Random-hyperplane buckets give every vector a first neighbour list; rounds join
-neighbours with neighbours' neighbours and keep the best. A list whose last entry
-still passes the threshold is saturated and is enlarged. Edges over the threshold
-make components; within a component, where by definition all links lie, links are
+neighbours with neighbours' neighbours and keep the best. Every compared pair over
+the threshold counts as an edge, cut from a list or not. A list whose last entry
+still passes the threshold is saturated and is enlarged; where it stays so, the
+vectors search again for partners outside their component. Edges make components; within a component, where by definition all links lie, links are
 counted exactly, tile by tile, and a recall audit against brute force for a
 bounded set of queries decides whether the search goes on with fresh buckets.
 """
@@ -11,6 +12,7 @@ bounded set of queries decides whether the search goes on with fresh buckets.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -79,30 +81,75 @@ def _column(table: pa.Table, name: str) -> pa.Array:
     return column.chunk(0) if isinstance(column, pa.ChunkedArray) else column
 
 
-def _best_in_group(k: int):
+def _foreign(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and cosines of a group; members of one component count as -2 to each other."""
+    x, part = _matrix(_column(rows, "vec")), rows["comp"].to_numpy()
+    sim = x @ x.T
+    sim[part[:, None] == part[None, :]] = -2
+    return rows["node"].to_numpy(), sim
+
+
+def _links(ids: np.ndarray, near: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Links without ``sim`` that join what the pairs in ``near`` join; fewer than there are members."""
+    at = np.flatnonzero(near.any(axis=1))
+    if not len(at):
+        return
+    near, low = near[np.ix_(at, at)], np.arange(len(at))
+    while True:
+        least = np.minimum(low, np.where(near, low[None, :], len(at)).min(axis=1))
+        least = least[least]
+        if (least == low).all():
+            break
+        low = least
+    i = np.flatnonzero(low != np.arange(len(at)))
+    yield _pairs(ids[at[i]], ids[at[low[i]]], np.full(len(i), np.nan))
+
+
+def _best_in_group(k: int, threshold: float):
     def work(rows: pa.Table):
         if rows.num_rows < 2:
             return
-        ids, x = rows["node"].to_numpy(), _matrix(_column(rows, "vec"))
-        sim = x @ x.T
-        np.fill_diagonal(sim, -2)
+        ids, sim = _foreign(rows)
         m = min(k, len(ids) - 1)
         at = np.argpartition(-sim, m - 1, axis=1)[:, :m]
-        yield _pairs(np.repeat(ids, m), ids[at].ravel(), np.take_along_axis(sim, at, 1).ravel())
+        best = np.take_along_axis(sim, at, 1).ravel()
+        real = best > -2
+        yield _pairs(np.repeat(ids, m)[real], ids[at].ravel()[real], best[real])
+        yield from _links(ids, sim >= threshold)
 
     return work
 
 
-def _improving(rows: pa.Table):
-    """All pairs of one vector's neighbours that would enter the list of either."""
-    if rows.num_rows < 2:
-        return
-    ids, kth, x = rows["node"].to_numpy(), rows["kth"].to_numpy(), _matrix(_column(rows, "vec"))
-    sim = x @ x.T
-    np.fill_diagonal(sim, -2)
-    a, b = np.nonzero(sim > kth[:, None])
-    if len(a):
-        yield _pairs(ids[a], ids[b], sim[a, b])
+def _improving(threshold: float):
+    """All pairs of one vector's neighbours that would enter the list of either, and the links of all pairs."""
+
+    def work(rows: pa.Table):
+        if rows.num_rows < 2:
+            return
+        ids, sim = _foreign(rows)
+        a, b = np.nonzero(sim > rows["kth"].to_numpy()[:, None])
+        if len(a):
+            yield _pairs(ids[a], ids[b], sim[a, b])
+        yield from _links(ids, sim >= threshold)
+
+    return work
+
+
+def listed(found: DataFrame) -> DataFrame:
+    return found.where(~F.isnan("sim"))
+
+
+def links(found: DataFrame) -> DataFrame:
+    return found.where(F.isnan("sim")).select("a", "b").distinct()
+
+
+def parted(nodes: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """``(node, vec, comp)``: a vector without a label is a component of its own."""
+    if labels is None:
+        return nodes.select("node", "vec", F.col("node").alias("comp"))
+    return nodes.select("node", "vec").join(labels, "node", "left").select(
+        "node", "vec", F.coalesce("component", "node").alias("comp")
+    )
 
 
 def classes(vectors: DataFrame, vec_id: str, embedding: str) -> DataFrame:
@@ -150,6 +197,11 @@ def dealt(members: DataFrame, group: str, every_pair: bool) -> DataFrame:
 
 def first_lists(nodes: DataFrame, n: int, dim: int, k: int, tables: int, seed: int) -> DataFrame:
     """Initial lists from ``tables`` sets of random hyperplanes with about 64 vectors a bucket."""
+    return top(listed(met_in_buckets(parted(nodes, None), n, dim, k, tables, seed, 2.0)), k)
+
+
+def met_in_buckets(nodes: DataFrame, n: int, dim: int, k: int, tables: int, seed: int, threshold: float) -> DataFrame:
+    """The best ``k`` of other components in every bucket, and links for all its pairs over ``threshold``."""
     bits = int(min(40, max(1, np.ceil(np.log2(max(n, 2) / 64)))))
     planes = np.random.default_rng(seed).standard_normal((dim, tables * bits))
     powers = 1 << np.arange(bits, dtype=np.int64)
@@ -164,47 +216,107 @@ def first_lists(nodes: DataFrame, n: int, dim: int, k: int, tables: int, seed: i
                 )
 
     in_buckets = nodes.select("node", "vec").mapInArrow(signed, "node long, bucket long")
-    grouped = dealt(in_buckets, "bucket", every_pair=False).join(nodes.select("node", "vec"), "node").select("g", "node", "vec")
-    found = grouped.repartition("g").sortWithinPartitions("g").mapInArrow(_batched(_best_in_group(k)), PAIR)
-    return top(found, k)
+    grouped = dealt(in_buckets, "bucket", every_pair=False).join(nodes, "node").select("g", "node", "vec", "comp")
+    return grouped.repartition("g").sortWithinPartitions("g").mapInArrow(_batched(_best_in_group(k, threshold)), PAIR)
 
 
-def refine(lists: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
-    """One round: neighbours of a vector, in either direction, are compared with each other."""
+def refine(lists: DataFrame, nodes: DataFrame, k: int, threshold: float, home: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """One round: neighbours of a vector, in either direction, are compared with each other.
+
+    ``home``: pairs ``(a, b)`` that are compared too but enter no list. Gives the new
+    lists and links for all compared pairs over ``threshold``, cut from a list or not.
+    """
     back = lists.select(F.col("b").alias("a"), F.col("a").alias("b"), "sim")
     both = lists.unionByName(back)
     # of the reverse lists the best k count, so that a hub's list stays bounded
-    members = lists.select("a", "b").unionByName(top(back, k).select("a", "b")).distinct()
+    members = lists.select("a", "b").unionByName(top(back, k).select("a", "b"))
+    if home is not None:
+        members = members.unionByName(home).unionByName(lists.select("a", F.col("a").alias("b")))
+    members = members.distinct()
     kth = lists.groupBy("a").agg(F.min("sim").alias("kth"), F.count(F.lit(1)).alias("n")).select(
         F.col("a").alias("node"), F.when(F.col("n") < k, F.lit(-1.5)).otherwise(F.col("kth")).alias("kth")
     )
-    held = nodes.select("node", "vec").join(kth, "node", "left").select("node", "vec", F.coalesce("kth", F.lit(-1.5)).alias("kth"))
-    around = members.select(F.col("a").alias("g"), F.col("b").alias("node")).join(held, "node").select("g", "node", "vec", "kth")
-    found = around.repartition("g").sortWithinPartitions("g").mapInArrow(_batched(_improving), PAIR)
-    return top(both.unionByName(found), k)
+    held = nodes.join(kth, "node", "left").select("node", "vec", "comp", F.coalesce("kth", F.lit(-1.5)).alias("kth"))
+    around = members.select(F.col("a").alias("g"), F.col("b").alias("node")).join(held, "node").select("g", "node", "vec", "comp", "kth")
+    found = durable(around.repartition("g").sortWithinPartitions("g").mapInArrow(_batched(_improving(threshold)), PAIR))
+    return top(both.unionByName(listed(found)), k), links(found)
+
 
+def full(lists: DataFrame, threshold: float, k: int) -> DataFrame:
+    """Vectors ``a`` whose list has ``k`` entries that all pass the threshold."""
+    ends = lists.groupBy("a").agg(F.min("sim").alias("kth"), F.count(F.lit(1)).alias("n"))
+    return ends.where((F.col("n") >= k) & (F.col("kth") >= threshold)).select("a")
 
-def descend(nodes: DataFrame, lists: DataFrame, threshold: float, k: int, rounds: int, widest: int) -> DataFrame:
-    """Rounds until few edges over the threshold are new, then wider lists for saturated vectors."""
+
+def descend(
+    nodes: DataFrame, lists: DataFrame, threshold: float, k: int, rounds: int, widest: int,
+    seen: list[DataFrame] | None = None, home: DataFrame | None = None,
+) -> DataFrame:
+    """Rounds until few edges over the threshold are new, then wider lists for saturated vectors.
+
+    ``seen`` receives the links of all pairs that were compared.
+    """
+    nodes = nodes if "comp" in nodes.columns else parted(nodes, None)
+    seen = [] if seen is None else seen
     lists = durable(lists)
     for _ in range(rounds):
-        better = durable(refine(lists, nodes, k))
+        better, met = refine(lists, nodes, k, threshold, home)
+        seen.append(met)
+        better = durable(better)
         linked = better.where(F.col("sim") >= threshold)
         fresh = linked.join(lists.select("a", "b"), ["a", "b"], "left_anti").count()
         lists = better
         if fresh <= 0.01 * linked.count():
             break
     while (k := 2 * k) <= widest:
-        full = lists.groupBy("a").agg(F.min("sim").alias("kth"), F.count(F.lit(1)).alias("n"))
-        full = full.where((F.col("n") >= k // 2) & (F.col("kth") >= threshold)).select("a")
-        among = durable(lists.join(full, "a", "left_semi"))
+        among = durable(lists.join(full(lists, threshold, k // 2), "a", "left_semi"))
         if among.isEmpty():
             break
-        wider = refine(among, nodes, k)
+        wider, met = refine(among, nodes, k, threshold, home)
+        seen.append(met)
         lists = durable(top(lists.unionByName(wider), k))
     return lists
 
 
+def search(
+    nodes: DataFrame, dim: int, threshold: float, k: int, rounds: int, widest: int, tables: int, seed: int,
+    edges: DataFrame | None = None, home: DataFrame | None = None,
+) -> tuple[DataFrame, DataFrame]:
+    """``(lists, edges)`` of one search among ``nodes``, which looks for partners of other components only."""
+    found = durable(met_in_buckets(nodes, nodes.count(), dim, k, tables, seed, threshold))
+    seen = [links(found)] if edges is None else [edges, links(found)]
+    lists = descend(nodes, top(listed(found), k), threshold, k, rounds, widest, seen, home)
+    seen.append(lists.where(F.col("sim") >= threshold).select("a", "b"))
+    return lists, durable(reduce(DataFrame.unionByName, seen).distinct())
+
+
+def components(
+    nodes: DataFrame, dim: int, threshold: float, k: int, rounds: int, widest: int, tables: int, seed: int,
+    edges: DataFrame | None = None,
+) -> tuple[DataFrame, DataFrame]:
+    """``(edges, labels)`` after one more search.
+
+    A list full of entries over the threshold may hide partners behind near copies. Among
+    the vectors with such lists the search is repeated for partners of other components
+    only, so that no list is filled by its own clump, until it joins no more components.
+    """
+    labels = None if edges is None else min_components(edges, "a", "b")
+    lists, edges = search(durable(parted(nodes, labels)), dim, threshold, k, rounds, widest, tables, seed, edges)
+    labels, dense = min_components(edges, "a", "b"), durable(full(lists, threshold, widest))
+    home = lists.join(dense, "a", "left_semi").join(dense.select(F.col("a").alias("b")), "b", "left_semi")
+    home = durable(top(home, k).select("a", "b"))
+    among = nodes.join(dense.select(F.col("a").alias("node")), "node", "left_semi")
+    n = 0 if dense.isEmpty() else labels.join(dense, labels.node == dense.a, "left_semi").select("component").distinct().count()
+    while n > 1:  # each time at least two components become one
+        seed += 101
+        edges = search(durable(parted(among, labels)), dim, threshold, k, rounds, widest, tables, seed, edges, home)[1]
+        labels, before = min_components(edges, "a", "b"), n
+        n = labels.join(dense, labels.node == dense.a, "left_semi").select("component").distinct().count()
+        if n == before:
+            break
+    return edges, labels
+
+
 def count_links(nodes: DataFrame, labels: DataFrame, threshold: float) -> DataFrame:
     """``(node, linked)``: rows linked to each vector of a component, other than its own copies."""
 
@@ -260,12 +372,9 @@ def near_duplicates(
         )
     dim = nodes.select(F.size("vec")).first()[0]
     truth = durable(audit(nodes, threshold, queries).select("a", "b"))
-    edges = truth  # what the audit has seen need not be found again
+    found = None
     for attempt in range(tries):
-        lists = descend(nodes, first_lists(nodes, n, dim, k, tables, 1000 + attempt), threshold, k, rounds, widest)
-        found = durable(lists.where(F.col("sim") >= threshold).select("a", "b"))
-        edges = edges.unionByName(found)
-        labels = min_components(found if attempt == 0 else edges.subtract(truth), "a", "b")
+        found, labels = components(nodes, dim, threshold, k, rounds, widest, tables, 1000 + attempt, found)
         a = labels.select(F.col("node").alias("a"), F.col("component").alias("ca"))
         b = labels.select(F.col("node").alias("b"), F.col("component").alias("cb"))
         seen = truth.join(a, "a", "left").join(b, "b", "left").agg(
@@ -273,7 +382,7 @@ def near_duplicates(
         ).first()
         if seen.hit >= recall * seen.n:
             break
-    labels = min_components(edges, "a", "b")
+    labels = min_components(found.unionByName(truth), "a", "b")  # what the audit has seen need not be found again
     linked = count_links(nodes, labels, threshold)
     parts = (
         nodes.select("node", "id", "copies")

@@ -63,3 +63,25 @@ def test_recall_of_the_graph_itself(spark):
     found = {tuple(sorted((r.a, r.b))) for r in lists.where("sim >= 0.95").collect()}
     truth = {tuple(sorted((r.a, r.b))) for r in nd.audit(nodes, 0.95, 5000).collect()}
     assert found <= truth and len(found) >= 0.9 * len(truth)
+
+
+def twin_clumps(pairs=12, size=60, dim=32, seed=3):
+    """Clumps of more near copies than a list holds, in pairs that only links across make one component."""
+    r = np.random.default_rng(seed)
+    rows = []
+    for _ in range(pairs):
+        centre, way = (v / np.linalg.norm(v) for v in r.standard_normal((2, dim)))
+        way = way - centre * (way @ centre)
+        way /= np.linalg.norm(way)
+        for side in (-1, 1):
+            for _ in range(size):
+                rows.append(np.cos(0.12) * centre + side * np.sin(0.12) * way + r.standard_normal(dim) * 0.004)
+    return [(i, [float(np.float32(x)) for x in v], 0) for i, v in enumerate(rows)]
+
+
+def test_links_across_dense_clumps(spark):
+    rows = twin_clumps()
+    got = sorted(tuple(r) for r in nd.near_duplicates(spark.createDataFrame(rows, SCHEMA), queries=2).collect())
+    want = brute(rows)
+    assert sum(w[3] for w in want) == 12 and all(w[1] == 119 for w in want)
+    assert got == want
