@@ -21,8 +21,10 @@ from pyspark.sql import functions as F
 
 from .common import durable, min_components, read_table
 
-#: Members that are compared at once; larger groups are dealt into chunks.
+#: Members that are compared at once; larger groups are dealt into chunks or split.
 TILE = 1024
+#: Hyperplanes that split a too large bucket at once, at most.
+SPLITS = 8
 PAIR = "a long, b long, sim double"
 
 
@@ -179,22 +181,67 @@ def top(candidates: DataFrame, k: int) -> DataFrame:
     return best.withColumn("r", rank).where(F.col("r") <= k).drop("r")
 
 
-def dealt(members: DataFrame, group: str, every_pair: bool) -> DataFrame:
-    """Column ``g``: groups of at most about ``TILE`` members.
+def dealt(members: DataFrame, group: str) -> DataFrame:
+    """Column ``g``: groups of at most about two times ``TILE`` members in which every pair of a ``group`` meets.
 
-    A larger group is dealt into chunks; with ``every_pair`` each pair of chunks
-    makes a group, so that every pair of members meets.
+    A larger group is dealt into chunks, and each pair of chunks makes a group.
     """
     sizes = members.groupBy(group).agg(F.count(F.lit(1)).alias("m")).where("m > 1")
     met = members.join(sizes, group).withColumn("t", F.ceil(F.col("m") / TILE).cast("int"))
     met = met.withColumn("c", F.pmod(F.xxhash64("node", group), F.col("t")).cast("int"))
-    if not every_pair:
-        return met.withColumn("g", F.xxhash64(group, "c")).drop("m", "t", "c")
     met = met.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("t") - 1)))
     lo, hi = F.least("c", "o"), F.greatest("c", "o")
     return met.select("*", F.xxhash64(group, lo, hi).alias("g"), (lo != hi).alias("crossed")).drop("m", "t", "o", group)
 
 
+def split(members: DataFrame, nodes: DataFrame, dim: int, tables: int, seed: int) -> DataFrame:
+    """``(node, table, g)``: buckets of at most ``TILE`` members, near vectors together.
+
+    A larger bucket is cut by up to ``SPLITS`` random hyperplanes through its own centre,
+    other ones in each table, and its parts again until none is too large. Vectors of one
+    direction cannot be cut: they are dealt into chunks that share one of them.
+    """
+    done, level = [], 0
+    while True:
+        members = durable(members)
+        large = members.groupBy("g").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > TILE)
+        large = durable(large)
+        if large.isEmpty():
+            return reduce(DataFrame.unionByName, done + [members])
+        done.append(members.join(large, "g", "left_anti"))
+        planes = np.random.default_rng([seed, level]).standard_normal((tables, dim, SPLITS))
+
+        def project(batches, planes=planes):
+            for batch in batches:
+                if batch.num_rows:
+                    x, table = _matrix(batch.column("vec")), batch.column("table").to_numpy()
+                    over = np.empty((len(x), SPLITS))
+                    for t in np.unique(table):
+                        over[table == t] = x[table == t] @ planes[t]
+                    flat = pa.array(over.ravel())
+                    ends = pa.array(np.arange(0, over.size + 1, SPLITS, dtype=np.int32))
+                    yield pa.RecordBatch.from_arrays(
+                        [batch.column(c) for c in ("node", "table", "g", "m")] + [pa.ListArray.from_arrays(ends, flat)],
+                        ["node", "table", "g", "m", "p"],
+                    )
+
+        inside = members.join(large, "g").join(nodes.select("node", "vec"), "node").select("node", "table", "g", "m", "vec")
+        inside = durable(inside.mapInArrow(project, "node long, table int, g long, m long, p array<double>"))
+        p = [F.col("p")[j] for j in range(SPLITS)]
+        centres = inside.groupBy("g").agg(
+            F.array(*[F.avg(x) for x in p]).alias("centre"), (F.max(p[0]) - F.min(p[0]) < 1e-9).alias("flat"), F.min("node").alias("pivot")
+        )
+        met = inside.join(centres, "g")
+        wanted = F.least(F.lit(SPLITS), F.ceil(F.log2(F.col("m") / TILE)) + 1)
+        side = F.array(*[(F.lit(j) < wanted) & (x > F.col("centre")[j]) for j, x in enumerate(p)])
+        chunk = F.pmod(F.xxhash64("node", "g"), F.ceil(2 * F.col("m") / TILE))
+        flat = met.where("flat").withColumn("c", chunk)
+        pivots = flat.select(F.col("pivot").alias("node"), "table", F.xxhash64("g", "c").alias("g")).distinct()
+        done.append(flat.where("node <> pivot").select("node", "table", F.xxhash64("g", "c").alias("g")).unionByName(pivots))
+        members = met.where("not flat").select("node", "table", F.xxhash64("g", side).alias("g"))
+        level += 1
+
+
 def first_lists(nodes: DataFrame, n: int, dim: int, k: int, tables: int, seed: int) -> DataFrame:
     """Initial lists from ``tables`` sets of random hyperplanes with about 64 vectors a bucket."""
     return top(listed(met_in_buckets(parted(nodes, None), n, dim, k, tables, seed, 2.0)), k)
@@ -210,13 +257,19 @@ def met_in_buckets(nodes: DataFrame, n: int, dim: int, k: int, tables: int, seed
         for batch in batches:
             if batch.num_rows:
                 over = (_matrix(batch.column("vec")) @ planes > 0).reshape(batch.num_rows, tables, bits)
-                code = (over * powers).sum(axis=2) * tables + np.arange(tables)
+                table = np.arange(tables)
+                code = (over * powers).sum(axis=2) * tables + table
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.repeat(batch.column("node").to_numpy(), tables)), pa.array(code.ravel())], ["node", "bucket"]
+                    [
+                        pa.array(np.repeat(batch.column("node").to_numpy(), tables)),
+                        pa.array(np.tile(table.astype(np.int32), batch.num_rows)),
+                        pa.array(code.ravel()),
+                    ],
+                    ["node", "table", "g"],
                 )
 
-    in_buckets = nodes.select("node", "vec").mapInArrow(signed, "node long, bucket long")
-    grouped = dealt(in_buckets, "bucket", every_pair=False).join(nodes, "node").select("g", "node", "vec", "comp")
+    in_buckets = nodes.select("node", "vec").mapInArrow(signed, "node long, table int, g long")
+    grouped = split(in_buckets, nodes, dim, tables, seed).join(nodes, "node").select("g", "node", "vec", "comp")
     return grouped.repartition("g").sortWithinPartitions("g").mapInArrow(_batched(_best_in_group(k, threshold)), PAIR)
 
 
@@ -329,7 +382,7 @@ def count_links(nodes: DataFrame, labels: DataFrame, threshold: float) -> DataFr
             near &= chunk[:, None] != chunk[None, :]
         yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array((near * copies[None, :]).sum(axis=1))], ["node", "linked"])
 
-    tiles = dealt(labels, "component", every_pair=True).join(nodes.select("node", "vec", "copies"), "node")
+    tiles = dealt(labels, "component").join(nodes.select("node", "vec", "copies"), "node")
     counted = tiles.select("g", "node", "c", "crossed", "vec", "copies").repartition("g").sortWithinPartitions("g")
     return counted.mapInArrow(_batched(work), "node long, linked long").groupBy("node").agg(F.sum("linked").alias("linked"))
 

@@ -85,3 +85,29 @@ def test_links_across_dense_clumps(spark):
     want = brute(rows)
     assert sum(w[3] for w in want) == 12 and all(w[1] == 119 for w in want)
     assert got == want
+
+
+def one_sided_pairs(n=1500, dim=32, seed=4):
+    """Sparse near pairs that lie in one dense region, so that the hyperplane buckets are all too large."""
+    r = np.random.default_rng(seed)
+    base = r.standard_normal((n, dim)) + 12 * np.ones(dim) / np.sqrt(dim)
+    return np.vstack([base, base + r.standard_normal(base.shape) * 0.002])
+
+
+def test_near_pairs_meet_in_split_buckets(spark, monkeypatch):
+    monkeypatch.setattr(nd, "TILE", 64)
+    x = one_sided_pairs()
+    n = len(x) // 2
+    rows = [(i, [float(v) for v in row], 0) for i, row in enumerate(x)]
+    nodes = nd.durable(nd.classes(spark.createDataFrame(rows, SCHEMA), "vec_id", "embedding"))
+    ids = {r.node: r.id for r in nodes.select("node", "id").collect()}
+    lists = nd.first_lists(nodes, len(x), x.shape[1], 10, 8, 3).select("a", "b").collect()
+    met = {tuple(sorted((ids[r.a], ids[r.b]))) for r in lists}
+    assert sum((i, i + n) in met for i in range(n)) >= 0.99 * n
+
+
+def test_buckets_of_one_direction(spark, monkeypatch):
+    monkeypatch.setattr(nd, "TILE", 16)
+    rows = [(i, [1.0 + i, 2.0 + 2 * i], 0) for i in range(100)]
+    got = [tuple(r) for r in nd.near_duplicates(spark.createDataFrame(rows, SCHEMA), queries=1).collect()]
+    assert sorted(got) == [(i, 99, 0, i == 0) for i in range(100)]
