@@ -6,7 +6,7 @@ the threshold counts as an edge, cut from a list or not. A list whose last entry
 still passes the threshold is saturated and is enlarged; where it stays so, the
 vectors search again for partners outside their component. Edges make components; within a component, where by definition all links lie, links are
 counted exactly, tile by tile, and a recall audit against brute force for a
-bounded set of queries decides whether the search goes on with fresh buckets.
+bounded set of queries decides, query by query, whether the search goes on with fresh buckets.
 """
 
 from __future__ import annotations
@@ -273,10 +273,12 @@ def met_in_buckets(nodes: DataFrame, n: int, dim: int, k: int, tables: int, seed
     return grouped.repartition("g").sortWithinPartitions("g").mapInArrow(_batched(_best_in_group(k, threshold)), PAIR)
 
 
-def refine(lists: DataFrame, nodes: DataFrame, k: int, threshold: float, home: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+def refine(
+    lists: DataFrame, nodes: DataFrame, k: int, threshold: float, home: DataFrame | None = None, touched: DataFrame | None = None
+) -> tuple[DataFrame, DataFrame]:
     """One round: neighbours of a vector, in either direction, are compared with each other.
 
-    ``home``: pairs ``(a, b)`` that are compared too but enter no list. Gives the new
+    ``touched``: the vectors ``g`` whose neighbours are compared, null for all. ``home``: pairs ``(a, b)`` that are compared too but enter no list. Gives the new
     lists and links for all compared pairs over ``threshold``, cut from a list or not.
     """
     back = lists.select(F.col("b").alias("a"), F.col("a").alias("b"), "sim")
@@ -290,7 +292,10 @@ def refine(lists: DataFrame, nodes: DataFrame, k: int, threshold: float, home: D
         F.col("a").alias("node"), F.when(F.col("n") < k, F.lit(-1.5)).otherwise(F.col("kth")).alias("kth")
     )
     held = nodes.join(kth, "node", "left").select("node", "vec", "comp", F.coalesce("kth", F.lit(-1.5)).alias("kth"))
-    around = members.select(F.col("a").alias("g"), F.col("b").alias("node")).join(held, "node").select("g", "node", "vec", "comp", "kth")
+    around = members.select(F.col("a").alias("g"), F.col("b").alias("node"))
+    if touched is not None:
+        around = around.join(touched, "g", "left_semi")
+    around = around.join(held, "node").select("g", "node", "vec", "comp", "kth")
     found = durable(around.repartition("g").sortWithinPartitions("g").mapInArrow(_batched(_improving(threshold)), PAIR))
     return top(both.unionByName(listed(found)), k), links(found)
 
@@ -305,22 +310,24 @@ def descend(
     nodes: DataFrame, lists: DataFrame, threshold: float, k: int, rounds: int, widest: int,
     seen: list[DataFrame] | None = None, home: DataFrame | None = None,
 ) -> DataFrame:
-    """Rounds until few edges over the threshold are new, then wider lists for saturated vectors.
+    """Rounds until no list changes, then wider lists for saturated vectors.
 
+    After ``rounds`` rounds only neighbourhoods with a new entry are compared again.
     ``seen`` receives the links of all pairs that were compared.
     """
     nodes = nodes if "comp" in nodes.columns else parted(nodes, None)
     seen = [] if seen is None else seen
-    lists = durable(lists)
-    for _ in range(rounds):
-        better, met = refine(lists, nodes, k, threshold, home)
+    lists, done, touched = durable(lists), 0, None
+    while True:
+        better, met = refine(lists, nodes, k, threshold, home, touched)
         seen.append(met)
         better = durable(better)
-        linked = better.where(F.col("sim") >= threshold)
-        fresh = linked.join(lists.select("a", "b"), ["a", "b"], "left_anti").count()
-        lists = better
-        if fresh <= 0.01 * linked.count():
+        fresh = durable(better.join(lists.select("a", "b"), ["a", "b"], "left_anti").select("a", "b"))
+        lists, done = better, done + 1
+        if fresh.isEmpty():
             break
+        if done >= rounds:  # where no entry is new, every pair has been compared
+            touched = fresh.select(F.col("a").alias("g")).unionByName(fresh.select(F.col("b").alias("g"))).distinct()
     while (k := 2 * k) <= widest:
         among = durable(lists.join(full(lists, threshold, k // 2), "a", "left_semi"))
         if among.isEmpty():
@@ -403,6 +410,17 @@ def audit(nodes: DataFrame, threshold: float, queries: int) -> DataFrame:
     return nodes.select("node", "vec").mapInArrow(compare, PAIR)
 
 
+def recalled(truth: DataFrame, labels: DataFrame) -> tuple[float, float]:
+    """Of the audited vectors with links: mean share of their own links inside one component, share with all."""
+    a = labels.select(F.col("node").alias("a"), F.col("component").alias("ca"))
+    b = labels.select(F.col("node").alias("b"), F.col("component").alias("cb"))
+    own = truth.join(a, "a", "left").join(b, "b", "left").groupBy("a").agg(
+        F.avg(F.coalesce(F.col("ca") == F.col("cb"), F.lit(False)).cast("double")).alias("share")
+    )
+    seen = own.agg(F.avg("share").alias("mean"), F.avg((F.col("share") == 1).cast("double")).alias("whole")).first()
+    return (1.0, 1.0) if seen.mean is None else (seen.mean, seen.whole)
+
+
 def near_duplicates(
     vectors: DataFrame, threshold: float = 0.95, vec_id: str = "vec_id", embedding: str = "embedding",
     k: int = 10, widest: int = 40, rounds: int = 4, tables: int = 8, queries: int = 1000, recall: float = 0.98, tries: int = 3,
@@ -413,8 +431,9 @@ def near_duplicates(
     vector included. Unusable vectors (null, zero, null or non-finite component)
     link with nothing; shorter vectors are compared as if padded by zeros; a null id
     has a null component and is kept. ``queries`` bounds the audited vectors; while
-    they show less than ``recall``, up to ``tries`` times, the search is repeated
-    with other hyperplanes and its edges are added.
+    the mean share of their links that are found, or the share of those vectors with
+    all links found, is below ``recall``, the search is repeated with other
+    hyperplanes, after ``tries`` times with ever more of them, and its edges are added.
     """
     nodes = durable(classes(vectors, vec_id, embedding))
     n = nodes.count()
@@ -424,17 +443,16 @@ def near_duplicates(
             "vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept")
         )
     dim = nodes.select(F.size("vec")).first()[0]
-    truth = durable(audit(nodes, threshold, queries).select("a", "b"))
-    found = None
-    for attempt in range(tries):
-        found, labels = components(nodes, dim, threshold, k, rounds, widest, tables, 1000 + attempt, found)
-        a = labels.select(F.col("node").alias("a"), F.col("component").alias("ca"))
-        b = labels.select(F.col("node").alias("b"), F.col("component").alias("cb"))
-        seen = truth.join(a, "a", "left").join(b, "b", "left").agg(
-            F.count(F.lit(1)).alias("n"), F.count_if(F.col("ca") == F.col("cb")).alias("hit")
-        ).first()
-        if seen.hit >= recall * seen.n:
+    # cosines within rounding of the threshold differ by the order of summation
+    truth = durable(audit(nodes, threshold + 1e-9, queries).select("a", "b"))
+    attempt, found = 0, None
+    while True:
+        # once ``tries`` searches were not enough, each has twice the tables of the one before
+        wider = tables << max(0, attempt + 1 - tries)
+        found, labels = components(nodes, dim, threshold, k, rounds, widest, wider, 1000 + attempt, found)
+        if min(recalled(truth, labels)) >= recall:
             break
+        attempt += 1
     labels = min_components(found.unionByName(truth), "a", "b")  # what the audit has seen need not be found again
     linked = count_links(nodes, labels, threshold)
     parts = (

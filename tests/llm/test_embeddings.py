@@ -111,3 +111,37 @@ def test_buckets_of_one_direction(spark, monkeypatch):
     rows = [(i, [1.0 + i, 2.0 + 2 * i], 0) for i in range(100)]
     got = [tuple(r) for r in nd.near_duplicates(spark.createDataFrame(rows, SCHEMA), queries=1).collect()]
     assert sorted(got) == [(i, 99, 0, i == 0) for i in range(100)]
+
+
+def test_recall_counts_vectors_not_links(spark):
+    links = "a long, b long"
+    hot = [(a, b) for a in range(40) for b in range(40) if a != b]
+    truth = spark.createDataFrame(hot + [(100 + i, 200 + i) for i in range(10)], links)
+    labels = spark.createDataFrame([(a, 0) for a in range(40)], "node long, component long")
+    assert nd.recalled(truth, labels) == (0.8, 0.8)  # 1560 of 1570 links, but 10 of 50 vectors miss theirs
+
+
+def test_search_goes_on_until_the_recall(spark, monkeypatch):
+    seeds, real = [], nd.components
+
+    def blind(nodes, dim, threshold, k, rounds, widest, tables, seed, edges=None):
+        seeds.append((seed, tables))
+        if len(seeds) <= 4:
+            nothing = spark.createDataFrame([], "a long, b long")
+            return nothing, nd.min_components(nothing)
+        return real(nodes, dim, threshold, k, rounds, widest, tables, seed, edges)
+
+    monkeypatch.setattr(nd, "components", blind)
+    rows = [(i, [float(i // 2 == j) + 0.01 * (i % 2) for j in range(4)], 0) for i in range(8)]
+    got = sorted(tuple(r) for r in nd.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect())
+    assert got == brute(rows) and seeds == [(1000, 8), (1001, 8), (1002, 8), (1003, 16), (1004, 32)]
+
+
+def test_descend_stops_only_when_no_list_changes(spark, monkeypatch):
+    # no link after the first round, one after the second, and only the third and fourth are alike
+    rounds = [[(1, 3, 0.5)], [(1, 3, 0.5), (2, 4, 0.99)], [(1, 4, 0.6), (2, 4, 0.99)], [(1, 4, 0.6), (2, 4, 0.99)]]
+    steps = iter(rounds)
+    monkeypatch.setattr(nd, "refine", lambda *a: (spark.createDataFrame(next(steps), nd.PAIR), spark.createDataFrame([], "a long, b long")))
+    nodes = spark.createDataFrame([(i, [1.0, 0.0]) for i in range(1, 5)], "node long, vec array<float>")
+    lists = nd.descend(nodes, spark.createDataFrame([(1, 2, 0.1)], nd.PAIR), 0.95, 2, 2, 2)
+    assert sorted(tuple(r) for r in lists.collect()) == rounds[-1] and next(steps, None) is None
