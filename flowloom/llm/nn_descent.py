@@ -443,7 +443,7 @@ def near_duplicates(
             "vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept")
         )
     dim = nodes.select(F.size("vec")).first()[0]
-    # cosines within rounding of the threshold differ by the order of summation
+    # the audit only measures, no link comes from it; cosines within rounding of the threshold differ by the order of summation
     truth = durable(audit(nodes, threshold + 1e-9, queries).select("a", "b"))
     attempt, found = 0, None
     while True:
@@ -453,7 +453,6 @@ def near_duplicates(
         if min(recalled(truth, labels)) >= recall:
             break
         attempt += 1
-    labels = min_components(found.unionByName(truth), "a", "b")  # what the audit has seen need not be found again
     linked = count_links(nodes, labels, threshold)
     parts = (
         nodes.select("node", "id", "copies")

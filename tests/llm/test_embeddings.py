@@ -145,3 +145,16 @@ def test_descend_stops_only_when_no_list_changes(spark, monkeypatch):
     nodes = spark.createDataFrame([(i, [1.0, 0.0]) for i in range(1, 5)], "node long, vec array<float>")
     lists = nd.descend(nodes, spark.createDataFrame([(1, 2, 0.1)], nd.PAIR), 0.95, 2, 2, 2)
     assert sorted(tuple(r) for r in lists.collect()) == rounds[-1] and next(steps, None) is None
+
+
+def test_the_audit_supplies_no_links(spark, monkeypatch):
+    real = nd.audit
+
+    def wrong(nodes, threshold, queries):
+        ids = sorted(r.node for r in nodes.collect())
+        return real(nodes, threshold, queries).unionByName(spark.createDataFrame([(ids[0], ids[1], 0.99)], nd.PAIR))
+
+    monkeypatch.setattr(nd, "audit", wrong)
+    rows = [(i, [float(i == j) for j in range(3)], 0) for i in range(3)]
+    got = sorted(tuple(r) for r in nd.near_duplicates(spark.createDataFrame(rows, SCHEMA), recall=0.0).collect())
+    assert got == [(i, 0, i, True) for i in range(3)]
