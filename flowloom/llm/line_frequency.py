@@ -5,10 +5,10 @@ documents that hold a line, removes lines above a limit and rejects documents
 that are depleted by the removal.
 
 Copies of one article make all their lines frequent although none of them is
-site boilerplate. Therefore the limit counts only documents that keep a text of
-their own once the frequent lines are set aside: a line that is frequent merely
-because whole documents repeat stays (those are near-duplicate removal's work),
-while a banner or footer on otherwise different documents goes.
+site boilerplate. Therefore copies count as one document: those that hold the same
+lines once the frequent lines are set aside share one vote. A line that is frequent
+merely because whole documents repeat stays (those are near-duplicate removal's
+work), while a banner, a footer or a template on otherwise different documents goes.
 """
 
 from __future__ import annotations
@@ -109,17 +109,20 @@ def _hashed_lines(text: Column) -> Column:
 
 
 def line_verdicts(
-    docs: DataFrame, host: str = "source", max_docs: int = 50, own_share: float = 0.6
+    docs: DataFrame, host: str = "source", max_docs: int = 50
 ) -> DataFrame:
     """Lines to remove per document: ``(k_id, k_text, own_words, removed array<bigint>)``.
 
     ``max_docs``: a line held by more documents of one host is a candidate.
-    ``own_share``: only a document with at least this share of its words outside
-    candidate lines bears witness against a line; a candidate with more than
-    ``max_docs`` witnesses is removed. ``own_words``: words of the distinct lines
+    Documents with the same set of lines outside the candidates have one vote, and so
+    have all without such lines; a candidate with more than ``max_docs`` votes is
+    removed. ``own_words``: words of the distinct lines
     that stay. Documents without a removed line have no row. A line repeated in
     one document counts once; a null host is a host of its own.
     """
+    def sign(lines: str) -> Column:
+        return F.aggregate(lines, F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(F.xxhash64(x["h"])))
+
     t = F.coalesce(F.col("text"), F.lit(""))
     held = (
         docs.select(
@@ -127,11 +130,12 @@ def line_verdicts(
             F.xxhash64(F.coalesce(F.col(host), F.lit(""))).alias("host"),
             F.array_distinct(_hashed_lines(t)).alias("lines"),
         )
+        .withColumn("sign", sign("lines"))
         .select(
             "k_id", "k_text", "host", F.explode("lines").alias("x"),
-            F.aggregate("lines", F.lit(0).cast("long"), lambda a, x: a + x["w"]).alias("words"),
+            F.aggregate("lines", F.lit(0).cast("long"), lambda a, x: a + x["w"]).alias("words"), "sign",
         )
-        .select("k_id", "k_text", "host", "words", F.col("x.h").alias("h"), F.col("x.w").alias("w"))
+        .select("k_id", "k_text", "host", "words", "sign", F.col("x.h").alias("h"), F.col("x.w").alias("w"))
     )
 
     def over_limit(rows: DataFrame) -> DataFrame:
@@ -141,16 +145,14 @@ def line_verdicts(
     # documents with their candidate lines: a document's lines are a bounded group
     suspects = (
         held.join(over_limit(held), ["host", "h"])
-        .groupBy("k_id", "k_text", "host", "words")
+        .groupBy("k_id", "k_text", "host", "words", "sign")
         .agg(F.collect_set(F.struct("h", "w")).alias("lines"))
     )
-    suspects = durable(
-        suspects.withColumn("own", F.col("words") - F.aggregate("lines", F.lit(0).cast("long"), lambda a, x: a + x["w"]))
-    )
+    suspects = durable(suspects.withColumn("own", F.col("sign").bitwiseXOR(sign("lines"))))
     lines = suspects.select("*", F.explode("lines").alias("x")).select(
         "k_id", "k_text", "host", "words", "own", F.col("x.h").alias("h"), F.col("x.w").alias("w")
     )
-    witnessed = over_limit(lines.where(F.col("own") >= own_share * F.col("words")))
+    witnessed = over_limit(lines.select("host", "h", "own").distinct())
     return (
         lines.join(witnessed, ["host", "h"])
         .groupBy("k_id", "k_text")

@@ -100,3 +100,10 @@ def test_no_python_in_the_plan(spark, tmp_path):
 def test_empty_table(spark, tmp_path):
     save(spark.createDataFrame([], DOC_SCHEMA), tmp_path, "documents")
     assert quality.query(spark, str(tmp_path)).count() == 0
+
+
+def test_template_pages_are_depleted(spark):
+    template = "\n".join(words(900 + k, 10) for k in range(8))
+    rows = [(k, template + "\n" + words(2000 + k, 10 + k % 21), "en", "hot", 1) for k in range(80)]
+    out = {r.doc_id: r.text for r in quality.stage(spark, documents(spark, rows), "").collect()}
+    assert out == {i: t.split("\n")[-1] for i, t, *_ in rows if i % 21 >= 10}
