@@ -2,15 +2,20 @@
 
 Random-hyperplane buckets give every vector a first neighbour list; rounds join
 neighbours with neighbours' neighbours and keep the best. Every compared pair over
-the threshold counts as an edge, cut from a list or not. A list whose last entry
-still passes the threshold is saturated and is enlarged; where it stays so, the
-vectors search again for partners outside their component. Edges make components; within a component, where by definition all links lie, links are
-counted exactly, tile by tile, and a recall audit against brute force for a
-bounded set of queries decides, query by query, whether the search goes on with fresh buckets.
+the threshold is a link, cut from a list or not; links make components, and a list
+holds only vectors of other components, so that no clump of near copies, however
+large, fills its members' lists with itself. A list that is full of entries over
+the threshold is saturated and is enlarged. The search ends when a round finds no
+further link. All links of a component lie inside it; they are counted exactly, tile
+by tile. Vectors whose id is divisible by ``AUDITED`` are then compared with all
+vectors, to measure only: while too many of their links are missing, the search goes
+on with fresh hyperplanes, and a result under ``LEAST_RECALL`` is an error.
 """
 
 from __future__ import annotations
 
+import math
+import warnings
 from collections.abc import Callable, Iterator
 from functools import reduce
 
@@ -21,8 +26,16 @@ from pyspark.sql import functions as F
 
 from .common import durable, min_components, read_table
 
-#: Members that are compared at once; larger groups are dealt into chunks or split.
+#: Members of a bucket that are compared at once; larger buckets are split.
 TILE = 1024
+#: Members of a component whose links are counted at once; a larger one is dealt into chunks, compared pair by pair.
+COUNT_TILE = 8192
+#: Rows of a product of vectors that are held at once.
+STRIP = 512
+#: Every vector whose id is divisible by this is audited, so many of them at a time.
+AUDITED, AUDIT_BLOCK = 50, 4096
+#: The least mean share of a vector's links that a result must have.
+LEAST_RECALL = 0.9
 #: Hyperplanes that split a too large bucket at once, at most.
 SPLITS = 8
 PAIR = "a long, b long, sim double"
@@ -91,48 +104,53 @@ def _foreign(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     return rows["node"].to_numpy(), sim
 
 
-def _links(ids: np.ndarray, near: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Links without ``sim`` that join what the pairs in ``near`` join; fewer than there are members."""
+def _lowest(near: np.ndarray) -> np.ndarray:
+    """Lowest position that each position reaches over ``near``."""
+    low = np.arange(len(near))
     at = np.flatnonzero(near.any(axis=1))
     if not len(at):
-        return
-    near, low = near[np.ix_(at, at)], np.arange(len(at))
+        return low
+    near, part = near[np.ix_(at, at)], np.arange(len(at))
     while True:
-        least = np.minimum(low, np.where(near, low[None, :], len(at)).min(axis=1))
+        least = np.minimum(part, np.where(near, part[None, :], len(at)).min(axis=1))
         least = least[least]
-        if (least == low).all():
-            break
-        low = least
-    i = np.flatnonzero(low != np.arange(len(at)))
-    yield _pairs(ids[at[i]], ids[at[low[i]]], np.full(len(i), np.nan))
+        if (least == part).all():
+            low[at] = at[part]
+            return low
+        part = least
+
+
+def _compared(ids: np.ndarray, sim: np.ndarray, k: int, threshold: float, kth: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Of all compared pairs: links without ``sim`` that join what those over ``threshold`` join, fewer than
+    there are members; and for every vector the best ``k`` members that these do not join to it, if better than ``kth``."""
+    low = _lowest(sim >= threshold)
+    i = np.flatnonzero(low != np.arange(len(low)))
+    if len(i):
+        yield _pairs(ids[i], ids[low[i]], np.full(len(i), np.nan))
+        sim[low[:, None] == low[None, :]] = -2
+    else:
+        np.fill_diagonal(sim, -2)
+    m = min(k, len(ids) - 1)
+    at = np.argpartition(-sim, m - 1, axis=1)[:, :m]
+    best = np.take_along_axis(sim, at, 1)
+    real = (best > kth[:, None]).ravel()
+    yield _pairs(np.repeat(ids, m)[real], ids[at].ravel()[real], best.ravel()[real])
 
 
 def _best_in_group(k: int, threshold: float):
     def work(rows: pa.Table):
-        if rows.num_rows < 2:
-            return
-        ids, sim = _foreign(rows)
-        m = min(k, len(ids) - 1)
-        at = np.argpartition(-sim, m - 1, axis=1)[:, :m]
-        best = np.take_along_axis(sim, at, 1).ravel()
-        real = best > -2
-        yield _pairs(np.repeat(ids, m)[real], ids[at].ravel()[real], best[real])
-        yield from _links(ids, sim >= threshold)
+        if rows.num_rows > 1:
+            ids, sim = _foreign(rows)
+            yield from _compared(ids, sim, k, threshold, np.full(len(ids), -1.5))
 
     return work
 
 
-def _improving(threshold: float):
-    """All pairs of one vector's neighbours that would enter the list of either, and the links of all pairs."""
-
+def _improving(k: int, threshold: float):
     def work(rows: pa.Table):
-        if rows.num_rows < 2:
-            return
-        ids, sim = _foreign(rows)
-        a, b = np.nonzero(sim > rows["kth"].to_numpy()[:, None])
-        if len(a):
-            yield _pairs(ids[a], ids[b], sim[a, b])
-        yield from _links(ids, sim >= threshold)
+        if rows.num_rows > 1:
+            ids, sim = _foreign(rows)
+            yield from _compared(ids, sim, k, threshold, rows["kth"].to_numpy())
 
     return work
 
@@ -155,10 +173,10 @@ def parted(nodes: DataFrame, labels: DataFrame | None) -> DataFrame:
 
 
 def classes(vectors: DataFrame, vec_id: str, embedding: str) -> DataFrame:
-    """``(node, vec, copies, id)``: one row per distinct usable vector, padded to one length.
+    """``(node, vec, copies, id, asked)``: one row per distinct usable vector, padded to one length.
 
-    ``node`` is the vector's hash, ``copies`` how many rows hold it. Null and zero
-    vectors and those with a null or non-finite component are left out.
+    ``node`` is the vector's hash, ``copies`` how many rows hold it, ``asked`` whether it
+    is audited. Null and zero vectors and those with a null or non-finite component are left out.
     """
     e = F.col(embedding)
     usable = (
@@ -170,24 +188,31 @@ def classes(vectors: DataFrame, vec_id: str, embedding: str) -> DataFrame:
     longest = found.agg(F.max(F.size(e))).first()[0] or 0
     padded = F.concat(e, F.array_repeat(F.lit(0).cast(vectors.schema[embedding].dataType.elementType), F.lit(longest) - F.size(e)))
     return found.groupBy(F.xxhash64(e).alias("node")).agg(
-        F.first(padded).alias("vec"), F.count(F.lit(1)).alias("copies"), F.min(vec_id).alias("id")
+        F.first(padded).alias("vec"), F.count(F.lit(1)).alias("copies"), F.min(vec_id).alias("id"),
+        F.max(F.coalesce(F.col(vec_id).cast("long") % AUDITED == 0, F.lit(False))).alias("asked"),
     )
 
 
-def top(candidates: DataFrame, k: int) -> DataFrame:
-    """The ``k`` best distinct entries of every list; each task cuts its part before the shuffle."""
-    rank = F.row_number().over(Window.partitionBy("a").orderBy(F.col("sim").desc(), "b"))
-    best = candidates.groupBy("a", "b").agg(F.max("sim").alias("sim"))
-    return best.withColumn("r", rank).where(F.col("r") <= k).drop("r")
+def top(candidates: DataFrame, k: int, threshold: float) -> DataFrame:
+    """The best ``k`` distinct entries of every list; saturated lists get two or four times as many.
+
+    Each task cuts its part before the shuffle.
+    """
+    of, order = Window.partitionBy("a"), (F.col("sim").desc(), F.col("b"))
+    rank = F.dense_rank().over(of.orderBy(*order))
+    best = candidates.withColumn("r", rank).where(F.col("r") <= 4 * k)
+    full = F.max(F.when(F.col("sim") >= threshold, F.col("r")).otherwise(0)).over(of)
+    width = F.when(full >= 2 * k, 4 * k).when(full >= k, 2 * k).otherwise(k)
+    return best.withColumn("w", width).where("r <= w").dropDuplicates(["a", "b"]).select("a", "b", "sim")
 
 
 def dealt(members: DataFrame, group: str) -> DataFrame:
-    """Column ``g``: groups of at most about two times ``TILE`` members in which every pair of a ``group`` meets.
+    """Column ``g``: groups of at most about two times ``COUNT_TILE`` members in which every pair of a ``group`` meets.
 
-    A larger group is dealt into chunks, and each pair of chunks makes a group.
+    A larger group is dealt into chunks ``c``, and each pair of chunks makes a group.
     """
     sizes = members.groupBy(group).agg(F.count(F.lit(1)).alias("m")).where("m > 1")
-    met = members.join(sizes, group).withColumn("t", F.ceil(F.col("m") / TILE).cast("int"))
+    met = members.join(sizes, group).withColumn("t", F.ceil(F.col("m") / COUNT_TILE).cast("int"))
     met = met.withColumn("c", F.pmod(F.xxhash64("node", group), F.col("t")).cast("int"))
     met = met.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("t") - 1)))
     lo, hi = F.least("c", "o"), F.greatest("c", "o")
@@ -242,14 +267,15 @@ def split(members: DataFrame, nodes: DataFrame, dim: int, tables: int, seed: int
         level += 1
 
 
-def first_lists(nodes: DataFrame, n: int, dim: int, k: int, tables: int, seed: int) -> DataFrame:
-    """Initial lists from ``tables`` sets of random hyperplanes with about 64 vectors a bucket."""
-    return top(listed(met_in_buckets(parted(nodes, None), n, dim, k, tables, seed, 2.0)), k)
+def tables_for(n: int, threshold: float, bucket: int, miss: float) -> tuple[int, int]:
+    """``(hyperplanes, tables)``: ``bucket`` vectors per bucket, pairs at the threshold missed by all tables at most ``miss`` of the time."""
+    bits = min(40, max(1, math.ceil(math.log2(max(n, 2) / bucket))))
+    together = (1 - math.acos(min(1.0, max(-1.0, threshold))) / math.pi) ** bits
+    return bits, max(4, math.ceil(math.log(miss) / math.log1p(-min(together, 0.999))))
 
 
-def met_in_buckets(nodes: DataFrame, n: int, dim: int, k: int, tables: int, seed: int, threshold: float) -> DataFrame:
+def met_in_buckets(nodes: DataFrame, dim: int, k: int, bits: int, tables: int, seed: int, threshold: float) -> DataFrame:
     """The best ``k`` of other components in every bucket, and links for all its pairs over ``threshold``."""
-    bits = int(min(40, max(1, np.ceil(np.log2(max(n, 2) / 64)))))
     planes = np.random.default_rng(seed).standard_normal((dim, tables * bits))
     powers = 1 << np.arange(bits, dtype=np.int64)
 
@@ -273,108 +299,61 @@ def met_in_buckets(nodes: DataFrame, n: int, dim: int, k: int, tables: int, seed
     return grouped.repartition("g").sortWithinPartitions("g").mapInArrow(_batched(_best_in_group(k, threshold)), PAIR)
 
 
-def refine(
-    lists: DataFrame, nodes: DataFrame, k: int, threshold: float, home: DataFrame | None = None, touched: DataFrame | None = None
-) -> tuple[DataFrame, DataFrame]:
-    """One round: neighbours of a vector, in either direction, are compared with each other.
-
-    ``touched``: the vectors ``g`` whose neighbours are compared, null for all. ``home``: pairs ``(a, b)`` that are compared too but enter no list. Gives the new
-    lists and links for all compared pairs over ``threshold``, cut from a list or not.
-    """
+def refine(lists: DataFrame, nodes: DataFrame, k: int, threshold: float) -> DataFrame:
+    """One round: neighbours of a vector, in either direction, are compared with each other and with it."""
     back = lists.select(F.col("b").alias("a"), F.col("a").alias("b"), "sim")
-    both = lists.unionByName(back)
-    # of the reverse lists the best k count, so that a hub's list stays bounded
-    members = lists.select("a", "b").unionByName(top(back, k).select("a", "b"))
-    if home is not None:
-        members = members.unionByName(home).unionByName(lists.select("a", F.col("a").alias("b")))
-    members = members.distinct()
+    # of the reverse lists the best k count, so that a hub's neighbourhood stays bounded
+    members = lists.select("a", "b").unionByName(top(back, k, 2.0).select("a", "b"))
+    members = members.unionByName(lists.select("a", F.col("a").alias("b"))).distinct()
     kth = lists.groupBy("a").agg(F.min("sim").alias("kth"), F.count(F.lit(1)).alias("n")).select(
         F.col("a").alias("node"), F.when(F.col("n") < k, F.lit(-1.5)).otherwise(F.col("kth")).alias("kth")
     )
     held = nodes.join(kth, "node", "left").select("node", "vec", "comp", F.coalesce("kth", F.lit(-1.5)).alias("kth"))
-    around = members.select(F.col("a").alias("g"), F.col("b").alias("node"))
-    if touched is not None:
-        around = around.join(touched, "g", "left_semi")
-    around = around.join(held, "node").select("g", "node", "vec", "comp", "kth")
-    found = durable(around.repartition("g").sortWithinPartitions("g").mapInArrow(_batched(_improving(threshold)), PAIR))
-    return top(both.unionByName(listed(found)), k), links(found)
+    around = members.select(F.col("a").alias("g"), F.col("b").alias("node")).join(held, "node").select("g", "node", "vec", "comp", "kth")
+    return around.repartition("g").sortWithinPartitions("g").mapInArrow(_batched(_improving(k, threshold)), PAIR)
 
 
-def full(lists: DataFrame, threshold: float, k: int) -> DataFrame:
-    """Vectors ``a`` whose list has ``k`` entries that all pass the threshold."""
-    ends = lists.groupBy("a").agg(F.min("sim").alias("kth"), F.count(F.lit(1)).alias("n"))
-    return ends.where((F.col("n") >= k) & (F.col("kth") >= threshold)).select("a")
+def joined(labels: DataFrame | None, more: DataFrame) -> DataFrame:
+    """Labels ``(node, component)`` after the links ``more``; earlier labels count as links."""
+    if labels is not None:
+        more = more.unionByName(labels.select(F.col("node").alias("a"), F.col("component").alias("b")))
+    return min_components(more, "a", "b")
 
 
-def descend(
-    nodes: DataFrame, lists: DataFrame, threshold: float, k: int, rounds: int, widest: int,
-    seen: list[DataFrame] | None = None, home: DataFrame | None = None,
+def foreign(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Pairs of different components."""
+    of = lambda end: labels.select(F.col("node").alias(end), F.col("component").alias(f"of_{end}"))
+    both = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left")
+    return both.where(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select("a", "b", "sim")
+
+
+def search(
+    nodes: DataFrame, labels: DataFrame | None, dim: int, threshold: float, k: int, rounds: int, bits: int, tables: int, seed: int
 ) -> DataFrame:
-    """Rounds until no list changes, then wider lists for saturated vectors.
+    """Labels ``(node, component)`` of vectors with links after one search for links between components.
 
-    After ``rounds`` rounds only neighbourhoods with a new entry are compared again.
-    ``seen`` receives the links of all pairs that were compared.
+    After ``rounds`` rounds the first one without a further link is the last.
     """
-    nodes = nodes if "comp" in nodes.columns else parted(nodes, None)
-    seen = [] if seen is None else seen
-    lists, done, touched = durable(lists), 0, None
+    met = durable(met_in_buckets(parted(nodes, labels), dim, k, bits, tables, seed, threshold))
+    labels, done = joined(labels, links(met)), 0
+    lists = durable(top(foreign(listed(met), labels), k, threshold))
     while True:
-        better, met = refine(lists, nodes, k, threshold, home, touched)
-        seen.append(met)
-        better = durable(better)
-        fresh = durable(better.join(lists.select("a", "b"), ["a", "b"], "left_anti").select("a", "b"))
-        lists, done = better, done + 1
-        if fresh.isEmpty():
-            break
-        if done >= rounds:  # where no entry is new, every pair has been compared
-            touched = fresh.select(F.col("a").alias("g")).unionByName(fresh.select(F.col("b").alias("g"))).distinct()
-    while (k := 2 * k) <= widest:
-        among = durable(lists.join(full(lists, threshold, k // 2), "a", "left_semi"))
-        if among.isEmpty():
-            break
-        wider, met = refine(among, nodes, k, threshold, home)
-        seen.append(met)
-        lists = durable(top(lists.unionByName(wider), k))
-    return lists
+        met = durable(refine(lists, parted(nodes, labels), k, threshold))
+        done += 1
+        more = links(met)
+        none = more.isEmpty()
+        if none and done >= rounds:
+            return labels
+        if not none:
+            labels = joined(labels, more)
+        back = lists.select(F.col("b").alias("a"), F.col("a").alias("b"), "sim")
+        candidates = lists.unionByName(back).unionByName(listed(met))
+        lists = durable(top(foreign(candidates, labels), k, threshold))
 
 
-def search(
-    nodes: DataFrame, dim: int, threshold: float, k: int, rounds: int, widest: int, tables: int, seed: int,
-    edges: DataFrame | None = None, home: DataFrame | None = None,
-) -> tuple[DataFrame, DataFrame]:
-    """``(lists, edges)`` of one search among ``nodes``, which looks for partners of other components only."""
-    found = durable(met_in_buckets(nodes, nodes.count(), dim, k, tables, seed, threshold))
-    seen = [links(found)] if edges is None else [edges, links(found)]
-    lists = descend(nodes, top(listed(found), k), threshold, k, rounds, widest, seen, home)
-    seen.append(lists.where(F.col("sim") >= threshold).select("a", "b"))
-    return lists, durable(reduce(DataFrame.unionByName, seen).distinct())
-
-
-def components(
-    nodes: DataFrame, dim: int, threshold: float, k: int, rounds: int, widest: int, tables: int, seed: int,
-    edges: DataFrame | None = None,
-) -> tuple[DataFrame, DataFrame]:
-    """``(edges, labels)`` after one more search.
-
-    A list full of entries over the threshold may hide partners behind near copies. Among
-    the vectors with such lists the search is repeated for partners of other components
-    only, so that no list is filled by its own clump, until it joins no more components.
-    """
-    labels = None if edges is None else min_components(edges, "a", "b")
-    lists, edges = search(durable(parted(nodes, labels)), dim, threshold, k, rounds, widest, tables, seed, edges)
-    labels, dense = min_components(edges, "a", "b"), durable(full(lists, threshold, widest))
-    home = lists.join(dense, "a", "left_semi").join(dense.select(F.col("a").alias("b")), "b", "left_semi")
-    home = durable(top(home, k).select("a", "b"))
-    among = nodes.join(dense.select(F.col("a").alias("node")), "node", "left_semi")
-    n = 0 if dense.isEmpty() else labels.join(dense, labels.node == dense.a, "left_semi").select("component").distinct().count()
-    while n > 1:  # each time at least two components become one
-        seed += 101
-        edges = search(durable(parted(among, labels)), dim, threshold, k, rounds, widest, tables, seed, edges, home)[1]
-        labels, before = min_components(edges, "a", "b"), n
-        n = labels.join(dense, labels.node == dense.a, "left_semi").select("component").distinct().count()
-        if n == before:
-            break
-    return edges, labels
+def _near(x: np.ndarray, y: np.ndarray, threshold: float, weights: np.ndarray) -> np.ndarray:
+    """Weight of the vectors of ``y`` that link with each of ``x``."""
+    return np.concatenate([(x[i : i + STRIP] @ y.T >= threshold) @ weights for i in range(0, len(x), STRIP)])
 
 
 def count_links(nodes: DataFrame, labels: DataFrame, threshold: float) -> DataFrame:
@@ -382,58 +361,77 @@ def count_links(nodes: DataFrame, labels: DataFrame, threshold: float) -> DataFr
 
     def work(rows: pa.Table):
         ids, x = rows["node"].to_numpy(), _matrix(_column(rows, "vec"))
-        chunk, copies = rows["c"].to_numpy(), rows["copies"].to_numpy()
-        near = x @ x.T >= threshold
-        np.fill_diagonal(near, False)
+        copies = rows["copies"].to_numpy()
         if rows["crossed"][0].as_py():
-            near &= chunk[:, None] != chunk[None, :]
-        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array((near * copies[None, :]).sum(axis=1))], ["node", "linked"])
+            chunk = rows["c"].to_numpy()
+            one = chunk == chunk.min()
+            linked = np.zeros(len(ids), dtype=np.int64)
+            if not one.all():
+                linked[one] = _near(x[one], x[~one], threshold, copies[~one])
+                linked[~one] = _near(x[~one], x[one], threshold, copies[one])
+        else:
+            linked = _near(x, x, threshold, copies) - copies
+        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(linked)], ["node", "linked"])
 
     tiles = dealt(labels, "component").join(nodes.select("node", "vec", "copies"), "node")
     counted = tiles.select("g", "node", "c", "crossed", "vec", "copies").repartition("g").sortWithinPartitions("g")
     return counted.mapInArrow(_batched(work), "node long, linked long").groupBy("node").agg(F.sum("linked").alias("linked"))
 
 
-def audit(nodes: DataFrame, threshold: float, queries: int) -> DataFrame:
-    """Links ``(a, b)`` of ``queries`` hash-chosen vectors found by comparing them with all others."""
-    chosen = nodes.orderBy(F.xxhash64("node"), "node").limit(queries).select("node", "vec").toArrow()
-    ids, x = chosen["node"].to_numpy(), _matrix(_column(chosen, "vec"))
+def audit(nodes: DataFrame, threshold: float) -> DataFrame:
+    """``(node, due)``: links of the asked vectors with all others, by brute force, a bounded block of them at a time.
 
-    def compare(batches):
-        for batch in batches:
-            if batch.num_rows:
-                other = batch.column("node").to_numpy()
-                sim = _matrix(batch.column("vec")) @ x.T
-                i, j = np.nonzero((sim >= threshold) & (other[:, None] != ids[None, :]))
-                yield _pairs(ids[j], other[i], sim[i, j])
+    Only counts leave the tasks, one row for each task and asked vector.
+    """
+    sc = nodes.sparkSession.sparkContext
+    asked = nodes.where("asked")
+    blocks = max(1, -(-asked.count() // AUDIT_BLOCK))
+    parts = []
+    for k in range(blocks):
+        block = asked.where(F.pmod(F.xxhash64("node"), F.lit(blocks)) == k).select("node", "vec", "copies").toArrow()
+        if not block.num_rows:
+            continue
+        shared = sc.broadcast((block["node"].to_numpy(), block["copies"].to_numpy(), _matrix(_column(block, "vec"))))
+
+        def compare(batches, shared=shared):
+            ids, copies, x = shared.value
+            counts = np.zeros(len(ids), dtype=np.int64)
+            for batch in batches:
+                if batch.num_rows:
+                    counts += _near(x, _matrix(batch.column("vec")), threshold, batch.column("copies").to_numpy())
+            at = np.flatnonzero(counts)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array(counts[at])], ["node", "met"])
 
-    return nodes.select("node", "vec").mapInArrow(compare, PAIR)
+        met = nodes.select("vec", "copies").mapInArrow(compare, "node long, met long")
+        parts.append(durable(met.groupBy("node").agg(F.sum("met").alias("met"))))
+    if not parts:
+        return nodes.sparkSession.createDataFrame([], "node long, due long")
+    own = nodes.select("node", "copies")
+    return reduce(DataFrame.unionByName, parts).join(own, "node").select("node", (F.col("met") - F.col("copies")).alias("due"))
 
 
-def recalled(truth: DataFrame, labels: DataFrame) -> tuple[float, float]:
-    """Of the audited vectors with links: mean share of their own links inside one component, share with all."""
-    a = labels.select(F.col("node").alias("a"), F.col("component").alias("ca"))
-    b = labels.select(F.col("node").alias("b"), F.col("component").alias("cb"))
-    own = truth.join(a, "a", "left").join(b, "b", "left").groupBy("a").agg(
-        F.avg(F.coalesce(F.col("ca") == F.col("cb"), F.lit(False)).cast("double")).alias("share")
-    )
-    seen = own.agg(F.avg("share").alias("mean"), F.avg((F.col("share") == 1).cast("double")).alias("whole")).first()
-    return (1.0, 1.0) if seen.mean is None else (seen.mean, seen.whole)
+def recall_of(truth: DataFrame, linked: DataFrame) -> float:
+    """Mean share of its own links that an audited vector with links has; 1 if none has any."""
+    own = truth.where("due > 0").join(linked, "node", "left")
+    share = F.least(F.coalesce("linked", F.lit(0)) / F.col("due"), F.lit(1.0))
+    mean = own.agg(F.avg(share)).first()[0]
+    return 1.0 if mean is None else mean
 
 
 def near_duplicates(
     vectors: DataFrame, threshold: float = 0.95, vec_id: str = "vec_id", embedding: str = "embedding",
-    k: int = 10, widest: int = 40, rounds: int = 4, tables: int = 8, queries: int = 1000, recall: float = 0.98, tries: int = 3,
+    k: int = 10, rounds: int = 2, bucket: int = 256, miss: float = 0.02, recall: float = 0.98, tries: int = 4, tables: int | None = None,
 ) -> DataFrame:
     """``(vec_id, n_links, component_id, kept)`` for every row.
 
     ``n_links`` counts other rows with cosine >= ``threshold``, copies of the same
     vector included. Unusable vectors (null, zero, null or non-finite component)
     link with nothing; shorter vectors are compared as if padded by zeros; a null id
-    has a null component and is kept. ``queries`` bounds the audited vectors; while
-    the mean share of their links that are found, or the share of those vectors with
-    all links found, is below ``recall``, the search is repeated with other
-    hyperplanes, after ``tries`` times with ever more of them, and its edges are added.
+    has a null component and is kept; repeated rows are copies of each other; an empty
+    table gives an empty result. While the audited vectors have less than ``recall`` of
+    their links on average, the search is repeated between components with other and
+    twice as many tables, at most ``tries`` times; a recall that stays lower is reported
+    as a warning, one under ``LEAST_RECALL`` as an error.
     """
     nodes = durable(classes(vectors, vec_id, embedding))
     n = nodes.count()
@@ -443,17 +441,20 @@ def near_duplicates(
             "vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept")
         )
     dim = nodes.select(F.size("vec")).first()[0]
-    # the audit only measures, no link comes from it; cosines within rounding of the threshold differ by the order of summation
-    truth = durable(audit(nodes, threshold + 1e-9, queries).select("a", "b"))
-    attempt, found = 0, None
-    while True:
-        # once ``tries`` searches were not enough, each has twice the tables of the one before
-        wider = tables << max(0, attempt + 1 - tries)
-        found, labels = components(nodes, dim, threshold, k, rounds, widest, wider, 1000 + attempt, found)
-        if min(recalled(truth, labels)) >= recall:
+    # cosines within rounding of the threshold differ by the order of summation
+    truth = durable(audit(nodes, threshold + 1e-9))
+    bits, wanted = tables_for(n, threshold, bucket, miss)
+    labels, got = None, 0.0
+    for attempt in range(tries):
+        labels = search(nodes, labels, dim, threshold, k, rounds, bits, (tables or wanted) << attempt, 1000 + attempt)
+        linked = durable(count_links(nodes, labels, threshold))
+        got = recall_of(truth, linked)
+        if got >= recall:
             break
-        attempt += 1
-    linked = count_links(nodes, labels, threshold)
+    if got < LEAST_RECALL:
+        raise RuntimeError(f"near-duplicate links: recall {got:.3f} after {tries} searches")
+    if got < recall:
+        warnings.warn(f"near-duplicate links: recall {got:.3f}", stacklevel=2)
     parts = (
         nodes.select("node", "id", "copies")
         .join(labels, "node", "left")
