@@ -10,6 +10,7 @@ by word and every distinct word is evaluated once.
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections import Counter
 from collections.abc import Iterator
@@ -26,8 +27,12 @@ _SLOTS = 20
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 #: Distinct words a task counts before it hands them on.
 FLUSH = 500_000
-#: The most frequent words are scored within the tasks that read the texts; they are sent to every executor.
-FREQUENT, FREQUENT_BYTES = 1 << 16, 64
+#: The most frequent words, at most so many, are scored within the tasks that read the texts; they are sent to every executor.
+FREQUENT = 1 << 16
+#: A longer word stands under its digest in joins and in the table of frequent words.
+KEY_BYTES = 64
+#: Words of more characters are taken through the lattice one by one.
+LONG = 512
 END = b""  # stands for the end of a text; no word is empty
 
 
@@ -41,6 +46,22 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "replace").translate(_LOWER).split()
 
 
+def key_of(word: bytes) -> bytes:
+    """The word itself, or a tab and its digest where it is long; no word holds a tab."""
+    return word if len(word) <= KEY_BYTES else b"\t" + hashlib.md5(word).digest()
+
+
+def key_column(word: str = "word") -> Column:
+    digest = F.concat(F.lit(b"\t"), F.unhex(F.md5(word)))
+    return F.when(F.octet_length(word) <= KEY_BYTES, F.col(word)).otherwise(digest)
+
+
+def _log_add(a: float, b: float) -> float:
+    if a < b:
+        a, b = b, a
+    return a if b == -math.inf else a + math.log1p(math.exp(b - a))
+
+
 class Lattice:
     """Pieces with log probabilities, and forward and backward recursions over batches of words."""
 
@@ -101,7 +122,10 @@ class Lattice:
         return out
 
     def forward(self, points: np.ndarray, edges=None) -> np.ndarray:
+        """Log probability of every prefix of equally long words."""
         n, length = points.shape
+        if length > LONG:
+            return np.array([self.forward_long(self._arcs(p[None]), length) for p in points])
         alpha = np.full((n, length + 1), -np.inf)
         alpha[:, 0] = 0
         for start, size, rows, _, log_p in sorted(edges or self._edges(points), key=lambda e: e[0]):
@@ -111,6 +135,8 @@ class Lattice:
     def expected(self, points: np.ndarray, weights: np.ndarray) -> np.ndarray:
         """Expected piece counts over weighted words."""
         n, length = points.shape
+        if length > LONG:
+            return sum(self.expected_long(p[None], w) for p, w in zip(points, weights.tolist()))
         edges = self._edges(points)
         alpha = self.forward(points, edges)
         beta = np.full((n, length + 1), -np.inf)
@@ -124,6 +150,42 @@ class Lattice:
             beta[rows, start] = np.logaddexp(beta[rows, start], reach)
         return counts
 
+    def _arcs(self, points: np.ndarray) -> list[tuple[int, int, int, float]]:
+        """``(start, end, piece or -1, log_p)`` of one word, by start."""
+        length = points.shape[1]
+        h, parts = np.zeros(length, dtype=np.uint64), []
+        for size in range(1, min(self.longest, length) + 1):
+            h = h[: length - size + 1] * _BASE + points[0, size - 1 :] + np.uint64(1)
+            found = self.find(h)
+            start = np.flatnonzero(found >= 0)
+            parts.append((start, start + size, found[start], self.log_p[found[start]]))
+            if size == 1:
+                start = np.flatnonzero(found < 0)
+                chars, back = np.unique(points[0, start], return_inverse=True)
+                cost = np.array([self.byte_log_p[list(chr(int(c)).encode("utf-8", "replace"))].sum() for c in chars])
+                parts.append((start, start + 1, np.full(len(start), -1), cost[back] if len(start) else np.zeros(0)))
+        columns = [np.concatenate(x) for x in zip(*parts)]
+        order = np.argsort(columns[0], kind="stable")
+        return list(zip(*(c[order].tolist() for c in columns)))
+
+    def forward_long(self, arcs: list[tuple[int, int, int, float]], length: int) -> list[float]:
+        alpha = [-math.inf] * (length + 1)
+        alpha[0] = 0.0
+        for start, end, _, log_p in arcs:
+            alpha[end] = _log_add(alpha[end], alpha[start] + log_p)
+        return alpha
+
+    def expected_long(self, points: np.ndarray, weight: float) -> np.ndarray:
+        length, arcs = points.shape[1], self._arcs(points)
+        alpha, counts = self.forward_long(arcs, length), np.zeros(len(self.log_p))
+        beta = [-math.inf] * length + [0.0]
+        for start, end, piece, log_p in reversed(arcs):  # all arcs from beyond a start come before those from it
+            reach = beta[end] + log_p
+            if piece >= 0:
+                counts[piece] += weight * math.exp(alpha[start] + reach - alpha[length])
+            beta[start] = _log_add(beta[start], reach)
+        return counts
+
     def by_length(self, words: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Positions and code points (word start mark first) of words of one length, in bounded batches."""
         texts = ["▁" + w.decode("utf-8", "replace") for w in words]
@@ -250,8 +312,9 @@ def _sum_frequent(frequent):
                 n = n_known = 0
                 base = lp = 0.0
                 first = len(words)
-                for word, k in counts.items():
+                for whole, k in counts.items():
                     n += k
+                    word = key_of(whole)
                     have = known.get(word)
                     if have is None:
                         words.append(word)
@@ -281,14 +344,35 @@ def _sum_frequent(frequent):
     return sums
 
 
+def frequent_words(words: DataFrame, most: int) -> dict[bytes, tuple[float, float]]:
+    """``{key: (log10(c + 1), lp)}`` of all words at least as frequent as some count, ``most`` of them at most.
+
+    The count is found from a histogram in steps of a sixteenth of an octave, so that
+    the driver receives some hundred rows and then the chosen words only.
+    """
+    step = F.floor(F.log2(F.col("c")) * 16).cast("int")
+    seen = words.where("c > 0")
+    sizes = sorted(seen.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("n")).collect(), reverse=True)
+    total, least = 0, None
+    for r in sizes:
+        total += r.n
+        if total > most:
+            break
+        least = r.step
+    if least is None:
+        return {}
+    chosen = seen.where(step >= least).select(key_column().alias("key"), "c", "lp").collect()
+    return {bytes(r.key): (math.log10(r.c + 1), r.lp) for r in chosen}
+
+
 def score(docs: DataFrame, training: Column, path: str | None = None, rounds: int = 2) -> DataFrame:
     """``(doc_id, n_tokens, n_known, train_tokens, base_score, score)`` for every row of ``docs``.
 
     ``training`` marks the documents that are learnt from. Null text is empty and
-    so one token long; repeated rows are returned as often as they occur.
-    Only words outside the ``FREQUENT`` most frequent ones travel with their
-    document, to a join with the vocabulary on the word; such words are rare, so no
-    key is hot.
+    so one token long; repeated rows are returned as often as they occur; an empty table
+    gives an empty result; of the input only ``doc_id`` and ``text`` are read.
+    Only words outside the ``FREQUENT`` most frequent ones of the training texts travel with
+    their document, long ones as digests, to a join with the vocabulary on the word.
     """
     path = path or default_path()
     marked = docs.select(
@@ -298,15 +382,12 @@ def score(docs: DataFrame, training: Column, path: str | None = None, rounds: in
     total = counted.agg(F.sum("c").alias("n"), F.count_if(F.col("c") > 0).alias("v")).first()
     tokens, distinct = int(total.n or 0), int(total.v or 0)
     words = durable(word_scores(counted, fit(counted, path, rounds)))
-    most = (
-        words.where(F.octet_length("word") <= FREQUENT_BYTES).orderBy(F.col("c").desc(), "word").limit(FREQUENT).collect()
-    )
-    frequent = docs.sparkSession.sparkContext.broadcast({bytes(r.word): (math.log10(r.c + 1), r.lp) for r in most})
+    frequent = docs.sparkSession.sparkContext.broadcast(frequent_words(words, FREQUENT))
     kind = docs.schema["doc_id"].dataType.simpleString()
     parts = marked.select("doc_id", "th", "text").mapInPandas(
         _sum_frequent(frequent), f"word binary, k long, {SUMS}, doc_id {kind}, th long"
     )
-    looked_up = parts.join(words.select("word", "c", F.col("lp").alias("w_lp")), "word", "left")
+    looked_up = parts.join(words.select(key_column().alias("word"), "c", F.col("lp").alias("w_lp")), "word", "left")
     add = lambda column: F.coalesce(column, F.lit(0.0)) * F.col("k")
     summed = looked_up.groupBy("doc_id", "th").agg(
         F.sum("n_rows").alias("n_rows"),

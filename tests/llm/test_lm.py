@@ -69,7 +69,7 @@ def test_query_counts_and_base_scores(spark, tmp_path, monkeypatch, frequent):
     n, v = sum(c.values()), len(c)
     want = sorted(((i, held(i), len(ws), sum(c[w] > 0 for w in ws), n) for i, ws in tokens), key=str)
     assert sorted(((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens) for r in got), key=str) == want
-    base = sorted((str(i), sum(math.log10((c[w] + 1) / (n * (v + 1) + v + 1)) if False else math.log10((c[w] + 1) / (n + 1 * (v + 1))) for w in ws)) for i, ws in tokens)
+    base = sorted((str(i), sum(math.log10((c[w] + 1) / (n + 1 * (v + 1))) for w in ws)) for i, ws in tokens)
     have = sorted((str(r.doc_id), r.base_score) for r in got)
     assert [i for i, _ in base] == [i for i, _ in have] and np.allclose([x for _, x in base], [x for _, x in have])
     assert all(math.isfinite(r.score) and r.score < 0 for r in got)
@@ -95,6 +95,41 @@ def test_em_raises_the_training_likelihood(spark):
     assert by_rounds[0] < by_rounds[1] < by_rounds[2]
 
 
+def test_long_words_one_by_one_equal_batches(monkeypatch):
+    pieces, log_p = lm.load_pieces(lm.default_path())
+    lattice = lm.Lattice(pieces, log_p - 5, np.full(256, -15.0))
+    found = [words(3, 9).replace(" ", "").encode(), "größer😀".encode(), b"x" * 60]
+    weights = np.array([2.0])
+
+    def both():
+        return [(lattice.forward(p), lattice.expected(p, weights)) for w in found for _, p in lattice.by_length([w])]
+
+    batches = both()
+    monkeypatch.setattr(lm, "LONG", 1)
+    for (a, x), (b, y) in zip(batches, both()):
+        assert np.allclose(a, b) and np.allclose(x, y)
+
+
+def test_frequent_words_are_bounded_and_whole_steps(spark):
+    rows = [(str(i).encode(), c, -1.0) for i, c in enumerate([1000, 900, 900, 50, 50, 50, 3, 0])] + [(b"-" * 500, 70, -2.0)]
+    table = spark.createDataFrame(rows, "word binary, c long, lp double")
+    assert lm.frequent_words(table, 2) == {b"0": (math.log10(1001), -1.0)}
+    assert set(lm.frequent_words(table, 6)) == {b"0", b"1", b"2", lm.key_of(b"-" * 500)}
+    assert len(lm.frequent_words(table, 99)) == 8
+
+
+def test_keys_are_the_same_on_both_sides(spark):
+    found = [b"", b"a", b"x" * 64, b"x" * 65, "ü".encode() * 400]
+    table = spark.createDataFrame([(w,) for w in found], "word binary")
+    assert [bytes(r.k) for r in table.select(lm.key_column().alias("k")).collect()] == [lm.key_of(w) for w in found]
+
+
+def test_one_very_long_word(spark):
+    docs = documents(spark, [(1, "q1w2" * 50_000, "en", "s", 1), (2, "plain words " + "-" * 3000, "en", "s", 1)] * 2)
+    got = lm.score(docs, ~lm.held_out()).collect()
+    assert len(got) == 4 and all(math.isfinite(r.score) for r in got) and {r.n_tokens for r in got} == {2, 4}
+
+
 def test_empty_table(spark, tmp_path):
     save(spark.createDataFrame([], DOC_SCHEMA), tmp_path, "documents")
     assert lm.query(spark, str(tmp_path)).count() == 0
