@@ -12,7 +12,8 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.linalg import SparseVector, VectorUDT
+from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,6 +21,8 @@ from .common import carry, durable, read_table, restore
 
 ORDERS = (3, 4, 5)
 BITS = 20
+#: Parts of the labels by hash.
+STEPS = 1024
 _STEP = 1 << 20
 _FLAGS = np.zeros(1 << BITS, dtype=bool)  # scratch of one text, always left all false
 
@@ -52,18 +55,25 @@ def ngram_buckets(text: str | None) -> np.ndarray:
 def labelled_sample(docs: DataFrame, labels: DataFrame, bound: int) -> DataFrame:
     """``(doc_id, text, toxic)``: at most ``bound`` labelled documents, the same ones every time.
 
-    Labels whose crc32(doc_id) mod 3 is 1 are never used. The chosen labels are
-    bounded by ``bound`` rows and therefore broadcast; texts are not shuffled.
+    Labels whose crc32(doc_id) mod 3 is 1 are never used. Labels are dealt by hash into
+    ``STEPS`` parts, and as many whole parts are taken as stay within ``bound``, so the
+    driver sees part sizes only. The chosen labels are broadcast; of documents with one
+    id the least text counts.
     """
-    chosen = (
+    part = F.pmod(F.xxhash64("doc_id"), F.lit(STEPS))
+    usable = (
         labels.where("doc_id is not null and toxic is not null")
         .where(F.crc32(F.col("doc_id").cast("string")) % 3 != 1)
         .groupBy("doc_id")
         .agg(F.max("toxic").alias("toxic"))
-        .orderBy(F.xxhash64("doc_id"), "doc_id")
-        .limit(bound)
     )
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    total, parts = 0, 0
+    sizes = {r.part: r.n for r in usable.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    while parts < STEPS and (total := total + sizes.get(parts, 0)) <= bound:
+        parts += 1
+    chosen = usable.where(part < parts)
+    held = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    return held.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))
 
 
 def train(
@@ -72,7 +82,9 @@ def train(
     """``(weight per bucket, bias)``; ``bound`` labelled rows and ``features`` features at most.
 
     Without both classes among the labels all weights are zero and the bias is the
-    smoothed log-odds of the labels (none: strongly negative).
+    smoothed log-odds of the labels (none: strongly negative). Labels that are null or have
+    no document, repeated labels (the greatest counts) and repeated documents are harmless;
+    null text counts as empty; ties among features go to the smaller bucket.
     """
     weights = np.zeros(1 << BITS, dtype=np.float32)
 
@@ -99,6 +111,7 @@ def train(
     top = (
         counts.where("f >= 0 and neg + pos >= 3")
         .select("f", ratio.alias("r"))
+        .coalesce(4)  # 2**BITS rows at most, whatever the corpus; every task sends its own best to the driver
         .orderBy(F.abs("r").desc(), "f")
         .limit(features)
         .collect()
@@ -108,18 +121,16 @@ def train(
     order = np.argsort(index)
     index, ratios = index[order], ratios[order]
 
-    @F.pandas_udf("array<int>")
+    @F.pandas_udf("array<string>")
     def present(texts: pd.Series) -> pd.Series:
-        return pd.Series([np.flatnonzero(np.isin(index, ngram_buckets(t), assume_unique=True)) for t in texts])
+        return pd.Series([index[np.isin(index, ngram_buckets(t), assume_unique=True)].astype(str) for t in texts], dtype=object)
 
-    @F.udf(VectorUDT())
-    def vector(at):
-        return SparseVector(len(index), at, ratios[at])
-
-    sparse = durable(sample.select((F.col("toxic") > 0).cast("double").alias("label"), present("text").alias("at")))
+    sparse = durable(sample.select((F.col("toxic") > 0).cast("double").alias("label"), present("text").alias("found")))
+    presence = CountVectorizerModel.from_vocabulary([str(f) for f in index.tolist()], inputCol="found", outputCol="has", binary=True)
+    scaled = ElementwiseProduct(scalingVec=Vectors.dense(ratios), inputCol="has", outputCol="x")
     fitted = LogisticRegression(
         maxIter=40, regParam=1e-3, standardization=False, featuresCol="x", labelCol="label", aggregationDepth=2
-    ).fit(sparse.select("label", vector("at").alias("x")))
+    ).fit(scaled.transform(presence.transform(sparse)).select("label", "x"))
     weights[index] = fitted.coefficients.toArray() * ratios
     return weights, float(fitted.intercept)
 
@@ -153,6 +164,10 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents scored 0.7 or more go."""
+    """Pipeline stage: documents scored 0.7 or more go.
+
+    All columns, of any name, stay; null and empty texts have the bias alone and stay;
+    repeated rows get one verdict; an empty table gives an empty result.
+    """
     weights, bias = train(docs, read_table(spark, sf_dir, "labels"))
     return restore(score(carry(docs, "text"), weights, bias).where("score < 0.7"), docs.columns)
