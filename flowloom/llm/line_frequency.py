@@ -4,11 +4,9 @@ Lines are normalised and hashed; the engine counts, per host, the distinct
 documents that hold a line, removes lines above a limit and rejects documents
 that are depleted by the removal.
 
-Copies of one article make all their lines frequent although none of them is
-site boilerplate. Therefore copies count as one document: those that hold the same
-lines once the frequent lines are set aside share one vote. A line that is frequent
-merely because whole documents repeat stays (those are near-duplicate removal's
-work), while a banner, a footer or a template on otherwise different documents goes.
+Documents are distinct by their text: repeated rows and exact copies of a document
+on one host count once, so that a text which is merely copied stays whole (that is
+near-duplicate removal's work), while a banner, a footer or a template goes.
 """
 
 from __future__ import annotations
@@ -20,6 +18,8 @@ from .common import SPACE_CLASS, carry, durable, read_table, restore
 
 #: Window length of the within-document repetition rule.
 WINDOW = 8
+#: Keys over which the rows of one line are dealt.
+SALTS = 16
 
 
 def bind(value: Column, body) -> Column:
@@ -96,11 +96,6 @@ def _normal(line: Column) -> Column:
     return F.lower(F.trim(F.regexp_replace(line, SPACE_CLASS, " ")))
 
 
-def _key(doc_id: str = "doc_id", text: str = "text") -> list[Column]:
-    """Rows with equal id and text get equal verdicts, so repeated rows and null ids are harmless."""
-    return [F.col(doc_id).alias("k_id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("k_text")]
-
-
 def _hashed_lines(text: Column) -> Column:
     return F.transform(
         F.filter(F.transform(F.split(text, "\n"), _normal), lambda x: x != ""),
@@ -108,94 +103,78 @@ def _hashed_lines(text: Column) -> Column:
     )
 
 
-def line_verdicts(
-    docs: DataFrame, host: str = "source", max_docs: int = 50
-) -> DataFrame:
-    """Lines to remove per document: ``(k_id, k_text, own_words, removed array<bigint>)``.
-
-    ``max_docs``: a line held by more documents of one host is a candidate.
-    Documents with the same set of lines outside the candidates have one vote, and so
-    have all without such lines; a candidate with more than ``max_docs`` votes is
-    removed. ``own_words``: words of the distinct lines
-    that stay. Documents without a removed line have no row. A line repeated in
-    one document counts once; a null host is a host of its own.
+def _text_hash(text: str = "text") -> Column:
+    return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+
+
+def _host_hash(host: str) -> Column:
+    return F.xxhash64(F.coalesce(F.col(host), F.lit("")))
+
+
+def frequent_lines(held: DataFrame, max_docs: int) -> DataFrame:
+    """Lines ``(host, h)`` that more than ``max_docs`` documents of different text hold on one host.
+
+    ``held``: ``(host, th, lines)``. A line repeated in one document counts once.
     """
-    def sign(lines: str) -> Column:
-        return F.aggregate(lines, F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(F.xxhash64(x["h"])))
-
-    t = F.coalesce(F.col("text"), F.lit(""))
-    held = (
-        docs.select(
-            *_key(),
-            F.xxhash64(F.coalesce(F.col(host), F.lit(""))).alias("host"),
-            F.array_distinct(_hashed_lines(t)).alias("lines"),
-        )
-        .withColumn("sign", sign("lines"))
-        .select(
-            "k_id", "k_text", "host", F.explode("lines").alias("x"),
-            F.aggregate("lines", F.lit(0).cast("long"), lambda a, x: a + x["w"]).alias("words"), "sign",
-        )
-        .select("k_id", "k_text", "host", "words", "sign", F.col("x.h").alias("h"), F.col("x.w").alias("w"))
-    )
+    forms = held.select("host", "th", F.array_distinct("lines.h").alias("h")).groupBy("host", "th").agg(F.first("h").alias("h"))
+    counts = forms.select("host", F.explode("h").alias("h")).groupBy("host", "h").agg(F.count(F.lit(1)).alias("n"))
+    return counts.where(F.col("n") > max_docs).select("host", "h")
 
-    def over_limit(rows: DataFrame) -> DataFrame:
-        counts = rows.groupBy("host", "h").agg(F.count(F.lit(1)).alias("n"))
-        return counts.where(F.col("n") > max_docs).select("host", "h")
 
-    # documents with their candidate lines: a document's lines are a bounded group
-    suspects = (
-        held.join(over_limit(held), ["host", "h"])
-        .groupBy("k_id", "k_text", "host", "words", "sign")
-        .agg(F.collect_set(F.struct("h", "w")).alias("lines"))
-    )
-    suspects = durable(suspects.withColumn("own", F.col("sign").bitwiseXOR(sign("lines"))))
-    lines = suspects.select("*", F.explode("lines").alias("x")).select(
-        "k_id", "k_text", "host", "words", "own", F.col("x.h").alias("h"), F.col("x.w").alias("w")
-    )
-    witnessed = over_limit(lines.select("host", "h", "own").distinct())
-    return (
-        lines.join(witnessed, ["host", "h"])
-        .groupBy("k_id", "k_text")
-        .agg(
-            F.collect_set(F.struct("host", "h", "w")).alias("gone"),
-            F.max("words").alias("words"),
-        )
-        .select(
-            "k_id", "k_text",
-            (F.col("words") - F.aggregate(
-                F.array_distinct(F.transform("gone", lambda x: F.struct(x["h"], x["w"]))),
-                F.lit(0).cast("long"), lambda a, x: a + x["w"],
-            )).alias("own_words"),
-            F.array_distinct(F.transform("gone", lambda x: x["h"])).alias("removed"),
-        )
+def lost_words(held: DataFrame, gone: DataFrame) -> DataFrame:
+    """``(rid, lost, removed)``: words in removed lines, repeats included, and the lines' hashes; only rows that lose any.
+
+    One line may stand in a third of all documents: its rows are dealt over ``SALTS``
+    keys, to each of which the few frequent lines are copied.
+    """
+    salt = F.pmod(F.col("rid"), F.lit(SALTS)).alias("salt")
+    lines = held.select("rid", "host", salt, F.explode("lines").alias("x")).select("rid", "host", "salt", "x.h", "x.w")
+    copied = gone.select("host", "h", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt"))
+    return lines.join(copied, ["host", "h", "salt"]).groupBy("rid").agg(
+        F.sum("w").alias("lost"), F.collect_set("h").alias("removed")
     )
 
 
+NAMES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
+
+
 def quality(
-    docs: DataFrame, min_words: int = 20, keep_text: bool = False, **limits
+    docs: DataFrame, min_words: int = 20, max_docs: int = 50, host: str = "source", keep_text: bool = False
 ) -> DataFrame:
     """Documents with measures, ``base_failed`` and ``kept``; all rows stay.
 
     ``kept`` is false where the base rules fail or where fewer than ``min_words``
-    words stay after frequent lines are removed. With ``keep_text`` the text and
-    all other input columns stay and ``text`` loses the removed lines; otherwise
-    only ``doc_id`` and the measures are carried through the join.
+    words stay after the frequent lines are removed. With ``keep_text`` the text and
+    all other input columns stay and ``text`` loses the removed lines; otherwise the
+    result has ``doc_id`` and the measures only. The texts are read once; what is
+    counted and joined are numbers and line hashes.
+
+    Null text counts as empty and fails the base rules; a null host is a host of its
+    own; null ids and repeated rows get verdicts like any other row, equal ones for equal
+    rows; input columns with the names of the result's are replaced; an empty table gives
+    an empty result.
     """
-    names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
-    measured = base_rules(docs.select([c for c in docs.columns if c not in {*names, "kept", "k_id", "k_text", "_w"}]))
-    carried = [c for c in measured.columns if c not in names] if keep_text else ["doc_id"]
-    left = measured.select(*_key(), *carried, *names)
-    verdicts = line_verdicts(docs, **limits).select(
-        F.col("k_id").alias("v_id"), F.col("k_text").alias("v_text"), "own_words", "removed"
-    )
-    out = left.join(verdicts, F.col("k_id").eqNullSafe(F.col("v_id")) & (F.col("k_text") == F.col("v_text")), "left")
-    out = out.withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("own_words") >= min_words, F.lit(True)))
-    if keep_text:
-        stays = F.filter(
-            F.split("text", "\n"), lambda x: ~F.array_contains("removed", F.xxhash64(_normal(x)))
+    used = docs.select("doc_id", "text", F.col(host).alias("_host"))
+    held = durable(
+        base_rules(used).select(
+            "doc_id", _text_hash().alias("th"), _host_hash("_host").alias("host"), *NAMES,
+            _hashed_lines(F.coalesce(F.col("text"), F.lit(""))).alias("lines"), F.monotonically_increasing_id().alias("rid"),
         )
-        out = out.withColumn("text", F.when(F.col("removed").isNull(), F.col("text")).otherwise(F.array_join(stays, "\n")))
-    return out.select(*carried, *names, "kept")
+    )
+    lost = lost_words(held, frequent_lines(held, max_docs))
+    left = F.col("lost").isNull() | (F.col("n_words") - F.col("lost") >= min_words)
+    out = held.drop("lines").join(lost, "rid", "left").withColumn("kept", ~F.col("base_failed") & left)
+    if not keep_text:
+        return out.select("doc_id", *NAMES, "kept")
+    verdicts = out.select(
+        F.struct("doc_id", "th", "host").alias("key"), *NAMES, "kept", "removed"
+    ).dropDuplicates(["key"])
+    carried = [c for c in docs.columns if c not in {*NAMES, "kept", "removed", "key"}]
+    keyed = docs.select(*carried, F.struct("doc_id", _text_hash().alias("th"), _host_hash(host).alias("host")).alias("key"))
+    stays = F.filter(F.split("text", "\n"), lambda x: ~F.array_contains("removed", F.xxhash64(_normal(x))))
+    text = F.when(F.col("removed").isNull(), F.col("text")).otherwise(F.array_join(stays, "\n"))
+    whole = keyed.join(verdicts, keyed.key.eqNullSafe(verdicts.key), "left").drop("key")
+    return whole.withColumn("text", text).select(*carried, *NAMES, "kept")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -203,7 +182,12 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: rejected documents go, frequent lines leave the texts that stay."""
+    """Pipeline stage: rejected documents go, frequent lines leave the texts that stay.
+
+    All columns, of any name, stay; ``n_chars`` follows the text. Null and empty texts go
+    (the base rules reject them); repeated rows and null ids share the verdict of their
+    text and host; an empty table gives an empty result.
+    """
     cleaned = quality(carry(docs, "doc_id", "text", "source"), keep_text=True).where("kept")
     return restore(cleaned, docs.columns, text=F.col("text"), n_chars=F.length("text").cast("long"))
 
@@ -224,18 +208,14 @@ base AS (
          CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines,
          CAST(coalesce(n, 0) AS BIGINT) AS n_repeat_words
   FROM w LEFT JOIN rep USING (rid)),
-held AS (
-  SELECT DISTINCT rid, host, x AS h, CAST(len(string_split(x, ' ')) AS BIGINT) AS w FROM (
-    SELECT rid, host, unnest(list_transform(string_split(t, chr(10)),
+lines AS (
+  SELECT rid, host, t, x AS h, CAST(len(string_split(x, ' ')) AS BIGINT) AS w FROM (
+    SELECT rid, host, t, unnest(list_transform(string_split(t, chr(10)),
            lambda y: lower(trim(regexp_replace(y, '[\x20\x09-\x0D]+', ' ', 'g'))))) AS x FROM d) WHERE x <> ''),
-words AS (SELECT rid, sum(w) AS words FROM held GROUP BY rid),
-cand AS (SELECT host, h FROM held GROUP BY host, h HAVING count(*) > 50),
-flagged AS (SELECT held.* FROM held JOIN cand USING (host, h)),
-own AS (SELECT rid, words, words - sum(w) AS own FROM flagged JOIN words USING (rid) GROUP BY rid, words),
-gone AS (SELECT host, h FROM flagged JOIN own USING (rid) WHERE own >= 0.6 * words GROUP BY host, h HAVING count(*) > 50),
-lost AS (SELECT rid, words - sum(w) AS own_words FROM flagged JOIN gone USING (host, h) JOIN words USING (rid) GROUP BY rid, words)
+gone AS (SELECT host, h FROM (SELECT DISTINCT host, t, h FROM lines) GROUP BY host, h HAVING count(*) > 50),
+lost AS (SELECT rid, sum(w) AS lost FROM lines JOIN gone USING (host, h) GROUP BY rid)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
        (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AS base_failed,
-       NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND coalesce(own_words >= 20, true) AS kept
+       NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND coalesce(n_words - lost >= 20, true) AS kept
 FROM base LEFT JOIN lost USING (rid)
 """

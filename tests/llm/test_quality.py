@@ -1,4 +1,5 @@
 import re
+from collections import Counter
 
 from flowloom.llm import line_frequency as quality
 
@@ -24,25 +25,15 @@ def measures(text):
     return (len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in text), dup, len(inside), failed)
 
 
-def verdicts(rows, limit=50, share=0.6, least=20):
+def verdicts(rows, limit=50, least=20):
     norm = lambda line: re.sub("[\x20\x09-\x0d]+", " ", line).strip(" ").lower()
-    held = [(h or "", {norm(x) for x in (t or "").split("\n")} - {""}) for _, t, _, h, _ in rows]
-    size = lambda lines: sum(len(x.split(" ")) for x in lines)
-
-    def over(pairs):
-        n = {}
-        for p in pairs:
-            n[p] = n.get(p, 0) + 1
-        return {p for p, k in n.items() if k > limit}
-
-    cand = over([(h, x) for h, lines in held for x in lines])
-    own = [size({x for x in lines if (h, x) not in cand}) for h, lines in held]
-    gone = over([(h, x) for (h, lines), o in zip(held, own) for x in lines if (h, x) in cand and o >= share * size(lines)])
+    held = [(h or "", t or "", [x for x in map(norm, (t or "").split("\n")) if x]) for _, t, _, h, _ in rows]
+    count = Counter((h, x) for h, _, x in {(h, t, x) for h, t, lines in held for x in lines})
     out = []
-    for (h, lines), row in zip(held, rows):
-        lost = {x for x in lines if (h, x) in gone}
-        failed = measures(row[1])[-1]
-        out.append(not failed and (not lost or size(lines - lost) >= least))
+    for (h, _, lines), row in zip(held, rows):
+        lost = [x for x in lines if count[h, x] > limit]
+        n, *_, failed = measures(row[1])
+        out.append(not failed and (not lost or n - sum(len(x.split(" ")) for x in lost) >= least))
     return out
 
 
@@ -53,6 +44,12 @@ def corpus():
         rows.append((100 + k, words(50 + k, 60) + "\n" + banner, "en", "hot", 1))
     rows.append((300, banner + "\n" + words(9, 12), "en", "hot", 1))  # depleted
     rows += [(400 + k, words(77, 40) + "\n" + words(78, 30), "en", "hot", 1) for k in range(60)]  # copies are not boilerplate
+    common = "Terms and conditions apply to all of these offers"
+    for k in range(30):  # a common line on too few distinct documents, each of them present twice
+        rows += [(500 + k, words(500 + k, 30) + "\n" + common, "en", "twice", 1)] * 2
+    for k in range(60):  # heavy boilerplate: 18 own words and a line of 22 words
+        rows.append((600 + k, words(700 + k, 18) + "\n" + words(79, 22), "en", "banner", 1))
+    rows += [(700 + k, "\n".join([banner] * (k % 3)) + "\n" + words(800 + k, 61), None, None, 1) for k in range(80)]
     return rows
 
 
@@ -68,6 +65,7 @@ def test_query_equals_brute_force(spark, tmp_path):
     assert got == want
     kept = {i for i, *_, k in got if k}
     assert 300 not in kept and {100, 169, 400, 459} <= kept
+    assert set(range(500, 530)) <= kept and not kept & set(range(600, 660))
 
 
 def test_query_equals_sql(spark, tmp_path):
@@ -89,6 +87,8 @@ def test_stage_removes_lines_and_rejects(spark):
     assert "Subscribe" not in rows[100].text and rows[100].n_chars == len(rows[100].text)
     assert rows[100].text == words(50, 60)
     assert 300 not in rows and 2 not in rows and 9 not in rows and 459 in rows
+    assert sum(r.doc_id == 500 for r in out.collect()) == 2 and rows[400].text == words(77, 40) + "\n" + words(78, 30)
+    assert rows[702].text == words(802, 61) and rows[700].text == "\n" + words(800, 61)
 
 
 def test_no_python_in_the_plan(spark, tmp_path):
