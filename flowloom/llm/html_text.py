@@ -1,10 +1,23 @@
 """Main text of web pages by composite text density.
 
-A page becomes a small tree; every node gets its characters per tag, lowered by
-the share of link text; the children's densities are summed per node, and the
-subtree with the largest sum marks the article. The smallest density between that
-subtree and the body is the threshold above which further parts of the page belong
-to the article as well.
+A page becomes a small tree. With C characters (white space aside), T tags, LC of the
+characters and LT of the tags within links, and b the body, a node's density is
+
+    C / T * log(C / LC * T / LT) / log(1 + ln(C / (C - LC) * LC + LC_b / C_b * C + e))
+
+(zero counts as one in a denominator). Densities of the children are summed per node, the
+subtree with the largest sum is the article, and the least density between it and the
+body is the threshold: every node that reaches it gives its own subtree of the largest sum.
+
+Departures from the published method: the 1 in the outer logarithm, without which the
+base is 1 on pages without links; a node's own text counts as one child without tags, so
+that text outside paragraphs has a density; formatting within a line is no tag. What
+class, id or role names as an advert, menu, comment or the like counts as link text (its
+density is then about zero); such names are disbelieved where they cover an article, main
+part or main heading, or leave less than ``BELIEVED`` of the largest sum. Elements that
+are never text or state that they are no article (``NEVER``) and hidden ones are left out.
+The ``article`` or ``main`` element around the densest node and the main heading before
+it belong to the text too; link lists and named parts under the threshold do not.
 """
 
 from __future__ import annotations
@@ -47,6 +60,16 @@ HINTS = frozenset(
     "sidebar signup skip social sponsor sponsored subscribe subscription tags toolbar topbar widget alert complementary "
     "contentinfo".split()
 )
+#: Words that say nothing beside a hint: "reader-comments" is one, "no-sidebar" or "social-history" is not.
+FRAME = frozenset(
+    "area bar block bottom box buttons col column container content ct div entry form global group holder icons inner item items left "
+    "links list main outer page panel placeholder post posts primary reader readers right row secondary section site slot text thread "
+    "top unit user users view wrap wrapper".split()
+)
+#: Hints are ignored that leave less than this part of the largest density sum.
+BELIEVED = 0.1
+#: A part with this share of link text and so many links is a list of links.
+LINKED, LINKS = 0.8, 3
 _ATTRIBUTES = re.compile(r"""(?:[^"'>]++|"[^"]*+"|'[^']*+')*+>""")
 _NAMED = re.compile(r"""(?:^|[\s"'])(class|id|role|hidden|style|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?(?=[\s/>"']|$)""", re.I)
 _NAME = re.compile(r"[a-zA-Z][^\s/>]*")
@@ -54,13 +77,23 @@ _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 _SPLIT = re.compile(r"[^A-Za-z]+|(?<=[a-z])(?=[A-Z])")
 
 
+def named(value: str) -> bool:
+    """Whether one of the names in an attribute is made of hints."""
+    for name in value.split():
+        parts = {w.lower() for w in _SPLIT.split(name) if len(w) > 1}
+        if parts & HINTS and parts <= HINTS | FRAME:
+            return True
+    return False
+
+
 class Page:
-    """Elements in page order: tag, parent, whether left out, and the text pieces between them."""
+    """Elements in page order: tag, parent, whether left out or hinted, and the text pieces between them."""
 
     def __init__(self, source: str):
-        self.tags, self.parents, self.left_out = ["#root"], [-1], [False]
+        self.tags, self.parents, self.left_out, self.hinted = ["#root"], [-1], [False], [False]
         self.pieces: list[tuple[int, str]] = []  # (element, text); a break between blocks is text " "
         self.open = [0]
+        self.places: dict[str, list[int]] = {}  # tag -> its positions in ``open``
         self._read(source)
 
     def _start(self, tag: str, attributes: str) -> None:
@@ -68,7 +101,7 @@ class Page:
             self._end_implied(("p",), ENDS_P - {"p"})
         if tag in ENDS_LIKE:
             self._end_implied(ENDS_LIKE[tag], SCOPES - {"td", "th"})
-        out = tag in NEVER
+        out, hint = tag in NEVER, False
         if attributes and not out:
             for name, *values in _NAMED.findall(attributes):
                 name, value = name.lower(), "".join(values)
@@ -76,36 +109,40 @@ class Page:
                     out = True
                 elif name == "style":
                     out |= bool(_HIDDEN.search(value))
-                elif name != "style" and tag not in ("html", "body", "article", "main"):
-                    out |= any(w.lower() in HINTS for w in _SPLIT.split(value))
+                elif name != "aria-hidden" and tag not in ("html", "body", "article", "main"):
+                    hint |= named(value)
         if tag not in INLINE:
             self.pieces.append((self.open[-1], " "))
         self.tags.append(tag)
         self.parents.append(self.open[-1])
         self.left_out.append(out)
+        self.hinted.append(hint)
         if tag not in VOID:
+            self.places.setdefault(tag, []).append(len(self.open))
             self.open.append(len(self.tags) - 1)
 
+    def _last(self, tags) -> int:
+        """Position of the innermost open element of these tags, or 0."""
+        return max((at[-1] for t in tags if (at := self.places.get(t))), default=0)
+
+    def _close(self, k: int) -> None:
+        for i in self.open[k:]:
+            self.places[self.tags[i]].pop()
+        del self.open[k:]
+
     def _end_implied(self, which: tuple, stop: frozenset) -> None:
-        for k in range(len(self.open) - 1, 0, -1):
-            tag = self.tags[self.open[k]]
-            if tag in which:
-                self.pieces.append((self.open[k], " "))
-                del self.open[k:]
-                return
-            if tag in stop:
-                return
+        k = self._last(which)
+        if k and k >= self._last(stop):
+            self.pieces.append((self.open[k], " "))
+            self._close(k)
 
     def _end(self, tag: str) -> None:
-        for k in range(len(self.open) - 1, 0, -1):
-            found = self.tags[self.open[k]]
-            if found == tag:
-                if tag not in INLINE:
-                    self.pieces.append((self.open[k], " "))
-                del self.open[k:]
-                return
-            if tag in INLINE and found in SCOPES:
-                return
+        k = self._last((tag,))
+        if not k or tag in INLINE and self._last(SCOPES) > k:
+            return
+        if tag not in INLINE:
+            self.pieces.append((self.open[k], " "))
+        self._close(k)
 
     def _text(self, text: str) -> None:
         if text:
@@ -150,84 +187,116 @@ class Page:
                 if not close:
                     return
 
-    def article(self) -> str:
-        tags, parents = self.tags, self.parents
-        n = len(tags)
-        body = next((i for i in range(n) if tags[i] == "body"), 0)
-        # hinted or header elements that hold a main heading or the article itself are not left out
-        holds = [tags[i] in ("article", "main", "h1", "body", "html") for i in range(n)]
-        inside = [False] * n
+    def settle(self) -> None:
+        """Passes on what is left out or hinted to what stands below."""
+        tags, parents, n = self.tags, self.parents, len(self.tags)
+        self.marked = marked = [t in ("article", "main", "h1") for t in tags]
         for i in range(n - 1, 0, -1):
-            holds[parents[i]] |= holds[i]
+            marked[parents[i]] |= marked[i]
+        holds = [m or t in ("body", "html") for m, t in zip(marked, tags)]
+        inside = [False] * n
         for i in range(1, n):
-            inside[i] = inside[parents[i]] or tags[parents[i]] in ("article", "main")
-            if self.left_out[i] and tags[i] not in NEVER and holds[i]:
-                self.left_out[i] = False
+            p = parents[i]
+            inside[i] = inside[p] or tags[p] in ("article", "main")
             if tags[i] == "header" and not (inside[i] and holds[i]):
-                self.left_out[i] = not any(tags[j] in ("article", "main") for j in (i, parents[i])) or not holds[i]
-            if parents[i] >= 0:
-                self.left_out[i] |= self.left_out[parents[i]]
-        own, chars, marks = [0] * n, [0] * n, [1] * n
-        links, link_tags = [0] * n, [0] * n
-        in_link = [False] * n
+                self.left_out[i] = True if inside[i] or not holds[i] else self.left_out[i]
+            self.left_out[i] |= self.left_out[p]
+            self.hinted[i] = self.hinted[i] and not holds[i] or self.hinted[p]
+
+    def densities(self, body: int, hints: bool) -> tuple[list[float], list[float], list[float]]:
+        """``(density, sum of the children's densities, share of link text)`` of every element."""
+        tags, parents, n = self.tags, self.parents, len(self.tags)
+        linked = [False] * n
         for i in range(1, n):
-            in_link[i] = tags[i] == "a" or in_link[parents[i]]
+            linked[i] = tags[i] == "a" or linked[parents[i]] or hints and self.hinted[i]
+        own, own_linked = [0] * n, [0] * n
         for i, text in self.pieces:
             if not self.left_out[i]:
                 k = len("".join(text.split()))
                 own[i] += k
-                chars[i] += k
-                links[i] += k * in_link[i]
+                own_linked[i] += k * linked[i]
+        chars, links = own[:], own_linked[:]
+        marks = [0 if t in INLINE and t != "a" else 1 for t in tags]
+        self.link_tags = link_tags = [int(m and x) for m, x in zip(marks, linked)]
         for i in range(n - 1, 0, -1):
             if not self.left_out[i]:
-                p = parents[i]
-                chars[p] += chars[i]
-                marks[p] += marks[i] if tags[i] not in INLINE or tags[i] == "a" else marks[i] - 1
-                links[p] += links[i]
-                link_tags[p] += link_tags[i] + (tags[i] == "a")
+                for count in (chars, links, marks, link_tags):
+                    count[parents[i]] += count[i]
         of_body = links[body] / max(chars[body], 1)
+
+        def density_of(c: int, t: int, lc: int, lt: int) -> float:
+            base = math.log(1 + math.log(c / max(c - lc, 1) * lc + of_body * c + math.e))
+            return c / max(t, 1) * math.log(max(c / max(lc, 1) * max(t, 1) / max(lt, 1), 1.0)) / base
+
         density, sums = [0.0] * n, [0.0] * n
         for i in range(n):
             if chars[i] and not self.left_out[i]:
-                rest = max(chars[i] - links[i], 1)
-                base = math.log(chars[i] / rest * links[i] + of_body * chars[i] + math.e) + 1
-                share = chars[i] / max(links[i], 1) * marks[i] / max(link_tags[i], 1)
-                density[i] = chars[i] / max(marks[i], 1) * math.log(max(share, 1.0)) / math.log(base)
+                density[i] = density_of(chars[i], marks[i], links[i], link_tags[i])
+                if own[i]:
+                    sums[i] += density_of(own[i], 1, own_linked[i], int(linked[i]))
         for i in range(n - 1, 0, -1):
-            sums[i] += own[i] if tags[i] not in INLINE else 0
-            if parents[i] >= 0:
+            if tags[i] in INLINE and tags[i] != "a":  # formatting is part of its parent's text
+                sums[parents[i]] += sums[i]
+            else:
                 sums[parents[i]] += density[i]
-        sums[0] += own[0]
+        self.chars = chars
+        return density, sums, [x / max(c, 1) for x, c in zip(links, chars)]
+
+    def article(self) -> str:
+        tags, parents, n = self.tags, self.parents, len(self.tags)
+        self.settle()
+        body = next((i for i in range(n) if tags[i] == "body"), 0)
         within = [i == body for i in range(n)]
         for i in range(1, n):
             within[i] |= within[parents[i]]
-        best = max((i for i in range(n) if within[i]), key=lambda i: (sums[i], -i))
+        blocks = [i for i in range(n) if within[i] and (i == body or tags[i] not in INLINE)]
+
+        def densest(sums: list[float]) -> int:
+            return max(blocks, key=lambda i: (sums[i], tags[i] in ("article", "main"), -i))
+
+        density, sums, share = self.densities(body, True)
+        best = densest(sums)
+        if any(self.hinted):
+            plain = self.densities(body, False)
+            other = densest(plain[1])
+            if not (sums[best] and self.marked[best]) and sums[best] < BELIEVED * plain[1][other]:
+                (density, sums, share), best = plain, other
+            else:
+                self.densities(body, True)
         threshold, path = density[best], best
-        while path != body and path >= 0:
-            threshold = min(threshold, density[path])
+        while path != body:
             path = parents[path]
-        threshold = min(threshold, density[body])
+            threshold = min(threshold, density[path])
+        block, strongest = list(range(n)), list(range(n))
+        for i in range(1, n):
+            if i != body and tags[i] in INLINE:
+                block[i] = block[parents[i]]
+        for i in reversed(blocks):
+            if i != body:
+                p = block[parents[i]]
+                if sums[strongest[i]] > sums[strongest[p]]:
+                    strongest[p] = strongest[i]
         chosen = [False] * n
-        top, path = -1, best
-        while path > 0:
+        for i in blocks:
+            if i != body and self.chars[i] and density[i] >= threshold > 0:
+                chosen[strongest[i]] = True
+        chosen[best] = True
+        around, path = -1, best
+        while path > 0 and (around < 0 or tags[around] != "article"):
             if tags[path] in ("article", "main"):
-                top = path
-                if tags[path] == "article":
-                    break
+                around = path
             path = parents[path]
-        if top >= 0:
-            chosen[top] = True
-        else:  # parts whose density reaches the threshold give their best subtree
-            strongest = list(range(n))
-            for i in range(n - 1, 0, -1):
-                p = parents[i]
-                if within[i] and sums[strongest[i]] > sums[strongest[p]]:
-                    strongest[p] = strongest[i]
-            for i in range(n):
-                if within[i] and chars[i] and density[i] >= threshold and i != body:
-                    chosen[strongest[i]] = True
-            chosen[best] = True
+        if around >= 0:
+            chosen[around] = True
+        heading = max((i for i in blocks if tags[i] == "h1" and i < best and not share[i]), default=-1)
+        if heading >= 0:
+            chosen[heading] = True
         for i in range(1, n):
+            listed = share[i] >= LINKED and self.link_tags[i] >= LINKS and self.chars[i] and tags[i] not in INLINE
+            named_out = share[i] == 1 and self.hinted[i]
+            if density[i] < threshold and (listed or named_out):
+                self.left_out[i] = True
+            self.left_out[i] |= self.left_out[parents[i]]
             chosen[i] |= chosen[parents[i]]
         return " ".join("".join(t for i, t in self.pieces if chosen[i] and not self.left_out[i]).split())
 
@@ -238,7 +307,12 @@ def main_text(source: str | None) -> str:
 
 
 def extract(pages: DataFrame, html: str = "html") -> DataFrame:
-    """Input columns plus ``text`` and ``n_chars`` (code points); each row by itself, nothing is shuffled."""
+    """Input columns plus ``text`` and ``n_chars`` (code points); each row by itself, nothing is shuffled.
+
+    Null and empty html give an empty text; repeated rows, null ids and urls stay as they
+    are; input columns named ``text`` or ``n_chars`` are replaced, others of any name stay;
+    of nodes with equal sums an ``article`` or ``main`` goes first, then the first one.
+    """
 
     @F.pandas_udf("string")
     def text(sources: pd.Series) -> pd.Series:

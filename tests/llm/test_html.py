@@ -1,6 +1,8 @@
 import html as entities
+import math
 import random
 import re
+import time
 
 import pytest
 
@@ -52,6 +54,93 @@ def test_deep_and_long_pages_end():
     html_text.main_text("<a href='" * 20_000)
 
 
+PROSE = "".join(f"<p>{words(k, 40)}</p>" for k in range(3))
+TEXT = " ".join(words(k, 40) for k in range(3))
+
+
+@pytest.mark.parametrize("name", ["no-sidebar", "content ads-free", "social-history", "tags-explained", "related", "post-comments"])
+def test_class_words_do_not_delete_the_article(name):
+    page = f'<body><nav><a href=/>x</a></nav><div class="{name}">{PROSE}</div><div class="footer">foot text</div></body>'
+    assert html_text.main_text(page) == TEXT
+
+
+@pytest.mark.parametrize("name", ["ad", "cookie-notice", "reader-comments", "sidebar_left", "newsletterSignup", "box related"])
+def test_named_parts_inside_the_article_go(name):
+    page = f'<body><div class="page"><h1>Head</h1>{PROSE}<div class="{name}"><p>{words(9, 12)}</p><p>{words(10, 8)}</p></div></div></body>'
+    assert html_text.main_text(page) == "Head " + TEXT
+    assert html_text.main_text(page.replace('div class="page"', "article").replace("</div></body>", "</article></body>")) == "Head " + TEXT
+
+
+def test_menus_in_main_go_and_sibling_articles_stay():
+    menu = "<ul>" + "".join(f"<li><a href=/{k}>Item {k}</a></li>" for k in range(8)) + "</ul>"
+    assert html_text.main_text(f"<body><main>{menu}<h1>Head</h1>{PROSE}</main></body>") == "Head " + TEXT
+    two = f"<body>{menu}<article><h2>A</h2>{PROSE}</article><article><h2>B</h2><p>{words(7, 50)}</p></article></body>"
+    assert html_text.main_text(two) == f"A {TEXT} B {words(7, 50)}"
+    cited = f'<body><article>{PROSE}<p>See <a href="/x">{words(8, 3)}</a></p></article></body>'
+    assert html_text.main_text(cited) == f"{TEXT} See {words(8, 3)}"
+
+
+@pytest.mark.parametrize("unit", [("<b>", "</i>"), ("<b>", "<p>x"), ("<div>", "</span>"), ("<a href=x>", "<li>y"), ("<ul>", "<li>"), ("<table><tr>", "</td>")])
+def test_unbalanced_tags_take_linear_time(unit):
+    began = time.process_time()
+    html_text.main_text(unit[0] * 60_000 + unit[1] * 60_000)
+    assert time.process_time() - began < 15
+
+
+def random_tree(r, depth=0):
+    """``(tag, children)`` with text children; tags whose ends are never implied."""
+    kids = []
+    for _ in range(r.randint(1, 4)):
+        if depth > 3 or r.random() < 0.4:
+            kids.append(words(r.randint(0, 999), r.randint(1, 30)))
+        else:
+            kids.append(random_tree(r, depth + 1))
+    return ("a" if depth and r.random() < 0.25 and all(isinstance(k, str) for k in kids) else r.choice(["div", "section", "blockquote"]), kids)
+
+
+def html_of(node):
+    return node if isinstance(node, str) else f"<{node[0]}>{' '.join(map(html_of, node[1]))}</{node[0]}>"
+
+
+def measured(node, in_link, out, body_share):
+    """Recursive reference: ``(C, T, LC, LT)`` of a node; appends ``(density, sum)`` in page order."""
+    in_link |= node[0] == "a"
+    at = len(out)
+    out.append(None)
+    c, t, lc, lt, total, own = 0, 1, 0, int(in_link), 0.0, 0
+    for kid in node[1]:
+        if isinstance(kid, str):
+            own += len(kid.replace(" ", ""))
+        else:
+            below = measured(kid, in_link, out, body_share)
+            total += below[4]
+            c, t, lc, lt = (x + y for x, y in zip((c, t, lc, lt), below))
+    c, lc = c + own, lc + own * in_link
+
+    def density(c, t, lc, lt):
+        base = math.log(1 + math.log(c / max(c - lc, 1) * lc + body_share * c + math.e))
+        return c / t * math.log(max(1, c / max(lc, 1) * t / max(lt, 1))) / base
+
+    if own:
+        total += density(own, 1, own * in_link, int(in_link))
+    d = density(c, t, lc, lt) if c else 0.0
+    out[at] = (d, total)
+    return c, t, lc, lt, d
+
+
+def test_densities_equal_the_formula_on_random_trees():
+    r = random.Random(11)
+    for _ in range(60):
+        tree = ("body", [random_tree(r) for _ in range(r.randint(1, 4))])
+        page = html_text.Page(html_of(tree))
+        page.settle()
+        c, _, lc, *_ = measured(tree, False, [], 0.0)
+        want = []
+        measured(tree, False, want, lc / c)
+        density, sums, _ = page.densities(1, True)
+        assert density[1:] == pytest.approx([d for d, _ in want]) and sums[1:] == pytest.approx([s for _, s in want])
+
+
 def test_query_keeps_every_row(spark, tmp_path):
     rows = [(1, "u1", SHELLS["article"] % "<p>alpha beta gamma delta</p>"), (1, "u1", SHELLS["article"] % "<p>alpha beta gamma delta</p>"), (2, None, None), (None, "u3", ""), (4, "u4", "<p>x")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "1 as text", "2 as n_chars")
