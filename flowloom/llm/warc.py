@@ -1,16 +1,19 @@
 """WARC archives as a PySpark data source (``format("warc")``), reading and writing.
 
 The reader plans partitions of files, takes record-type and header predicates from
-the query, parses a record's headers first and passes over the payload of records
-that are not wanted (seeking in plain files, discarding in compressed ones). Only
-columns of the requested schema are produced: without ``payload`` in it no payload
-is kept. The writer compresses each record by itself, writes under a name of the
-task attempt, and publishes files when the job commits.
+the query, parses a record's headers first and seeks over the payload of records
+that are not wanted. In compressed archives it can do so because the writer states
+each gzip member's length in the member's header, in the extra field ``SL``; members
+of other writers are decompressed and thrown away. Only columns of the requested
+schema are produced: without ``payload`` in it no payload is kept. The writer
+compresses each record by itself, writes under a name of the task attempt, and
+publishes files when the job commits.
 """
 
 from __future__ import annotations
 
 import re
+import struct
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -52,6 +55,10 @@ SCHEMA = (
 )
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 CHUNK = 1 << 18
+#: Start of a gzip member whose extra field SL holds the lengths of the member and of its content.
+_STATED = b"\x1f\x8b\x08\x04" + bytes(4) + b"\x00\xff" + struct.pack("<H", 12) + b"SL" + struct.pack("<H", 8)
+#: Keys over which the rows of one repeated payload are dealt.
+SALTS = 16
 _OF = {name.lower(): column for column, name in HEADERS.items()}
 
 
@@ -81,10 +88,10 @@ class _Plain:
     def _more(self) -> bytes:
         return self.stream.read(CHUNK)
 
-    def until(self, mark: bytes) -> bytes | None:
-        """Bytes up to and including ``mark``; None at the end of the file."""
-        while (at := self.buffer.find(mark)) < 0:
-            more = self._more()
+    def until(self, mark: bytes, most: int | None = None) -> bytes | None:
+        """Bytes up to and including ``mark``; None if the file, or its next ``most`` bytes, hold none."""
+        while (at := self.buffer.find(mark, 0, most)) < 0:
+            more = b"" if most is not None and len(self.buffer) >= most else self._more()
             if not more:
                 return None
             self.buffer += more
@@ -108,28 +115,52 @@ class _Plain:
 
 
 class _Zipped(_Plain):
-    """The same over concatenated gzip members."""
+    """The same over concatenated gzip members; members that state their lengths are passed over unread."""
 
     def __init__(self, stream):
         super().__init__(stream)
-        self.raw, self.member = b"", zlib.decompressobj(31)
+        self.raw, self.member = b"", None
+
+    def _begin(self) -> None:
+        """Starts a member: where it ends in the file and how much is in it, if it says so."""
+        if len(self.raw) < len(_STATED) + 8:
+            self.raw += self.stream.read(CHUNK)
+        self.end = self.left = None
+        if self.raw.startswith(_STATED[:4]) and self.raw[10:16] == _STATED[10:]:
+            size, self.left = struct.unpack("<II", self.raw[16:24])
+            self.end = self.stream.tell() - len(self.raw) + size
+        self.member = zlib.decompressobj(31)
 
     def _more(self) -> bytes:
         while True:
+            if self.member is None:
+                self._begin()
             if not self.raw:
                 self.raw = self.stream.read(CHUNK)
                 if not self.raw:
                     return b""
             out = self.member.decompress(self.raw, CHUNK)
             self.raw = self.member.unconsumed_tail
+            if self.left is not None:
+                self.left -= len(out)
             if self.member.eof:
-                self.raw, self.member = self.member.unused_data, zlib.decompressobj(31)
+                self.raw, self.member = self.member.unused_data, None
             if out:
                 return out
 
     def skip(self, n: int) -> None:
         while n > len(self.buffer):
             n -= len(self.buffer)
+            self.buffer = b""
+            if self.member is not None and self.left is not None and n >= self.left:
+                n -= self.left
+                ahead = self.end - (self.stream.tell() - len(self.raw))
+                self.raw = self.raw[ahead:] if ahead <= len(self.raw) else b""
+                if not self.raw:
+                    self.stream.seek(self.end)
+                self.member = None
+                if not n:
+                    return
             self.buffer = self._more()
             if not self.buffer:
                 return
@@ -158,7 +189,7 @@ def records(stream, zipped: bool, wanted, columns: set[str]) -> Iterator[dict]:
             continue
         http = fields.get("content-type", "").startswith("application/http")
         if http and columns & {"payload", "http_length"}:
-            inner = source.until(b"\r\n\r\n") or b""
+            inner = source.until(b"\r\n\r\n", length) or b""
             sent = _fields(inner).get("content-length")
             row["http_length"] = int(sent) if sent and sent.isdigit() else None
             length -= len(inner)
@@ -249,8 +280,13 @@ def serialise(row: dict, zipped: bool = True) -> bytes:
     data = "\r\n".join(lines).encode() + block + b"\r\n\r\n"
     if not zipped:
         return data
-    packer = zlib.compressobj(4, zlib.DEFLATED, 31)
-    return packer.compress(data) + packer.flush()
+    packer = zlib.compressobj(4, zlib.DEFLATED, -15)
+    body = packer.compress(data) + packer.flush()
+    size = len(_STATED) + 8 + len(body) + 8
+    if max(size, len(data)) >> 32:  # the fields have 32 bits
+        packer = zlib.compressobj(4, zlib.DEFLATED, 31)
+        return packer.compress(data) + packer.flush()
+    return _STATED + struct.pack("<II", size, len(data)) + body + struct.pack("<II", zlib.crc32(data), len(data))
 
 
 class Written(WriterCommitMessage):
@@ -259,17 +295,17 @@ class Written(WriterCommitMessage):
 
 
 class WarcWriter(DataSourceArrowWriter):
-    """One file per task and ``fileBytes``; a task that is tried again leaves no trace of its first try."""
+    """One file per task and ``fileBytes``; what failed or repeated tries of a task wrote goes when the job ends."""
 
     def __init__(self, options: dict):
-        self.options = dict(options)
+        self.options, self.job = dict(options), uuid.uuid4().hex
         fs, at = filesystem(self.options["path"])
         fs.create_dir(at, recursive=True)
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
         limit = int(self.options.get("filebytes", self.options.get("fileBytes", 256 << 20)))
         fs, at = filesystem(self.options["path"])
-        name = f"part-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}"
+        name = f"part-{self.job}-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}"
         files, out, size = [], None, 0
         for batch in iterator:
             for row in batch.to_pylist():
@@ -290,12 +326,17 @@ class WarcWriter(DataSourceArrowWriter):
         for message in messages:
             for f in message.files if message else ():
                 fs.move(f + ".open", f)
+        self._sweep()
 
     def abort(self, messages) -> None:
-        fs, _ = filesystem(self.options["path"])
-        for message in messages:
-            for f in message.files if message else ():
-                fs.delete_file(f + ".open")
+        self._sweep()
+
+    def _sweep(self) -> None:
+        """Deletes the unpublished files of this job; failed tries are known by their names only."""
+        fs, at = filesystem(self.options["path"])
+        for f in fs.get_file_info(pafs.FileSelector(at)):
+            if f.base_name.startswith(f"part-{self.job}-") and f.base_name.endswith(".open"):
+                fs.delete_file(f.path)
 
 
 class WarcSource(DataSource):
@@ -350,19 +391,20 @@ def page_records(pages: DataFrame, least_bytes: int = 0, date: str = "2024-01-01
     made = pages.select(
         F.col("page_id"), F.col("url"), F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("payload")
     ).withColumn("digest", base32_sha1(F.col("payload")))
-    # digests held once need no partner: only repeated ones reach the join
+    # only repeated digests reach the join; the rows of one that a third of all pages share are dealt over several keys
     first = (
         made.where(F.octet_length("payload") >= least_bytes)
         .groupBy("digest")
         .agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n"))
         .where("n > 1")
-        .select(F.col("digest").alias("d"), "first")
+        .select(F.col("digest").alias("d"), "first", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("s"))
     )
+    made = made.withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int"))
     urn = lambda c: F.concat(F.lit("<urn:x-page:"), F.coalesce(c.cast("string"), F.lit("null")), F.lit(">"))
     revisit = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first")) & (
         F.octet_length("payload") >= least_bytes
     )
-    return made.join(first, made.digest == first.d, "left").select(
+    return made.join(first, (made.digest == first.d) & (made.salt == first.s), "left").select(
         F.when(revisit, "revisit").otherwise("response").alias("record_type"),
         urn(F.col("page_id")).alias("record_id"),
         F.col("url").alias("target_uri"),

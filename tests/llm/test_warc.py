@@ -1,8 +1,11 @@
 import base64
 import gzip
 import hashlib
+import io
+import os
 from pathlib import Path
 
+import pytest
 from pyspark.sql import functions as F
 
 from flowloom.llm import warc
@@ -75,8 +78,6 @@ def test_predicates_are_pushed_and_payloads_skipped(spark, tmp_path):
             taken.append(n)
             return super().take(n)
 
-    import io
-
     raw = warc.serialise({"record_type": "response", "record_id": "r", "payload": b"y" * 500}, zipped=False) * 3
     plain, warc._Plain = warc._Plain, Counted
     try:
@@ -86,6 +87,58 @@ def test_predicates_are_pushed_and_payloads_skipped(spark, tmp_path):
         warc._Plain = plain
 
 
+def other_archive():
+    """Records as other writers make them: empty and headless HTTP blocks, no extra field."""
+    def record(kind, block, content="application/http;msgtype=response"):
+        head = f"WARC/1.0\r\nWARC-Type: {kind}\r\nWARC-Record-ID: <urn:x:{kind}>\r\nContent-Type: {content}\r\nContent-Length: {len(block)}\r\n\r\n"
+        return head.encode() + block + b"\r\n\r\n"
+
+    return [
+        record("warcinfo", b"software: x\r\n", "application/warc-fields"), record("revisit", b""), record("response", b"HTTP/1.1 200 OK\r\n\r\nbody\r\n\r\nmore"),
+        record("request", b"GET / HTTP/1.1"), record("resource", b"\x00\x01" * 400_000, "image/png"), record("metadata", b"a: b", "application/warc-fields"),
+    ]
+
+
+@pytest.mark.parametrize("packed", [lambda r: (b"".join(r), False), lambda r: (b"".join(map(gzip.compress, r)), True), lambda r: (gzip.compress(b"".join(r)), True)])
+def test_archives_of_other_writers(packed):
+    data, zipped = packed(other_archive())
+    got = {r["record_type"]: r["payload"] for r in warc.records(io.BytesIO(data), zipped, lambda row: True, {"payload"})}
+    assert got == {
+        "warcinfo": b"software: x\r\n", "revisit": b"", "response": b"body\r\n\r\nmore", "request": b"GET / HTTP/1.1",
+        "resource": b"\x00\x01" * 400_000, "metadata": b"a: b",
+    }
+    some = [r["payload"] for r in warc.records(io.BytesIO(data), zipped, lambda row: row["record_type"] == "metadata", {"payload"})]
+    assert some == [b"a: b"]
+
+
+def test_unwanted_members_are_not_decompressed():
+    noise = os.urandom(2_000_000)
+    data = b"".join(warc.serialise({"record_type": k, "record_id": f"<{i}>", "payload": noise}) for i, k in enumerate(["response", "metadata", "response", "response", "metadata"]))
+
+    class Counted(io.BytesIO):
+        read_bytes = 0
+
+        def read(self, n=-1):
+            out = super().read(n)
+            self.read_bytes += len(out)
+            return out
+
+    assert gzip.decompress(data).count(noise) == 5
+    stream = Counted(data)
+    got = [r["record_id"] for r in warc.records(stream, True, lambda row: row["record_type"] == "metadata", {"record_id"})]
+    assert got == ["<1>", "<4>"] and stream.read_bytes <= 6 * warc.CHUNK
+    got = list(warc.records(io.BytesIO(data), True, lambda row: row["record_type"] == "metadata", {"payload"}))
+    assert [r["payload"] == noise for r in got] == [True, True]
+
+
+def test_unpublished_files_of_a_job_are_swept(tmp_path):
+    writer = warc.WarcWriter({"path": str(tmp_path)})
+    for name in (f"part-{writer.job}-000000-a-0.warc.gz.open", f"part-{writer.job}-000001-b-0.warc.gz.open", "part-other-0.warc.gz.open"):
+        Path(tmp_path, name).write_bytes(b"")
+    writer.commit([warc.Written([f"{tmp_path}/part-{writer.job}-000001-b-0.warc.gz"])])
+    assert sorted(p.name for p in tmp_path.iterdir()) == [f"part-{writer.job}-000001-b-0.warc.gz", "part-other-0.warc.gz.open"]
+
+
 def test_file_partitions(tmp_path):
     for k in range(5):
         Path(tmp_path, f"{k}.warc.gz").write_bytes(b"x" * 100)
