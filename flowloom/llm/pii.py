@@ -24,7 +24,7 @@ KINDS = ("email", "ip", "card", "phone")
 EMAIL, IP, CARD, PHONE = range(4)
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-_LOCAL_TAIL = re.compile(r"[A-Za-z0-9._%+-]+\Z")
+_LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 # a run's first digit decides: where it fails, later starts in the same run fail as well
 _IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
@@ -32,7 +32,7 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
 _AT_WORD = re.compile(r"[(\[{<]\s?at\s?[)\]}>]", re.I)
 _EMAIL_WORDS = re.compile(
-    r"[A-Za-z0-9._%+-]{1,64}\s?[(\[{<]\s?at\s?[)\]}>]\s?"
+    r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}\s?[(\[{<]\s?at\s?[)\]}>]\s?"
     r"[A-Za-z0-9-]{1,63}(?:(?:\.|\s?[(\[{<]\s?dot\s?[)\]}>]\s?)[A-Za-z0-9-]{1,63}){1,8}",
     re.I,
 )
@@ -70,15 +70,13 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     done = 0
     at = text.find("@")
     while at >= 0:
-        lo = max(done, at - 64)
-        local = _LOCAL_TAIL.search(text, lo, at)
-        while local and local.start() == lo > done:  # the run may begin further to the left
-            lo = max(done, lo - 4 * (at - lo))
-            local = _LOCAL_TAIL.search(text, lo, at)
-        domain = _DOMAIN.match(text, at + 1) if local else None
+        lo = at
+        while lo > done and text[lo - 1] in _LOCAL:
+            lo -= 1
+        domain = _DOMAIN.match(text, at + 1) if lo < at else None
         if domain:
             done = domain.end()
-            found.append((EMAIL, local.start(), done))
+            found.append((EMAIL, lo, done))
         at = text.find("@", max(at + 1, done))
     if _DIGIT.search(text):
         for m in _IP.finditer(text):
@@ -272,7 +270,8 @@ def label_spans(docs: DataFrame, threshold: float = 0.9) -> DataFrame:
     """Input columns plus ``spans``: base spans and those the trained classifier accepts.
 
     Each span is ``(kind, start, end, base)`` in code points, end exclusive, sorted
-    by kind (index into ``KINDS``) and start. Null text counts as empty; an input
+    by kind (index into ``KINDS``) and start; of overlapping candidates of one kind the first,
+    then the longest counts. Null text counts as empty; repeated rows get equal spans; an input
     column named ``spans`` is replaced. One pass gathers vote counts, one labels.
     """
     found = find_candidates(docs.drop("spans"))
@@ -327,5 +326,9 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: all documents stay, their personal data is masked."""
+    """Pipeline stage: all documents stay, their personal data is masked.
+
+    All columns, of any name, and repeated rows stay; null and empty texts stay as they are;
+    null ids are no matter; an empty table gives an empty result.
+    """
     return redact(docs)

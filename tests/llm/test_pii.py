@@ -45,7 +45,7 @@ def test_long_runs_stay_linear():
     import time
 
     began = time.time()
-    for text in ("a" * 300_000, "1" * 300_000, "1." * 150_000, "+1" + "(" * 300_000, "@" * 300_000, "a@" * 150_000, "1 " * 150_000, "a@b." * 50_000):
+    for text in ("a" * 300_000, "1" * 300_000, "1." * 150_000, "+1" + "(" * 300_000, "@" * 300_000, "a@" * 150_000, "1 " * 150_000, "a@b." * 50_000, "x" * 400_000 + " " + "y" * 100_000 + "@b.com", "ab" * 99 + " (at) c.de " * 9_000):
         pii.candidates(text)
     assert time.time() - began < 20
 
@@ -69,6 +69,12 @@ def test_empty_table(spark, tmp_path):
     assert pii.query(spark, str(tmp_path)).count() == 0
 
 
+def test_added_spans_start_at_words():
+    name = "n" * 80
+    found = [(k, s, e) for k, s, e, base, _ in pii.candidates(f"write to joe.doe (at) site.org or {name} [at] site.org") if not base]
+    assert found == [(pii.EMAIL, 9, 30)]
+
+
 def test_training_finds_the_unreliable_labeler():
     import numpy as np
 
