@@ -104,26 +104,27 @@ PIECE = "doc_id {id}, start long, length long, ids_crc32 long, doc_tokens long"
 
 
 def pieces(docs: DataFrame, capacity: int, grain: int, path: str) -> DataFrame:
-    """One row per piece of every document; its ids end with ``END_ID``."""
+    """One row per piece of every document, with the number of its row; its ids end with ``END_ID``."""
     end = END_ID.to_bytes(4, "little")
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         write = loaded(IdWriter, path)
         for batch in batches:
             ids, rows = [], []
-            for doc_id, text in zip(batch["doc_id"], batch["text"]):
+            for doc_id, text, row in zip(batch["doc_id"], batch["text"], batch["row"].tolist()):
                 data = write(text) + end
                 n = len(data) // 4
                 starts = cut_points(n, capacity, grain, FINEST if zlib.crc32(data) % FINE_SHARE == 0 else grain).tolist()
                 for a, b in zip(starts, [*starts[1:], n]):
                     ids.append(doc_id)
-                    rows.append((a, b - a, zlib.crc32(data[4 * a : 4 * b]), n))
-            out = pd.DataFrame(rows, columns=["start", "length", "ids_crc32", "doc_tokens"], dtype=np.int64)
+                    rows.append((a, b - a, zlib.crc32(data[4 * a : 4 * b]), n, row))
+            out = pd.DataFrame(rows, columns=["start", "length", "ids_crc32", "doc_tokens", "row"], dtype=np.int64)
             out.insert(0, "doc_id", pd.Series(ids, dtype=object))
             yield out
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInPandas(cut, PIECE.format(id=kind))
+    numbered = docs.select("doc_id", "text", F.monotonically_increasing_id().alias("row"))
+    return numbered.mapInPandas(cut, PIECE.format(id=kind) + ", row long")
 
 
 def pack(
@@ -132,7 +133,8 @@ def pack(
     """Pieces with ``sequence_id`` and ``offset``: each sequence is gapless from 0 and at most ``capacity`` long.
 
     Only lengths and checksums are shuffled, never ids or texts. Pieces are dealt
-    by hash into blocks of about ``block_docs`` documents; a block wastes less than
+    by a hash of row number and start, so repeated rows too, into blocks of about
+    ``block_docs`` documents; a block wastes less than
     one window beyond what differencing leaves uneven. Null text is empty and so one
     id long; null ids and repeated rows are packed like any other row. An empty
     table gives an empty result.
@@ -140,8 +142,8 @@ def pack(
     path = path or default_path()
     blocks = max(1, -(-docs.count() // block_docs))
     cut = pieces(docs, capacity, grain, path).withColumn(
-        "block", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(blocks))
-    )
+        "block", F.pmod(F.xxhash64("row", "start"), F.lit(blocks))
+    ).drop("row")
 
     def place(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["doc_id", "start", "ids_crc32"], kind="stable", ignore_index=True)
@@ -167,4 +169,8 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pipeline stage: the packed pieces of all documents; of the columns only ``doc_id`` and ``text`` count.
+
+    Nulls, empty texts, repeated rows and an empty table are treated as in ``pack``.
+    """
     return pack(docs)

@@ -64,6 +64,39 @@ def test_differencing_is_near_equal_and_partitions():
                 assert sums.max() - sums.min() <= 60
 
 
+def plain_differencing(sizes, ways):
+    """Karmarkar-Karp on full tuples of sets, as the textbook has it."""
+    parts = [(s, [(s, (i,))] + [(0, ())] * (ways - 1)) for i, s in enumerate(sizes)]
+    while len(parts) > 1:
+        parts.sort(key=lambda p: -p[0])
+        (_, a), (_, b), *rest = parts
+        merged = sorted(((x + y, i + j) for (x, i), (y, j) in zip(a, reversed(b))), reverse=True)
+        parts = [*rest, (merged[0][0] - merged[-1][0], merged)]
+    return parts[0][1]
+
+
+def test_differencing_equals_the_textbook():
+    r = random.Random(8)
+    for _ in range(200):
+        ways, n = r.randint(2, 6), r.randint(1, 30)
+        sizes = [r.randint(1, 10**6) for _ in range(n)]  # ties are unlikely, so both take the same steps
+        bins, sums = packing.differencing(np.array(sizes, dtype=np.int64), ways)
+        want = plain_differencing(sizes, ways)
+        assert sorted(sums.tolist()) == sorted(s for s, _ in want if s)
+        assert {tuple(np.flatnonzero(bins == b)) for b in set(bins.tolist())} == {tuple(sorted(i)) for _, i in want if i}
+
+
+def test_repeated_rows_and_ties_spread_over_blocks(spark):
+    rows = [(7, words(1, 300), "en", "s", 1)] * 900 + [(8 + k, words(2, 300), "en", "s", 1) for k in range(300)]
+    docs = documents(spark, rows)
+    out = packing.pack(docs, block_docs=100).collect()
+    check(out, [(r[0], r[1]) for r in rows])
+    sizes = defaultdict(int)
+    for r in out:
+        sizes[r.sequence_id >> 32] += r.length
+    assert len(sizes) == 12 and max(sizes.values()) < 2 * min(sizes.values())
+
+
 def test_window_count_rises_until_all_fit():
     sizes = np.array([1100] * 7)
     bins = packing.pack_sizes(sizes, 2048)
