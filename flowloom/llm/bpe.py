@@ -194,7 +194,11 @@ class Digester:
 
 
 def round_trip_digests(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """``(doc_id, n_tokens, ids_sha256, decoded_sha256)`` for every row; nothing is shuffled."""
+    """``(doc_id, n_tokens, ids_sha256, decoded_sha256)`` for every row; nothing is shuffled.
+
+    Null and empty texts have no ids and the digests of empty strings; null ids and repeated
+    rows are rows like any other; further columns are left out; an empty table gives an empty result.
+    """
     path = path or default_path()
 
     @F.pandas_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -18,15 +18,23 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: the session's ``spark.checkpoint.dir``.
 
-    Only where none is configured (local tests) a fresh temporary one is used.
+    Where none is configured, a local session gets a fresh temporary one and a cluster an error.
     """
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         configured = spark.conf.get("spark.checkpoint.dir", None)
+        if not configured and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="flowloom-ckpt-"))
     return sc.getCheckpointDir()
 
 
+def discard(spark: SparkSession, path: str) -> None:
+    """Deletes a folder that a finished step left in the shared folder."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def durable(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared folder and cut its lineage."""
     shared_folder(df.sparkSession)
