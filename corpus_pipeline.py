@@ -13,7 +13,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from flowloom.llm import line_frequency, packing, pii, simhash, toxicity
-from flowloom.llm.common import read_table, shared_folder
+from flowloom.llm.common import discard, read_table, shared_folder
 
 STAGES = [
     ("quality rules", line_frequency.stage),
@@ -28,9 +28,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of the last stage; what earlier stages wrote is deleted as soon as the next one has been written."""
     docs = read_table(spark, sf_dir, "documents")
     base = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     for k, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{base}/{k}")
         docs = spark.read.parquet(f"{base}/{k}")
+        if k:
+            discard(spark, f"{base}/{k - 1}")
     return docs
