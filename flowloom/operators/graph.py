@@ -14,15 +14,20 @@ def nodes(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
 
 
 def node_features(edges: DataFrame) -> DataFrame:
-    """Ten log-scaled features per address; a side on which it never occurs counts 0."""
-    out = edges.groupBy(F.col("src").alias("ip")).agg(
-        F.sum("in_bytes").alias("out_sum"), F.sum("in_pkts").alias("out_pkts"), F.count(F.lit(1)).alias("out_flows"),
-        F.count_distinct("dst").alias("fan_out"), F.count_distinct("dst_port").alias("port_div"),
-    )
-    into = edges.groupBy(F.col("dst").alias("ip")).agg(
-        F.sum("in_bytes").alias("in_sum"), F.sum("in_pkts").alias("in_pkts_sum"), F.count(F.lit(1)).alias("in_flows"),
-        F.count_distinct("src").alias("fan_in"), F.count_distinct("protocol").alias("proto_div"),
-    )
+    """Ten log-scaled features per address; a side on which it never occurs counts 0.
+
+    Distinct ends are counted over distinct pairs, so that no flow is copied for a count.
+    """
+
+    def side(end: str, sums: tuple[str, str, str], kinds: dict[str, str]) -> DataFrame:
+        found = edges.groupBy(F.col(end).alias("ip")).agg(F.sum("in_bytes").alias(sums[0]), F.sum("in_pkts").alias(sums[1]), F.count(F.lit(1)).alias(sums[2]))
+        for other, name in kinds.items():
+            pairs = edges.select(F.col(end).alias("ip"), other).where(F.col(other).isNotNull()).distinct()
+            found = found.join(pairs.groupBy("ip").agg(F.count(F.lit(1)).alias(name)), "ip", "left")
+        return found
+
+    out = side("src", ("out_sum", "out_pkts", "out_flows"), {"dst": "fan_out", "dst_port": "port_div"})
+    into = side("dst", ("in_sum", "in_pkts_sum", "in_flows"), {"src": "fan_in", "protocol": "proto_div"})
     both = out.join(into, "ip", "full_outer")
     return both.select("ip", *[F.log1p(F.coalesce(F.col(c), F.lit(0)).cast("double")).alias(c) for c in NODE_FEATURES])
 
@@ -86,20 +91,37 @@ def flow_context(edges: DataFrame, embedding: DataFrame, size: int) -> DataFrame
     return joined.select(*edges.columns, F.concat(F.coalesce("_src", zero), F.coalesce("_dst", zero)).alias("context"), unseen.alias("unseen"))
 
 
-def causal_counters(edges: DataFrame, order: str = "pos") -> DataFrame:
+def causal_counters(edges: DataFrame, order: str = "pos", run: int = 100_000) -> DataFrame:
     """Per flow what its source did strictly before it: flows, bytes and distinct destinations.
 
-    First contacts are flagged per pair, so the running distinct count is a running sum.
+    First contacts are flagged at their position, so the running distinct count is a running
+    sum. Running sums go over at most ``run`` positions; what a source did before those
+    comes from one small row for each source and run.
     """
-    first = F.row_number().over(Window.partitionBy("src", "dst").orderBy(order)) == 1
-    past = Window.partitionBy("src").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    flagged = edges.withColumn("_f", first.cast("long"))
-    before = lambda c: F.coalesce(F.sum(c).over(past), F.lit(0))
-    return flagged.select(
-        *edges.columns, before(F.lit(1).cast("long")).alias("past_flows"), before("in_bytes").cast("double").alias("past_bytes"), before("_f").alias("past_fan_out")
+    firsts = edges.groupBy("src", "dst").agg(F.min(order).alias(order)).select(order, F.lit(1).cast("long").alias("_f"))
+    flagged = edges.join(firsts, order, "left").withColumn("_run", F.floor(F.col(order) / run)).withColumn("_one", F.lit(1).cast("long"))
+    names = ["_one", "in_bytes", "_f"]
+    past = Window.unboundedPreceding, -1
+    earlier = Window.partitionBy("src").orderBy("_run").rowsBetween(*past)
+    sums = flagged.groupBy("src", "_run").agg(*[F.sum(c).alias(c) for c in names])
+    offsets = sums.select("src", "_run", *[F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"_before{c}") for c in names])
+    inside = Window.partitionBy("src", "_run").orderBy(order).rowsBetween(*past)
+    total = lambda c: F.col(f"_before{c}") + F.coalesce(F.sum(c).over(inside), F.lit(0))
+    return flagged.join(offsets, ["src", "_run"]).select(
+        *[F.col(c) for c in edges.columns], total("_one").alias("past_flows"), total("in_bytes").cast("double").alias("past_bytes"), total("_f").cast("long").alias("past_fan_out")
     )
 
 
+def sage(edges: DataFrame, features: DataFrame, layers: list[tuple[list, list]], columns: list[str]) -> DataFrame:
+    """Several mean-aggregating layers, the rectifier between them but not after the last: ``(ip, h)``."""
+    now = features.select("ip", *columns)
+    for k, (own, theirs) in enumerate(layers):
+        h = sage_layer(now, aggregate_neighbours(edges, now, columns), own, theirs, columns, relu=k + 1 < len(layers))
+        columns = [f"h{i}" for i in range(len(own))]
+        now = h.select("ip", *[F.col("h")[i].alias(c) for i, c in enumerate(columns)])
+    return h
+
+
 def context_by_chunk(edges: DataFrame, chunks: str = "chunk") -> DataFrame:
     """Cumulative source features at the start of each chunk: ``(src, chunk, flows, bytes, fan_out)``.
 

@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .profiles import quantiles
+
 PARAMS = "k int, weight double, mean array<double>, var array<double>"
 
 
@@ -69,6 +71,13 @@ def novelty(scored: DataFrame, fit: Column | None = None, sigmas: float = 3.0) -
     return scored.crossJoin(F.broadcast(cut)).withColumn("novel", F.col("log_likelihood") < F.col("_cut")).drop("_cut")  # one row
 
 
+def percentile_novelty(scored: DataFrame, fit: Column, q: float = 0.05) -> DataFrame:
+    """Adds ``novel``: likelihood below the ``q`` quantile of the rows where ``fit`` holds."""
+    seen = scored.where(fit).select(F.lit(0).alias("_g"), "log_likelihood")
+    cut = quantiles(seen, "_g", ["log_likelihood"], q).select(F.col("value").alias("_cut"))
+    return scored.crossJoin(F.broadcast(cut)).withColumn("novel", F.col("log_likelihood") < F.col("_cut")).drop("_cut")  # one row
+
+
 def nearest(df: DataFrame, vector: str, params: DataFrame) -> DataFrame:
     """K-means style ``cluster`` and ``score`` = -(smallest squared distance); the centres are one broadcast row."""
     square = lambda c: F.aggregate(F.zip_with(F.col(vector), c["m"], lambda a, b: (a.cast("double") - b) ** 2), F.lit(0.0), lambda a, v: a + v)

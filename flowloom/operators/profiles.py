@@ -9,18 +9,47 @@ from pyspark.sql.window import Window
 
 def profile(df: DataFrame, group: str, columns: list[str], sample_std: bool = False) -> DataFrame:
     """Size, mean and exact interpolated median per group (and sample deviation where asked for)."""
-    stats = [(F.avg, "avg"), (F.median, "med"), *([(F.stddev_samp, "std")] if sample_std else [])]
-    return df.groupBy(group).agg(F.count(F.lit(1)).alias("size"), *[f(c).alias(f"{k}_{c}") for c in columns for f, k in stats])
+    stats = [(F.avg, "avg"), *([(F.stddev_samp, "std")] if sample_std else [])]
+    means = df.groupBy(group).agg(F.count(F.lit(1)).alias("size"), *[f(c).alias(f"{k}_{c}") for c in columns for f, k in stats])
+    return with_quantiles(means, quantiles(df, group, columns), group, {c: f"med_{c}" for c in columns})
+
+
+def quantiles(df: DataFrame, group: str, columns: list[str], q: float = 0.5) -> DataFrame:
+    """``(group, feature, value)``: exact linearly interpolated quantiles.
+
+    Values are counted first. Counts per value range, at most some thousand per group and
+    feature, tell in which range a quantile lies; only those ranges are sorted.
+    """
+    long = df.select(group, *[F.col(c).cast("double").alias(c) for c in columns]).unpivot([group], columns, "feature", "x")
+    per = long.where(F.col("x").isNotNull() & F.col(group).isNotNull()).groupBy(group, "feature", "x").agg(F.count(F.lit(1)).alias("n"))
+    per = per.withColumn("range", F.floor(F.signum("x") * F.log2(1 + F.abs("x")) * 32))  # never decreases with x
+    of = Window.partitionBy(group, "feature")
+    ranges = per.groupBy(group, "feature", "range").agg(F.sum("n").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(of.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    at = (F.sum("_n").over(of) - 1) * F.lit(q)
+    held = ranges.withColumns({"_before": before, "_at": at}).where((F.col("_before") <= F.ceil("_at")) & (F.col("_before") + F.col("_n") > F.floor("_at")))
+    run = F.col("_before") + F.sum("n").over(Window.partitionBy(group, "feature", "range").orderBy("x").rowsBetween(Window.unboundedPreceding, 0))
+    placed = per.join(held.drop("_n"), [group, "feature", "range"]).withColumn("_run", run)
+    value = lambda p: F.max(F.when((F.col("_run") - F.col("n") <= p) & (p < F.col("_run")), F.col("x")))
+    ends = placed.groupBy(group, "feature").agg(value(F.floor("_at")).alias("a"), value(F.ceil("_at")).alias("b"), F.max(F.col("_at") - F.floor("_at")).alias("w"))
+    return ends.select(group, "feature", (F.col("a") + (F.col("b") - F.col("a")) * F.col("w")).alias("value"))
+
+
+def with_quantiles(df: DataFrame, found: DataFrame, group: str, names: dict[str, str]) -> DataFrame:
+    """Adds quantiles as columns; ``names`` maps features to them."""
+    wide = found.groupBy(F.col(group).alias("_g")).agg(*[F.max(F.when(F.col("feature") == c, F.col("value"))).alias(a) for c, a in names.items()])
+    return df.join(wide, df[group].eqNullSafe(wide["_g"]), "left").drop("_g")
 
 
 def shares(df: DataFrame, group: str) -> DataFrame:
     share = lambda c: F.avg(c.cast("double"))
     ttl, flags = F.col("min_ttl"), F.col("tcp_flags")
-    return df.groupBy(group).agg(
+    found = df.groupBy(group).agg(
         share(ttl == 0).alias("share_ttl0"), share(ttl == 64).alias("share_ttl64"), share(~ttl.isin(0.0, 64.0)).alias("share_ttl_other"),
         share(flags == 2).alias("share_syn"), share(F.col("protocol") == 17).alias("share_udp"),
-        F.count_distinct("dst_port").alias("n_ports"), F.median("dst_port").alias("med_port"),
+        F.count_distinct("dst_port").alias("n_ports"),
     )
+    return with_quantiles(found, quantiles(df, group, ["dst_port"]), group, {"dst_port": "med_port"})
 
 
 def unpivoted(df: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
@@ -42,15 +71,21 @@ def fisher_ratio(df: DataFrame, group: str, columns: list[str]) -> DataFrame:
     return out.select("feature", F.when(F.col("w") > 0, F.col("b") / F.col("w")).otherwise(0.0).alias("fisher"))
 
 
-def effect_sizes(df: DataFrame, group: str, columns: list[str], top: int = 10) -> DataFrame:
-    """The ``top`` features per group by standardised difference from the overall mean."""
+def effect_sizes(df: DataFrame, group: str, columns: list[str], top: int = 10, hidden: tuple[str, ...] = ()) -> DataFrame:
+    """The ``top`` features per group by standardised difference from the overall mean.
+
+    Features whose name starts with one of ``hidden`` (one-hot columns) take their ranks but are not shown.
+    """
     each = moments(df, group, columns)
     over = Window.partitionBy("feature")
     n, mean = F.sum("n").over(over), F.sum(F.col("n") * F.col("mean")).over(over) / F.sum("n").over(over)
     square = F.sum(F.col("n") * (F.col("var") + F.col("mean") ** 2)).over(over) / n
     effect = (F.col("mean") - mean) / (F.sqrt(F.greatest(square - mean**2, F.lit(0.0))) + 1e-8)
     ranked = each.withColumn("effect", effect).withColumn("rank", F.row_number().over(Window.partitionBy(group).orderBy(F.abs("effect").desc(), "feature")))
-    return ranked.where(F.col("rank") <= top).select(group, "feature", "effect", "rank")
+    shown = ranked.where(F.col("rank") <= top).select(group, "feature", "effect", "rank")
+    for prefix in hidden:
+        shown = shown.where(~F.col("feature").startswith(prefix))
+    return shown
 
 
 def representatives(df: DataFrame, group: str, vector: str, key: str, k: int = 5) -> DataFrame:

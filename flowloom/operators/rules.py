@@ -37,24 +37,229 @@ BOT_IOT_RULES = [
     ("normal_activity", "duration", "in", 308.0, 12714.0, 0.2864),
 ]
 
-#: Features of the per-attack profiles with their weights, and each profile's bounds (None: open) in that order.
-UNSW_WEIGHTS = {
-    "tcp_flags": 0.1568, "longest_pkt": 0.1154, "dst_port": 0.1078, "iat_in_avg": 0.0858, "pps_flow": 0.0856, "iat_in_std": 0.065,
-    "dir_ratio_flow": 0.0397, "bpp_flow": 0.0367,
-}
-UNSW_BOUNDS = {
-    "service_probing": [(23.65, None), (392.5, 480.4), (None, 265.7), (104.9, 119.3), (None, 195.5), (177.5, 206.2), (1.342, 2.225), (97.71, 115.4)],
-    "exploitation#Exploits": [(18.65, 23.65), (576.6, None), (2415.0, 2672.0), (87.1, 95.21), (195.5, 2096.0), (140.6, 159.9), (6.625, 13.48), (238.1, 288.8)],
-    "exploitation#Shellcode": [(12.59, 14.3), (217.4, 312.4), (14570.0, None), (31.63, 61.6), (5975.0, 6644.0), (53.33, 98.77), (None, 0.6325), (115.4, 138.5)],
-    "volumetric_flood#DoS": [(15.99, 18.65), (480.4, 576.6), (2672.0, 5633.0), (61.6, 81.3), (3094.0, 3632.0), (98.77, 126.6), (4.266, 5.444), (185.5, 207.6)],
-    "volumetric_flood#Generic": [(None, 8.117), (217.4, 312.4), (1161.0, 1921.0), (14.38, 31.63), (10210.0, None), (32.3, 53.33), (2.225, 3.399), (138.5, 163.3)],
-    "fuzzing": [(12.59, 14.3), (312.4, 392.5), (265.7, 1161.0), (61.6, 81.3), (5062.0, 5975.0), (98.77, 140.6), (0.9798, 1.342), (163.3, 185.5)],
-    "worm_spreading": [(15.99, 18.65), (576.6, 700.3), (1161.0, 1921.0), (95.21, 104.9), (2096.0, 3094.0), (159.9, 177.5), (13.48, None), (288.8, None)],
-    "normal_activity": [(18.65, 23.65), (670.0, None), (5633.0, 14570.0), (None, 14.38), (3632.0, 4132.0), (None, 32.3), (5.444, 6.625), (207.6, 238.1)],
-    "backdoor_comm": [(14.3, 15.99), (392.5, 480.4), (2415.0, 2672.0), (119.3, None), (4132.0, 5062.0), (206.2, None), (3.399, 4.266), (185.5, 207.6)],
-    "port_scanning": [(8.117, 12.59), (None, 217.4), (1921.0, 2415.0), (81.3, 87.1), (6644.0, 10210.0), (121.9, 140.6), (0.6325, 0.9798), (None, 97.71)],
-}
-UNSW_TTL_RULE = ("normal_activity", "min_ttl", "<", 43.98, None, 2.1765)
+#: The same for UNSW-NB15; ``behaviour#attack`` profiles share a behaviour.
+UNSW_RULES = [
+    ("service_probing", "tcp_flags", ">", 23.65, None, 0.1568),
+    ("service_probing", "longest_pkt", "in", 392.5, 480.4, 0.1154),
+    ("service_probing", "dst_port", "<", 265.7, None, 0.1078),
+    ("service_probing", "iat_in_avg", "in", 104.9, 119.3, 0.0858),
+    ("service_probing", "pps_flow", "<", 195.5, None, 0.0856),
+    ("service_probing", "iat_in_std", "in", 177.5, 206.2, 0.065),
+    ("service_probing", "dir_ratio_flow", "in", 1.342, 2.225, 0.0397),
+    ("service_probing", "bpp_flow", "in", 97.71, 115.4, 0.0367),
+    ("exploitation#Exploits", "tcp_flags", "in", 18.65, 23.65, 0.1568),
+    ("exploitation#Exploits", "longest_pkt", ">", 576.6, None, 0.1154),
+    ("exploitation#Exploits", "dst_port", "in", 2415.0, 2672.0, 0.1078),
+    ("exploitation#Exploits", "iat_in_avg", "in", 87.1, 95.21, 0.0858),
+    ("exploitation#Exploits", "pps_flow", "in", 195.5, 2096.0, 0.0856),
+    ("exploitation#Exploits", "iat_in_std", "in", 140.6, 159.9, 0.065),
+    ("exploitation#Exploits", "dir_ratio_flow", "in", 6.625, 13.48, 0.0397),
+    ("exploitation#Exploits", "bpp_flow", "in", 238.1, 288.8, 0.0367),
+    ("exploitation#Shellcode", "tcp_flags", "in", 12.59, 14.3, 0.1568),
+    ("exploitation#Shellcode", "longest_pkt", "in", 217.4, 312.4, 0.1154),
+    ("exploitation#Shellcode", "dst_port", ">", 14570.0, None, 0.1078),
+    ("exploitation#Shellcode", "iat_in_avg", "in", 31.63, 61.6, 0.0858),
+    ("exploitation#Shellcode", "pps_flow", "in", 5975.0, 6644.0, 0.0856),
+    ("exploitation#Shellcode", "iat_in_std", "in", 53.33, 98.77, 0.065),
+    ("exploitation#Shellcode", "dir_ratio_flow", "<", 0.6325, None, 0.0397),
+    ("exploitation#Shellcode", "bpp_flow", "in", 115.4, 138.5, 0.0367),
+    ("volumetric_flood#DoS", "tcp_flags", "in", 15.99, 18.65, 0.1568),
+    ("volumetric_flood#DoS", "longest_pkt", "in", 480.4, 576.6, 0.1154),
+    ("volumetric_flood#DoS", "dst_port", "in", 2672.0, 5633.0, 0.1078),
+    ("volumetric_flood#DoS", "iat_in_avg", "in", 61.6, 81.3, 0.0858),
+    ("volumetric_flood#DoS", "pps_flow", "in", 3094.0, 3632.0, 0.0856),
+    ("volumetric_flood#DoS", "iat_in_std", "in", 98.77, 126.6, 0.065),
+    ("volumetric_flood#DoS", "dir_ratio_flow", "in", 4.266, 5.444, 0.0397),
+    ("volumetric_flood#DoS", "bpp_flow", "in", 185.5, 207.6, 0.0367),
+    ("volumetric_flood#Generic", "tcp_flags", "<", 8.117, None, 0.1568),
+    ("volumetric_flood#Generic", "longest_pkt", "in", 217.4, 312.4, 0.1154),
+    ("volumetric_flood#Generic", "dst_port", "in", 1161.0, 1921.0, 0.1078),
+    ("volumetric_flood#Generic", "iat_in_avg", "in", 14.38, 31.63, 0.0858),
+    ("volumetric_flood#Generic", "pps_flow", ">", 10210.0, None, 0.0856),
+    ("volumetric_flood#Generic", "iat_in_std", "in", 32.3, 53.33, 0.065),
+    ("volumetric_flood#Generic", "dir_ratio_flow", "in", 2.225, 3.399, 0.0397),
+    ("volumetric_flood#Generic", "bpp_flow", "in", 138.5, 163.3, 0.0367),
+    ("fuzzing", "tcp_flags", "in", 12.59, 14.3, 0.1568),
+    ("fuzzing", "longest_pkt", "in", 312.4, 392.5, 0.1154),
+    ("fuzzing", "dst_port", "in", 265.7, 1161.0, 0.1078),
+    ("fuzzing", "iat_in_avg", "in", 61.6, 81.3, 0.0858),
+    ("fuzzing", "pps_flow", "in", 5062.0, 5975.0, 0.0856),
+    ("fuzzing", "iat_in_std", "in", 98.77, 140.6, 0.065),
+    ("fuzzing", "dir_ratio_flow", "in", 0.9798, 1.342, 0.0397),
+    ("fuzzing", "bpp_flow", "in", 163.3, 185.5, 0.0367),
+    ("worm_spreading", "tcp_flags", "in", 15.99, 18.65, 0.1568),
+    ("worm_spreading", "longest_pkt", "in", 576.6, 700.3, 0.1154),
+    ("worm_spreading", "dst_port", "in", 1161.0, 1921.0, 0.1078),
+    ("worm_spreading", "iat_in_avg", "in", 95.21, 104.9, 0.0858),
+    ("worm_spreading", "pps_flow", "in", 2096.0, 3094.0, 0.0856),
+    ("worm_spreading", "iat_in_std", "in", 159.9, 177.5, 0.065),
+    ("worm_spreading", "dir_ratio_flow", ">", 13.48, None, 0.0397),
+    ("worm_spreading", "bpp_flow", ">", 288.8, None, 0.0367),
+    ("normal_activity", "min_ttl", "<", 43.98, None, 2.1765),
+    ("normal_activity", "tcp_flags", "in", 18.65, 23.65, 0.1568),
+    ("normal_activity", "longest_pkt", ">", 670.0, None, 0.1154),
+    ("normal_activity", "dst_port", "in", 5633.0, 14570.0, 0.1078),
+    ("normal_activity", "iat_in_avg", "<", 14.38, None, 0.0858),
+    ("normal_activity", "pps_flow", "in", 3632.0, 4132.0, 0.0856),
+    ("normal_activity", "iat_in_std", "<", 32.3, None, 0.065),
+    ("normal_activity", "dir_ratio_flow", "in", 5.444, 6.625, 0.0397),
+    ("normal_activity", "bpp_flow", "in", 207.6, 238.1, 0.0367),
+    ("backdoor_comm", "tcp_flags", "in", 14.3, 15.99, 0.1568),
+    ("backdoor_comm", "longest_pkt", "in", 392.5, 480.4, 0.1154),
+    ("backdoor_comm", "dst_port", "in", 2415.0, 2672.0, 0.1078),
+    ("backdoor_comm", "iat_in_avg", ">", 119.3, None, 0.0858),
+    ("backdoor_comm", "pps_flow", "in", 4132.0, 5062.0, 0.0856),
+    ("backdoor_comm", "iat_in_std", ">", 206.2, None, 0.065),
+    ("backdoor_comm", "dir_ratio_flow", "in", 3.399, 4.266, 0.0397),
+    ("backdoor_comm", "bpp_flow", "in", 185.5, 207.6, 0.0367),
+    ("port_scanning", "tcp_flags", "in", 8.117, 12.59, 0.1568),
+    ("port_scanning", "longest_pkt", "<", 217.4, None, 0.1154),
+    ("port_scanning", "dst_port", "in", 1921.0, 2415.0, 0.1078),
+    ("port_scanning", "iat_in_avg", "in", 81.3, 87.1, 0.0858),
+    ("port_scanning", "pps_flow", "in", 6644.0, 10210.0, 0.0856),
+    ("port_scanning", "iat_in_std", "in", 121.9, 140.6, 0.065),
+    ("port_scanning", "dir_ratio_flow", "in", 0.6325, 0.9798, 0.0397),
+    ("port_scanning", "bpp_flow", "<", 97.71, None, 0.0367),
+]
+
+#: The same for CIC-IDS2018.
+CICIDS_RULES = [
+    ("bot_beaconing", "shortest_pkt", "<", 44.9, None, 2.3901),
+    ("bot_beaconing", "bpp_flow", "in", 72.58, 93.62, 1.0765),
+    ("bot_beaconing", "iat_avg", "in", 0.8158, 3.273, 0.8105),
+    ("bot_beaconing", "fan_out", "in", 7.14, 19.42, 0.5278),
+    ("bot_beaconing", "iat_max", "in", 5.142, 13.2, 0.3495),
+    ("bot_beaconing", "tcp_win_in", "in", 7273.0, 9579.0, 0.317),
+    ("bot_beaconing", "protocol", "<", 6.782, None, 0.2961),
+    ("bot_beaconing", "iat_std", "in", 1.939, 5.098, 0.2768),
+    ("bot_beaconing", "duration", "in", 3.44, 16.16, 0.2602),
+    ("brute_force#Brute_Force_-Web", "shortest_pkt", "in", 84.82, 226.4, 2.3901),
+    ("brute_force#Brute_Force_-Web", "bpp_flow", "in", 156.6, 173.6, 1.0765),
+    ("brute_force#Brute_Force_-Web", "iat_avg", "in", 2716.0, 3798.0, 0.8105),
+    ("brute_force#Brute_Force_-Web", "fan_out", "in", 2.613, 7.14, 0.5278),
+    ("brute_force#Brute_Force_-Web", "iat_max", "in", 5724.0, 8274.0, 0.3495),
+    ("brute_force#Brute_Force_-Web", "tcp_win_in", "in", 9579.0, 11860.0, 0.317),
+    ("brute_force#Brute_Force_-Web", "protocol", "in", 6.782, 9.181, 0.2961),
+    ("brute_force#Brute_Force_-Web", "iat_std", "in", 2048.0, 2915.0, 0.2768),
+    ("brute_force#Brute_Force_-Web", "duration", "in", 14830.0, 18370.0, 0.2602),
+    ("brute_force#FTP-BruteForce", "shortest_pkt", "<", 44.9, None, 2.3901),
+    ("brute_force#FTP-BruteForce", "bpp_flow", "<", 54.77, None, 1.0765),
+    ("brute_force#FTP-BruteForce", "iat_avg", "<", 0.1489, None, 0.8105),
+    ("brute_force#FTP-BruteForce", "fan_out", "<", 1.095, None, 0.5278),
+    ("brute_force#FTP-BruteForce", "iat_max", "<", 5.142, None, 0.3495),
+    ("brute_force#FTP-BruteForce", "tcp_win_in", "in", 25640.0, 41970.0, 0.317),
+    ("brute_force#FTP-BruteForce", "protocol", "<", 6.782, None, 0.2961),
+    ("brute_force#FTP-BruteForce", "iat_std", "<", 1.939, None, 0.2768),
+    ("brute_force#FTP-BruteForce", "duration", "<", 3.44, None, 0.2602),
+    ("brute_force#SSH-Bruteforce", "shortest_pkt", "in", 44.9, 53.33, 2.3901),
+    ("brute_force#SSH-Bruteforce", "bpp_flow", "in", 142.0, 156.6, 1.0765),
+    ("brute_force#SSH-Bruteforce", "iat_avg", "in", 8.571, 96.48, 0.8105),
+    ("brute_force#SSH-Bruteforce", "fan_out", "<", 1.095, None, 0.5278),
+    ("brute_force#SSH-Bruteforce", "iat_max", "in", 41.7, 273.6, 0.3495),
+    ("brute_force#SSH-Bruteforce", "tcp_win_in", "in", 25640.0, 41970.0, 0.317),
+    ("brute_force#SSH-Bruteforce", "protocol", "<", 6.782, None, 0.2961),
+    ("brute_force#SSH-Bruteforce", "iat_std", "in", 23.33, 148.6, 0.2768),
+    ("brute_force#SSH-Bruteforce", "duration", "in", 89.79, 1393.0, 0.2602),
+    ("internal_spreading", "shortest_pkt", "in", 53.33, 57.83, 2.3901),
+    ("internal_spreading", "bpp_flow", "in", 93.62, 111.5, 1.0765),
+    ("internal_spreading", "iat_avg", "in", 96.48, 678.8, 0.8105),
+    ("internal_spreading", "fan_out", ">", 27.61, None, 0.5278),
+    ("internal_spreading", "iat_max", "in", 1280.0, 3221.0, 0.3495),
+    ("internal_spreading", "tcp_win_in", "in", 2637.0, 5213.0, 0.317),
+    ("internal_spreading", "protocol", "in", 9.181, 12.95, 0.2961),
+    ("internal_spreading", "iat_std", "in", 148.6, 1142.0, 0.2768),
+    ("internal_spreading", "duration", "in", 1393.0, 8338.0, 0.2602),
+    ("normal_activity", "shortest_pkt", "in", 53.33, 57.83, 2.3901),
+    ("normal_activity", "bpp_flow", "in", 129.4, 142.0, 1.0765),
+    ("normal_activity", "iat_avg", "in", 947.0, 1330.0, 0.8105),
+    ("normal_activity", "fan_out", "in", 19.42, 27.61, 0.5278),
+    ("normal_activity", "iat_max", "in", 4761.0, 5724.0, 0.3495),
+    ("normal_activity", "tcp_win_in", "in", 5213.0, 7273.0, 0.317),
+    ("normal_activity", "protocol", "in", 9.181, 12.95, 0.2961),
+    ("normal_activity", "iat_std", "in", 1647.0, 1838.0, 0.2768),
+    ("normal_activity", "duration", "in", 13430.0, 14830.0, 0.2602),
+    ("volumetric_flood#DDOS_attack-HOIC", "shortest_pkt", "<", 44.9, None, 2.3901),
+    ("volumetric_flood#DDOS_attack-HOIC", "bpp_flow", "in", 156.6, 173.6, 1.0765),
+    ("volumetric_flood#DDOS_attack-HOIC", "iat_avg", "in", 3.273, 8.571, 0.8105),
+    ("volumetric_flood#DDOS_attack-HOIC", "fan_out", "in", 1.553, 2.613, 0.5278),
+    ("volumetric_flood#DDOS_attack-HOIC", "iat_max", "in", 13.2, 41.7, 0.3495),
+    ("volumetric_flood#DDOS_attack-HOIC", "tcp_win_in", ">", 41970.0, None, 0.317),
+    ("volumetric_flood#DDOS_attack-HOIC", "protocol", "<", 6.782, None, 0.2961),
+    ("volumetric_flood#DDOS_attack-HOIC", "iat_std", "in", 5.098, 11.72, 0.2768),
+    ("volumetric_flood#DDOS_attack-HOIC", "duration", "in", 16.16, 89.79, 0.2602),
+    ("volumetric_flood#DDOS_attack-LOIC-UDP", "shortest_pkt", "in", 57.83, 84.82, 2.3901),
+    ("volumetric_flood#DDOS_attack-LOIC-UDP", "bpp_flow", "in", 54.77, 72.58, 1.0765),
+    ("volumetric_flood#DDOS_attack-LOIC-UDP", "iat_avg", "in", 0.1489, 0.8158, 0.8105),
+    ("volumetric_flood#DDOS_attack-LOIC-UDP", "fan_out", "in", 1.553, 2.613, 0.5278),
+    ("volumetric_flood#DDOS_attack-LOIC-UDP", "iat_max", "in", 273.6, 1280.0, 0.3495),
+    ("volumetric_flood#DDOS_attack-LOIC-UDP", "tcp_win_in", "<", 462.8, None, 0.317),
+    ("volumetric_flood#DDOS_attack-LOIC-UDP", "protocol", ">", 16.37, None, 0.2961),
+    ("volumetric_flood#DDOS_attack-LOIC-UDP", "iat_std", "in", 11.72, 23.33, 0.2768),
+    ("volumetric_flood#DDOS_attack-LOIC-UDP", "duration", ">", 100800.0, None, 0.2602),
+    ("volumetric_flood#DDoS_attacks-LOIC-HTTP", "shortest_pkt", "<", 44.9, None, 2.3901),
+    ("volumetric_flood#DDoS_attacks-LOIC-HTTP", "bpp_flow", "in", 142.0, 156.6, 1.0765),
+    ("volumetric_flood#DDoS_attacks-LOIC-HTTP", "iat_avg", "in", 3798.0, 8596.0, 0.8105),
+    ("volumetric_flood#DDoS_attacks-LOIC-HTTP", "fan_out", "in", 1.553, 2.613, 0.5278),
+    ("volumetric_flood#DDoS_attacks-LOIC-HTTP", "iat_max", "in", 13920.0, 25630.0, 0.3495),
+    ("volumetric_flood#DDoS_attacks-LOIC-HTTP", "tcp_win_in", "in", 7273.0, 9579.0, 0.317),
+    ("volumetric_flood#DDoS_attacks-LOIC-HTTP", "protocol", "<", 6.782, None, 0.2961),
+    ("volumetric_flood#DDoS_attacks-LOIC-HTTP", "iat_std", "in", 5725.0, 9569.0, 0.2768),
+    ("volumetric_flood#DDoS_attacks-LOIC-HTTP", "duration", "in", 18370.0, 40070.0, 0.2602),
+    ("volumetric_flood#DoS_attacks-GoldenEye", "shortest_pkt", "in", 44.9, 53.33, 2.3901),
+    ("volumetric_flood#DoS_attacks-GoldenEye", "bpp_flow", "in", 192.3, 332.1, 1.0765),
+    ("volumetric_flood#DoS_attacks-GoldenEye", "iat_avg", "in", 1988.0, 2716.0, 0.8105),
+    ("volumetric_flood#DoS_attacks-GoldenEye", "fan_out", "<", 1.095, None, 0.5278),
+    ("volumetric_flood#DoS_attacks-GoldenEye", "iat_max", "in", 8274.0, 13920.0, 0.3495),
+    ("volumetric_flood#DoS_attacks-GoldenEye", "tcp_win_in", "in", 17540.0, 25640.0, 0.317),
+    ("volumetric_flood#DoS_attacks-GoldenEye", "protocol", "<", 6.782, None, 0.2961),
+    ("volumetric_flood#DoS_attacks-GoldenEye", "iat_std", "in", 2915.0, 5725.0, 0.2768),
+    ("volumetric_flood#DoS_attacks-GoldenEye", "duration", "in", 8338.0, 13430.0, 0.2602),
+    ("volumetric_flood#DoS_attacks-Hulk", "shortest_pkt", "in", 44.9, 53.33, 2.3901),
+    ("volumetric_flood#DoS_attacks-Hulk", "bpp_flow", "in", 173.6, 192.3, 1.0765),
+    ("volumetric_flood#DoS_attacks-Hulk", "iat_avg", "in", 678.8, 947.0, 0.8105),
+    ("volumetric_flood#DoS_attacks-Hulk", "fan_out", "<", 1.095, None, 0.5278),
+    ("volumetric_flood#DoS_attacks-Hulk", "iat_max", "in", 3221.0, 4761.0, 0.3495),
+    ("volumetric_flood#DoS_attacks-Hulk", "tcp_win_in", "in", 25640.0, 41970.0, 0.317),
+    ("volumetric_flood#DoS_attacks-Hulk", "protocol", "<", 6.782, None, 0.2961),
+    ("volumetric_flood#DoS_attacks-Hulk", "iat_std", "in", 1142.0, 1647.0, 0.2768),
+    ("volumetric_flood#DoS_attacks-Hulk", "duration", "in", 82100.0, 100800.0, 0.2602),
+    ("volumetric_flood#DoS_attacks-SlowHTTPTest", "shortest_pkt", "<", 44.9, None, 2.3901),
+    ("volumetric_flood#DoS_attacks-SlowHTTPTest", "bpp_flow", "<", 54.77, None, 1.0765),
+    ("volumetric_flood#DoS_attacks-SlowHTTPTest", "iat_avg", "<", 0.1489, None, 0.8105),
+    ("volumetric_flood#DoS_attacks-SlowHTTPTest", "fan_out", "<", 1.095, None, 0.5278),
+    ("volumetric_flood#DoS_attacks-SlowHTTPTest", "iat_max", "<", 5.142, None, 0.3495),
+    ("volumetric_flood#DoS_attacks-SlowHTTPTest", "tcp_win_in", "in", 25640.0, 41970.0, 0.317),
+    ("volumetric_flood#DoS_attacks-SlowHTTPTest", "protocol", "<", 6.782, None, 0.2961),
+    ("volumetric_flood#DoS_attacks-SlowHTTPTest", "iat_std", "<", 1.939, None, 0.2768),
+    ("volumetric_flood#DoS_attacks-SlowHTTPTest", "duration", "<", 3.44, None, 0.2602),
+    ("volumetric_flood#DoS_attacks-Slowloris", "shortest_pkt", "in", 44.9, 53.33, 2.3901),
+    ("volumetric_flood#DoS_attacks-Slowloris", "bpp_flow", "in", 111.5, 129.4, 1.0765),
+    ("volumetric_flood#DoS_attacks-Slowloris", "iat_avg", "in", 1330.0, 1988.0, 0.8105),
+    ("volumetric_flood#DoS_attacks-Slowloris", "fan_out", "<", 1.095, None, 0.5278),
+    ("volumetric_flood#DoS_attacks-Slowloris", "iat_max", "in", 5724.0, 8274.0, 0.3495),
+    ("volumetric_flood#DoS_attacks-Slowloris", "tcp_win_in", "in", 11860.0, 17540.0, 0.317),
+    ("volumetric_flood#DoS_attacks-Slowloris", "protocol", "<", 6.782, None, 0.2961),
+    ("volumetric_flood#DoS_attacks-Slowloris", "iat_std", "in", 1838.0, 2048.0, 0.2768),
+    ("volumetric_flood#DoS_attacks-Slowloris", "duration", "in", 14830.0, 18370.0, 0.2602),
+    ("web_exploitation#Brute_Force_-XSS", "shortest_pkt", ">", 441.4, None, 2.3901),
+    ("web_exploitation#Brute_Force_-XSS", "bpp_flow", ">", 332.1, None, 1.0765),
+    ("web_exploitation#Brute_Force_-XSS", "iat_avg", ">", 8596.0, None, 0.8105),
+    ("web_exploitation#Brute_Force_-XSS", "fan_out", "in", 1.095, 1.553, 0.5278),
+    ("web_exploitation#Brute_Force_-XSS", "iat_max", ">", 25630.0, None, 0.3495),
+    ("web_exploitation#Brute_Force_-XSS", "tcp_win_in", "in", 462.8, 1250.0, 0.317),
+    ("web_exploitation#Brute_Force_-XSS", "protocol", "in", 15.24, 16.37, 0.2961),
+    ("web_exploitation#Brute_Force_-XSS", "iat_std", ">", 9569.0, None, 0.2768),
+    ("web_exploitation#Brute_Force_-XSS", "duration", "in", 40070.0, 82100.0, 0.2602),
+    ("web_exploitation#SQL_Injection", "shortest_pkt", "in", 226.4, 441.4, 2.3901),
+    ("web_exploitation#SQL_Injection", "bpp_flow", ">", 332.1, None, 1.0765),
+    ("web_exploitation#SQL_Injection", "iat_avg", ">", 8596.0, None, 0.8105),
+    ("web_exploitation#SQL_Injection", "fan_out", "in", 1.095, 1.553, 0.5278),
+    ("web_exploitation#SQL_Injection", "iat_max", ">", 25630.0, None, 0.3495),
+    ("web_exploitation#SQL_Injection", "tcp_win_in", "in", 1250.0, 2637.0, 0.317),
+    ("web_exploitation#SQL_Injection", "protocol", "in", 12.95, 15.24, 0.2961),
+    ("web_exploitation#SQL_Injection", "iat_std", ">", 9569.0, None, 0.2768),
+    ("web_exploitation#SQL_Injection", "duration", "in", 40070.0, 82100.0, 0.2602),
+]
 
 #: Behaviour -> tactic weights, in the order in which behaviours are listed.
 TACTIC_WEIGHTS = {
@@ -76,6 +281,8 @@ TACTIC_WEIGHTS["cicids_v3"] = {
     "normal_activity": {"None": 1.0}, "volumetric_flood": {"Impact": 1.0}, "brute_force": {"Credential Access": 1.0},
     "bot_beaconing": {"Command and Control": 1.0}, "internal_spreading": {"Lateral Movement": 1.0}, "web_exploitation": {"Initial Access": 1.0},
 }
+#: Weights of the window scorer; its tactics are scaled by the largest one.
+TACTIC_WEIGHTS["window"] = TACTIC_WEIGHTS["bot_iot"] | {"connection_attempts": {"Reconnaissance": 0.5, "Initial Access": 0.5}, "exploitation": {"Execution": 1.0}}
 TACTICS = [
     "Reconnaissance", "Initial Access", "Execution", "Persistence", "Credential Access", "Discovery", "Lateral Movement",
     "Command and Control", "Exfiltration", "Impact", "None",
@@ -215,6 +422,82 @@ EXPERT_CICIDS_V3 = {
         [(f"shortest_pkt > 200 OR ({_UDP_FLOOD})", 0.2)],
     ),
 }
+#: The same for the first CIC-IDS2018 set.
+_HTTP, _SSH, _FTP = "dst_port > 75 AND dst_port < 85", "dst_port > 20 AND dst_port < 25", "dst_port > 19 AND dst_port < 23"
+_FAN, _HIGH, _SLOW = "fan_out > 30", "tcp_flags > 200", "duration > 4000000 AND tcp_flags <= 200 AND fan_out <= 2"
+EXPERT_CICIDS = {
+    "syn_flooding": (
+        "true",
+        [[(f"{_HIGH} AND {_HTTP} AND fan_out <= 5", 0.6), (f"{_HIGH} AND fan_out <= 5", 0.3)], [("in_bytes > 100000", 0.15)], [(f"duration > 4000000 AND {_HIGH}", 0.1)]],
+        [(f"dst_port > 5000 AND {_FAN}", 0.1)],
+    ),
+    "volumetric_flood": (
+        "true",
+        [
+            [(f"{_SLOW} AND {_HTTP}", 0.6), (f"{_SLOW} AND {_FTP}", 0.3), (_SLOW, 0.2)], [(f"tcp_flags > 20 AND tcp_flags < 35 AND {_HTTP} AND fan_out <= 2", 0.15)],
+            [(f"duration > 2000000 AND pps < 100 AND fan_out <= 2 AND {_HTTP}", 0.1)],
+        ],
+        [(f"{_SSH} AND pps > 100000", 0.2)],
+    ),
+    "connection_attempts": (
+        "true",
+        [
+            [
+                (f"{_SSH} AND fan_out <= 5 AND pps > 100000", 0.8), (f"{_SSH} AND fan_out <= 5", 0.6),
+                (f"{_FTP} AND duration > 4000000 AND fan_out <= 2 AND pps < 100", 0.65), (f"{_FTP} AND duration > 4000000 AND fan_out <= 2", 0.5),
+                (f"{_HIGH} AND duration > 2000000 AND fan_out <= 3 AND NOT ({_HTTP}) AND dst_port <= 5000", 0.4),
+            ],
+        ],
+        None,
+    ),
+    "periodic_comm": (
+        "true",
+        [
+            [(f"{_FAN} AND {_HIGH}", 0.5), (f"dst_port > 5000 AND {_HIGH}", 0.4)], [(f"{_FAN} AND {_HIGH} AND dst_port > 5000", 0.25)],
+            [(f"{_FAN} AND {_HIGH} AND min_ttl > 100", 0.1)], [(f"{_FAN} AND {_HIGH} AND fan_in <= 15", 0.1)],
+        ],
+        None,
+    ),
+    "data_transfer": (
+        "true",
+        [[(f"{_FAN} AND fan_in > 100", 0.6)], [(f"{_FAN} AND fan_in > 200", 0.2)], [(f"{_FAN} AND min_ttl < 50", 0.1)], [(f"{_FAN} AND duration <= 2000000", 0.1)]],
+        [(f"{_HIGH} AND dst_port > 5000", 0.2)],
+    ),
+    "normal_activity": (
+        "true",
+        [
+            [("fan_in > 100 AND fan_out <= 30", 0.3)], [("duration <= 2000000 AND tcp_flags <= 200", 0.2)], [("tcp_flags > 50 AND tcp_flags < 180", 0.15)],
+            [("proportion > 0.03D", 0.1)], [("dst_port > 500 AND dst_port <= 5000", 0.1)],
+        ],
+        [("duration > 4000000 AND fan_out <= 2", 0.1), (f"{_HIGH} AND {_FAN}", 0.1)],
+    ),
+    "port_scanning": ("fan_in <= 100", [[("n_dst > 10 AND out_bytes < 500", 0.4)], [("fan_out > 5 AND bpp < 100", 0.2)]], None),
+    "service_probing": ("true", [[("fan_out > 3 AND fan_out < 30 AND out_bytes < 2000 AND fan_in <= 100", 0.3)], [("duration <= 2000000 AND tcp_flags <= 200", 0.15)]], None),
+}
+#: Additive scorer of windows, over ``windows.window_measures``; a value may be an expression.
+_TCP, _SYN, _MID_TTL = "normal_tcp_fraction > 0.5D", "syn_only_fraction > 0.3D", "mean_min_ttl > 20 AND mean_min_ttl < 50"
+_NO_SYN = "syn_only_fraction <= 0.3D"
+WINDOW_BEHAVIOURS = {
+    "syn_flooding": ("true", [[("true", "syn_only_fraction * 0.6D")], [("true", "zero_payload_fraction * 0.15D")], [("true", "low_port_fraction * 0.1D")], [("mean_min_ttl > 50", 0.15)]], None),
+    "volumetric_flood": ("true", [[("mean_total_pkts > 100", 0.3)], [(f"{_TCP} AND mean_min_ttl > 50", 0.3)], [("direction_ratio > 10", 0.2)], [("low_port_fraction > 0.5D", 0.2)]], None),
+    "port_scanning": (_NO_SYN, [[("fan_out > 5", 0.3), ("fan_out > 2", 0.15)], [(f"mean_out_bytes < 200 AND {_TCP}", 0.25)], [(_MID_TTL, 0.2)], [("n_flows > 10", 0.1)], [("high_port_fraction > 0.3D", 0.15)]], None),
+    "service_probing": (_NO_SYN, [[(f"{_TCP} AND mean_out_bytes < 5000", 0.35)], [(_MID_TTL, 0.25)], [("fan_out > 2 AND fan_out < 10", 0.2)], [("port_diversity > 0.3D", 0.1)]], None),
+    "data_transfer": ("true", [[("total_out_bytes > 500000", 0.45), ("total_out_bytes > 100000", 0.3)], [("mean_bytes_per_pkt > 200", 0.2)], [("direction_ratio > 3 AND mean_min_ttl > 30", 0.2)], [(_TCP, 0.1)]], [(_SYN, 0.1)]),
+    "normal_activity": (
+        "true",
+        [
+            [("mean_min_ttl < 25", 0.35)], [("high_port_fraction > 0.5D", 0.2)], [(f"{_TCP} AND syn_only_fraction < 0.1D", 0.15)],
+            [("mean_out_bytes > 100 AND mean_out_bytes < 100000", 0.15)], [("direction_ratio > 0.3D AND direction_ratio < 3", 0.15)],
+        ],
+        [(_SYN, 0.2)],
+    ),
+    "connection_attempts": ("true", [[(f"{_SYN} AND fan_out <= 3", 0.5)], [("zero_payload_fraction > 0.5D", 0.2)], [("n_flows < 10", 0.15)]], None),
+    "periodic_comm": ("true", [[("mean_duration_ms > 10000", 0.3)], [("direction_ratio > 0.3D AND direction_ratio < 3", 0.2)], [("fan_out <= 2", 0.25)], [(_TCP, 0.15)], [("mean_out_bytes < 1000", 0.1)]], [(_SYN, 0.2)]),
+    "fuzzing": (_NO_SYN, [[("port_diversity > 0.5D", 0.25)], [("pkt_size_std > 100", 0.2)], [("low_port_fraction > 0.3D", 0.2)], [(f"{_TCP} AND mean_out_bytes > 50", 0.15)], [("fan_out <= 3", 0.1)]], None),
+    "exploitation": (_NO_SYN, [[("mean_out_bytes > 200 AND mean_out_bytes < 50000", 0.25)], [("low_port_fraction > 0.5D", 0.2)], [("fan_out <= 3", 0.2)], [(_TCP, 0.15)], [("mean_duration_ms < 5000", 0.1)]], None),
+    "backdoor_comm": (_NO_SYN, [[("mean_duration_ms > 5000", 0.25)], [("fan_out <= 2", 0.25)], [("direction_ratio > 0.3D AND direction_ratio < 5", 0.2)], [(_TCP, 0.15)], [("high_port_fraction > 0.3D", 0.1)]], None),
+    "worm_spreading": (_NO_SYN, [[("fan_out > 5", 0.3)], [("mean_out_bytes > 200", 0.15)], [(_TCP, 0.15)], [("protocol_diversity > 0.2D", 0.1)], [("n_flows > 10", 0.15)], [("low_port_fraction > 0.3D", 0.1)]], None),
+}
 #: Where benign evidence dominates these scores, attack scores are damped.
 BENIGN_RIVALS = ["syn_flooding", "data_transfer", "service_probing", "port_scanning"]
 BENIGN_DAMPING = {"syn_flooding": 0.5, "volumetric_flood": 0.5, "service_probing": 0.5, "port_scanning": 0.5, "data_transfer": 0.6}
@@ -222,18 +505,7 @@ BENIGN_DAMPING = {"syn_flooding": 0.5, "volumetric_flood": 0.5, "service_probing
 # -----------------------------------------------------------------------------------------------------------------------
 
 
-def unsw_rules() -> list[tuple]:
-    out = []
-    for name, bounds in UNSW_BOUNDS.items():
-        if name == UNSW_TTL_RULE[0]:
-            out.append(UNSW_TTL_RULE)
-        for (feature, weight), (lo, hi) in zip(UNSW_WEIGHTS.items(), bounds):
-            op = "in" if lo is not None and hi is not None else ">" if hi is None else "<"
-            out.append((name, feature, op, hi if lo is None else lo, hi if op == "in" else None, weight))
-    return out
-
-
-RULES = {"bot_iot": BOT_IOT_RULES, "unsw": unsw_rules()}
+RULES = {"bot_iot": BOT_IOT_RULES, "unsw": UNSW_RULES, "cicids": CICIDS_RULES}
 
 
 def rule_table(spark: SparkSession, dataset: str = "bot_iot") -> DataFrame:
@@ -278,24 +550,26 @@ def rule_scores(profiles: DataFrame, key: str, rules: list[tuple]) -> DataFrame:
     return long.groupBy(key, "behaviour").agg(F.max("score").alias("score")) if len({n.split("#")[0] for n in names}) < len(names) else long
 
 
-def expert_scores(profiles: DataFrame, key: str, table: dict = EXPERT_BOT_IOT, rivals: list[str] = BENIGN_RIVALS) -> DataFrame:
-    """Long ``(key, behaviour, score)`` of an additive scorer: sums, damping, a cap of 1, benign suppression.
+def expert_scores(profiles: DataFrame, key: str | list[str], table: dict = EXPERT_BOT_IOT, rivals: list[str] = BENIGN_RIVALS) -> DataFrame:
+    """Long ``(*key, behaviour, score)`` of an additive scorer: sums, damping, a cap of 1, benign suppression.
 
     ``rivals`` are the scores that benign evidence must exceed to damp attacks; without any nothing is damped.
     """
+    keys = [key] if isinstance(key, str) else key
+    given = lambda v: F.expr(v) if isinstance(v, str) else F.lit(v)
 
     def raw(guard, steps, damp) -> Column:
         total = F.lit(0.0)
         for step in steps:
             branch = None
             for predicate, value in step:
-                branch = F.when(F.expr(predicate), value) if branch is None else branch.when(F.expr(predicate), value)
+                branch = F.when(F.expr(predicate), given(value)) if branch is None else branch.when(F.expr(predicate), given(value))
             total = total + branch.otherwise(0.0)
         for predicate, factor in damp or []:
             total = total * F.when(F.expr(predicate), factor).otherwise(1.0)
         return F.when(F.expr(guard), F.least(total, F.lit(1.0))).otherwise(0.0)
 
-    wide = profiles.select(key, "min_ttl", *[raw(*spec).alias(f"_{b}") for b, spec in table.items()])
+    wide = profiles.select(*keys, *(["min_ttl"] if rivals else []), *[raw(*spec).alias(f"_{b}") for b, spec in table.items()])
     benign = F.col("_normal_activity")
     dominated = (F.col("min_ttl") < 20) & (benign > 0.5) if rivals else F.lit(False)
     for b in rivals:
@@ -304,7 +578,15 @@ def expert_scores(profiles: DataFrame, key: str, table: dict = EXPERT_BOT_IOT, r
         F.struct(F.lit(b).alias("behaviour"), (F.col(f"_{b}") * F.when(dominated, F.lit(BENIGN_DAMPING.get(b, 1.0))).otherwise(1.0)).alias("score"))
         for b in table
     ]
-    return wide.select(key, F.explode(F.array(*final)).alias("s")).select(key, "s.*")
+    return wide.select(*keys, F.explode(F.array(*final)).alias("s")).select(*keys, "s.*")
+
+
+def scaled_tactics(behaviours: DataFrame, keys: list[str], table: DataFrame) -> DataFrame:
+    """``(*keys, tactic, p)``: weighted sums of behaviour scores over the largest of them, in four decimals."""
+    mapped = behaviours.join(F.broadcast(table), "behaviour")  # a fixed table of some twenty rows
+    sums = mapped.groupBy(*keys, "tactic").agg(F.sum(F.col("score") * F.col("weight")).alias("_s"))
+    most = F.max("_s").over(Window.partitionBy(*keys))
+    return sums.select(*keys, "tactic", F.when(most > 0, F.round(F.col("_s") / most, 4)).otherwise(F.col("_s")).alias("p"))
 
 
 def sharpen(scores: DataFrame, key: str, power: float = 2.0) -> DataFrame:

@@ -30,10 +30,14 @@ def query(oracle: str | None = None):
 
 
 def queries() -> dict:
+    from . import evaluation  # noqa: F401  (registers its queries)
+
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    from . import evaluation  # noqa: F401
+
     return dict(_ORACLES)
 
 
@@ -524,9 +528,14 @@ def attack_to_tactic_unsw(spark, d):
 _WTA = "wt AS (SELECT src, window_id, tactic, s / sum(s) OVER (PARTITION BY src, window_id) AS p FROM (SELECT src, window_id, tactic, sum(p) AS s FROM wi JOIN ta USING (cluster) GROUP BY 1, 2, 3))"
 
 
+def window_counts(spark, d):
+    """Flows per (window, cluster, attack); truth and prediction of a window both come from this one shuffle."""
+    return windowed(spark, d).groupBy("src", "window_id", "cluster", "attack").agg(F.count(F.lit(1)).alias("n"))
+
+
 def window_tactic_rows(spark, d):
     """Mean tactic distribution per window: flows are first counted per (window, cluster), then meet the small table."""
-    counts = windowed(spark, d).groupBy("src", "window_id", "cluster").agg(F.count(F.lit(1)).alias("n"))
+    counts = window_counts(spark, d)
     table = rule_tactics(spark, d)[1].select("cluster", "tactic", "p")
     joined = counts.join(table, "cluster").withColumn("score", F.col("p") * F.col("n"))
     return windows.mean_distribution(joined, ["src", "window_id"], "tactic")
@@ -653,8 +662,7 @@ dm AS (SELECT src, window_id, sum(least(t, p)) / sum(greatest(t, p)) AS soft_jac
 
 def window_pairs(spark, d):
     """Long ``(src, window_id, label, t, p)`` over the fixed list of tactics."""
-    base = windowed(spark, d)
-    labelled = rules.attack_tactics(base, rules.attack_table(spark)).groupBy("src", "window_id", F.col("tactic").alias("label")).agg(F.count(F.lit(1)).alias("n"))
+    labelled = rules.attack_tactics(window_counts(spark, d), rules.attack_table(spark)).groupBy("src", "window_id", F.col("tactic").alias("label")).agg(F.sum("n").alias("n"))
     truth = fusion.normalised(labelled.withColumn("t", F.col("n").cast("double")), ["src", "window_id"], "t").select("src", "window_id", "label", "t", F.lit(0.0).alias("p"))
     pred = window_tactic_rows(spark, d).select("src", "window_id", F.col("tactic").alias("label"), F.lit(0.0).alias("t"), "p")
     keys = truth.select("src", "window_id").distinct().select("*", F.explode(F.array(*[F.lit(t) for t in rules.TACTICS])).alias("label"), F.lit(0.0).alias("t"), F.lit(0.0).alias("p"))
@@ -777,10 +785,10 @@ def number_claims(spark, d):
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:
     """Primary tactic per source window with its score, the true majority and coverage."""
-    pairs = window_pairs(spark, d)
-    best = windows.primary(pairs, ["src", "window_id"]).select("src", "window_id", F.col("label").alias("pred_tactic"), "p")
-    true = windows.primary(pairs, ["src", "window_id"], p="t").select("src", "window_id", F.col("label").alias("true_tactic"))
-    return rounded(best.join(true, ["src", "window_id"]).withColumn("top1", (F.col("pred_tactic") == F.col("true_tactic")).cast("int")), 6)
+    place = F.array_position(F.array(*[F.lit(t) for t in sorted(rules.TACTICS)]), F.col("label"))
+    top = lambda p: F.max_by("label", F.struct(p, -place))
+    best = window_pairs(spark, d).groupBy("src", "window_id").agg(top("p").alias("pred_tactic"), F.max("p").alias("p"), top("t").alias("true_tactic"))
+    return rounded(best.withColumn("top1", (F.col("pred_tactic") == F.col("true_tactic")).cast("int")), 6)
 
 
 _QUERIES["window_primary_tactic"] = flagship

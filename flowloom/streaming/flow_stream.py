@@ -14,12 +14,15 @@ from ..operators import mixture
 
 FULL_WINDOW = "src long, window_id long, n_flows long, first_ts long, last_ts long, sum_value double"
 _STATE = "next_window long, ts array<long>, value array<double>"
+#: Batches whose levels are ordered in one task.
+RUN = 4096
 
 
 def full_windows(stream: DataFrame, size: int) -> DataFrame:
     """Windows of ``size`` consecutive rows ``(src, ts_ms, value)`` per source; only full ones are emitted.
 
-    The rest of a source's rows, fewer than ``size``, are carried to the next batch.
+    The rest of a source's rows, fewer than ``size``, are carried to the next batch. A task holds one
+    source's rows of one batch, which the source's files or offsets per trigger bound.
     """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -68,11 +71,23 @@ class Prequential:
 
 
 def likelihood_alarms(levels: DataFrame, order: str = "batch", level: str = "level", sigmas: float = 2.0, least: int = 2) -> DataFrame:
-    """Adds ``alarm``: a batch below the mean of all earlier ones by ``sigmas`` deviations (5 % of the mean at least)."""
-    before = Window.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)  # one row per batch
-    mean, std, n = F.avg(level).over(before), F.stddev_pop(level).over(before), F.count(level).over(before)
-    low = F.col(level) < mean - sigmas * F.greatest(std, F.abs(mean) * 0.05)
-    return levels.withColumn("alarm", F.coalesce((n >= least) & low, F.lit(False)))
+    """Adds ``alarm``: a batch below the mean of all earlier ones by ``sigmas`` deviations (5 % of the mean at least).
+
+    Batches are summed in runs of ``RUN`` numbers; only one row for each run is ordered in one place.
+    Levels are summed as differences from their overall mean, which keeps small deviations exact.
+    """
+    names, past = ["_n", "_s", "_q"], (Window.unboundedPreceding, -1)
+    x = F.col(level) - F.col("_mid")
+    middle = levels.agg(F.avg(level).alias("_mid"))
+    found = levels.crossJoin(F.broadcast(middle)).withColumns({"_run": F.floor(F.col(order) / RUN), "_n": F.col(level).isNotNull().cast("long"), "_s": x, "_q": x * x})  # one row
+    sums = found.groupBy("_run").agg(*[F.sum(c).alias(c) for c in names])
+    offsets = sums.select("_run", *[F.coalesce(F.sum(c).over(Window.orderBy("_run").rowsBetween(*past)), F.lit(0)).alias(f"_o{c}") for c in names])
+    inside = Window.partitionBy("_run").orderBy(order).rowsBetween(*past)
+    run = found.join(offsets, "_run").withColumns({f"_t{c}": F.col(f"_o{c}") + F.coalesce(F.sum(c).over(inside), F.lit(0)) for c in names})
+    n, mean = F.col("_t_n"), F.col("_t_s") / F.col("_t_n")
+    std = F.sqrt(F.greatest(F.col("_t_q") / n - mean * mean, F.lit(0.0)))
+    low = F.col(level) < mean + F.col("_mid") - sigmas * F.greatest(std, F.abs(mean + F.col("_mid")) * 0.05)
+    return run.withColumn("alarm", F.when(n >= least, F.coalesce(low, F.lit(False))).otherwise(False)).select(*levels.columns, "alarm")
 
 
 def injected_drift(vector: Column, direction: list[float], std: Column, strength: float) -> Column:
