@@ -78,6 +78,7 @@ def direction_ratio(out_bytes: Column, in_bytes: Column) -> Column:
 VOLUME = [(100, "TINY"), (1000, "SMALL"), (10000, "MEDIUM"), (100000, "LARGE"), (None, "VERY_LARGE")]
 DURATION = [(10, "VERY_SHORT (<10ms)"), (100, "SHORT (10-100ms)"), (1000, "MEDIUM (100ms-1s)"), (10000, "LONG (1-10s)"), (None, "VERY_LONG (>10s)")]
 RATE = [(1, "VERY_LOW (<1 pps)"), (10, "LOW (1-10 pps)"), (100, "MODERATE (10-100 pps)"), (1000, "HIGH (100-1000 pps)"), (None, "VERY_HIGH (>1000 pps)")]
+PACKET = [(64, "TINY (<64 bytes, SYN/ACK only)"), (256, "SMALL (64-256 bytes)"), (1024, "MEDIUM (256-1024 bytes)"), (None, "LARGE (>1024 bytes, data transfer)")]
 Z_WORDS = [(0.5, "near average"), (1, "slightly"), (2, "notably"), (None, "strongly")]
 FLAG_NAMES = ["FIN", "SYN", "RST", "PSH", "ACK", "URG", "ECE", "CWR"]
 
@@ -135,15 +136,32 @@ def heuristic_scores(features: Mapping[str, Column]) -> list[Column]:
     return out
 
 
-def standardised(df: DataFrame, columns: list[str], fit: Column | None = None, suffix: str = "_z") -> DataFrame:
-    """Columns scaled by mean and population deviation of the rows where ``fit`` holds; deviation 0 counts as 1."""
-    seen = df if fit is None else df.where(fit)
-    stats = seen.agg(*[f(F.col(c)).alias(f"_{k}_{c}") for c in columns for k, f in (("m", F.avg), ("s", F.stddev_pop))])
+def scale_stats(df: DataFrame, columns: list[str]) -> DataFrame:
+    """One row with mean and population deviation of every column: what a fitted scaler keeps."""
+    return df.agg(*[f(F.col(c)).alias(f"_{k}_{c}") for c in columns for k, f in (("m", F.avg), ("s", F.stddev_pop))])
+
+
+def scaled(df: DataFrame, columns: list[str], stats: DataFrame, suffix: str = "_z") -> DataFrame:
+    """New rows scaled by stored ``scale_stats``; a missing column is an error, a deviation of 0 counts as 1."""
+    missing = sorted(set(columns) - set(df.columns))
+    if missing:
+        raise ValueError(f"missing columns: {missing}")
     joined = df.crossJoin(F.broadcast(stats))  # one row
     scale = lambda c: F.when(F.col(f"_s_{c}") > 0, F.col(f"_s_{c}")).otherwise(1.0)
     return joined.select(*df.columns, *[((F.col(c) - F.col(f"_m_{c}")) / scale(c)).alias(f"{c}{suffix}") for c in columns])
 
 
+def standardised(df: DataFrame, columns: list[str], fit: Column | None = None, suffix: str = "_z") -> DataFrame:
+    """Columns scaled by mean and population deviation of the rows where ``fit`` holds; deviation 0 counts as 1."""
+    return scaled(df, columns, scale_stats(df if fit is None else df.where(fit), columns), suffix)
+
+
+def unscaled(z: Column, mean: Column, deviation: Column, logged: bool = False) -> Column:
+    """The original value of a scaled mean; a log-scaled feature is raised again and not below zero."""
+    x = z * F.when(deviation > 0, deviation).otherwise(1.0) + mean
+    return F.expm1(F.greatest(x, Lit(0.0))) if logged else x
+
+
 #: Features of the behavioural vector, in order; counts enter by log1p.
 BEHAVIOURAL = [
     "out_bytes", "in_pkts", "out_pkts", "duration", "src_throughput", "src_bps", "dst_bps", "longest_pkt", "shortest_pkt", "small_pkts",

@@ -32,6 +32,12 @@ def posterior_fusion(scored: DataFrame, kb: DataFrame, keys: list[str], label: s
     return normalised(joined.groupBy(*keys, label).agg(F.sum(F.col("_q") * F.col("p")).alias("p")), keys)
 
 
+def first_best(rows: DataFrame, by: list[str], score: str, order: str) -> DataFrame:
+    """Per ``by`` the row with the largest ``score``; the first in ``order`` among equals."""
+    over = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
+    return rows.withColumn("_r", F.row_number().over(over.orderBy(F.col(score).desc(), order))).where("_r = 1").drop("_r")
+
+
 def weight_sweep(rules: DataFrame, other: DataFrame, key: str, label: str, weights: list[float]) -> DataFrame:
     """Fused primary label per key and weight in one pass: ``(key, w, label, p)``; ties go to the first label."""
     both = rules.select(key, label, F.col("p").alias("_a")).join(other.select(key, label, F.col("p").alias("_b")), [key, label], "full_outer")
@@ -62,6 +68,19 @@ def lookup(df: DataFrame, kb: DataFrame, key: str = "cluster") -> DataFrame:
     return joined.withColumns({c: F.coalesce(F.col(c), F.lit("Unknown")) for c in ("primary_behaviour", "primary_tactic")})
 
 
+def kb_after(kb: DataFrame, updates: DataFrame, rescored: DataFrame, key: str = "cluster") -> tuple[DataFrame, DataFrame]:
+    """``(base, log)``: entries that moved or are new take their primary labels from ``rescored``; the log has a row for each.
+
+    ``kb`` is ``(key, primary_behaviour, primary_tactic)``, ``rescored`` the same for the current batch.
+    """
+    now = rescored.select(key, F.col("primary_behaviour").alias("_b"), F.col("primary_tactic").alias("_t"))
+    log = updates.join(now, key).select(key, "action", "shift", F.col("_b").alias("new_behaviour"), F.col("_t").alias("new_tactic"))
+    changed = log.select(key, "action", F.col("new_behaviour").alias("_b"), F.col("new_tactic").alias("_t"))
+    both = kb.join(changed, key, "full_outer")
+    base = both.select(key, F.coalesce("_b", "primary_behaviour").alias("primary_behaviour"), F.coalesce("_t", "primary_tactic").alias("primary_tactic"), F.col("action").isNotNull().alias("updated"))
+    return base, log
+
+
 def kb_updates(kb_means: DataFrame, now_means: DataFrame, key: str = "cluster", moved: float = 0.5, least: int = 50) -> DataFrame:
     """``(key, action, shift)``: clusters whose centre moved by more than ``moved`` deviations are re-scored, unseen ones of over ``least`` rows are new."""
     old = kb_means.select(key, F.col("mean").alias("_m0"), F.col("std").alias("_s0"))

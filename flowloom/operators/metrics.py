@@ -11,8 +11,16 @@ def confusion(df: DataFrame, true: str, pred: str) -> DataFrame:
     return df.groupBy(F.col(true).alias("true_label"), F.col(pred).alias("pred_label")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def prf(counts: DataFrame) -> DataFrame:
-    """Precision, recall, F1 and support per label of a confusion table; an empty denominator gives 0."""
+def prf(counts: DataFrame, labels: list[str] | None = None) -> DataFrame:
+    """Precision, recall, F1 and support per label of a confusion table; an empty denominator gives 0.
+
+    ``labels``: the labels that are reported, those that never occur with zeros; default all that occur.
+    """
+    if labels is not None:
+        spark = counts.sparkSession
+        blank = spark.createDataFrame([(x, x, 0) for x in labels], "true_label string, pred_label string, n long")
+        each = prf(counts.select("true_label", "pred_label", "n").unionByName(blank))
+        return each.where(F.col("label").isin(labels))
     hit = F.when(F.col("true_label") == F.col("pred_label"), F.col("n")).otherwise(0)
     by_true = counts.groupBy(F.col("true_label").alias("label")).agg(F.sum("n").alias("support"), F.sum(hit).alias("tp"))
     by_pred = counts.groupBy(F.col("pred_label").alias("label")).agg(F.sum("n").alias("predicted"))

@@ -90,7 +90,7 @@ def likelihood_alarms(levels: DataFrame, order: str = "batch", level: str = "lev
     return run.withColumn("alarm", F.when(n >= least, F.coalesce(low, F.lit(False))).otherwise(False)).select(*levels.columns, "alarm")
 
 
-def injected_drift(vector: Column, direction: list[float], std: Column, strength: float) -> Column:
-    """Vector shifted along a fixed direction by ``strength`` deviations, then stretched by up to 30 %."""
-    shifted = F.zip_with(vector, F.array(*[F.lit(float(x)) for x in direction]), lambda a, b: a.cast("double") + b * std * strength)
-    return F.transform(shifted, lambda a: a * (1 + 0.3 * min(strength / 2.5, 1.0)))
+def injected_drift(vector: Column, direction: list[float], std: Column, progress: Column, strength: float = 3.0, stretch: float = 0.3) -> Column:
+    """Vector shifted along a fixed direction by up to ``strength`` deviations of each dimension and stretched, both as ``progress`` (0 to 1) goes on."""
+    shift = F.zip_with(F.array(*[F.lit(float(x)) for x in direction]), std, lambda a, s: a * s * strength * progress)
+    return F.transform(F.zip_with(vector, shift, lambda a, b: a.cast("double") + b), lambda a: a * (1 + progress * stretch))
