@@ -88,6 +88,17 @@ def effect_sizes(df: DataFrame, group: str, columns: list[str], top: int = 10, h
     return shown
 
 
+def spread(df: DataFrame, group: str, vector: str) -> DataFrame:
+    """``(group, within, nearest, ratio)``: mean distance to the own centre, distance to the nearest other centre, their ratio."""
+    at = df.select(group, F.posexplode(vector).alias("i", "v")).groupBy(group, "i").agg(F.avg("v").alias("c"))
+    centre = at.groupBy(group).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "c"))), lambda x: x["c"]).alias("_c"))
+    d = lambda a, b: F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x.cast("double") - y) ** 2), F.lit(0.0), lambda s, x: s + x))
+    within = df.join(F.broadcast(centre), group).groupBy(group).agg(F.avg(d(vector, "_c")).alias("within"))  # one row per group
+    other = centre.select(F.col(group).alias("_o"), F.col("_c").alias("_d"))
+    nearest = centre.join(F.broadcast(other), F.col(group) != F.col("_o")).groupBy(group).agg(F.min(d("_c", "_d")).alias("nearest"))  # groups by groups
+    return within.join(nearest, group).withColumn("ratio", F.col("within") / F.col("nearest"))
+
+
 def representatives(df: DataFrame, group: str, vector: str, key: str, k: int = 5) -> DataFrame:
     """The ``k`` rows nearest to the mean vector of their group."""
     at = df.select(group, F.posexplode(vector).alias("i", "v")).groupBy(group, "i").agg(F.avg("v").alias("c"))

@@ -739,7 +739,8 @@ def representatives(spark, d):
     return rounded(profiles.representatives(embeddings(spark, d), "label", "embedding", "vec_id"), 5)
 
 
-@query()
+@query("WITH s AS (SELECT vec_id, label, embedding AS v FROM embeddings), " + """d AS (SELECT a.vec_id, a.label AS c, b.label AS o, avg(list_distance(CAST(a.v AS DOUBLE[]), CAST(b.v AS DOUBLE[]))) AS d FROM s a JOIN s b ON a.vec_id <> b.vec_id GROUP BY 1, 2, 3),
+  e AS (SELECT vec_id, max(d) FILTER (c = o) AS a, min(d) FILTER (c <> o) AS b FROM d GROUP BY 1) SELECT round(avg(CASE WHEN a IS NULL OR b IS NULL THEN 0 ELSE (b - a) / greatest(a, b) END), 6) + CAST(0 AS DOUBLE) AS silhouette, count(*) AS n FROM e""")
 def silhouette_sample(spark, d):
     return rounded(metrics.silhouette(embeddings(spark, d), "vec_id", "embedding", "label"))
 

@@ -9,11 +9,11 @@ from pyspark.sql import functions as F
 
 from ..functions import scalar as S
 from ..operators import baselines, explain, fusion, graph, metrics, mixture, profiles, rules, timeline, windows
-from ..sources.flows import ORDER, flows, held_out, stratified_sample
+from ..sources.flows import ORDER, flows, held_out, load_model, read_kb, save_model, stratified_sample, write_kb
 from ..sources.shared import shared_folder
 from ..streaming import flow_stream, phases
 from .catalogue import (
-    _CL, _E, _FP, _FU, _J, _OT, _P, _PCOLS, _PRI, _PROF, _RULED, _SPLIT, _TL, _TRUE, _WIN, _Z, _bands, _expert_sql, _rules_sql, _split, cluster_features, clustered, embeddings,
+    _CL, _E, _FP, _ORACLES, _FU, _J, _OT, _P, _PCOLS, _PRI, _PROF, _RULED, _SPLIT, _TL, _TRUE, _WIN, _Z, _bands, _expert_sql, _rules_sql, _split, cluster_features, clustered, embeddings,
     near, other_tactics, query, rd, rounded, rule_tactics, scored_embeddings, tactic_confusion, windowed, with_sql,
 )
 
@@ -647,6 +647,43 @@ def kb_after_updates(spark, d):
 # ---- baselines --------------------------------------------------------------------------------------------------------
 
 
+@query("WITH " + ", ".join((_E, "ce AS (SELECT label, i, avg(x) AS m FROM em GROUP BY 1, 2)", "ia AS (SELECT label, avg(s) AS within FROM (SELECT label, vec_id, sqrt(sum((x - m) * (x - m))) AS s FROM em JOIN ce USING (label, i) GROUP BY 1, 2) GROUP BY 1)",
+  "ie AS (SELECT label, min(s) AS nearest FROM (SELECT a.label, b.label AS o, sqrt(sum((a.m - b.m) * (a.m - b.m))) AS s FROM ce a JOIN ce b ON a.i = b.i AND a.label <> b.label GROUP BY 1, 2) GROUP BY 1)")) + " SELECT label, round(within, 5) AS within, round(nearest, 5) AS nearest, round(within / nearest, 5) AS ratio FROM ia JOIN ie USING (label)")
+def cluster_spread(spark, d):
+    """Mean distance to the own centre against the distance to the nearest other centre."""
+    return rounded(profiles.spread(embeddings(spark, d), "label", "embedding"), 5)
+
+
+@query("""WITH a AS (SELECT event_id, least(greatest(value / 50 - 0.2::DOUBLE, 0), 1) AS x, least(greatest(CAST(user_id % 5 AS DOUBLE) / 4, 0), 1) AS y FROM events)
+  SELECT event_id, round(CASE WHEN x + y > 0 THEN x / (x + y) ELSE 0 END, 5) AS syn_flooding, round(CASE WHEN x + y > 0 THEN y / (x + y) ELSE 0 END, 5) AS port_scanning, round(CASE WHEN x + y > 0 THEN 0 ELSE 1 END, 5) AS normal_activity FROM a""")
+def parsed_answers(spark, d):
+    """Behaviour scores of JSON answers in fences: clamped, renamed, normalised, benign where nothing is named."""
+    ev = spark.read.parquet(f"{d}/events.parquet")
+    body = F.to_json(F.struct(F.create_map(F.lit("syn_flooding"), F.col("value") / 50 - 0.2, F.lit("scan"), (F.col("user_id") % 5) / 4).alias("behaviours")))
+    answer = F.concat(F.lit("Here it is:\n```json\n"), body, F.lit("\n```"))
+    parsed = ev.select("event_id", S.parsed_answer(answer, {"scan": "port_scanning"}, ["syn_flooding", "port_scanning", "normal_activity"]).alias("s"))
+    score = lambda name: near(F.coalesce(F.try_element_at(F.map_from_entries("s"), F.lit(name)), F.lit(0.0)), 5).alias(name)
+    return parsed.select("event_id", score("syn_flooding"), score("port_scanning"), score("normal_activity"))
+
+
+@query(_ORACLES["knowledge_base"])
+def kb_json_round_trip(spark, d):
+    """The knowledge base through its JSON sink and source."""
+    base = f"{shared_folder(spark)}/kb-{uuid.uuid4().hex}"
+    behaviours, tactics = rule_tactics(spark, d)
+    write_kb(fusion.build_kb(behaviours, tactics, cluster_features(spark, d).select("cluster", "size")), base)
+    return rounded(read_kb(spark, base).select("cluster", "cluster_size", "cluster_proportion", "primary_tactic"))
+
+
+@query("WITH " + ", ".join((_E, *_P)) + " SELECT CAST(k AS INTEGER) AS k, round(w, 6) AS weight, 64 AS dimensions FROM mw")
+def model_round_trip(spark, d):
+    """A mixture through the model sink and source."""
+    base = f"{shared_folder(spark)}/model-{uuid.uuid4().hex}"
+    save_model({"mixture": mixture.label_mixture(embeddings(spark, d), "embedding", "label")}, {"vector": "embedding"}, base)
+    parts, config = load_model(spark, base, ["mixture"])
+    return rounded(parts["mixture"].select("k", "weight", F.size("mean").alias("dimensions")).where(F.lit(config["vector"] == "embedding")))
+
+
 @query()
 def clustering_grid(spark, d):
     """K-means and Gaussian mixtures of several sizes: purity, majority accuracy, mutual information, silhouette."""
