@@ -142,13 +142,17 @@ _SIG = "CASE WHEN {x} >= 0 THEN 1 / (1 + exp(-({x}))) ELSE exp({x}) / (1 + exp({
   "h AS (SELECT attack, " + ", ".join(_SIG.format(x="(" + " + ".join(f"{_HMAP[k]} * CAST({w} AS DOUBLE)" for k, w in ws.items() if k in _HMAP) + ")") + f" AS s_{n}" for n, ws in S.HEURISTICS.items()) + " FROM g)")
   + "SELECT attack, " + ", ".join(f'round(avg(s_{n}), 6) + CAST(0 AS DOUBLE) AS "{n}"' for n in S.HEURISTICS) + " FROM h GROUP BY attack")
 def heuristic_scores(spark, d):
+    return rounded(heuristic_rows(spark, d, "attack").groupBy("attack").agg(*[F.avg(n).alias(n) for n in S.HEURISTICS]))
+
+
+def heuristic_rows(spark, d, *columns):
+    """The five heuristic scores of every flow."""
     df = graph.flow_fan(_scaled(spark, d)).withColumns({
         "wk": (F.col("dst_port") <= 1023).cast("double"), "tcp": (F.col("protocol") == 6).cast("double"),
         "syn": S.syn_only(F.col("tcp_flags")).cast("double"), "icmp": (F.col("icmp_type") != 0).cast("double"),
     })
     df = S.standardised(df, ["fan_out", "fan_in", "n_peers"])
-    scored = df.select("attack", *S.heuristic_scores({k: F.col(v) for k, v in _HMAP.items()}))
-    return rounded(scored.groupBy("attack").agg(*[F.avg(n).alias(n) for n in S.HEURISTICS]))
+    return df.select(*columns, *S.heuristic_scores({k: F.col(v) for k, v in _HMAP.items()}))
 
 
 _VMAP = {"out_bytes": "out_bytes_z", "in_pkts": "in_pkts_z", "out_pkts": "out_pkts_z", "duration": "duration_ms_z", "tcp_flags": "tcp_flags", "min_ttl": "min_ttl", "fan_out": "fan_out", "fan_in": "fan_in", "n_pairs": "fan_out", "longest_pkt": "longest_pkt"}

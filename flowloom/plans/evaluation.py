@@ -13,7 +13,7 @@ from ..sources.flows import ORDER, flows, held_out, load_model, read_kb, save_mo
 from ..sources.shared import shared_folder
 from ..streaming import flow_stream, phases
 from .catalogue import (
-    _CL, _E, _FP, _ORACLES, _FU, _J, _OT, _P, _PCOLS, _PRI, _PROF, _RULED, _SPLIT, _TL, _TRUE, _WIN, _Z, _bands, _expert_sql, _rules_sql, _split, cluster_features, clustered, embeddings,
+    _CL, _E, _FP, _ORACLES, _FU, _J, _OT, _P, _PCOLS, _PRI, _PROF, _RULED, _SPLIT, _TL, _TRUE, _WIN, _Z, _bands, _expert_sql, _rules_sql, _split, cluster_features, clustered, embeddings, heuristic_rows,
     near, other_tactics, query, rd, rounded, rule_tactics, scored_embeddings, tactic_confusion, windowed, with_sql,
 )
 
@@ -314,6 +314,18 @@ def tactic_sets(spark, d):
     return rules.tactic_set(scores, ["cluster"], rules.tactic_table(spark)).select("cluster", F.concat_ws(",", "tactics").alias("tactics"), "primary_tactic")
 
 
+_HROWS = _ORACLES["heuristic_scores"].replace("h AS (SELECT attack, ", "h AS (SELECT CAST(dst % 20 AS INTEGER) AS cluster, ").rsplit("SELECT attack, ", 1)[0] + "SELECT * FROM h"
+
+
+@query("SELECT label, count(*) AS flows, " + ", ".join(f"round(avg(s_{n}), 6) + CAST(0 AS DOUBLE) AS {n}" for n in S.HEURISTICS) + f" FROM ({_HROWS}) JOIN ({_ORACLES['default_labels']}) USING (cluster) GROUP BY 1")
+def heuristic_label_matrix(spark, d):
+    """Mean heuristic scores of the flows under each default label of their cluster."""
+    labels = rules.default_labels(cluster_features(spark, d)).select("cluster", "label")
+    each = heuristic_rows(spark, d, (F.col("dst") % 20).cast("int").alias("cluster")).groupBy("cluster").agg(F.count(F.lit(1)).alias("flows"), *[F.sum(n).alias(n) for n in S.HEURISTICS])
+    joined = each.join(labels, "cluster").groupBy("label")
+    return rounded(joined.agg(F.sum("flows").alias("flows"), *[(F.sum(n) / F.sum("flows")).alias(n) for n in S.HEURISTICS]))
+
+
 # ---- fusion and labelling ---------------------------------------------------------------------------------------------
 
 _TRUTH = f"tt AS (SELECT cluster, tactic, n / sum(n) OVER (PARTITION BY cluster) AS p FROM (SELECT cluster, {_TRUE} AS tactic, count(*) AS n FROM cl GROUP BY 1, 2))"
