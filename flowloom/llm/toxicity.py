@@ -77,7 +77,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, bound: int) -> DataFrame
 
 
 def train(
-    docs: DataFrame, labels: DataFrame, bound: int = 20_000, features: int = 1 << 14, alpha: float = 1.0
+    docs: DataFrame, labels: DataFrame, bound: int = 20_000, features: int = 1 << 14, alpha: float = 1.0, iterations: int = 40
 ) -> tuple[np.ndarray, float]:
     """``(weight per bucket, bias)``; ``bound`` labelled rows and ``features`` features at most.
 
@@ -129,7 +129,7 @@ def train(
     presence = CountVectorizerModel.from_vocabulary([str(f) for f in index.tolist()], inputCol="found", outputCol="has", binary=True)
     scaled = ElementwiseProduct(scalingVec=Vectors.dense(ratios), inputCol="has", outputCol="x")
     fitted = LogisticRegression(
-        maxIter=40, regParam=1e-3, standardization=False, featuresCol="x", labelCol="label", aggregationDepth=2
+        maxIter=iterations, regParam=1e-3, standardization=False, featuresCol="x", labelCol="label", aggregationDepth=2
     ).fit(scaled.transform(presence.transform(sparse)).select("label", "x"))
     weights[index] = fitted.coefficients.toArray() * ratios
     return weights, float(fitted.intercept)
