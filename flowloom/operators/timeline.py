@@ -6,29 +6,38 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-DAY_MS = 86_400_000
+from ..sources.shared import durable
 
 
-def positions(df: DataFrame, order: list[str], bucket_ms: int = DAY_MS) -> DataFrame:
-    """Dense position ``pos`` in the total order ``order`` (its first column is the time in ms).
+def numbered(df: DataFrame, order: list[str], name: str, tasks: int | None = None) -> DataFrame:
+    """``df`` with ``name``, its dense position from 0 in the total order ``order`` (nulls first), and cut lineage.
 
-    Rows are ranked within time buckets, which are sorted in parallel; only the
-    bucket counts, one row per bucket, are summed in one place.
+    Range bounds come from the data and from all of ``order``, so one busy day, or one
+    instant, is as many tasks as its rows need: each of ``tasks`` (default: the session's
+    shuffle partitions) sorts its share. Rows are written once, sorted; only the sizes of
+    the tasks, one row each, are summed in one place. Rows equal in all of ``order`` keep together.
     """
-    bucketed = df.withColumn("_b", F.floor(F.col(order[0]) / bucket_ms))
-    counts = bucketed.groupBy("_b").agg(F.count(F.lit(1)).alias("_n"))
-    before = F.sum("_n").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1))
-    offsets = counts.select("_b", F.coalesce(before, F.lit(0)).alias("_o"))
-    rank = F.row_number().over(Window.partitionBy("_b").orderBy(*order))
-    return bucketed.withColumn("_r", rank).join(offsets, "_b").withColumn("pos", F.col("_o") + F.col("_r") - 1).drop("_b", "_r", "_o")
+    tasks = tasks or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = df.repartitionByRange(tasks, *order).sortWithinPartitions(*order)
+    placed = durable(spread.withColumn("_at", F.monotonically_increasing_id()))
+    task, inside = F.shiftright("_at", 33), F.col("_at").bitwiseAND((1 << 33) - 1)
+    before = Window.orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = placed.groupBy(task.alias("_task")).agg(F.count(F.lit(1)).alias("_n"))
+    offsets = sizes.select("_task", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_o"))
+    joined = placed.join(F.broadcast(offsets), task == F.col("_task"))  # one row per task
+    return joined.withColumn(name, F.col("_o") + inside).drop("_at", "_task", "_o")
+
+
+def positions(df: DataFrame, order: list[str], tasks: int | None = None) -> DataFrame:
+    """Dense position ``pos`` from 0 in the total order ``order``, by range partitions."""
+    return numbered(df, order, "pos", tasks)
 
 
 def chronological_split(df: DataFrame, label: str, order: list[str], test: float = 0.15, gap: float = 0.05) -> DataFrame:
     """Adds ``split``: per class the last rows are test, those before them gap, the rest train.
 
     A class whose test part rounds to nothing, or that leaves no row for training, is
-    train as a whole. Class sizes come from one small aggregate; ranks within a class
-    are computed per class and time bucket, so that a large class is sorted in parallel.
+    train as a whole. Class sizes come from one small aggregate; a large class is sorted in parallel.
     """
     sizes = df.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
     ranked = class_rank(df, label, order).join(F.broadcast(sizes), label)  # one row per class
@@ -43,14 +52,15 @@ def chronological_split(df: DataFrame, label: str, order: list[str], test: float
     return ranked.withColumn("split", place).drop("_rank", "_n")
 
 
-def class_rank(df: DataFrame, label: str, order: list[str], bucket_ms: int = DAY_MS) -> DataFrame:
-    """Adds ``_rank``, the position from 1 within the class in ``order``."""
-    bucketed = df.where(F.col(label).isNotNull()).withColumn("_b", F.floor(F.col(order[0]) / bucket_ms))
-    counts = bucketed.groupBy(label, "_b").agg(F.count(F.lit(1)).alias("_c"))
-    before = F.sum("_c").over(Window.partitionBy(label).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1))
-    offsets = counts.select(label, "_b", F.coalesce(before, F.lit(0)).alias("_o"))
-    inner = F.row_number().over(Window.partitionBy(label, "_b").orderBy(*order))
-    return bucketed.withColumn("_i", inner).join(offsets, [label, "_b"]).withColumn("_rank", F.col("_o") + F.col("_i")).drop("_b", "_i", "_o")
+def class_rank(df: DataFrame, label: str, order: list[str], tasks: int | None = None) -> DataFrame:
+    """Adds ``_rank``, the position from 1 within the class in ``order``; rows without a class are left out.
+
+    One order by (class, ``order``) serves all classes, so that a class of any size is cut into
+    ranges; a class starts at its smallest position.
+    """
+    placed = numbered(df.where(F.col(label).isNotNull()), [label, *order], "_i", tasks)
+    starts = placed.groupBy(label).agg(F.min("_i").alias("_o"))
+    return placed.join(starts, label).withColumn("_rank", F.col("_i") - F.col("_o") + 1).drop("_i", "_o")
 
 
 def without_cross_duplicates(test: DataFrame, train: DataFrame, columns: list[str], decimals: int = 6) -> DataFrame:

@@ -18,7 +18,7 @@ def causal_sequences(df: DataFrame, columns: list[str], length: int = 10, key: s
     A source is cut into runs of ``RUN`` flows by rank; the last flows of a run are copied to the
     next one, so that no task holds a whole source. Flows without a source are left out.
     """
-    ranked = class_rank(df, key, [order], bucket_ms=RUN)
+    ranked = class_rank(df, key, [order])
     run = F.floor((F.col("_rank") - 1) / RUN)
     carried = F.col("_rank") > (run + 1) * RUN - (length - 1)
     placed = ranked.withColumn("_own", run).withColumn("_run", F.explode(F.when(carried, F.array(run, run + 1)).otherwise(F.array(run))))
