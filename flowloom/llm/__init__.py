@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, html_text, lattice_lm, line_frequency, nn_descent, packing, pii, simhash, suffix_dedup, toxicity, warc
+from . import bpe, html_text, lattice_lm, line_frequency, nn_descent, packing, pii, simhash, suffix_dedup, toxicity, turn_repair, warc
 
 #: Query name -> module with ``query(spark, sf_dir)`` and, where SQL can say it, ``ORACLE``.
 MODULES = {
@@ -17,6 +17,7 @@ MODULES = {
     "op9_forced_bpe": bpe,
     "op10_nn_descent": nn_descent,
     "op12_prefix_doubling": suffix_dedup,
+    "op13_cost_layers": turn_repair,
 }
 
 
