@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, html_text, lattice_lm, line_frequency, nn_descent, packing, pii, simhash, suffix_dedup, toxicity, turn_repair, warc
+from . import bpe, hard_negatives, html_text, lattice_lm, line_frequency, nn_descent, packing, pii, simhash, suffix_dedup, toxicity, turn_repair, warc
 
 #: Query name -> module with ``query(spark, sf_dir)`` and, where SQL can say it, ``ORACLE``.
 MODULES = {
@@ -16,6 +16,7 @@ MODULES = {
     "op8_lattice_lm": lattice_lm,
     "op9_forced_bpe": bpe,
     "op10_nn_descent": nn_descent,
+    "op11_pca_negatives": hard_negatives,
     "op12_prefix_doubling": suffix_dedup,
     "op13_cost_layers": turn_repair,
 }
