@@ -11,6 +11,8 @@ on rows whose labels may be learnt.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from operator import or_
 
 import numpy as np
 import pandas as pd
@@ -24,8 +26,8 @@ from .common import carry, durable, read_table, restore
 
 ORDERS = (3, 4, 5, 6)
 BITS = 20
-#: Parts of the labels by hash.
-STEPS = 1024
+#: Bits of a hash that are looked at at once.
+DIGIT = 10
 _STEP = 1 << 20
 _FLAGS = np.zeros(1 << BITS, dtype=bool)  # scratch of one text, always left all false
 
@@ -55,26 +57,55 @@ def ngram_buckets(text: str | None) -> np.ndarray:
     return found
 
 
+def quotas(sizes: dict[int, int], bound: int) -> dict[int, int]:
+    """Labels to take of each class: all within ``bound``, else shares of it, one of each class at least."""
+    total = sum(sizes.values())
+    if total <= bound:
+        return sizes
+    return {c: min(n, max(1, bound * n // total)) for c, n in sizes.items()}
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, bound: int) -> DataFrame:
-    """``(doc_id, text, toxic)``: at most ``bound`` labelled documents, the same ones every time.
+    """``(doc_id, text, toxic)``: about ``bound`` labelled documents, all if there are no more, the same ones every time.
 
-    Labels whose crc32(doc_id) mod 3 is 1 are never used. Labels are dealt by hash into
-    ``STEPS`` parts, and as many whole parts are taken as stay within ``bound``, so the
-    driver sees part sizes only. The chosen labels are broadcast; of documents with one
-    id the least text counts.
+    Labels whose crc32(doc_id) mod 3 is 1 are never used. Of each class the labels of the smallest
+    hashes are taken, up to its share of ``bound``. The last of these hashes is found digit by digit: the driver sees
+    how many labels of a class have each of 1024 next digits behind the digits found so far, so the
+    cut is as fine for any number of labels. The chosen labels are broadcast; of documents with one id the least text
+    counts.
     """
-    part = F.pmod(F.xxhash64("doc_id"), F.lit(STEPS))
     usable = (
         labels.where("doc_id is not null and toxic is not null")
         .where(F.crc32(F.col("doc_id").cast("string")) % 3 != 1)
         .groupBy("doc_id")
         .agg(F.max("toxic").alias("toxic"))
+        .withColumn("c", (F.col("toxic") > 0).cast("int"))
+        .withColumn("h", F.xxhash64("doc_id"))
     )
-    total, parts = 0, 0
-    sizes = {r.part: r.n for r in usable.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n")).collect()}
-    while parts < STEPS and (total := total + sizes.get(parts, 0)) <= bound:
-        parts += 1
-    chosen = usable.where(part < parts)
+    sizes = {r.c: r.n for r in usable.groupBy("c").agg(F.count(F.lit(1)).alias("n")).collect()}
+    due = quotas(sizes, bound)
+    upto = {c: 0 for c, n in due.items() if n < sizes[c]}  # digits found; classes taken as a whole have none
+    taken, shift = dict.fromkeys(upto, 0), 64
+    while shift > 4 and any(taken[c] < due[c] for c in upto):
+        shift -= DIGIT
+        digits = F.expr(f"shiftrightunsigned(h, {shift})")
+        behind = [(F.col("c") == c) & (F.expr(f"shiftrightunsigned(h, {shift + DIGIT})") == x if shift + DIGIT < 64 else F.lit(True)) for c, x in upto.items() if taken[c] < due[c]]
+        found: dict[int, list] = {}
+        for r in usable.where(reduce(or_, behind)).groupBy("c", digits.alias("x")).agg(F.count(F.lit(1)).alias("n")).collect():  # 1024 rows a class at most
+            found.setdefault(r.c, []).append((r.x, r.n))
+        for c in upto:
+            if taken[c] == due[c]:
+                upto[c] <<= DIGIT
+                continue
+            upto[c] = max(x for x, _ in found[c]) + 1
+            for x, n in sorted(found[c]):
+                if taken[c] + n > due[c]:
+                    upto[c] = x
+                    break
+                taken[c] += n
+    digits = F.expr(f"shiftrightunsigned(h, {shift})") if shift < 64 else F.lit(0).cast("long")
+    cut = [(F.col("c") == c) & (digits < upto[c] if c in upto else F.lit(True)) for c in due]
+    chosen = usable.where(reduce(or_, cut, F.lit(False))).select("doc_id", "toxic")
     held = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
     return held.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))
 

@@ -140,3 +140,18 @@ def test_stage_drops_toxic_documents_only(spark, tmp_path):
     kept = {r.doc_id for r in out.collect()}
     toxic = {i for i, _, t in labels if t}
     assert len(kept & toxic) <= 0.03 * len(toxic) and len(kept - toxic) >= 0.98 * (len(labels) - len(toxic))
+
+
+def test_sample_of_any_bound(spark):
+    """Bounds far below a 1024th of the labels still give as many rows and both classes; all labels are taken under the bound."""
+    n = 12_000
+    labels = spark.range(n).selectExpr("id as doc_id", "1 as quality", "cast(id % 10 = 0 as int) as toxic")
+    docs = spark.range(n).selectExpr("id as doc_id", "cast(id as string) as text")
+    usable = [i for i in range(n) if zlib.crc32(str(i).encode()) % 3 != 1]
+    for bound in (1, 5, 15, 300, 7000, 20_000):
+        got = toxicity.labelled_sample(docs, labels, bound).collect()
+        want = toxicity.quotas({1: sum(i % 10 == 0 for i in usable), 0: sum(i % 10 > 0 for i in usable)}, bound)
+        assert {1: sum(r.toxic for r in got), 0: sum(1 - r.toxic for r in got)} == want
+        assert {r.doc_id for r in got} <= set(usable) and bound - 1 <= sum(want.values()) <= max(bound, 2) or bound > len(usable)
+    assert toxicity.labelled_sample(docs, labels.where("toxic = 0"), 10).count() == 10
+    assert toxicity.labelled_sample(docs, labels.where("false"), 10).count() == 0
