@@ -17,7 +17,8 @@ density is then about zero); such names are disbelieved where they cover an arti
 part or main heading, or leave less than ``BELIEVED`` of the largest sum. Elements that
 are never text or state that they are no article (``NEVER``) and hidden ones are left out.
 The ``article`` or ``main`` element around the densest node and the main heading before
-it belong to the text too; link lists and named parts under the threshold do not.
+it belong to the text too; link lists and named parts under the threshold do not, nor do last
+blocks that read like a footer.
 """
 
 from __future__ import annotations
@@ -34,13 +35,12 @@ from .common import read_table
 
 #: Elements without end tag, with raw content, never part of an article, and inside a line of text.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript iframe xmp noembed noframes textarea title".split())
-NEVER = RAW | frozenset(
-    "head nav footer aside form button select option datalist dialog menu template svg math canvas object applet audio video map".split()
-)
+RAW = frozenset("script style noscript iframe xmp textarea title".split())
+NEVER = RAW - {"xmp"} | frozenset("head nav footer aside form button select option datalist dialog menu template".split())
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span "
-    "strike strong sub sup time tt u var wbr".split()
+    "strike strong sub sup time tt u var wbr object applet audio video canvas map svg math mi mn mo ms mtext mrow mstyle mspace "
+    "msup msub msubsup mfrac msqrt mroot mover munder munderover semantics annotation".split()
 )
 #: A paragraph ends where one of these begins; an item ends where its like begins.
 ENDS_P = frozenset(
@@ -70,6 +70,12 @@ FRAME = frozenset(
 BELIEVED = 0.1
 #: A part with this share of link text and so many links is a list of links.
 LINKED, LINKS = 0.8, 3
+#: A last block of at most so many characters that says this is a footer, with or without a name.
+FOOTER = 300
+_FOOTER = re.compile(
+    r"^\s*(?:copyright\b|©|\(c\)).{0,60}\d{4}|\ball rights reserved\b|^\s*powered by\b|\b(?:privacy|cookie) policy\b.*\bterms\b|\bterms\b.*\b(?:privacy|cookie) policy\b",
+    re.I | re.S,
+)
 _ATTRIBUTES = re.compile(r"""(?:[^"'>]++|"[^"]*+"|'[^']*+')*+>""")
 _NAMED = re.compile(r"""(?:^|[\s"'])(class|id|role|hidden|style|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?(?=[\s/>"']|$)""", re.I)
 _NAME = re.compile(r"[a-zA-Z][^\s/>]*")
@@ -183,6 +189,8 @@ class Page:
             at = end
             if tag in RAW:
                 close = re.compile(f"</{tag}(?=[\\s/>])", re.I).search(s, at)
+                if tag == "xmp":  # shown as it stands
+                    self.pieces.append((self.open[-1], s[at : close.start() if close else n]))
                 at = close.start() if close else n
                 if not close:
                     return
@@ -298,7 +306,24 @@ class Page:
                 self.left_out[i] = True
             self.left_out[i] |= self.left_out[parents[i]]
             chosen[i] |= chosen[parents[i]]
-        return " ".join("".join(t for i, t in self.pieces if chosen[i] and not self.left_out[i]).split())
+        pieces = [(block[i], t) for i, t in self.pieces if chosen[i] and not self.left_out[i]]
+        kept = [tags[i] in ("article", "main") for i in range(n)]  # what stands there, or as a paragraph beside the densest text, is no footer
+        beside = [i == best for i in range(n)]
+        for i in range(1, n):
+            kept[i] |= kept[parents[i]]
+            beside[i] |= beside[parents[i]]
+        while True:
+            k, last, size = len(pieces), None, 0
+            while k and (not pieces[k - 1][1].strip() or last in (None, pieces[k - 1][0])) and size <= FOOTER:
+                k -= 1
+                if pieces[k][1].strip():
+                    if kept[pieces[k][0]] or beside[pieces[k][0]] and tags[pieces[k][0]] == "p":
+                        size = FOOTER + 1
+                    last, size = pieces[k][0], size + len(pieces[k][1])
+            if not any(t.strip() for _, t in pieces[:k]) or size > FOOTER or not _FOOTER.search("".join(t for _, t in pieces[k:])):
+                break  # the whole text is never a footer
+            del pieces[k:]
+        return " ".join("".join(t for _, t in pieces).split())
 
 
 def main_text(source: str | None) -> str:

@@ -159,3 +159,26 @@ def test_link_lists_have_less_density_than_prose():
     page = html_text.Page("<body><div><a href=/1>one two three</a><a href=/2>four five six</a></div><div><p>" + words(1, 60) + "</p></div></body>")
     assert page.article() == words(1, 60)
     assert not re.search("one two", page.article())
+
+
+def test_visible_text_of_rare_elements_stays():
+    """Formulas, examples and fallback text are text; the contract leaves none of them out."""
+    line = "This is a long sentence of an article that has many words in it. "
+    page = f"<article><p>{line * 4}</p><p>So <math><mi>E</mi><mo>=</mo>mc2</math> holds.</p><xmp>a < b &amp; c</xmp><p>{line}</p></article>"
+    assert html_text.main_text(page) == f"{(line * 4).strip()} So E=mc2 holds. a < b &amp; c {line.strip()}"
+    assert html_text.main_text("<p>see <svg><text>axis</text></svg> and <object>part</object></p>") == "see axis and part"
+    assert html_text.main_text("<noframes><p>x y</p></noframes>") == "x y"
+
+
+@pytest.mark.parametrize("footer", [
+    "<div>Copyright 2024 Example Inc. All rights reserved.</div>", "<div>&copy; Example, 2019-2024</div>", "<div>&copy; 2024 Example</div><section>Privacy Policy | Terms</section>",
+])
+@pytest.mark.parametrize("shell", ["<body><article>%s</article>%s</body>", "<body>%s%s</body>", "<body><div>%s</div>%s</body>", "<body><div>%s%s</div></body>"])
+def test_plain_footers_go(shell, footer):
+    line = "This is a long sentence of an article that has many words in it, and on it goes. "
+    text = "".join(f"<p>{line * 4}</p>" for _ in range(3)) + "<p>In 1976 the law on copyright changed.</p>"
+    want = " ".join([line * 4] * 3).replace("  ", " ") + "In 1976 the law on copyright changed."
+    assert html_text.main_text(shell % (text, footer)) == want
+    assert html_text.main_text(f"<body>{footer}</body>") != ""
+    own = f"<article>{text}<p>All rights reserved.</p></article>"  # a paragraph of the article is none
+    assert html_text.main_text(own + footer) == want + " All rights reserved."
