@@ -1,12 +1,11 @@
-"""Diagonal Gaussian mixtures: scoring, novelty, variational fit, online updates, drift."""
+"""Diagonal Gaussian mixtures: scoring, novelty, online updates, replaced components, drift."""
 
 from __future__ import annotations
 
 import math
 
-import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .profiles import quantiles
@@ -156,55 +155,3 @@ def replace_lightest(params: DataFrame, novel: DataFrame, vector: str, rows: int
     )
     norm = out.agg(F.sum("weight").alias("_t"))
     return out.crossJoin(F.broadcast(norm)).select("k", (F.col("weight") / F.col("_t")).alias("weight"), "mean", "var")
-
-
-def _digamma(x: np.ndarray) -> np.ndarray:
-    x = np.asarray(x, dtype=float).copy()
-    out = np.zeros_like(x)
-    while (small := x < 6).any():
-        out[small] -= 1 / x[small]
-        x[small] += 1
-    inv = 1 / (x * x)
-    return out + np.log(x) - 0.5 / x - inv * (1 / 12 - inv * (1 / 120 - inv / 252))
-
-
-def fit_dirichlet_mixture(
-    spark: SparkSession, df: DataFrame, vector: str, components: int = 20, rounds: int = 30, concentration: float = 0.1, tol: float = 1e-3, seed: int = 42
-) -> DataFrame:
-    """Truncated stick-breaking mixture by variational EM; returns ``(k, weight, mean, var)``.
-
-    Each round is one pass over the data that yields responsibility sums (components x
-    dimensions numbers); the small update runs on the driver. Starting centres are
-    hash-chosen rows.
-    """
-    df = df.where(F.col(vector).isNotNull())
-    start = df.select(vector).orderBy(F.xxhash64(F.lit(seed), vector)).limit(components).collect()
-    if not start:
-        return spark.createDataFrame([], PARAMS)
-    centres = np.array([r[0] for r in start], dtype=float)
-    k, d = centres.shape
-    base = df.select(F.posexplode(vector).alias("i", "x")).groupBy("i").agg(F.avg("x").alias("m"), F.var_pop("x").alias("v")).orderBy("i").collect()
-    prior_mean, prior_var = np.array([r.m for r in base]), np.maximum([r.v for r in base], 1e-6)
-    mean, var, log_w = centres, np.tile(prior_var, (k, 1)), np.full(k, -math.log(k))
-    last = -np.inf
-    for _ in range(rounds):
-        params = spark.createDataFrame([(i, float(math.exp(log_w[i])), mean[i].tolist(), var[i].tolist()) for i in range(k)], PARAMS)
-        stats = {r.k: r for r in sufficient(posteriors(df, vector, params), vector).collect()}
-        level = sum(r.level for r in stats.values()) / sum(r.n for r in stats.values())
-        n = np.array([stats[i].n if i in stats else 0.0 for i in range(k)])
-        s1 = np.array([stats[i].s1 if i in stats else np.zeros(d) for i in range(k)])
-        s2 = np.array([stats[i].s2 if i in stats else np.zeros(d) for i in range(k)])
-        order = np.argsort(-n, kind="stable")  # sticks are broken in order of mass
-        n, s1, s2 = n[order], s1[order], s2[order]
-        after = np.append(np.cumsum(n[::-1])[::-1][1:], 0.0)
-        a, b = 1 + n, concentration + after
-        log_v, log_rest = _digamma(a) - _digamma(a + b), _digamma(b) - _digamma(a + b)
-        log_w = log_v + np.append(0.0, np.cumsum(log_rest)[:-1])
-        log_w -= np.logaddexp.reduce(log_w)
-        mean = (s1 + prior_mean) / (n + 1)[:, None]
-        spread = s2 - 2 * mean * s1 + n[:, None] * mean**2 + (mean - prior_mean) ** 2
-        var = np.maximum((prior_var + spread) / (n + 2)[:, None], 1e-6)
-        if abs(level - last) < tol:
-            break
-        last = level
-    return spark.createDataFrame([(i, float(math.exp(log_w[i])), mean[i].tolist(), var[i].tolist()) for i in range(k)], PARAMS)

@@ -9,8 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
-from ..operators import fusion, graph, metrics, mixture, profiles, rules, timeline, windows
+from ..operators import fusion, graph, metrics, mixture, profiles, rules, timeline, variational, windows
 from ..sources.flows import FLOWS_SQL, ORDER, flows
+from ..sources.shared import durable
 from ..streaming import flow_stream
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -30,13 +31,13 @@ def query(oracle: str | None = None):
 
 
 def queries() -> dict:
-    from . import evaluation  # noqa: F401  (registers its queries)
+    from . import evaluation, models  # noqa: F401  (register their queries)
 
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import evaluation  # noqa: F401
+    from . import evaluation, models  # noqa: F401
 
     return dict(_ORACLES)
 
@@ -136,22 +137,36 @@ _HMAP = {"duration": "duration_ms_z", "out_bytes": "out_bytes_z", "in_pkts": "in
 _SIG = "CASE WHEN {x} >= 0 THEN 1 / (1 + exp(-({x}))) ELSE exp({x}) / (1 + exp({x})) END"
 
 
-@query(with_sql(*_ZSQL, *_FANS, """f AS (SELECT z.*, fan_out, fan_in, fan_out + fan_in AS n_peers, CAST(dst_port <= 1023 AS DOUBLE) AS wk, CAST(protocol = 6 AS DOUBLE) AS tcp,
+_HEUR = (
+    """f AS (SELECT z.*, fan_out, fan_in, fan_out + fan_in AS n_peers, CAST(dst_port <= 1023 AS DOUBLE) AS wk, CAST(protocol = 6 AS DOUBLE) AS tcp,
   CAST((tcp_flags & 2) <> 0 AND (tcp_flags & 16) = 0 AS DOUBLE) AS syn, CAST(icmp_type <> 0 AS DOUBLE) AS icmp FROM z JOIN fo USING (src) JOIN fi USING (dst))""",
-  "g AS (SELECT f.*, " + ", ".join(f"({c} - avg({c}) OVER ()) / CASE WHEN stddev_pop({c}) OVER () > 0 THEN stddev_pop({c}) OVER () ELSE 1 END AS {c}_z" for c in ("fan_out", "fan_in", "n_peers")) + " FROM f)",
-  "h AS (SELECT attack, " + ", ".join(_SIG.format(x="(" + " + ".join(f"{_HMAP[k]} * CAST({w} AS DOUBLE)" for k, w in ws.items() if k in _HMAP) + ")") + f" AS s_{n}" for n, ws in S.HEURISTICS.items()) + " FROM g)")
-  + "SELECT attack, " + ", ".join(f'round(avg(s_{n}), 6) + CAST(0 AS DOUBLE) AS "{n}"' for n in S.HEURISTICS) + " FROM h GROUP BY attack")
+    "g AS (SELECT f.*, " + ", ".join(f"({c} - avg({c}) OVER ()) / CASE WHEN stddev_pop({c}) OVER () > 0 THEN stddev_pop({c}) OVER () ELSE 1 END AS {c}_z" for c in ("fan_out", "fan_in", "n_peers")) + " FROM f)",
+)
+_HSCORES = ", ".join(_SIG.format(x="(" + " + ".join(f"{_HMAP[k]} * CAST({w} AS DOUBLE)" for k, w in ws.items() if k in _HMAP) + ")") + f" AS s_{n}" for n, ws in S.HEURISTICS.items())
+
+
+def heuristic_sql(columns: str) -> tuple[str, ...]:
+    """Parts of a WITH that end in ``h``: ``columns`` of every flow and its five scores."""
+    return (*_ZSQL, *_FANS, *_HEUR, f"h AS (SELECT {columns}, {_HSCORES} FROM g)")
+
+
+@query(with_sql(*heuristic_sql("attack")) + "SELECT attack, " + ", ".join(f'round(avg(s_{n}), 6) + CAST(0 AS DOUBLE) AS "{n}"' for n in S.HEURISTICS) + " FROM h GROUP BY attack")
 def heuristic_scores(spark, d):
     return rounded(heuristic_rows(spark, d, "attack").groupBy("attack").agg(*[F.avg(n).alias(n) for n in S.HEURISTICS]))
 
 
 def heuristic_rows(spark, d, *columns):
     """The five heuristic scores of every flow."""
+    return heuristic_rows_of(spark, d, F.lit(True), *columns)
+
+
+def heuristic_rows_of(spark, d, wanted, *columns):
+    """The five heuristic scores of the flows that are ``wanted``, scaled by all flows."""
     df = graph.flow_fan(_scaled(spark, d)).withColumns({
         "wk": (F.col("dst_port") <= 1023).cast("double"), "tcp": (F.col("protocol") == 6).cast("double"),
         "syn": S.syn_only(F.col("tcp_flags")).cast("double"), "icmp": (F.col("icmp_type") != 0).cast("double"),
     })
-    df = S.standardised(df, ["fan_out", "fan_in", "n_peers"])
+    df = S.standardised(df, ["fan_out", "fan_in", "n_peers"]).where(wanted)
     return df.select(*columns, *S.heuristic_scores({k: F.col(v) for k, v in _HMAP.items()}))
 
 
@@ -384,7 +399,7 @@ def cluster_features(spark, d):
         F.count(F.lit(1)).alias("size"), *[F.avg(c).alias(c) for c in _MEANS], F.avg("duration_ms").alias("duration"), share(F.col("min_ttl") == 0, "share_ttl0"),
         share(~F.col("min_ttl").isin(0.0, 64.0), "share_ttl_other"), share(F.col("tcp_flags") == 2, "share_syn"), share(F.col("tcp_win_in") == 1024, "share_win1024"),
     )
-    fans = graph.cluster_graph_profile(df, "cluster").select("cluster", "n_src", "n_dst", "n_pairs", F.col("avg_fan_out").alias("fan_out"))
+    fans = graph.cluster_graph_profile(clustered(spark, d, False), "cluster").select("cluster", "n_src", "n_dst", "n_pairs", F.col("avg_fan_out").alias("fan_out"))
     total = means.agg(F.sum("size").alias("_t"))
     out = means.join(fans, "cluster").crossJoin(F.broadcast(total))  # one row
     return out.withColumns({
@@ -665,12 +680,22 @@ dm AS (SELECT src, window_id, sum(least(t, p)) / sum(greatest(t, p)) AS soft_jac
 
 
 def window_pairs(spark, d):
-    """Long ``(src, window_id, label, t, p)`` over the fixed list of tactics."""
-    labelled = rules.attack_tactics(window_counts(spark, d), rules.attack_table(spark)).groupBy("src", "window_id", F.col("tactic").alias("label")).agg(F.sum("n").alias("n"))
-    truth = fusion.normalised(labelled.withColumn("t", F.col("n").cast("double")), ["src", "window_id"], "t").select("src", "window_id", "label", "t", F.lit(0.0).alias("p"))
-    pred = window_tactic_rows(spark, d).select("src", "window_id", F.col("tactic").alias("label"), F.lit(0.0).alias("t"), "p")
-    keys = truth.select("src", "window_id").distinct().select("*", F.explode(F.array(*[F.lit(t) for t in rules.TACTICS])).alias("label"), F.lit(0.0).alias("t"), F.lit(0.0).alias("p"))
-    return truth.unionByName(pred).unionByName(keys).groupBy("src", "window_id", "label").agg(F.round(F.sum("t"), 9).alias("t"), F.round(F.sum("p"), 9).alias("p"))
+    """Long ``(src, window_id, label, t, p)`` over the fixed list of tactics.
+
+    Flows are counted once per (window, cluster, attack) and these counts are written; truth and prediction are
+    sums over them for each tactic, in one more shuffle.
+    """
+    counts = rules.attack_tactics(durable(window_counts(spark, d)), rules.attack_table(spark))
+    table = rule_tactics(spark, d)[1].groupBy("cluster").agg(F.map_from_entries(F.collect_list(F.struct("tactic", "p"))).alias("ps"))  # one row per cluster
+    n = F.col("n").cast("double")
+    share = lambda t: F.sum(n * F.coalesce(F.try_element_at("ps", F.lit(t)), F.lit(0.0)))
+    sums = counts.join(table, "cluster", "left").groupBy("src", "window_id").agg(
+        F.array(*[F.sum(F.when(F.col("tactic") == t, n).otherwise(0.0)) for t in rules.TACTICS]).alias("t"), F.array(*[share(t) for t in rules.TACTICS]).alias("p")
+    )
+    total = lambda c: F.aggregate(c, F.lit(0.0), lambda a, x: a + x)
+    part = lambda c: F.transform(c, lambda x: F.when(total(c) > 0, F.round(x / total(c), 9)).otherwise(0.0))
+    labels = F.array(*[F.lit(t) for t in rules.TACTICS]).alias("label")
+    return sums.select("src", "window_id", F.explode(F.arrays_zip(labels, part("t").alias("t"), part("p").alias("p"))).alias("x")).select("src", "window_id", "x.*")
 
 
 @query(with_sql(*_RULED, _WIN, _WTA, _TL, _WTRUE, _WM) + "SELECT src, window_id, " + rd("soft_jaccard", "cosine", "kl", "coverage", digits=4) + ", top1 FROM dm")
@@ -689,9 +714,25 @@ def multilabel_prf(spark, d):
 # ---- mixtures, streams ------------------------------------------------------------------------------------------------
 
 _E = "em AS (SELECT vec_id, label, i, CAST(embedding[i] AS DOUBLE) AS x FROM (SELECT *, unnest(generate_series(1, 64)) AS i FROM embeddings))"
-_P = ("mp AS (SELECT label AS k, i, avg(x) AS m, greatest(var_pop(x), CAST(1e-6 AS DOUBLE)) AS v FROM em GROUP BY 1, 2)", "mw AS (SELECT label AS k, count(*) / sum(count(*)) OVER () AS w FROM embeddings GROUP BY 1)")
-_J = ("lj AS (SELECT vec_id, k, any_value(ln(w)) - 0.5 * sum(ln(2 * pi() * v)) - 0.5 * sum((x - m) * (x - m) / v) AS l FROM em JOIN mp USING (i) JOIN mw USING (k) GROUP BY 1, 2)",
-  "ll AS (SELECT vec_id, max(l) + ln(sum(exp(l - mx))) AS log_likelihood, arg_max(k, l) AS cluster FROM (SELECT *, max(l) OVER (PARTITION BY vec_id) AS mx FROM lj) GROUP BY 1)")
+
+
+def params_sql(where: str = "") -> tuple[str, ...]:
+    """Parts of a WITH: means and variances ``mp`` and weights ``mw`` of the mixture of labels, over some rows."""
+    return (
+        f"mp AS (SELECT label AS k, i, avg(x) AS m, greatest(var_pop(x), CAST(1e-6 AS DOUBLE)) AS v FROM em {where} GROUP BY 1, 2)",
+        f"mw AS (SELECT label AS k, count(*) / sum(count(*)) OVER () AS w FROM embeddings {where} GROUP BY 1)",
+    )
+
+
+def joint_sql(rows: str = "em") -> tuple[str, ...]:
+    """Parts of a WITH: joint densities ``lj`` and likelihoods ``ll`` of ``rows`` under ``mp`` and ``mw``."""
+    return (
+        f"lj AS (SELECT vec_id, k, any_value(ln(w)) - 0.5 * sum(ln(2 * pi() * v)) - 0.5 * sum((x - m) * (x - m) / v) AS l FROM {rows} JOIN mp USING (i) JOIN mw USING (k) GROUP BY 1, 2)",
+        "ll AS (SELECT vec_id, max(l) + ln(sum(exp(l - mx))) AS log_likelihood, arg_max(k, l) AS cluster FROM (SELECT *, max(l) OVER (PARTITION BY vec_id) AS mx FROM lj) GROUP BY 1)",
+    )
+
+
+_P, _J = params_sql(), joint_sql()
 
 
 def embeddings(spark, d):
@@ -776,7 +817,7 @@ def dynamic_kb_rescore(spark, d):
 
 @query()
 def dpgmm_fit(spark, d):
-    return mixture.fit_dirichlet_mixture(spark, embeddings(spark, d), "embedding", components=12, rounds=8).select("k", "weight", F.col("mean")[0].alias("mean0"), F.col("var")[0].alias("var0"))
+    return variational.fit_dirichlet_mixture(spark, embeddings(spark, d), "embedding", components=12, rounds=8).select("k", "weight", F.col("mean")[0].alias("mean0"), F.col("var")[0].alias("var0"))
 
 
 @query(r"""WITH c AS (SELECT doc_id, CAST(unnest(regexp_extract_all(coalesce(text, ''), '[0-9]+(?:\.[0-9]+)?')) AS DOUBLE) AS x FROM documents)

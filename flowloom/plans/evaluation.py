@@ -11,10 +11,10 @@ from ..functions import scalar as S
 from ..operators import baselines, explain, fusion, graph, metrics, mixture, profiles, rules, timeline, windows
 from ..sources.flows import ORDER, flows, held_out, load_model, read_kb, save_model, stratified_sample, write_kb
 from ..sources.shared import shared_folder
-from ..streaming import flow_stream, phases
+from ..streaming import flow_stream, model_stream, phases
 from .catalogue import (
     _CL, _E, _FP, _ORACLES, _FU, _J, _OT, _P, _PCOLS, _PRI, _PROF, _RULED, _SPLIT, _TL, _TRUE, _WIN, _Z, _bands, _expert_sql, _rules_sql, _split, cluster_features, clustered, embeddings, heuristic_rows,
-    near, other_tactics, query, rd, rounded, rule_tactics, scored_embeddings, tactic_confusion, windowed, with_sql,
+    heuristic_sql, joint_sql, near, other_tactics, params_sql, query, rd, rounded, rule_tactics, scored_embeddings, tactic_confusion, windowed, with_sql,
 )
 
 # ---- data preparation -------------------------------------------------------------------------------------------------
@@ -314,7 +314,7 @@ def tactic_sets(spark, d):
     return rules.tactic_set(scores, ["cluster"], rules.tactic_table(spark)).select("cluster", F.concat_ws(",", "tactics").alias("tactics"), "primary_tactic")
 
 
-_HROWS = _ORACLES["heuristic_scores"].replace("h AS (SELECT attack, ", "h AS (SELECT CAST(dst % 20 AS INTEGER) AS cluster, ").rsplit("SELECT attack, ", 1)[0] + "SELECT * FROM h"
+_HROWS = with_sql(*heuristic_sql("CAST(dst % 20 AS INTEGER) AS cluster")) + "SELECT * FROM h"
 
 
 @query("SELECT label, count(*) AS flows, " + ", ".join(f"round(avg(s_{n}), 6) + CAST(0 AS DOUBLE) AS {n}" for n in S.HEURISTICS) + f" FROM ({_HROWS}) JOIN ({_ORACLES['default_labels']}) USING (cluster) GROUP BY 1")
@@ -375,7 +375,9 @@ def complementarity(spark, d):
     return rounded(explain.complementarity(rows.join(sizes, "cluster")))
 
 
-@query(with_sql(*_RULED) + "SELECT count(*) AS entries, CAST(1 AS DOUBLE) AS complete, CAST(1 AS DOUBLE) AS behaviours, CAST(1 AS DOUBLE) AS tactics, round(avg(CAST(ok AS DOUBLE)), 6) AS normalised FROM (SELECT cluster, abs(sum(round(p, 4)) - 1) < 0.1 AS ok FROM sh GROUP BY 1)")
+@query(with_sql(*_RULED) + """SELECT count(*) AS entries, round(avg(CAST(nb > 0 AND nt > 0 AND size > 0 AS DOUBLE)), 6) AS complete, round(avg(CAST(coalesce(nb, 0) > 0 AS DOUBLE)), 6) AS behaviours,
+  round(avg(CAST(coalesce(nt, 0) > 0 AS DOUBLE)), 6) AS tactics, round(avg(CAST(coalesce(ok, false) AS DOUBLE)), 6) AS normalised
+  FROM pf LEFT JOIN (SELECT cluster, count(*) AS nb, abs(sum(round(p, 4)) - 1) < 0.1 AS ok FROM sh GROUP BY 1) USING (cluster) LEFT JOIN (SELECT cluster, count(*) AS nt FROM ta GROUP BY 1) USING (cluster)""")
 def kb_completeness(spark, d):
     behaviours, tactics = rule_tactics(spark, d)
     return rounded(explain.completeness(fusion.build_kb(behaviours, tactics, cluster_features(spark, d).select("cluster", "size"))))
@@ -523,7 +525,7 @@ def proxy_features(spark, d):
 
 
 _HOLD = 3
-_HJ = [s.replace("FROM em GROUP BY 1, 2)", f"FROM em WHERE label <> {_HOLD} GROUP BY 1, 2)").replace("OVER () AS w FROM embeddings GROUP BY 1)", f"OVER () AS w FROM embeddings WHERE label <> {_HOLD} GROUP BY 1)") for s in _P]
+_HJ = params_sql(f"WHERE label <> {_HOLD}")
 
 
 @query("WITH " + ", ".join((_E, *_HJ, *_J, f"""nv AS (SELECT ll.vec_id, log_likelihood AS l, label = {_HOLD} AS h, label % 4 = 0 AS b, cluster % 4 = 0 AS gate, log_likelihood < (SELECT quantile_cont(log_likelihood, 0.05) FROM ll JOIN embeddings USING (vec_id) WHERE label <> {_HOLD}) AS f0 FROM ll JOIN embeddings USING (vec_id))""",
@@ -550,7 +552,7 @@ _WAY = [math.sin(i + 1.0) for i in range(64)]
 _WAY = [x / math.sqrt(sum(y * y for y in _WAY)) for x in _WAY]
 _DRIFT = (_E, *_P, "rw AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS pos, count(*) OVER () AS n FROM embeddings)", "sd AS (SELECT i, stddev_pop(x) AS s FROM em GROUP BY 1)", "wy AS (SELECT unnest(generate_series(1, 64)) AS i, unnest([" + ", ".join(f"CAST({x!r} AS DOUBLE)" for x in _WAY) + "]) AS w)",
   "dr AS (SELECT vec_id, pos, n, em.label, i, CASE WHEN pos < n * 6 // 10 THEN x ELSE (x + w * s * 3 * (pos - n * 6 // 10) / (n - n * 6 // 10)) * (1 + (pos - n * 6 // 10) / (n - n * 6 // 10) * 0.3::DOUBLE) END AS x FROM em JOIN rw USING (vec_id) JOIN sd USING (i) JOIN wy USING (i))",
-  *[s.replace("FROM em JOIN", "FROM dr JOIN") for s in _J], "lv AS (SELECT CAST(pos // 50 AS BIGINT) AS batch, avg(log_likelihood) AS level FROM ll JOIN rw USING (vec_id) WHERE pos < n // 50 * 50 GROUP BY 1)", "fd AS (SELECT any_value(n) * 6 // 10 // 50 AS first FROM rw)",
+  *joint_sql("dr"), "lv AS (SELECT CAST(pos // 50 AS BIGINT) AS batch, avg(log_likelihood) AS level FROM ll JOIN rw USING (vec_id) WHERE pos < n // 50 * 50 GROUP BY 1)", "fd AS (SELECT any_value(n) * 6 // 10 // 50 AS first FROM rw)",
   "ct AS (SELECT avg(level) - 2 * CASE WHEN count(*) > 1 THEN stddev_pop(level) ELSE abs(avg(level)) * 0.1 END AS threshold FROM lv, fd WHERE batch < first)", "fg AS (SELECT batch, batch >= first AS d, level < threshold AS low, threshold, first FROM lv, ct, fd)")
 
 
@@ -600,17 +602,21 @@ _SRC = "ev AS (SELECT user_id % 20 AS src, epoch_us(ts) // 1000 AS ts_ms, value,
 
 @query("WITH " + _SRC + " SELECT src, CAST(k // 10 AS BIGINT) AS window_id, CAST(count(*) AS BIGINT) AS n_flows, min(ts_ms) AS first_ts, max(ts_ms) AS last_ts, round(sum(value), 3) AS sum_value FROM ev GROUP BY 1, 2 HAVING count(*) = 10")
 def streamed_windows(spark, d):
-    """Full windows of ten events per source by Structured Streaming, over five files of events in order of time."""
+    """Full windows of ten events per source by a restartable stream, over files of events in order of time."""
     base = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     ms = F.expr("timestampdiff(MILLISECOND, timestamp_ntz'1970-01-01 00:00:00', cast(ts as timestamp_ntz))")
     ev = spark.read.parquet(f"{d}/events.parquet").select((F.col("user_id") % 20).alias("src"), ms.alias("ts_ms"), "value")
+    files = ev.count() // (5 * FILE_ROWS) + 1
     for k, cut in enumerate(timeline_cuts(ev, 5)):
-        ev.where((F.col("ts_ms") >= cut[0]) & (F.col("ts_ms") < cut[1])).coalesce(1).write.parquet(f"{base}/in/{k}")
-    stream = spark.readStream.schema("src long, ts_ms long, value double").option("maxFilesPerTrigger", 1).parquet(f"{base}/in/*")
-    found = flow_stream.full_windows(stream, 10)
-    run = found.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
-    run.awaitTermination()
-    return rounded(spark.read.schema(flow_stream.FULL_WINDOW).parquet(f"{base}/out"), 3)
+        ev.where((F.col("ts_ms") >= cut[0]) & (F.col("ts_ms") < cut[1])).repartition(files).write.parquet(f"{base}/in/{k}")
+    stream = spark.readStream.schema("src long, ts_ms long, value double").option("maxFilesPerTrigger", files).parquet(f"{base}/in/*")
+    step = model_stream.WindowStream(spark, base, 10)
+    model_stream.run(stream, step, f"{base}/checkpoint")
+    return rounded(step.windows(), 3)
+
+
+#: Rows of a file that a stream reads.
+FILE_ROWS = 1_000_000
 
 
 def timeline_cuts(df, parts: int) -> list[tuple[int, int]]:

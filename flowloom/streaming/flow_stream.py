@@ -1,75 +1,15 @@
-"""Structured Streaming: full count windows with carried state, prequential scoring with model updates, drift alarms."""
+"""Alarms over the levels of a stream's batches, injected drift."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.window import Window
 
-from ..operators import mixture
-
-FULL_WINDOW = "src long, window_id long, n_flows long, first_ts long, last_ts long, sum_value double"
-_STATE = "next_window long, ts array<long>, value array<double>"
 #: Batches whose levels are ordered in one task.
 RUN = 4096
 
 
-def full_windows(stream: DataFrame, size: int) -> DataFrame:
-    """Windows of ``size`` consecutive rows ``(src, ts_ms, value)`` per source; only full ones are emitted.
-
-    The rest of a source's rows, fewer than ``size``, are carried to the next batch. A task holds one
-    source's rows of one batch, which the source's files or offsets per trigger bound.
-    """
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        next_window, ts, value = state.get if state.exists else (0, [], [])
-        rows = pd.concat([pd.DataFrame({"ts_ms": list(ts), "value": list(value)}), *[b[["ts_ms", "value"]] for b in batches]], ignore_index=True)
-        rows = rows.sort_values(["ts_ms", "value"], kind="stable", ignore_index=True)
-        n = len(rows) // size
-        full, rest = rows.iloc[: n * size], rows.iloc[n * size :]
-        if n:
-            group = pd.Series(range(n * size)) // size
-            out = full.groupby(group.values).agg(first_ts=("ts_ms", "min"), last_ts=("ts_ms", "max"), sum_value=("value", "sum")).reset_index(drop=True)
-            out.insert(0, "n_flows", size)
-            out.insert(0, "window_id", range(next_window, next_window + n))
-            out.insert(0, "src", key[0])
-            yield out.astype({"first_ts": "int64", "last_ts": "int64"})
-        state.update((int(next_window) + n, [int(x) for x in rest["ts_ms"]], [float(x) for x in rest["value"]]))
-
-    return stream.groupBy("src").applyInPandasWithState(step, FULL_WINDOW, _STATE, "append", GroupStateTimeout.NoTimeout)
-
-
-def run_batches(stream: DataFrame, step: Callable[[DataFrame, int], None], checkpoint: str) -> None:
-    """Drives a stream to its present end, one micro-batch after the other, each handed to ``step``."""
-    query = stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    query.awaitTermination()
-
-
-class Prequential:
-    """Per batch: score with the model so far, record the level, then update the model (predict before update)."""
-
-    def __init__(self, spark: SparkSession, params: DataFrame, vector: str, rate: float = 0.3):
-        self.spark, self.vector, self.rate = spark, vector, rate
-        self.params = self._kept(params)
-        self.levels: list[tuple[int, float, int]] = []
-
-    def _kept(self, params: DataFrame) -> DataFrame:
-        """A model is a few rows of numbers; it is kept as a local table, so no lineage grows."""
-        return self.spark.createDataFrame(params.collect(), mixture.PARAMS)
-
-    def __call__(self, batch: DataFrame, batch_id: int) -> None:
-        scored = mixture.posteriors(batch, self.vector, self.params).persist()
-        level, n = scored.agg(F.avg("log_likelihood"), F.count("log_likelihood")).first()
-        if n:
-            self.levels.append((batch_id, float(level), int(n)))
-            self.params = self._kept(mixture.online_step(scored, self.vector, self.params, self.rate))
-        scored.unpersist()
-
-
 def likelihood_alarms(levels: DataFrame, order: str = "batch", level: str = "level", sigmas: float = 2.0, least: int = 2) -> DataFrame:
     """Adds ``alarm``: a batch below the mean of all earlier ones by ``sigmas`` deviations (5 % of the mean at least).
 

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from flowloom.functions import scalar
-from flowloom.operators import fusion, graph, metrics, mixture, profiles, rules, timeline, windows
+from flowloom.operators import fusion, graph, metrics, mixture, profiles, rules, timeline, variational, windows
 from flowloom.sources import flows as source
 from flowloom.streaming import flow_stream
 
@@ -173,30 +173,11 @@ def test_online_step_moves_towards_the_batch(spark, two_blobs):
 
 
 def test_dirichlet_mixture_finds_both_groups(spark, two_blobs):
-    got = mixture.fit_dirichlet_mixture(spark, two_blobs, "v", components=6, rounds=12).orderBy(F.col("weight").desc()).limit(2).collect()
+    got = variational.fit_dirichlet_mixture(spark, two_blobs, "v", components=6, rounds=12).orderBy(F.col("weight").desc()).limit(2).collect()
     centres = sorted(r.mean[0] for r in got)
     assert abs(centres[0]) < 1.5 and abs(centres[1] - 12) < 1.5 and sum(r.weight for r in got) > 0.6
 
 
-def test_stream_emits_full_windows_and_carries_the_rest(spark, tmp_path):
-    schema = "src long, ts_ms long, value double"
-    for k in range(3):
-        table(spark, [(1, 10 * k + i, 1.0) for i in range(4)] + [(2, k, 2.0)], schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
-    query = flow_stream.full_windows(stream, 5).writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start()
-    query.awaitTermination()
-    got = rows(spark.read.parquet(f"{tmp_path}/out"), "src", "window_id", "n_flows", "sum_value")
-    assert got == [(1, 0, 5, 5.0), (1, 1, 5, 5.0)]
-
-
-def test_prequential_scores_before_it_updates(spark, two_blobs, tmp_path):
-    two_blobs.repartition(2).write.parquet(f"{tmp_path}/in")
-    params = table(spark, [(0, 0.5, [3.0, 3.0], [9.0, 9.0]), (1, 0.5, [9.0, 9.0], [9.0, 9.0])], mixture.PARAMS)
-    step = flow_stream.Prequential(spark, params, "v")
-    flow_stream.run_batches(spark.readStream.schema(two_blobs.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in"), step, f"{tmp_path}/cp")
-    assert [b for b, *_ in step.levels] == [0, 1] and step.levels[1][1] > step.levels[0][1]
-
-
 def test_alarm_needs_two_batches_and_a_drop(spark):
     levels = table(spark, [(0, -10.0), (1, -10.1), (2, -10.0), (3, -30.0)], "batch long, level double")
     assert [r.alarm for r in flow_stream.likelihood_alarms(levels).orderBy("batch").collect()] == [False, False, False, True]
