@@ -1,15 +1,15 @@
 """Embedding near-duplicates by NN-descent.
 
-Random-hyperplane buckets give every vector a first neighbour list; rounds join
-neighbours with neighbours' neighbours and keep the best. Every compared pair over
-the threshold is a link, cut from a list or not; links make components, and a list
-holds only vectors of other components, so that no clump of near copies, however
-large, fills its members' lists with itself. A list that is full of entries over
-the threshold is saturated and is enlarged. The search ends when a round finds no
-further link. All links of a component lie inside it; they are counted exactly, tile
-by tile. Vectors whose id is divisible by ``AUDITED`` are then compared with all
-vectors, to measure only: while too many of their links are missing, the search goes
-on with fresh hyperplanes, and a result under ``LEAST_RECALL`` is an error.
+First neighbour lists are cheap: groups of a few vectors dealt by hash, and few tables of random
+hyperplanes. Rounds join neighbours with neighbours' neighbours, in either direction, and keep the
+best; a list that is full of entries over the threshold is saturated and is enlarged. Rounds go on, over the
+neighbourhoods that changed, until one finds no further edge between components. Entries and compared pairs over the
+threshold are edges; edges make components. Where lists stay saturated, near copies may hide links to
+other clumps, so further rounds keep lists of vectors of other components only. All links of a
+component lie inside it; they are counted exactly, tile by tile. Vectors whose id is
+divisible by ``AUDITED`` are then compared with all vectors, to measure only: while too many of
+their links are missing, the search goes on with fresh first lists, and a result under
+``LEAST_RECALL`` is an error.
 """
 
 from __future__ import annotations
@@ -36,6 +36,10 @@ STRIP = 512
 AUDITED, AUDIT_BLOCK = 50, 4096
 #: The least mean share of a vector's links that a result must have.
 LEAST_RECALL = 0.9
+#: Vectors of a group dealt by hash, dealings (several, so that groups overlap), and vectors of a hyperplane bucket, in first lists.
+FEW, DEALS, BUCKET = 5, 3, 32
+#: A round without a further edge between components is the last once it changes at most this share of the lists' entries.
+STILL = 0.1
 #: Hyperplanes that split a too large bucket at once, at most.
 SPLITS = 8
 PAIR = "a long, b long, sim double"
@@ -120,16 +124,16 @@ def _lowest(near: np.ndarray) -> np.ndarray:
         part = least
 
 
-def _compared(ids: np.ndarray, sim: np.ndarray, k: int, threshold: float, kth: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Of all compared pairs: links without ``sim`` that join what those over ``threshold`` join, fewer than
-    there are members; and for every vector the best ``k`` members that these do not join to it, if better than ``kth``."""
+def _compared(ids: np.ndarray, sim: np.ndarray, k: int, threshold: float, kth: np.ndarray, apart: bool) -> Iterator[pa.RecordBatch]:
+    """Of all compared pairs: edges without ``sim`` that join what those over ``threshold`` join, fewer than
+    there are members; and for every vector the best ``k`` members, if better than ``kth`` (``apart``: of those that the edges do not join to it)."""
     low = _lowest(sim >= threshold)
     i = np.flatnonzero(low != np.arange(len(low)))
     if len(i):
         yield _pairs(ids[i], ids[low[i]], np.full(len(i), np.nan))
-        sim[low[:, None] == low[None, :]] = -2
-    else:
-        np.fill_diagonal(sim, -2)
+        if apart:
+            sim[low[:, None] == low[None, :]] = -2
+    np.fill_diagonal(sim, -2)
     m = min(k, len(ids) - 1)
     at = np.argpartition(-sim, m - 1, axis=1)[:, :m]
     best = np.take_along_axis(sim, at, 1)
@@ -137,20 +141,22 @@ def _compared(ids: np.ndarray, sim: np.ndarray, k: int, threshold: float, kth: n
     yield _pairs(np.repeat(ids, m)[real], ids[at].ravel()[real], best.ravel()[real])
 
 
-def _best_in_group(k: int, threshold: float):
+def _best_in_group(k: int, threshold: float, apart: bool):
+    """Body for groups of a first list: the best ``k`` of every member, no edges but theirs."""
+
     def work(rows: pa.Table):
         if rows.num_rows > 1:
             ids, sim = _foreign(rows)
-            yield from _compared(ids, sim, k, threshold, np.full(len(ids), -1.5))
+            yield from _compared(ids, sim, k, 2.0, np.full(len(ids), -1.5), apart)
 
     return work
 
 
-def _improving(k: int, threshold: float):
+def _improving(k: int, threshold: float, apart: bool):
     def work(rows: pa.Table):
         if rows.num_rows > 1:
             ids, sim = _foreign(rows)
-            yield from _compared(ids, sim, k, threshold, rows["kth"].to_numpy())
+            yield from _compared(ids, sim, k, threshold, rows["kth"].to_numpy(), apart)
 
     return work
 
@@ -267,15 +273,24 @@ def split(members: DataFrame, nodes: DataFrame, dim: int, tables: int, seed: int
         level += 1
 
 
-def tables_for(n: int, threshold: float, bucket: int, miss: float) -> tuple[int, int]:
-    """``(hyperplanes, tables)``: ``bucket`` vectors per bucket, pairs at the threshold missed by all tables at most ``miss`` of the time."""
-    bits = min(40, max(1, math.ceil(math.log2(max(n, 2) / bucket))))
-    together = (1 - math.acos(min(1.0, max(-1.0, threshold))) / math.pi) ** bits
-    return bits, max(4, math.ceil(math.log(miss) / math.log1p(-min(together, 0.999))))
+def bits_for(n: int, bucket: int) -> int:
+    """Hyperplanes of a table so that ``bucket`` of ``n`` vectors share a bucket."""
+    return min(40, max(1, math.ceil(math.log2(max(n, 2) / bucket))))
+
+
+def first_lists(nodes: DataFrame, n: int, dim: int, k: int, bits: int, tables: int, seed: int, threshold: float, apart: bool) -> DataFrame:
+    """The best ``k`` of other components among about ``FEW`` vectors dealt by hash ``DEALS`` times and in each of ``tables`` hyperplane buckets."""
+    deal = nodes.select("node", F.explode(F.sequence(F.lit(0), F.lit(DEALS - 1))).alias("deal"))
+    group = F.pmod(F.xxhash64("node", "deal", F.lit(seed)), F.lit(n // FEW + 1))
+    grouped = deal.select("node", F.lit(-1).alias("table"), F.xxhash64(group, "deal", F.lit("dealt")).alias("g"))
+    if tables:
+        grouped = grouped.unionByName(in_buckets(nodes, dim, bits, tables, seed))
+    around = grouped.join(nodes, "node").select("g", "node", "vec", "comp")
+    return around.repartition("g").sortWithinPartitions("g").mapInArrow(_batched(_best_in_group(k, threshold, apart)), PAIR)
 
 
-def met_in_buckets(nodes: DataFrame, dim: int, k: int, bits: int, tables: int, seed: int, threshold: float) -> DataFrame:
-    """The best ``k`` of other components in every bucket, and links for all its pairs over ``threshold``."""
+def in_buckets(nodes: DataFrame, dim: int, bits: int, tables: int, seed: int) -> DataFrame:
+    """``(node, table, g)``: hyperplane buckets, too large ones split."""
     planes = np.random.default_rng(seed).standard_normal((dim, tables * bits))
     powers = 1 << np.arange(bits, dtype=np.int64)
 
@@ -294,23 +309,25 @@ def met_in_buckets(nodes: DataFrame, dim: int, k: int, bits: int, tables: int, s
                     ["node", "table", "g"],
                 )
 
-    in_buckets = nodes.select("node", "vec").mapInArrow(signed, "node long, table int, g long")
-    grouped = split(in_buckets, nodes, dim, tables, seed).join(nodes, "node").select("g", "node", "vec", "comp")
-    return grouped.repartition("g").sortWithinPartitions("g").mapInArrow(_batched(_best_in_group(k, threshold)), PAIR)
+    return split(nodes.select("node", "vec").mapInArrow(signed, "node long, table int, g long"), nodes, dim, tables, seed)
 
 
-def refine(lists: DataFrame, nodes: DataFrame, k: int, threshold: float) -> DataFrame:
-    """One round: neighbours of a vector, in either direction, are compared with each other and with it."""
+def refine(lists: DataFrame, nodes: DataFrame, k: int, threshold: float, changed: DataFrame, apart: bool) -> DataFrame:
+    """One round: neighbours of a vector, in either direction, are compared with each other and with it.
+
+    Only around vectors to which one of the pairs ``changed`` belongs.
+    """
     back = lists.select(F.col("b").alias("a"), F.col("a").alias("b"), "sim")
     # of the reverse lists the best k count, so that a hub's neighbourhood stays bounded
     members = lists.select("a", "b").unionByName(top(back, k, 2.0).select("a", "b"))
     members = members.unionByName(lists.select("a", F.col("a").alias("b"))).distinct()
+    active = changed.select("a").unionByName(changed.select(F.col("b").alias("a"))).distinct()
     kth = lists.groupBy("a").agg(F.min("sim").alias("kth"), F.count(F.lit(1)).alias("n")).select(
         F.col("a").alias("node"), F.when(F.col("n") < k, F.lit(-1.5)).otherwise(F.col("kth")).alias("kth")
     )
     held = nodes.join(kth, "node", "left").select("node", "vec", "comp", F.coalesce("kth", F.lit(-1.5)).alias("kth"))
-    around = members.select(F.col("a").alias("g"), F.col("b").alias("node")).join(held, "node").select("g", "node", "vec", "comp", "kth")
-    return around.repartition("g").sortWithinPartitions("g").mapInArrow(_batched(_improving(k, threshold)), PAIR)
+    around = members.join(active, "a", "left_semi").select(F.col("a").alias("g"), F.col("b").alias("node")).join(held, "node").select("g", "node", "vec", "comp", "kth")
+    return around.repartition("g").sortWithinPartitions("g").mapInArrow(_batched(_improving(k, threshold, apart)), PAIR)
 
 
 def joined(labels: DataFrame | None, more: DataFrame) -> DataFrame:
@@ -327,28 +344,64 @@ def foreign(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     return both.where(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select("a", "b", "sim")
 
 
-def search(
-    nodes: DataFrame, labels: DataFrame | None, dim: int, threshold: float, k: int, rounds: int, bits: int, tables: int, seed: int
-) -> DataFrame:
-    """Labels ``(node, component)`` of vectors with links after one search for links between components.
+def descend(
+    nodes: DataFrame, labels: DataFrame | None, n: int, dim: int, threshold: float, k: int, bits: int, tables: int, seed: int, apart: bool, trail: list | None
+) -> tuple[DataFrame, DataFrame]:
+    """``(lists, labels)`` after rounds from first lists; ``apart``: lists hold other components only."""
 
-    After ``rounds`` rounds the first one without a further link is the last.
-    """
-    met = durable(met_in_buckets(parted(nodes, labels), dim, k, bits, tables, seed, threshold))
-    labels, done = joined(labels, links(met)), 0
-    lists = durable(top(foreign(listed(met), labels), k, threshold))
+    def kept(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+        return foreign(pairs, labels) if apart else pairs
+
+    def note(step: str) -> None:
+        if trail is not None:
+            linked, parts = labels.agg(F.count(F.lit(1)), F.count_distinct("component")).first()
+            trail.append((step, linked - parts))
+
+    edges = lambda lists: lists.where(F.col("sim") >= threshold).select("a", "b")
+    lists = durable(top(first_lists(parted(nodes, labels if apart else None), n, dim, k, bits, tables, seed, threshold, apart), k, threshold))
+    labels = joined(labels, edges(lists))
+    note("first")
+    lists = durable(kept(lists, labels)) if apart else lists
+    changed = lists
     while True:
-        met = durable(refine(lists, parted(nodes, labels), k, threshold))
-        done += 1
+        met = durable(refine(lists, parted(nodes, labels if apart else None), k, threshold, changed, apart))
         more = links(met)
-        none = more.isEmpty()
-        if none and done >= rounds:
-            return labels
+        further = foreign(more.withColumn("sim", F.lit(1.0)), labels)
+        none = further.isEmpty()
         if not none:
             labels = joined(labels, more)
+        note("round")
         back = lists.select(F.col("b").alias("a"), F.col("a").alias("b"), "sim")
-        candidates = lists.unionByName(back).unionByName(listed(met))
-        lists = durable(top(foreign(candidates, labels), k, threshold))
+        grown = durable(top(kept(lists.unionByName(back).unionByName(listed(met)), labels), k, threshold))
+        changed = durable(grown.join(lists.select("a", "b"), ["a", "b"], "left_anti"))
+        lists = grown
+        moved, held = changed.count(), lists.count()
+        if trail is not None:
+            trail[-1] += (moved / max(held, 1),)
+        if none and moved <= STILL * held:
+            return lists, labels
+
+
+def saturated(lists: DataFrame, k: int, threshold: float) -> bool:
+    """Whether a list is as long as lists get and holds nothing under the threshold."""
+    return not lists.groupBy("a").agg(F.count(F.lit(1)).alias("n"), F.min("sim").alias("least")).where((F.col("n") >= 4 * k) & (F.col("least") >= threshold)).isEmpty()
+
+
+def search(
+    nodes: DataFrame, labels: DataFrame | None, n: int, dim: int, threshold: float, k: int, bits: int, tables: int, seed: int, trail: list | None = None
+) -> DataFrame:
+    """Labels ``(node, component)`` of vectors with links after one search, from ``labels`` of an earlier one.
+
+    The first search builds the neighbour graph; where lists stay saturated, and in later searches, lists of other components follow.
+    ``trail`` gets how many vectors first lists and each round have joined to others.
+    """
+    again = labels is not None
+    if not again:
+        lists, labels = descend(nodes, None, n, dim, threshold, k, bits, tables, seed, False, trail)
+        again = saturated(lists, k, threshold)
+    if again:
+        _, labels = descend(nodes, labels, n, dim, threshold, k, bits, tables, seed + 500, True, trail)
+    return labels
 
 
 def _near(x: np.ndarray, y: np.ndarray, threshold: float, weights: np.ndarray) -> np.ndarray:
@@ -420,7 +473,7 @@ def recall_of(truth: DataFrame, linked: DataFrame) -> float:
 
 def near_duplicates(
     vectors: DataFrame, threshold: float = 0.95, vec_id: str = "vec_id", embedding: str = "embedding",
-    k: int = 10, rounds: int = 2, bucket: int = 256, miss: float = 0.02, recall: float = 0.98, tries: int = 4, tables: int | None = None,
+    k: int = 10, tables: int = 2, recall: float = 0.98, tries: int = 4,
 ) -> DataFrame:
     """``(vec_id, n_links, component_id, kept)`` for every row.
 
@@ -443,10 +496,9 @@ def near_duplicates(
     dim = nodes.select(F.size("vec")).first()[0]
     # cosines within rounding of the threshold differ by the order of summation
     truth = durable(audit(nodes, threshold + 1e-9))
-    bits, wanted = tables_for(n, threshold, bucket, miss)
-    labels, got = None, 0.0
+    bits, labels, got = bits_for(n, BUCKET), None, 0.0
     for attempt in range(tries):
-        labels = search(nodes, labels, dim, threshold, k, rounds, bits, (tables or wanted) << attempt, 1000 + attempt)
+        labels = search(nodes, labels, n, dim, threshold, k, bits, tables << attempt, 1000 + attempt)
         linked = durable(count_links(nodes, labels, threshold))
         got = recall_of(truth, linked)
         if got >= recall:

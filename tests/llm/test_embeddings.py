@@ -64,7 +64,7 @@ def test_recall_of_one_search(spark):
     """The search itself, with few tables and without an audit, joins what the links join."""
     rows = rows_and_truth(1000, 32, 5)
     nodes = nd.durable(nd.classes(spark.createDataFrame(rows, SCHEMA), "vec_id", "embedding"))
-    labels = {r.node: r.component for r in nd.search(nodes, None, 32, 0.95, 10, 2, 5, 4, 3).collect()}
+    labels = {r.node: r.component for r in nd.search(nodes, None, nodes.count(), 32, 0.95, 10, 5, 2, 3).collect()}
     truth, ids = pairs_over(nodes)
     root = root_table(truth, ids)
     assert {n: root[n] for n in labels} == labels  # none joined below the threshold
@@ -115,7 +115,7 @@ def test_near_pairs_meet_in_split_buckets(spark, monkeypatch):
     rows = [(i, [float(v) for v in row], 0) for i, row in enumerate(x)]
     nodes = nd.durable(nd.classes(spark.createDataFrame(rows, SCHEMA), "vec_id", "embedding"))
     ids = {r.node: r.id for r in nodes.select("node", "id").collect()}
-    found = nd.links(nd.met_in_buckets(nd.parted(nodes, None), x.shape[1], 10, 4, 8, 3, 0.9999)).collect()
+    found = nd.first_lists(nd.parted(nodes, None), len(x), x.shape[1], 10, 4, 8, 3, 0.9999, False).where("sim >= 0.9999").collect()
     met = {tuple(sorted((ids[r.a], ids[r.b]))) for r in found}
     assert sum((i, i + n) in met for i in range(n)) >= 0.99 * n
 
@@ -142,11 +142,11 @@ def test_recall_counts_vectors_not_links(spark):
 def test_search_goes_on_until_the_recall(spark, monkeypatch):
     calls, real = [], nd.search
 
-    def blind(nodes, labels, dim, threshold, k, rounds, bits, tables, seed):
+    def blind(nodes, labels, n, dim, threshold, k, bits, tables, seed):
         calls.append((seed, tables))
         if len(calls) <= 2:
             return nd.min_components(spark.createDataFrame([], "a long, b long"))
-        return real(nodes, labels, dim, threshold, k, rounds, bits, tables, seed)
+        return real(nodes, labels, n, dim, threshold, k, bits, tables, seed)
 
     monkeypatch.setattr(nd, "search", blind)
     monkeypatch.setattr(nd, "AUDITED", 2)
@@ -173,3 +173,35 @@ def test_the_audit_is_exact_and_supplies_no_links(spark, monkeypatch):
     with pytest.warns(UserWarning, match="recall"):
         lone = nd.near_duplicates(spark.createDataFrame(rows, SCHEMA), tries=1)
     assert lone.where("n_links > 40").count() == 0
+
+
+def test_rounds_find_the_links(spark):
+    """From lists dealt by hash alone, the rounds of the neighbour graph join most of what is joined, and lists that fill up grow."""
+    rows = rows_and_truth(400, 16, 9)
+    nodes = nd.durable(nd.classes(spark.createDataFrame(rows, SCHEMA), "vec_id", "embedding"))
+    n, trail = nodes.count(), []
+    lists, labels = nd.descend(nodes, None, n, 16, 0.95, 6, 5, 0, 3, False, trail)
+    first, last = trail[0][1], trail[-1][1]
+    assert trail[0][0] == "first" and last - first >= 0.8 * last
+    truth, ids = pairs_over(nodes)
+    got = {r.node: r.component for r in labels.collect()}
+    assert sum(got.get(a) == got.get(b, 0) for a, b in truth) >= 0.9 * len(truth)
+    sizes = [r.n for r in lists.where("sim >= 0.95").groupBy("a").agg(nd.F.count("b").alias("n")).collect()]
+    assert max(sizes) > 6  # neighbours over the threshold fill lists of six, which then hold more
+
+
+def test_saturated_lists_lead_to_a_second_search(spark):
+    """Clumps larger than any list: the graph joins each clump, lists of other components join the clumps."""
+    rows = twin_clumps(6, 60)
+    nodes = nd.durable(nd.classes(spark.createDataFrame(rows, SCHEMA), "vec_id", "embedding"))
+    n, trail = nodes.count(), []
+    lists, _ = nd.descend(nodes, None, n, 32, 0.95, 10, 4, 1, 3, False, None)
+    assert nd.saturated(lists, 10, 0.95)
+    labels = nd.search(nodes, None, n, 32, 0.95, 10, 4, 1, 3, trail)
+    assert labels.select("component").distinct().count() == 6 and [x[0] for x in trail].count("first") == 2
+
+
+def test_ties_at_equal_cosines(spark):
+    rows = [(i, [1.0, 0.001 * (i % 2), 0.0], 0) for i in range(60)] + [(100 + i, [0.0, 0.0, 1.0 + i], 0) for i in range(5)]
+    got = sorted(tuple(r) for r in nd.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect())
+    assert got == brute(rows)
