@@ -1,15 +1,15 @@
-"""Baselines through MLlib: K-means and Gaussian mixtures over a grid, K-means with majority labels, random forest, perceptron."""
+"""Baselines: K-means and Gaussian mixtures over a grid with majority labels, random forest, perceptron."""
 
 from __future__ import annotations
 
 from pyspark.ml.classification import MultilayerPerceptronClassifier, RandomForestClassifier
-from pyspark.ml.clustering import GaussianMixture, KMeans
+from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from . import metrics
+from . import metrics, mixture, variational
 
 
 def with_features(df: DataFrame, vector: str) -> DataFrame:
@@ -17,10 +17,12 @@ def with_features(df: DataFrame, vector: str) -> DataFrame:
 
 
 def clustered(df: DataFrame, vector: str, method: str, k: int, seed: int = 42) -> DataFrame:
-    """Rows with ``cluster`` of a fitted K-means (``kmeans``) or Gaussian mixture (``gmm``)."""
+    """Rows with ``cluster`` of a fitted K-means (``kmeans``) or diagonal Gaussian mixture (``gmm``), over all dimensions."""
+    if method == "gmm":
+        params = variational.fit_dirichlet_mixture(df.sparkSession, df, vector, components=k, rounds=10, starts=3, seed=seed)
+        return mixture.posteriors(df.where(F.col(vector).isNotNull()), vector, params).select(*df.columns, "cluster")
     made = with_features(df, vector)
-    model = (KMeans if method == "kmeans" else GaussianMixture)(k=k, seed=seed, featuresCol="features", predictionCol="cluster")
-    return model.fit(made).transform(made).select(*df.columns, "cluster")
+    return KMeans(k=k, seed=seed, featuresCol="features", predictionCol="cluster").fit(made).transform(made).select(*df.columns, "cluster")
 
 
 def majority_accuracy(counts: DataFrame) -> DataFrame:

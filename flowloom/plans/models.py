@@ -7,12 +7,12 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
-from ..operators import autoencoder, covariance, graph, isolation, ledger, metrics, mixture, projection, rules, timeline, trace
-from ..sources.flows import ORDER
+from ..operators import autoencoder, covariance, graph, isolation, ledger, metrics, mixture, projection, rules, timeline, trace, windows
+from ..sources.flows import ORDER, check_columns, read_flow_csv, write_metrics
 from ..sources.shared import shared_folder
 from ..streaming import model_stream
 from .catalogue import (
-    _CHUNKED, _CL, _E, _P, _RULED, _J, clustered, embeddings, flows, heuristic_rows_of, heuristic_sql, near, query, rd, rounded, rule_tactics, with_sql,
+    _CHUNKED, _CL, _E, _J, _P, _PCOLS, _RULED, _WIN, clustered, embeddings, flows, heuristic_rows_of, heuristic_sql, near, query, rd, rounded, rule_tactics, windowed, with_sql,
 )
 
 DIM = 64
@@ -210,3 +210,50 @@ def flow_trace(spark, d):
 def context_by_chunk_sketch(spark, d):
     """Fan-out before each chunk from united sketches, which are exact for few values; the error for many is tested."""
     return graph.context_by_chunk_sketch(timeline.chunk(flows(spark, d), 10, ORDER), precision=17).select("src", "chunk", "flows", "fan_out")
+
+
+# ---- behaviours of windows, claims, files -----------------------------------------------------------------------------
+
+
+@query(with_sql(*_RULED, _WIN, "bb AS (SELECT cluster, behaviour FROM sh QUALIFY row_number() OVER (PARTITION BY cluster ORDER BY round(p, 9) DESC, behaviour) = 1)")
+  + """SELECT src, window_id, behaviour AS majority, n_flows, round(purity, 6) AS purity FROM (SELECT src, window_id, behaviour, CAST(sum(n) OVER w AS BIGINT) AS n_flows, n / sum(n) OVER w AS purity,
+  row_number() OVER (PARTITION BY src, window_id ORDER BY n DESC, behaviour) AS r FROM (SELECT src, window_id, behaviour, count(*) AS n FROM wi JOIN bb USING (cluster) GROUP BY 1, 2, 3) WINDOW w AS (PARTITION BY src, window_id)) WHERE r = 1""")
+def window_behaviour_vote(spark, d):
+    """Most frequent behaviour per window: every flow votes with its cluster's primary behaviour; ties go to the first name."""
+    best = windows.primary(rule_tactics(spark, d)[0].withColumn("p", F.round("p", 9)), ["cluster"], "behaviour").select("cluster", "behaviour")
+    return rounded(windows.majority(windowed(spark, d).join(best, "cluster"), ["src", "window_id"], "behaviour", order="behaviour"))
+
+
+_CLAIM = r"[0-9]+(?:\.[0-9]+)?"
+
+
+@query(with_sql(_CL, "fa AS (SELECT cluster, unnest([" + ", ".join(f"avg({c})" for c in _PCOLS) + "]) AS v FROM cl GROUP BY 1)",
+  rf"""cm AS (SELECT CAST(doc_id % 20 AS INTEGER) AS cluster, doc_id, CAST(unnest(regexp_extract_all(coalesce(text, ''), '{_CLAIM}')) AS DOUBLE) AS x FROM documents)""",
+  "ci AS (SELECT row_number() OVER () AS id, * FROM cm WHERE x NOT IN (0, 1) AND x <> cluster)",
+  """ok AS (SELECT id, any_value(ci.cluster) AS cluster, max(CAST(abs(x - v) <= greatest(abs(v) * CAST(0.051 AS DOUBLE), 0.011) OR abs(x - v * 100) <= greatest(abs(v * 100) * CAST(0.051 AS DOUBLE), 0.011) AS INTEGER)) AS backed FROM ci JOIN fa USING (cluster) GROUP BY 1)""")
+  + "SELECT cluster, count(*) AS claims, count(*) FILTER (backed = 0) AS unsupported, round(avg(1 - backed), 6) AS rate FROM ok GROUP BY 1")
+def unsupported_claims(spark, d):
+    """Numbers in the texts about a cluster (documents dealt to clusters by id) against that cluster's own mean features; 0, 1 and the cluster's number are no claims."""
+    facts = clustered(spark, d, False).groupBy("cluster").agg(F.array(*[F.avg(c) for c in _PCOLS]).alias("facts"))  # one row per cluster
+    docs = spark.read.parquet(f"{d}/documents.parquet").select((F.col("doc_id") % 20).cast("int").alias("cluster"), F.explode(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(_CLAIM), 0)).alias("x"))
+    claims = docs.select("cluster", F.col("x").cast("double").alias("x")).where("x not in (0, 1) and x <> cluster")
+    backed = S.supported(F.col("x"), F.col("facts"))
+    rated = claims.join(facts, "cluster").groupBy("cluster").agg(F.count(F.lit(1)).alias("claims"), F.sum((~backed).cast("long")).alias("unsupported"), F.avg((~backed).cast("double")).alias("rate"))
+    return rounded(rated)
+
+
+_RAW = {"IPV4_SRC_ADDR": "src", "IPV4_DST_ADDR": "dst", "Attack": "attack", "PROTOCOL": "protocol", "IN_BYTES": "in_bytes", "OUT_PKTS": "out_pkts", "FLOW_START_MILLISECONDS": "ts_ms"}
+
+
+@query(with_sql() + "SELECT attack, count(*) AS flows, round(sum(in_bytes), 2) AS in_bytes, round(sum(out_pkts), 2) AS out_pkts, CAST(min(ts_ms) AS BIGINT) AS first_ms, CAST(max(protocol) AS INTEGER) AS protocol FROM flows GROUP BY 1")
+def csv_round_trip(spark, d):
+    """Flows through the CSV source (header, known types, column check), their sums through the metric sink."""
+    base = f"{shared_folder(spark)}/csv-{uuid.uuid4().hex}"
+    flows(spark, d).select(*[F.col(c).alias(raw) for raw, c in _RAW.items()]).write.option("header", True).csv(f"{base}/flows")
+    back = read_flow_csv(spark, f"{base}/flows")
+    check_columns(back, list(_RAW))
+    sums = back.groupBy(F.col("Attack").alias("attack")).agg(
+        F.count(F.lit(1)).alias("flows"), F.sum("IN_BYTES").alias("in_bytes"), F.sum("OUT_PKTS").alias("out_pkts"), F.min("FLOW_START_MILLISECONDS").alias("first_ms"), F.max("PROTOCOL").alias("protocol")
+    )
+    write_metrics(rounded(sums, 2), f"{base}/metrics")
+    return spark.read.option("header", True).schema("attack string, flows long, in_bytes double, out_pkts double, first_ms long, protocol int").csv(f"{base}/metrics")

@@ -273,3 +273,27 @@ def test_sketches_stay_within_their_error(spark):
         assert abs(r.fan_out - exact[k].fan_out) <= 4 * 1.04 / 128 * max(exact[k].fan_out, 1)
     sizes = graph.fan_sketches(edges, ["src"]).select(F.max(F.length("sketch"))).first()[0]
     assert sizes <= 17_000
+
+
+def test_clustering_grid_on_separate_groups(spark):
+    """K-means and mixtures of the right size find three groups; the row's figures follow from the clusters."""
+    from flowloom.operators import baselines
+
+    r = np.random.default_rng(2)
+    rows = [(i, (10.0 * (i % 3) + r.standard_normal(6)).tolist(), i % 3) for i in range(150)] + [(999, None, 1)]
+    df = spark.createDataFrame(rows, VECTORS)
+    got = {(x.method, x.k): x for x in baselines.clustering_grid(df, "v", "label", [("kmeans", 3), ("kmeans", 2), ("gmm", 3)], "id").collect()}
+    for key in (("kmeans", 3), ("gmm", 3)):
+        assert (got[key].clusters, got[key].purity, got[key].accuracy) == (3, 1.0, 1.0) and got[key].nmi > 0.999 and got[key].silhouette > 0.7
+    assert got["kmeans", 2].clusters == 2 and math.isclose(got["kmeans", 2].accuracy, 2 / 3)
+
+
+@pytest.mark.parametrize("method", ["forest", "perceptron"])
+def test_supervised_baselines_on_separate_groups(spark, method):
+    from flowloom.operators import baselines
+
+    r = np.random.default_rng(3)
+    rows = [(i, (4.0 * (i % 3) + r.standard_normal(4)).tolist(), i % 3) for i in range(240)]
+    train, test = spark.createDataFrame(rows[:180], VECTORS), spark.createDataFrame(rows[180:], VECTORS)
+    found = baselines.supervised(train, test, "v", "label", method).collect()
+    assert len(found) == 60 and sum(x.prediction == x.label for x in found) >= 57
