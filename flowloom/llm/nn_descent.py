@@ -3,7 +3,7 @@
 First neighbour lists are cheap: groups of a few vectors dealt by hash, and few tables of random
 hyperplanes. Rounds join neighbours with neighbours' neighbours, in either direction, and keep the
 best; a list that is full of entries over the threshold is saturated and is enlarged. Rounds go on, over the
-neighbourhoods that changed, until one finds no further edge between components. Entries and compared pairs over the
+neighbourhoods that changed, until few entries change. Entries and compared pairs over the
 threshold are edges; edges make components. Where lists stay saturated, near copies may hide links to
 other clumps, so further rounds keep lists of vectors of other components only. All links of a
 component lie inside it; they are counted exactly, tile by tile. Vectors whose id is
@@ -38,8 +38,8 @@ AUDITED, AUDIT_BLOCK = 50, 4096
 LEAST_RECALL = 0.9
 #: Vectors of a group dealt by hash, dealings (several, so that groups overlap), and vectors of a hyperplane bucket, in first lists.
 FEW, DEALS, BUCKET = 5, 3, 32
-#: A round without a further edge between components is the last once it changes at most this share of the lists' entries.
-STILL = 0.1
+#: The round that changes at most this share of the lists' entries is the last (of lists apart: if it finds no edge either).
+STILL = 0.12
 #: Hyperplanes that split a too large bucket at once, at most.
 SPLITS = 8
 PAIR = "a long, b long, sim double"
@@ -347,39 +347,50 @@ def foreign(pairs: DataFrame, labels: DataFrame) -> DataFrame:
 def descend(
     nodes: DataFrame, labels: DataFrame | None, n: int, dim: int, threshold: float, k: int, bits: int, tables: int, seed: int, apart: bool, trail: list | None
 ) -> tuple[DataFrame, DataFrame]:
-    """``(lists, labels)`` after rounds from first lists; ``apart``: lists hold other components only."""
+    """``(lists, labels)`` after rounds from first lists; ``apart``: lists hold other components only.
 
-    def kept(pairs: DataFrame, labels: DataFrame) -> DataFrame:
-        return foreign(pairs, labels) if apart else pairs
+    A round writes two tables, its pairs and the new lists with a mark on new entries; edges make components at the end,
+    or, where lists stand ``apart``, after each round that has found some.
+    """
 
-    def note(step: str) -> None:
+    def note(step: str, edges: DataFrame) -> None:
         if trail is not None:
-            linked, parts = labels.agg(F.count(F.lit(1)), F.count_distinct("component")).first()
+            linked, parts = joined(labels, edges).agg(F.count(F.lit(1)), F.count_distinct("component")).first()
             trail.append((step, linked - parts))
 
-    edges = lambda lists: lists.where(F.col("sim") >= threshold).select("a", "b")
-    lists = durable(top(first_lists(parted(nodes, labels if apart else None), n, dim, k, bits, tables, seed, threshold, apart), k, threshold))
-    labels = joined(labels, edges(lists))
-    note("first")
-    lists = durable(kept(lists, labels)) if apart else lists
+    near = lambda lists: lists.where(F.col("sim") >= threshold).select("a", "b")
+    comps = parted(nodes, labels if apart else None)
+    lists = durable(top(first_lists(comps, n, dim, k, bits, tables, seed, threshold, apart), k, threshold))
+    edges = near(lists)
+    note("first", edges)
+    if apart:
+        labels, comps, edges = _relabelled(nodes, labels, edges)
+        lists = durable(foreign(lists, labels))
     changed = lists
     while True:
-        met = durable(refine(lists, parted(nodes, labels if apart else None), k, threshold, changed, apart))
-        more = links(met)
-        further = foreign(more.withColumn("sim", F.lit(1.0)), labels)
-        none = further.isEmpty()
-        if not none:
-            labels = joined(labels, more)
-        note("round")
+        met = durable(refine(lists, comps, k, threshold, changed, apart))
+        none = True
+        if apart:
+            more = foreign(links(met).withColumn("sim", F.lit(1.0)), labels)
+            none = more.isEmpty()
+            if not none:
+                labels, comps, _ = _relabelled(nodes, labels, more)
+        else:
+            edges = edges.unionByName(links(met))
+        note("round", edges if edges is not None else links(met))
         back = lists.select(F.col("b").alias("a"), F.col("a").alias("b"), "sim")
-        grown = durable(top(kept(lists.unionByName(back).unionByName(listed(met)), labels), k, threshold))
-        changed = durable(grown.join(lists.select("a", "b"), ["a", "b"], "left_anti"))
-        lists = grown
-        moved, held = changed.count(), lists.count()
-        if trail is not None:
-            trail[-1] += (moved / max(held, 1),)
+        found = lists.select("a", "b", "sim").unionByName(back).unionByName(listed(met))
+        grown = top(foreign(found, labels) if apart else found, k, threshold)
+        lists = durable(grown.join(lists.select("a", "b", F.lit(True).alias("old")), ["a", "b"], "left"))
+        moved, held = lists.agg(F.count(F.when(F.col("old").isNull(), 1)), F.count(F.lit(1))).first()
+        changed, lists = lists.where("old is null"), lists.select("a", "b", "sim")
         if none and moved <= STILL * held:
-            return lists, labels
+            return lists, labels if apart else joined(labels, edges.unionByName(near(lists)))
+
+
+def _relabelled(nodes: DataFrame, labels: DataFrame | None, edges: DataFrame) -> tuple[DataFrame, DataFrame, None]:
+    labels = joined(labels, edges.select("a", "b"))
+    return labels, parted(nodes, labels), None
 
 
 def saturated(lists: DataFrame, k: int, threshold: float) -> bool:
