@@ -98,8 +98,27 @@ def strided(df: DataFrame, label: str, order: list[str], targets: DataFrame, see
     return chosen.unionByName(copies).drop("_rank", "n", "target")
 
 
-def disjoint(a: DataFrame, b: DataFrame, key: list[str]) -> bool:
-    return a.join(b.select(*key), key, "left_semi").isEmpty()
+def preparation_gaps(saved: dict, features: list[str], stats: DataFrame, test: DataFrame, train: DataFrame, key: list[str]) -> DataFrame:
+    """One row ``(same_features, scaler_gap, shared)``: is an evaluation prepared as the training was?
+
+    ``saved`` has the training's ``features`` in order and its scaler ``stats``; ``scaler_gap`` is the largest difference of a
+    mean from the saved one in saved deviations; ``shared`` counts test rows whose ``key`` occurs in the training.
+    """
+    both = saved["stats"].crossJoin(stats.select(*[F.col(f"_m_{c}").alias(f"_now_{c}") for c in features]))  # one row each
+    gap = F.greatest(*[F.abs(F.col(f"_now_{c}") - F.col(f"_m_{c}")) / F.when(F.col(f"_s_{c}") > 0, F.col(f"_s_{c}")).otherwise(1.0) for c in features], F.lit(0.0))
+    shared = test.select(*key).join(train.select(*key), key, "left_semi").agg(F.count(F.lit(1)).alias("shared"))
+    return both.select(F.lit(list(saved["features"]) == list(features)).alias("same_features"), gap.alias("scaler_gap")).crossJoin(shared)  # one row each
+
+
+def check_preparation(gaps: DataFrame, tolerance: float = 1e-5) -> None:
+    """Raises where ``preparation_gaps`` says that features, scaler or rows are not those of the training."""
+    row = gaps.first()
+    if not row.same_features:
+        raise RuntimeError("features differ from the training's")
+    if row.scaler_gap > tolerance:
+        raise RuntimeError(f"scaler differs from the training's by {row.scaler_gap:g} deviations")
+    if row.shared:
+        raise RuntimeError(f"{row.shared} test rows occur in the training")
 
 
 def ip_overlap(test: DataFrame, train: DataFrame, ip: str, label: str) -> DataFrame:

@@ -8,11 +8,11 @@ from pyspark.sql import functions as F
 
 from ..functions import scalar as S
 from ..operators import autoencoder, covariance, graph, isolation, ledger, metrics, mixture, projection, rules, timeline, trace, windows
-from ..sources.flows import ORDER, check_columns, read_flow_csv, write_metrics
+from ..sources.flows import ORDER, check_columns, load_model, read_flow_csv, save_model, write_metrics
 from ..sources.shared import shared_folder
 from ..streaming import model_stream
 from .catalogue import (
-    _CHUNKED, _CL, _E, _J, _P, _PCOLS, _RULED, _WIN, clustered, embeddings, flows, heuristic_rows_of, heuristic_sql, near, query, rd, rounded, rule_tactics, windowed, with_sql,
+    _CHUNKED, _CL, _E, _J, _P, _PCOLS, _RULED, _SPLIT, _WIN, _split, clustered, embeddings, flows, heuristic_rows_of, heuristic_sql, near, query, rd, rounded, rule_tactics, windowed, with_sql,
 )
 
 DIM = 64
@@ -257,3 +257,25 @@ def csv_round_trip(spark, d):
     )
     write_metrics(rounded(sums, 2), f"{base}/metrics")
     return spark.read.option("header", True).schema("attack string, flows long, in_bytes double, out_pkts double, first_ms long, protocol int").csv(f"{base}/metrics")
+
+
+_PREPARED = ["in_bytes", "in_pkts", "out_bytes", "out_pkts"]
+_KEY = ["src", "dst", "flow_key", "line_no", "ts_ms"]
+_GAP = lambda a, b: "greatest(" + ", ".join(f"abs({a}.m_{c} - {b}.m_{c}) / {b}.s_{c}" for c in _PREPARED) + ")"
+_FIT = lambda name, split: f"{name} AS (SELECT " + ", ".join(f"avg({c}) AS m_{c}, stddev_pop({c}) AS s_{c}" for c in _PREPARED) + f" FROM sp WHERE split = '{split}')"
+
+
+@query(with_sql(*_SPLIT, _FIT("tr", "train"), _FIT("ag", "train"), _FIT("te", "test")) + f"""SELECT round({_GAP("ag", "tr")}, 6) + CAST(0 AS DOUBLE) AS own_gap, round({_GAP("te", "tr")}, 6) AS refit_gap,
+  (SELECT count(*) FROM sp a JOIN sp b USING (src, dst, flow_key, line_no, ts_ms) WHERE a.split = 'train' AND b.split = 'test') AS shared FROM tr, ag, te""")
+def preparation_checks(spark, d):
+    """The scaler and features of the training through the model sink, against a refit on the training rows and one on the test rows."""
+    base = f"{shared_folder(spark)}/prepared-{uuid.uuid4().hex}"
+    df = _split(spark, d)
+    train, test = df.where("split = 'train'"), df.where("split = 'test'")
+    save_model({"scaler": S.scale_stats(train, _PREPARED)}, {"features": _PREPARED}, base)
+    parts, config = load_model(spark, base, ["scaler"])
+    saved = {"features": config["features"], "stats": parts["scaler"]}
+    own = timeline.preparation_gaps(saved, _PREPARED, S.scale_stats(train, _PREPARED), test, train, _KEY)
+    timeline.check_preparation(own)
+    refit = timeline.preparation_gaps(saved, _PREPARED, S.scale_stats(test, _PREPARED), test.limit(0), train.limit(0), _KEY)
+    return own.select(near("scaler_gap").alias("own_gap"), "shared").crossJoin(refit.select(near("scaler_gap").alias("refit_gap")))  # one row each

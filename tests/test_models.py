@@ -297,3 +297,15 @@ def test_supervised_baselines_on_separate_groups(spark, method):
     train, test = spark.createDataFrame(rows[:180], VECTORS), spark.createDataFrame(rows[180:], VECTORS)
     found = baselines.supervised(train, test, "v", "label", method).collect()
     assert len(found) == 60 and sum(x.prediction == x.label for x in found) >= 57
+
+
+def test_an_evaluation_must_be_prepared_as_the_training(spark):
+    from flowloom.functions import scalar
+
+    df = spark.createDataFrame([(i, float(i % 7), float(i % 5)) for i in range(40)], "id long, a double, b double")
+    train, test, saved = df.where("id < 30"), df.where("id >= 30"), {"features": ["a", "b"], "stats": scalar.scale_stats(df.where("id < 30"), ["a", "b"])}
+    gaps = lambda features, fit, held, seen: timeline.preparation_gaps(saved, features, scalar.scale_stats(fit, features), held, seen, ["id"])
+    timeline.check_preparation(gaps(["a", "b"], train, test, train))
+    for bad, what in ((gaps(["b", "a"], train, test, train), "features"), (gaps(["a", "b"], test, test, train), "scaler"), (gaps(["a", "b"], train, df, train), "30 test rows")):
+        with pytest.raises(RuntimeError, match=what):
+            timeline.check_preparation(bad)
