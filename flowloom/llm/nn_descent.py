@@ -39,7 +39,7 @@ LEAST_RECALL = 0.9
 #: Vectors of a group dealt by hash, dealings (several, so that groups overlap), and vectors of a hyperplane bucket, in first lists.
 FEW, DEALS, BUCKET = 5, 3, 32
 #: The round that changes at most this share of the lists' entries is the last (of lists apart: if it finds no edge either).
-STILL = 0.12
+STILL = 0.25
 #: Hyperplanes that split a too large bucket at once, at most.
 SPLITS = 8
 PAIR = "a long, b long, sim double"
