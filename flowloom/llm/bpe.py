@@ -146,7 +146,10 @@ def decode(ids: np.ndarray, vocabulary: Vocabulary) -> str:
 
 
 def encode(docs: DataFrame, path: str | None = None, text: str = "text") -> DataFrame:
-    """Input columns plus ``ids array<int>``; null text counts as empty."""
+    """Input columns plus ``ids array<int>``; null text counts as empty, texts of any length are encoded whole, fragment by fragment.
+
+    Repeated rows get equal ids; an empty table gives an empty result; an input column named ``ids`` is replaced.
+    """
     path = path or default_path()
 
     @F.pandas_udf("array<int>")
@@ -158,7 +161,7 @@ def encode(docs: DataFrame, path: str | None = None, text: str = "text") -> Data
 
 
 def decoded(docs: DataFrame, path: str | None = None, ids: str = "ids") -> DataFrame:
-    """Input columns plus ``decoded``, the text of ``ids``; null ids give null."""
+    """Input columns plus ``decoded``, the text of ``ids``; null ids give null, an empty list an empty text, an empty table an empty result."""
     path = path or default_path()
 
     @F.pandas_udf("string")

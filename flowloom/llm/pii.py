@@ -272,7 +272,8 @@ def label_spans(docs: DataFrame, threshold: float = 0.9) -> DataFrame:
     Each span is ``(kind, start, end, base)`` in code points, end exclusive, sorted
     by kind (index into ``KINDS``) and start; of overlapping candidates of one kind the first,
     then the longest counts. Null text counts as empty; repeated rows get equal spans; an input
-    column named ``spans`` is replaced. One pass gathers vote counts, one labels.
+    column named ``spans`` is replaced; texts of any length are searched whole, in time about
+    proportional to it; an empty table gives an empty result. One pass gathers vote counts, one labels.
     """
     found = find_candidates(docs.drop("spans"))
     return found.withColumn("spans", accepted(train(found.select("spans")), threshold))

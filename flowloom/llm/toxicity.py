@@ -177,8 +177,8 @@ def train(
 def score(docs: DataFrame, weights: np.ndarray, bias: float, text: str = "text") -> DataFrame:
     """Input columns plus ``score``, the probability of a toxic text.
 
-    Null text counts as empty; an input column named ``score`` is replaced; repeated
-    rows get equal scores; an empty table gives an empty result.
+    Null text counts as empty; texts of any length are read whole, ``_STEP`` characters at a time; an input
+    column named ``score`` is replaced; repeated rows get equal scores; an empty table gives an empty result.
     """
     shared = docs.sparkSession.sparkContext.broadcast(weights)  # 2**BITS floats, whatever the corpus
 
