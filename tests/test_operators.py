@@ -46,6 +46,17 @@ def test_stride_and_oversampling(spark, k):
     assert ids == want and out.count() == k
 
 
+def test_copies_are_not_broadcast_and_are_drawn_in_pieces(spark, monkeypatch):
+    monkeypatch.setattr(timeline, "DRAWN", 7)
+    df = table(spark, [("x", i, i) for i in range(10)] + [("y", i, i) for i in range(40)] + [("z", 0, 0)], "label string, ts long, id long")
+    out = timeline.strided(df, "label", ["ts", "id"], table(spark, [("x", 10, 60), ("y", 40, 40), ("z", 1, 15)], "label string, n long, target long"))
+    copies = sorted((r.label, r.copy_no, r.id) for r in out.where("copy_no > 0").collect())
+    want = [(c, k, n) for c, n, m in (("x", 10, 50), ("z", 1, 14)) for k, n in [(r.k, r.p) for r in spark.range(1, m + 1).selectExpr("id AS k", f"pmod(xxhash64(42, '{c}', cast(id as long)), {n}L) AS p").collect()]]
+    assert copies == sorted(want) and out.where("copy_no = 0").count() == 51
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan
+
+
 def test_positions_are_dense_in_order(spark):
     values = [(t, i) for i, t in enumerate([5, 5, 90_000_000, 3, 300_000_000, 90_000_001])]
     got = sorted((r.pos, r.ts, r.id) for r in timeline.positions(table(spark, values, "ts long, id long"), ["ts", "id"]).collect())
