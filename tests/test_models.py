@@ -6,7 +6,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from flowloom.operators import autoencoder, covariance, graph, isolation, ledger, mixture, projection, timeline, trace, variational
+from flowloom.operators import autoencoder, covariance, graph, isolation, ledger, metrics, mixture, projection, timeline, trace, variational
+from flowloom.plans import catalogue
 from flowloom.streaming import model_stream
 
 VECTORS = "id long, v array<double>, label int"
@@ -309,3 +310,42 @@ def test_an_evaluation_must_be_prepared_as_the_training(spark):
     for bad, what in ((gaps(["b", "a"], train, test, train), "features"), (gaps(["a", "b"], test, test, train), "scaler"), (gaps(["a", "b"], train, df, train), "30 test rows")):
         with pytest.raises(RuntimeError, match=what):
             timeline.check_preparation(bad)
+
+
+def test_silhouette_of_all_rows_over_blocks(spark, tmp_path):
+    r = np.random.default_rng(3)
+    x, c = r.standard_normal((6000, 64)).astype("float32"), r.integers(0, 4, 6000)
+    x[c == 1] += 1
+    x[1::50] = x[::50][: len(x[1::50])]  # equal vectors
+    c[7] = 9  # a cluster of one row
+    x64, want = x.astype(float), []
+    for i in range(len(x)):
+        d = np.sqrt(((x64 - x64[i]) ** 2).sum(1))
+        d[i] = 0
+        means = {k: d[c == k].sum() / n for k in range(10) if (n := (c == k).sum() - (k == c[i])) > 0}
+        a, b = means.get(c[i]), min(m for k, m in means.items() if k != c[i])
+        want.append(0 if a is None else (b - a) / max(a, b))
+    spark.createDataFrame([(i, int(k), v.tolist()) for i, (k, v) in enumerate(zip(c, x))], "vec_id long, label int, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = catalogue.queries()["silhouette_sample"](spark, str(tmp_path)).first()
+    assert got.n == 6000 and math.isclose(got.silhouette, np.mean(want), abs_tol=1e-6)
+    few = metrics.silhouette(spark.read.parquet(f"{tmp_path}/embeddings.parquet"), "vec_id", "embedding", "label", rows=100, block=16).first()
+    assert few.n == 100
+
+
+def test_events_of_one_millisecond_keep_their_order(spark, tmp_path):
+    at = "timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, 0, 0, 0) + make_dt_interval(0, 0, 0, cast(id as decimal(18, 6)) / 10000)"
+    spark.range(95).selectExpr("id AS event_id", f"{at} AS ts", "1L AS user_id", "cast(1000 - id as double) AS value").write.parquet(f"{tmp_path}/events.parquet")
+    got = sorted(tuple(r) for r in catalogue.queries()["streamed_windows"](spark, str(tmp_path)).select("window_id", "n_flows", "first_ts", "last_ts", "sum_value").collect())
+    base = 1_704_067_200_000
+    assert got == [(w, 10, base + w, base + w, float(sum(1000 - i for i in range(10 * w, 10 * w + 10)))) for w in range(9)]
+
+
+def test_context_of_chunks_counts_every_destination(spark, tmp_path):
+    n = 40_000
+    line = spark.range(n).selectExpr(
+        "id AS l_orderkey", "id * 37 AS l_partkey", "1L AS l_suppkey", "1 AS l_linenumber", "1.0D AS l_quantity", "1.0D AS l_extendedprice", "0.0D AS l_discount", "0.0D AS l_tax",
+        "'N' AS l_returnflag", "'O' AS l_linestatus", "timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, 0, cast(id as int)) AS l_shipdate",
+    )
+    line.write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = sorted((r.chunk, r.flows, r.fan_out) for r in catalogue.queries()["context_by_chunk_sketch"](spark, str(tmp_path)).collect())
+    assert got == [(k, k * n // 10, k * n // 10) for k in range(10)]
