@@ -100,35 +100,35 @@ class WindowStream:
     batch are ordered by (source, time, value) over many tasks, carried rows first, so a source with
     most of a batch is no larger task than others. Needs rows ``(src, ts_ms, value)``; batches come in order of time;
     rows without a source are left out. ``next`` is the number of a source's next window, kept in a row that is
-    not ``held`` where nothing is carried.
+    not ``held`` where nothing is carried. ``time`` names the column of time; it must be as fine as the order of the events.
     """
 
     OUT = "src long, window_id long, n_flows long, first_ts long, last_ts long, sum_value double"
     REST = "src long, ts_ms long, value double, next long, held boolean"
 
-    def __init__(self, spark: SparkSession, base: str, size: int):
-        self.spark, self.base, self.size = spark, base, size
+    def __init__(self, spark: SparkSession, base: str, size: int, time: str = "ts_ms"):
+        self.spark, self.base, self.size, self.time = spark, base, size, time
         self.rest = Versions(spark, f"{base}/rest")
-        self.rest.start(spark.createDataFrame([], self.REST))
+        self.rest.start(spark.createDataFrame([], self.REST.replace("ts_ms", time)))
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
         if self.rest.done(batch_id):
             return
         held = self.rest.at(batch_id)
         first = held.groupBy("src").agg(F.max("next").alias("_next"))
-        rows = held.where("held").select("src", "ts_ms", "value", F.lit(0).alias("_new")).unionByName(batch.where("src is not null").select("src", "ts_ms", "value", F.lit(1).alias("_new")))
+        rows = held.where("held").select("src", self.time, "value", F.lit(0).alias("_new")).unionByName(batch.where("src is not null").select("src", self.time, "value", F.lit(1).alias("_new")))
         salted = rows.withColumn("_salt", F.monotonically_increasing_id())
-        ranked = timeline.class_rank(salted, "src", ["_new", "ts_ms", "value", "_salt"]).join(first, "src", "left")
+        ranked = timeline.class_rank(salted, "src", ["_new", self.time, "value", "_salt"]).join(first, "src", "left")
         n = ranked.groupBy("src").agg(F.count(F.lit(1)).alias("_n"))
         window = F.floor((F.col("_rank") - 1) / self.size)
-        placed = ranked.join(n, "src").select("src", "ts_ms", "value", (F.coalesce("_next", F.lit(0)) + window).alias("window_id"), (F.floor(F.col("_n") / self.size) <= window).alias("_over"))
+        placed = ranked.join(n, "src").select("src", self.time, "value", (F.coalesce("_next", F.lit(0)) + window).alias("window_id"), (F.floor(F.col("_n") / self.size) <= window).alias("_over"))
         full = placed.where("not _over").groupBy("src", "window_id").agg(
-            F.count(F.lit(1)).alias("n_flows"), F.min("ts_ms").alias("first_ts"), F.max("ts_ms").alias("last_ts"), F.sum("value").alias("sum_value")
+            F.count(F.lit(1)).alias("n_flows"), F.min(self.time).alias("first_ts"), F.max(self.time).alias("last_ts"), F.sum("value").alias("sum_value")
         )
         replaced(full, f"{self.base}/windows/batch_id={batch_id}")
-        left = placed.where("_over").select("src", "ts_ms", "value", F.col("window_id").alias("next"), F.lit(True).alias("held"))
+        left = placed.where("_over").select("src", self.time, "value", F.col("window_id").alias("next"), F.lit(True).alias("held"))
         numbers = n.join(first, "src", "full_outer").select("src", (F.coalesce("_next", F.lit(0)) + F.floor(F.coalesce("_n", F.lit(0)) / self.size)).alias("next"))
-        none = [F.lit(None).cast(t).alias(c) for c, t in (("ts_ms", "long"), ("value", "double"))]
+        none = [F.lit(None).cast(t).alias(c) for c, t in ((self.time, "long"), ("value", "double"))]
         bare = numbers.where("next > 0").join(left, "src", "left_anti").select("src", *none, "next", F.lit(False).alias("held"))
         self.rest.commit(batch_id, left.unionByName(bare))
 
