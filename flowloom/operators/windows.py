@@ -71,7 +71,7 @@ def majority(df: DataFrame, keys: list[str], label: str, order: str = "pos") ->
 
 
 def window_features(df: DataFrame, keys: list[str]) -> DataFrame:
-    """Sums, means, population deviations, shares and distinct ratios per window."""
+    """Sums, means, population deviations, shares and distinct ratios per window; distinct values are sets of at most a window's flows, no row is repeated for a count."""
     n = F.count(F.lit(1))
     share = lambda c: F.avg(c.cast("double"))
     return df.groupBy(*keys).agg(
@@ -80,7 +80,7 @@ def window_features(df: DataFrame, keys: list[str]) -> DataFrame:
         F.stddev_pop("in_bytes").alias("std_in_bytes"), F.stddev_pop("in_pkts").alias("std_in_pkts"),
         share(F.col("protocol") == 6).alias("share_tcp"), share(F.col("protocol") == 17).alias("share_udp"), share(F.col("protocol") == 1).alias("share_icmp"),
         share((F.col("tcp_flags").bitwiseAND(2) != 0) & (F.col("tcp_flags").bitwiseAND(16) == 0)).alias("share_syn_only"),
-        (F.count_distinct("dst") / n).alias("dst_ratio"), (F.count_distinct("dst_port") / n).alias("port_ratio"),
+        (F.size(F.collect_set("dst")) / n).alias("dst_ratio"), (F.size(F.collect_set("dst_port")) / n).alias("port_ratio"),
         F.avg("min_ttl").alias("avg_min_ttl"), F.min("min_ttl").alias("min_min_ttl"), F.max("in_bytes").alias("max_in_bytes"),
     )
 
