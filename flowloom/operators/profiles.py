@@ -41,14 +41,20 @@ def with_quantiles(df: DataFrame, found: DataFrame, group: str, names: dict[str,
     return df.join(wide, df[group].eqNullSafe(wide["_g"]), "left").drop("_g")
 
 
-def shares(df: DataFrame, group: str) -> DataFrame:
+def value_shares(df: DataFrame, group: str) -> DataFrame:
+    """Shares of single TTLs, flags and protocols per group: one pass."""
     share = lambda c: F.avg(c.cast("double"))
     ttl, flags = F.col("min_ttl"), F.col("tcp_flags")
-    found = df.groupBy(group).agg(
+    return df.groupBy(group).agg(
         share(ttl == 0).alias("share_ttl0"), share(ttl == 64).alias("share_ttl64"), share(~ttl.isin(0.0, 64.0)).alias("share_ttl_other"),
         share(flags == 2).alias("share_syn"), share(F.col("protocol") == 17).alias("share_udp"),
-        F.count_distinct("dst_port").alias("n_ports"),
     )
+
+
+def shares(df: DataFrame, group: str) -> DataFrame:
+    """``value_shares``, the number of ports and their median per group."""
+    ports = df.groupBy(F.col(group).alias("_p")).agg(F.count_distinct("dst_port").alias("n_ports"))
+    found = value_shares(df, group).join(ports, F.col(group).eqNullSafe(F.col("_p"))).drop("_p")
     return with_quantiles(found, quantiles(df, group, ["dst_port"]), group, {"dst_port": "med_port"})
 
 

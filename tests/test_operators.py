@@ -1,4 +1,5 @@
 import json
+import re
 
 import numpy as np
 import pytest
@@ -6,6 +7,7 @@ from pyspark.sql import functions as F
 
 from flowloom.functions import scalar
 from flowloom.operators import fusion, graph, metrics, mixture, profiles, rules, timeline, variational, windows
+from flowloom.plans import catalogue
 from flowloom.sources import flows as source
 from flowloom.streaming import flow_stream
 
@@ -57,6 +59,33 @@ def test_copies_are_not_broadcast_and_are_drawn_in_pieces(spark, monkeypatch):
     assert "SortMergeJoin" in plan
 
 
+def test_classes_are_not_shuffled_for_their_ranks(spark):
+    df = table(spark, [(f"c{i % 3}", i) for i in range(50)], "label string, ts long")
+    ranked = timeline.class_rank(df, "label", ["ts"])
+    assert sorted((r.label, r._rank, r.ts) for r in ranked.collect()) == sorted((f"c{i % 3}", i // 3 + 1, i) for i in range(50))
+    assert "SortMergeJoin" not in ranked._jdf.queryExecution().sparkPlan().toString()
+
+
+def test_samples_rank_only_the_last_range_of_hashes(spark):
+    df = table(spark, [(f"c{i % 3}" if i % 7 else None, i) for i in range(2000)] + [("one", i) for i in range(3)], "label string, id long")
+    got = source.stratified_sample(df, "label", 400, 5, ["id"])
+    hashes = {(r.label, r.id): r.h for r in df.where("label is not null").selectExpr("label", "id", "xxhash64(5, id) AS h").collect()}
+    want = [k for c in ("c0", "c1", "c2", "one") for k in sorted((k for k in hashes if k[0] == c), key=lambda k: (hashes[k], k[1]))[:100]]
+    assert sorted((r.label, r.id) for r in got.collect()) == sorted(want) and got.columns == df.columns
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert re.findall(r"row_number\(\) windowspecdefinition\(label#\d+, (\S+?)#", plan) == ["_range"]
+
+
+def test_fans_meet_flows_once_and_cluster_features_are_written(spark):
+    edges = table(spark, [(i % 3, i % 7, i) for i in range(50)] + [(None, 1, 50), (1, None, 51)], "src long, dst long, id long")
+    out = graph.flow_fan(edges)
+    assert "SortMergeJoin" not in out._jdf.queryExecution().sparkPlan().toString()
+    got = {r.id: (r.fan_out, r.fan_in, r.n_peers) for r in out.collect()}
+    assert got[0] == (7, 3, 10) and got[1] == (8, 4, 12) and got[50] == (None, 4, None) and got[51] == (8, None, None)
+    features = catalogue.cluster_features(spark, "/root/testdata/sf0.001")
+    assert "Join" not in features._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_positions_are_dense_in_order(spark):
     values = [(t, i) for i, t in enumerate([5, 5, 90_000_000, 3, 300_000_000, 90_000_001])]
     got = sorted((r.pos, r.ts, r.id) for r in timeline.positions(table(spark, values, "ts long, id long"), ["ts", "id"]).collect())
