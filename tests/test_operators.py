@@ -86,6 +86,14 @@ def test_fans_meet_flows_once_and_cluster_features_are_written(spark):
     assert "Join" not in features._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_an_answer_is_parsed_once(spark):
+    df = table(spark, [('```json\n{"behaviours": {"a": 2, "b": 0.5, "old": 0.5}}\n```',), ("junk",), (None,)], "t string")
+    out = df.select(scalar.parsed_answer(F.col("t"), {"old": "b"}, ["a", "b", "normal_activity"]).alias("s"))
+    benign = [("normal_activity", 1.0)]
+    assert [[tuple(x) for x in r.s] for r in out.collect()] == [[("a", 0.5), ("b", 0.5)], benign, benign]
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("from_json") == 1
+
+
 def test_positions_are_dense_in_order(spark):
     values = [(t, i) for i, t in enumerate([5, 5, 90_000_000, 3, 300_000_000, 90_000_001])]
     got = sorted((r.pos, r.ts, r.id) for r in timeline.positions(table(spark, values, "ts long, id long"), ["ts", "id"]).collect())
