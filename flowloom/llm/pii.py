@@ -223,18 +223,20 @@ def find_candidates(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.withColumn("spans", find(F.col(text)))
 
 
+def tallied(found: DataFrame) -> list:
+    """Candidates of all documents as counts ``(kind, sig, n)``: at most 4 * 3**VOTERS * 8 rows leave the executors, whatever the corpus."""
+    return found.select(F.explode("spans").alias("s")).groupBy("s.kind", "s.sig").agg(F.count(F.lit(1)).alias("n")).collect()
+
+
 def train(found: DataFrame) -> np.ndarray:
-    """Weights of the span classifier from the candidates of all documents.
+    """Weights of the span classifier from the candidates of all documents."""
+    return fitted(tallied(found))
 
-    Only counts of (kind, signature) leave the executors: at most
-    4 * 3**VOTERS * 8 rows, whatever the corpus.
-    """
-    rows = (
-        found.select(F.explode("spans").alias("s")).groupBy("s.kind", "s.sig").agg(F.count(F.lit(1)).alias("n")).collect()
-    )
+
+def fitted(rows: list) -> np.ndarray:
     if not rows:
         return np.zeros((len(KINDS), FEATURES + 1))
-    rows.sort()
+    rows = sorted(rows)
     kinds = np.array([r.kind for r in rows])
     counts = np.array([r.n for r in rows], dtype=float)
     unpacked = [unpack(r.sig) for r in rows]
@@ -266,6 +268,15 @@ def accepted(weights: np.ndarray, threshold: float) -> Column:
     )
 
 
+def signatures(spark: SparkSession, rows: list, threshold: float) -> set[tuple[int, int]]:
+    """``(kind, sig)`` of the candidates that the classifier trained on the counts ``rows`` accepts."""
+    if not rows:
+        return set()
+    seen = spark.createDataFrame([(int(r.kind), int(r.sig)) for r in rows], "kind int, sig int")
+    likely = seen.where(probability(F.struct("kind", "sig"), fitted(rows)) >= threshold)
+    return {(r.kind, r.sig) for r in likely.collect()}
+
+
 def label_spans(docs: DataFrame, threshold: float = 0.9) -> DataFrame:
     """Input columns plus ``spans``: base spans and those the trained classifier accepts.
 
@@ -282,25 +293,28 @@ def label_spans(docs: DataFrame, threshold: float = 0.9) -> DataFrame:
 def redact(docs: DataFrame, threshold: float = 0.9) -> DataFrame:
     """``docs`` with every labelled span of ``text`` replaced by its kind, as ``[EMAIL]``.
 
-    All rows and columns stay; null text stays null; ``n_chars`` follows the new text.
+    All rows and columns stay; null text stays null; ``n_chars`` follows the new text. Spans are found
+    and masked by one function, so that a task needs one Python worker and reads a text once.
     """
-    labelled = label_spans(carry(docs, "text"), threshold)
+    held = carry(docs, "text")
+    rows = tallied(find_candidates(held.select("text")))
+    good = signatures(docs.sparkSession, rows, threshold)
 
     @F.pandas_udf("string")
-    def mask(texts: pd.Series, spans: pd.Series) -> pd.Series:
-        def one(text, found):
-            if text is None or found is None or not len(found):
-                return text
+    def mask(texts: pd.Series) -> pd.Series:
+        def one(text):
             out, at = [], 0
-            for s in sorted(found, key=lambda s: (s["start"], -s["end"])):
-                if s["start"] >= at:
-                    out += [text[at : s["start"]], f"[{KINDS[s['kind']].upper()}]"]
-                at = max(at, s["end"])
-            return "".join([*out, text[at:]])
+            for kind, start, end, base, sig in sorted(candidates(text), key=lambda c: (c[1], -c[2], c[0])):
+                if not base and (kind, sig) not in good:
+                    continue
+                if start >= at:
+                    out += [text[at:start], f"[{KINDS[kind].upper()}]"]
+                at = max(at, end)
+            return "".join([*out, text[at:]]) if out else text
 
-        return pd.Series([one(t, s) for t, s in zip(texts, spans)], dtype=object)
+        return pd.Series([None if t is None else one(t) for t in texts], dtype=object)
 
-    masked = labelled.withColumn("text", mask("text", "spans"))
+    masked = held.withColumn("text", mask("text"))
     return restore(masked, docs.columns, text=F.col("text"), n_chars=F.length("text").cast("long"))
 
 

@@ -100,3 +100,23 @@ def test_stage_masks_and_keeps_every_row_and_column(spark):
         assert row.text is None or not brute(row.text)
         assert row.text is None or row.n_chars == len(row.text)
     assert "[EMAIL]" in next(r.text for r in rows if r.doc_id == 6)
+
+
+def test_stage_finds_and_masks_in_one_python_function(spark):
+    docs = documents(spark)
+    out = pii.stage(spark, docs, "")
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall(r"^\W*(?:\(\d+\) )?ArrowEvalPython", plan, re.M)) == 1
+    want = {}
+    for row in pii.label_spans(docs).collect():
+        text, at = row.text or "", 0
+        parts = []
+        for s in sorted(row.spans, key=lambda s: (s.start, -s.end)):
+            if s.start >= at:
+                parts += [text[at : s.start], f"[{pii.KINDS[s.kind].upper()}]"]
+            at = max(at, s.end)
+        want.setdefault(row.doc_id, set()).add(None if row.text is None else "".join([*parts, text[at:]]))
+    got = {}
+    for row in out.collect():
+        got.setdefault(row.doc_id, set()).add(row.text)
+    assert got == want
