@@ -294,3 +294,18 @@ def test_cicids_additive_scores(spark):
     assert got["udp", "volumetric_flood"] == pytest.approx(1.0)
     assert got["udp", "syn_flooding"] == pytest.approx(0.9 * 0.2)
     assert got["udp", "normal_activity"] == pytest.approx(0.0)
+
+
+def test_counters_shuffle_flows_once_and_cut_long_sources_only(spark):
+    df = table(spark, [(p, p % 3 if p % 4 else None, p % 5, float(p)) for p in range(40)] + [(40, 7, None, 1.0), (41, 7, None, 2.0)], "pos long, src long, dst long, in_bytes double")
+    out = graph.causal_counters(df, run=9)
+    assert "SortMergeJoin" not in re.split(r"\bUnion\b", out._jdf.queryExecution().sparkPlan().toString())[-1]
+    assert "min(pos" in out._jdf.queryExecution().optimizedPlan().toString() and len(re.findall(r"Join Left\w*, \(pos", out._jdf.queryExecution().optimizedPlan().toString())) == 0
+    got = {r.pos: (r.past_flows, r.past_bytes, r.past_fan_out) for r in out.collect()}
+    want, seen = {}, {}
+    for p, s, d, b in df.orderBy("pos").collect():
+        if s is not None:
+            past = seen.setdefault(s, [])
+            want[p] = (len(past), sum(x[1] for x in past), len({x[0] for x in past}))
+            past.append((d, b))
+    assert got == want and got[41] == (1, 1.0, 1)
