@@ -296,6 +296,26 @@ def test_cicids_additive_scores(spark):
     assert got["udp", "normal_activity"] == pytest.approx(0.0)
 
 
+def test_cluster_features_of_lines_without_or_with_two_orders(spark, tmp_path, monkeypatch):
+    import duckdb
+
+    joins = []
+    monkeypatch.setattr(catalogue, "flow_lines", lambda s, d, duration=False, f=catalogue.flow_lines: joins.append(duration) or f(s, d, duration))
+    whole = catalogue.cluster_features(spark, "/root/testdata/sf0.001")
+    assert joins and not any(joins) and whole.count() == 20
+    line, orders = (spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet") for t in ("lineitem", "orders"))
+    line.write.parquet(str(tmp_path / "lineitem.parquet"))
+    orders.where("o_orderkey % 3 <> 0").union(orders.where("o_orderkey % 5 = 1")).write.parquet(str(tmp_path / "orders.parquet"))
+    got = catalogue.cluster_features(spark, str(tmp_path)).select("cluster", "size", "n_src", "n_dst", "n_pairs", "duration", "in_bytes").collect()
+    assert any(joins)
+    con = duckdb.connect()
+    for t in ("lineitem", "orders"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{tmp_path}/{t}.parquet/*.parquet')")
+    want = con.execute(catalogue.with_sql(catalogue._CL, *catalogue._PROF) + "SELECT cluster, size, n_src, n_dst, n_pairs, duration, in_bytes FROM pf").fetchall()
+    near = lambda rows: sorted(tuple(round(float(x), 4) for x in r) for r in rows)
+    assert near(got) == near(want)
+
+
 def test_counters_shuffle_flows_once_and_cut_long_sources_only(spark):
     df = table(spark, [(p, p % 3 if p % 4 else None, p % 5, float(p)) for p in range(40)] + [(40, 7, None, 1.0), (41, 7, None, 2.0)], "pos long, src long, dst long, in_bytes double")
     out = graph.causal_counters(df, run=9)
