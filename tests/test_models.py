@@ -332,6 +332,40 @@ def test_silhouette_of_all_rows_over_blocks(spark, tmp_path):
     assert few.n == 100
 
 
+@pytest.mark.parametrize("widest", [32_768, 45])
+def test_silhouette_sends_a_row_to_few_tiles(spark, monkeypatch, widest):
+    """Blocks grow and not their number, until they are as wide as a task may hold; repeated ids, nulls and far vectors as pairs of rows say."""
+    r = np.random.default_rng(4)
+    rows = [(i // 2 if i < 40 else i, (r.standard_normal(5) * (1e4 if i % 90 == 0 else 1)).astype("float32").tolist(), i % 3) for i in range(1500)]
+    ids, x, c = np.array([a for a, _, _ in rows]), np.array([v for _, v, _ in rows]), np.array([k for *_, k in rows])
+    want = []
+    for i in range(20):
+        near = {}
+        for j in np.flatnonzero(ids == i):
+            d = np.sqrt(((x - x[j]) ** 2).sum(1))
+            for k in range(3):
+                near.setdefault((c[j], k), []).extend(d[(c == k) & (ids != i)])
+        a, b = (f([np.mean(v) for (own, k), v in near.items() if same == (own == k)]) for f, same in ((max, True), (min, False)))
+        want.append((b - a) / max(a, b))
+    for j in range(40, 1500):
+        d = np.sqrt(((x - x[j]) ** 2).sum(1))
+        a, b = d[(c == c[j]) & (ids != ids[j])].mean(), min(d[c == k].mean() for k in range(3) if k != c[j])
+        want.append((b - a) / max(a, b))
+    odd = [(9001, None, 1), (9002, [1.0, None, 0.0, 0.0, 0.0], 1), (None, [1.0] * 5, 1), (9003, [1.0] * 5, None)]
+    df = spark.createDataFrame([*rows, *odd], "id long, v array<float>, c int")
+    sent, of = spark.sparkContext.accumulator(0), metrics._tile_sums
+
+    def counted(tile):
+        sent.add(tile.shape[0])
+        return of(tile)
+
+    monkeypatch.setattr(metrics, "_tile_sums", counted)
+    monkeypatch.setattr(metrics, "WIDEST", widest, raising=False)
+    got = metrics.silhouette(df, "id", "v", "c", rows=None, block=16).first()
+    assert got.n == 1480 and math.isclose(got.silhouette, np.mean(want), abs_tol=1e-9)
+    assert 0 < sent.value <= 1501 * max(24, math.ceil(1501 / widest))
+
+
 def test_events_of_one_millisecond_keep_their_order(spark, tmp_path):
     at = "timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, 0, 0, 0) + make_dt_interval(0, 0, 0, cast(id as decimal(18, 6)) / 10000)"
     spark.range(95).selectExpr("id AS event_id", f"{at} AS ts", "1L AS user_id", "cast(1000 - id as double) AS value").write.parquet(f"{tmp_path}/events.parquet")
